@@ -20,3 +20,61 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(CASE WHEN same THEN 10 + n_text ELSE 12 + n_role + 1 + 11 + n_text END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+# The same character references, in the same order, as the operator decodes.
+_DECODED = (
+    "replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''),"
+    " '&#39;', ''''), '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+)
+ORACLES["op2_warc"] = (
+    r"""
+WITH base AS (
+  SELECT page_id, url, coalesce(html, '') AS html, md5(concat_ws('|', 'response', CAST(page_id AS VARCHAR), url)) AS m FROM pages
+), ids AS (
+  SELECT *, 'urn:uuid:' || regexp_replace(m, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS rid, 'sha256:' || sha256(html) AS sd,
+    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>)', chr(10), 'g'),
+      '(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|form)\b[^>]*>', chr(10), 'g'), '</?[a-zA-Z][^>]*>|<[!?][^>]*>', '', 'g') AS t0,
+    regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title', 1) AS title0, regexp_extract(html, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) AS lang,
+    list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1), lambda x: 'outlink: ' || x || chr(13) || chr(10)) AS links
+  FROM base
+), cleaned AS (
+  SELECT * EXCLUDE (t0, title0),
+    trim(regexp_replace(regexp_replace(DECODED_T, '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS t,
+    trim(regexp_replace(DECODED_TITLE, '[ \t\r\n\f]+', ' ', 'g'), ' ') AS title,
+    'urn:uuid:' || regexp_replace(md5('metadata|' || rid), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS mid,
+    'urn:uuid:' || regexp_replace(md5('conversion|' || rid), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS cid,
+    chr(13) || chr(10) AS nl
+  FROM ids
+), records AS (
+  SELECT page_id, mid AS record_id, 'metadata' AS warc_type, cid AS concurrent_to, 'application/warc-fields' AS content_type, rid, url, html, sd, nl,
+    'source-record-id: ' || rid || nl || 'source-payload-digest: ' || sd || nl || 'source-content-length: ' || strlen(html) || nl || 'conversion-record-id: ' || cid || nl
+      || 'conversion-block-digest: sha256:' || sha256(t) || nl || 'title: ' || title || nl || 'language: ' || lang || nl || coalesce(array_to_string(links, ''), '') AS block
+  FROM cleaned
+  UNION ALL
+  SELECT page_id, cid, 'conversion', mid, 'text/plain; charset=utf-8', rid, url, html, sd, nl, t FROM cleaned
+)
+SELECT page_id, record_id, warc_type, rid AS refers_to, concurrent_to, url AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type,
+  'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(html) || nl || nl AS source_headers,
+  sd AS source_payload_digest, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, block
+FROM records
+""".replace("DECODED_TITLE", _DECODED.format("title0")).replace("DECODED_T", _DECODED.format("t0"))
+)
+
+ORACLES["op4_line_dedup"] = r"""
+WITH split_ AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
+), windows AS (
+  SELECT doc_id, pos, trim(lines[pos + 1], ' ') AS a, trim(lines[pos + 2], ' ') AS b, trim(lines[pos + 3], ' ') AS c
+  FROM (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS pos FROM split_ WHERE len(lines) >= 3)
+), places AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos
+  FROM windows WHERE a <> '' OR b <> '' OR c <> '' WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, pos)
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS gone
+  FROM (SELECT doc_id, unnest(range(CASE WHEN doc_id = first_doc THEN greatest(pos, first_pos + 3) ELSE pos END, pos + 3)) AS p FROM places WHERE doc_id <> first_doc OR pos <> first_pos)
+  GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[i + 1] FOR i IN range(len(lines)) IF NOT list_contains(gone, i)], chr(10)) END AS text,
+  CAST(CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed
+FROM split_ LEFT JOIN gone USING (doc_id)
+"""
