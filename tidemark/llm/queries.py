@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, line_dedup, packing, warc
-from tidemark.llm.common import table
+from tidemark.llm import chat_format, language_id, line_dedup, packing, warc
+from tidemark.llm.common import held_out, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +49,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op4_line_dedup": op4_line_dedup,
     "op9_packing": op9_packing,
