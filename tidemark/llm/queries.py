@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, language_id, line_dedup, packing, warc
+from tidemark.llm import byte_bpe, chat_format, language_id, line_dedup, packing, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -25,6 +25,19 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", packing.words(F.col("text")).alias("n_words"), "source", F.xxhash64("text").alias("copies"))
     return packing.pack(docs, "doc_id", F.col("n_words"), F.col("source"), F.col("copies"), capacity=2048)
@@ -52,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op4_line_dedup": op4_line_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
 }
