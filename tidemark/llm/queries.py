@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, language_id, line_dedup, packing, simhash, warc
+from tidemark.llm import byte_bpe, chat_format, fingerprint, language_id, line_dedup, packing, simhash, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -42,6 +42,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents")).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", packing.words(F.col("text")).alias("n_words"), "source", F.xxhash64("text").alias("copies"))
     return packing.pack(docs, "doc_id", F.col("n_words"), F.col("source"), F.col("copies"), capacity=2048)
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_simhash": op7_simhash,
+    "op8_fingerprint": op8_fingerprint,
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
 }
