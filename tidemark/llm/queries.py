@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, fingerprint, language_id, line_dedup, packing, simhash, toxicity, warc
+from tidemark.llm import byte_bpe, chat_format, embedding_dedup, fingerprint, language_id, line_dedup, packing, simhash, toxicity, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -21,6 +21,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses_from_pages(table(spark, sf_dir, "pages")), keep=("page_id",))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -85,6 +89,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
