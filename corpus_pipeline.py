@@ -1,15 +1,61 @@
-"""Corpus pipeline: the stages in order, each over all that the one before kept."""
+"""Corpus pipeline: language ID, toxicity, line dedup, near-dedup and packing, each over all that the stage before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of ``documents``; the last returns the packing, one row for each
+piece of a document. Rows without a text or without a letter end at the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import language_id, line_dedup, packing, simhash, toxicity
+from tidemark.llm.common import checkpointed, held_out, table
+from tidemark.llm.queries import toxicity_model
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are too far from every centroid, or have no letter, go."""
+    model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
+    return language_id.predict(docs, model).where(~F.col("rejected")).select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more go."""
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.predict(docs, model).where("predicted = 0").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go; a document may be left empty, which the next stage sees as one group."""
+    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least id stays; rows without an id stay."""
+    kept = simhash.near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sized = docs.select("doc_id", packing.words(F.col("text")).alias("n_words"), "source", F.xxhash64("text").alias("copies"))
+    return packing.pack(sized, "doc_id", F.col("n_words"), F.col("source"), F.col("copies"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: The fitted models and the candidates of near-dedup aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
