@@ -184,7 +184,8 @@ def ordered_with_successor(docs: DataFrame, key: str, text: str) -> DataFrame:
         return ranged.withColumn("sent", F.lit(False))
     heads = spark.createDataFrame([(n, i, h, before[n]) for n, i, h in firsts], "n int, head_id long, head_h long, before int")
     sent = (
-        ranged.join(heads, (F.col("range") == F.col("n")) & F.col("id").eqNullSafe(F.col("head_id")) & (F.xxhash64("text") == F.col("head_h")))
+        # At most MOST_RANGES rows of a few numbers, so that the texts needn't be shuffled for the join.
+        ranged.join(F.broadcast(heads), (F.col("range") == F.col("n")) & F.col("id").eqNullSafe(F.col("head_id")) & (F.xxhash64("text") == F.col("head_h")))
         .dropDuplicates(["range"])
         .select("id", "text", F.col("before").alias("range"), F.lit(True).alias("sent"))
     )
