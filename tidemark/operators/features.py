@@ -11,6 +11,7 @@ from tidemark.catalog import Catalog, default_catalog
 from tidemark.functions.features import Measure, in_window, micros
 
 TOP_CATEGORIES = 3
+POPULARITY = "popularity_rank_1h"
 
 
 def key_of(entity: str) -> str:
@@ -23,16 +24,19 @@ def measures_of(catalog: Catalog, entity: str) -> list[Measure]:
     return list(dict.fromkeys(m for s in catalog.of(entity) for m in s.measures))
 
 
-def finished(measured: DataFrame, catalog: Catalog, entity: str, ref_us: Column, snapshot: list[Column]) -> list[Column]:
-    """The features' columns from columns named as the measures. Popularity is divided by the most in a snapshot."""
-    out = []
-    for s in catalog.of(entity):
-        value = s.finish(lambda m: F.col(m.name), ref_us)
-        if s.name == "popularity_rank_1h":
-            most = F.max(value).over(Window.partitionBy(*snapshot))
-            value = F.when(most > 0, F.round(value / most, 6)).otherwise(F.lit(0.0))
-        out.append(value.alias(s.name))
-    return out
+def finished(measured: DataFrame, catalog: Catalog, entity: str, ref_us: Column, snapshot: str, keep: list[Column]) -> DataFrame:
+    """``keep`` and the features, from columns named as the measures.
+
+    Popularity is divided by the most in its snapshot: an aggregate with one row for each value of column ``snapshot``, joined back.
+    """
+    specs = catalog.of(entity)
+    value = {s.name: s.finish(lambda m: F.col(m.name), ref_us) for s in specs}
+    if POPULARITY in value:
+        # As many rows as the grid has points.
+        most = measured.groupBy(snapshot).agg(F.max(value[POPULARITY]).alias("_most"))
+        measured = measured.join(F.broadcast(most), snapshot)
+        value[POPULARITY] = F.when(F.col("_most") > 0, F.round(value[POPULARITY] / F.col("_most"), 6)).otherwise(F.lit(0.0))
+    return measured.select(*keep, *[value[s.name].alias(s.name) for s in specs])
 
 
 def most_viewed(counted: DataFrame, key: list[str]) -> DataFrame:
@@ -63,7 +67,7 @@ def features_as_of(events: DataFrame, entity: str, ref: datetime | str, catalog:
         viewed = seen.where((F.col("event_type") == m.event_type) & in_window(F.col("ts_us"), ref_us, m.hours) & named)
         counted = viewed.groupBy(key, F.col("metadata.category").alias("category")).agg(F.count("*").alias("n"), F.min(F.struct("ts_us", "event_id")).alias("first"))
         out = out.join(most_viewed(counted, [key]), key, "left")
-    return out.select(key, ref_ts.alias("feature_timestamp"), *finished(out, catalog, entity, ref_us, [F.lit(1)]))
+    return finished(out.withColumn("_snapshot", F.lit(0)), catalog, entity, ref_us, "_snapshot", [F.col(key), ref_ts.alias("feature_timestamp")])
 
 
 def exploded_affinity(features: DataFrame, key: str = "user_id") -> DataFrame:

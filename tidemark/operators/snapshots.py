@@ -45,7 +45,7 @@ def materialise(events: DataFrame, entity: str, start: datetime | str, end: date
         hourly = hourly.join(_session_growth(seen, key), [key, "hour"], "left")
     by_entity = Window.partitionBy(key)
     points = F.sequence(F.greatest(F.ceil(F.col("first") / step) * step, F.lit(0)).cast("long"), last.cast("long"), F.lit(step).cast("long"))
-    spine = hourly.groupBy(key).agg(F.min("hour").alias("first")).where(F.greatest(F.ceil(F.col("first") / step) * step, F.lit(0)) <= last).select(key, F.explode(points).alias("hour"), F.lit(True).alias("asked"))
+    spine = seen.groupBy(key).agg(F.min("hour").alias("first")).where(F.greatest(F.ceil(F.col("first") / step) * step, F.lit(0)) <= last).select(key, F.explode(points).alias("hour"), F.lit(True).alias("asked"))
     rows = hourly.withColumn("asked", F.lit(False)).unionByName(spine, allowMissingColumns=True)
 
     def rolled(name: str, hours: int | None, most: bool) -> Column:
@@ -59,7 +59,7 @@ def materialise(events: DataFrame, entity: str, start: datetime | str, end: date
     for m in (m for m in measures if m.kind == "categories"):
         measured = measured.join(_rolled_categories(seen, key, m.event_type, m.hours, step, last), [key, "hour"], "left")
     at_us = start_us + F.col("hour") * HOUR_US
-    return measured.select(key, F.timestamp_micros(at_us).alias("feature_timestamp"), *finished(measured, catalog, entity, at_us, [F.col("hour")]))
+    return finished(measured, catalog, entity, at_us, "hour", [F.col(key), F.timestamp_micros(at_us).alias("feature_timestamp")])
 
 
 def _session_growth(seen: DataFrame, key: str) -> DataFrame:
@@ -111,4 +111,4 @@ def materialise_by_join(events: DataFrame, entity: str, start: datetime | str, e
         viewed = met.where((F.col("event_type") == m.event_type) & in_window(F.col("ts_us"), F.col("at_us"), m.hours) & named)
         counted = viewed.groupBy(*on, F.col("metadata.category").alias("category")).agg(F.count("*").alias("n"), F.min(F.struct("ts_us", "event_id")).alias("first"))
         out = out.join(most_viewed(counted, on), on, "left")
-    return out.select(key, F.col("at").alias("feature_timestamp"), *finished(out, catalog, entity, F.col("at_us"), [F.col("at_us")]))
+    return finished(out, catalog, entity, F.col("at_us"), "at_us", [F.col(key), F.col("at").alias("feature_timestamp")])
