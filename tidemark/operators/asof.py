@@ -40,7 +40,9 @@ def _fits(left_us: Column, right_us: Column, tolerance_days: int | None) -> Colu
 def _union(left: DataFrame, right: DataFrame, key: str, tolerance_days: int | None, grid: object) -> DataFrame:
     width = None if tolerance_days is None else max(1, tolerance_days) * DAY_US
     block = lambda us: F.lit(0).cast("long") if width is None else F.floor(us / width)
-    a = left.select(F.col(key).alias("_k"), F.col("_l").alias("_t"), block(F.col("_l")).alias("_b"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"))
+    # Left rows without a key match nothing; they are spread by their time instead of meeting in one partition.
+    own = F.when(F.col(key).isNull(), F.xxhash64("_l")).otherwise(block(F.col("_l")))
+    a = left.select(F.col(key).alias("_k"), F.col("_l").alias("_t"), own.alias("_b"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"))
     blocks = F.array(block(F.col("_t"))) if width is None else F.array(block(F.col("_t")), block(F.col("_t")) + 1)
     b = right.select("_k", "_t", F.explode(blocks).alias("_b"), F.lit(1).alias("_side"), "_o", "_p")
     # At one time left comes first, so an equal right row is never seen: strictly earlier.
