@@ -83,9 +83,12 @@ def vectors(texts: pa.Array, rows_at_once: int = 64) -> Iterator[tuple[int, int,
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
-    length = np.sqrt((v * v).sum(1, keepdims=True))
-    return v / np.where(length > 0, length, 1)
+    v = np.log(np.maximum(counts, 1), dtype=np.float32)
+    v += counts > 0
+    v *= idf
+    length = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    v /= np.where(length > 0, length, 1)
+    return v
 
 
 def expected(counts: np.ndarray) -> np.ndarray:
@@ -117,16 +120,16 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             for _, _, counts in vectors(pc.utf8_lower(pc.fill_null(b.column("text"), ""))):
                 for c in counts:
                     w = np.flatnonzero(c)
-                    where.append(w.astype(np.int32))
-                    values.append(c[w].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(where, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["lang", "i", "n"])
+                    where.append(w.astype(np.int32).tobytes())
+                    values.append(c[w].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(where, pa.binary()), pa.array(values, pa.binary())], ["lang", "i", "n"])
 
-    rows = chosen.mapInArrow(sparse, "lang string, i array<int>, n array<float>").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], tuple(r["i"]), tuple(r["n"])))
+    rows = chosen.mapInArrow(sparse, "lang string, i binary, n binary").collect()
+    rows.sort(key=lambda r: (r["lang"], r["i"], r["n"]))
     counts = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
     for out, r in zip(counts, rows, strict=True):
-        out[r["i"]] = r["n"]
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1
+        out[np.frombuffer(r["i"], np.int32)] = np.frombuffer(r["n"], np.float32)
+    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     v, of, share = weighted(counts, idf), np.array([r["lang"] for r in rows]), np.maximum(expected(counts), 1e-6)
     means = {x: v[of == x].mean(0) for x in sorted(set(of.tolist()))}
     languages, centroids, least = [], [], []
@@ -142,7 +145,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             least.append(REJECT_SHARE * np.quantile((own @ c.T).max(1) / own_share, 0.01))
     if not languages:
         return Model([], np.zeros((0, DIMENSIONS)), idf, np.zeros(0))
-    return Model(languages, np.stack(centroids).astype(np.float32), idf.astype(np.float32), np.array(least))
+    return Model(languages, np.stack(centroids).astype(np.float32), idf, np.array(least))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
