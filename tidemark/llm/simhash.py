@@ -183,11 +183,19 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def shingle_set(text: Column, width: int) -> Column:
-    """Hashes of the different word shingles of a text (of all its words if it has fewer)."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
-    ends = F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))
-    return F.array_distinct(F.transform(ends, lambda i: F.xxhash64(F.array_join(F.slice(words, i, width), " "))))
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, text) to (id, s): hashes of the different word shingles of each text (of all its words if it has fewer)."""
+
+    def one(text: str | None) -> np.ndarray:
+        words = (text or "").encode().lower().split()
+        shingles = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+        return np.array(sorted(xxhash.xxh64_intdigest(x) for x in shingles), dtype=np.uint64).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([one(t.as_py()) for t in b.column("text")], pa.list_(pa.int64()))], ["id", "s"])
+
+    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("s", T.ArrayType(T.LongType()))]))
 
 
 def candidate_pairs(marked: DataFrame, few: int = 16) -> DataFrame:
@@ -222,7 +230,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     texts = checkpointed(rows.groupBy("h1", "h2").agg(F.min(key).alias("id"), F.first("fps").alias("fps")))
     pairs = checkpointed(candidate_pairs(texts.select("id", F.posexplode("fps").alias("word", "fp"))))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpointed(docs.join(asked, docs[key] == asked["id"], "left_semi").select(F.col(key).alias("id"), shingle_set(F.col(text), width).alias("s")).dropDuplicates(["id"]))
+    asked_texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(asked, "id", "left_semi").dropDuplicates(["id"])
+    sets = checkpointed(shingle_sets(asked_texts, width))
     compared = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     links = compared.where(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b")
