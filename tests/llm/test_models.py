@@ -84,7 +84,7 @@ def test_toxicity(spark, docs):
 
 
 def test_toxicity_without_labels(spark, docs):
-    alone = X.fit(docs.where("doc_id < 0"))
+    alone = X.fit(docs.where("doc_id < 0"), docs.where("doc_id < 0"))
     out = X.predict(spark.createDataFrame([("you stupid idiot, pathetic loser",), ("kalo mi",)], "text string"), alone).collect()
     assert [r["predicted"] for r in out] == [1, 0]
 

@@ -31,9 +31,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Fitted on the rows of ``docs`` that may be learned from, with the labels that there are."""
-    learn = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    known = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return toxicity.fit(learn.join(known, "doc_id", "left"))
+    learn = ~held_out(F.col("doc_id"))
+    return toxicity.fit(docs.where(learn).select("doc_id", "text"), labels.where(learn))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
