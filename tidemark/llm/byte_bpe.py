@@ -35,41 +35,32 @@ from tidemark.llm.common import runs, utf8
 CHUNK_BYTES = 2 << 20
 CHUNK_TOKENS = 1 << 20
 WORDS_AT_ONCE = 20_000
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
 LONG = 64
 
-_PAIRS = """
-    SELECT s.word, s.pos, s.tok, m.id
-    FROM (SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS next_tok FROM {rows}) s
-    LEFT JOIN merges m ON m.a = s.tok AND m.b = s.next_tok
+# Each row of state has its token's pair (id: what it becomes, next_pos: where its right half is), and ``best``, one number for the
+# word: its minimum rank, then the leftmost place of that, then the place of the right half. Null: the word is finished.
+_STATE = """
+  SELECT *, min(id * 70368744177664 + pos * 8388608 + next_pos) OVER (PARTITION BY word) AS best FROM (
+    SELECT s.word, s.pos, s.tok, s.next_pos, m.id
+    FROM (SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos FROM {rows} WINDOW w AS (PARTITION BY word ORDER BY pos)) s
+    LEFT JOIN merges m ON m.a = s.tok AND m.b = s.next_tok)
 """
 # The leftmost pair of minimum rank of each word becomes one token.
 _LEFTMOST = """
-    (SELECT s.word, s.pos, CASE WHEN s.pos = f.at THEN s.best ELSE s.tok END AS tok
-     FROM state s JOIN (
-       SELECT word, min(pos) AS at, min(next_pos) AS gone
-       FROM (SELECT word, pos, id, best, lead(pos) OVER (PARTITION BY word ORDER BY pos) AS next_pos FROM state WHERE best IS NOT NULL)
-       WHERE id = best GROUP BY word
-     ) f ON s.word = f.word AND s.pos <> f.gone)
+    (SELECT word, pos, CASE WHEN pos = (best >> 23) & 8388607 THEN best >> 46 ELSE tok END AS tok FROM state WHERE best IS NOT NULL AND pos <> best & 8388607)
 """
 # All pairs of minimum rank become tokens, in a run of overlapping ones every second.
 _ALL_LEFT_TO_RIGHT = """
-    (SELECT word, pos, CASE WHEN taken THEN best ELSE tok END AS tok FROM (
+    (SELECT word, pos, CASE WHEN taken THEN best >> 46 ELSE tok END AS tok FROM (
        SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM (
-         SELECT *, coalesce(id = best, false) AND (n - coalesce(max(CASE WHEN id = best THEN NULL ELSE n END) OVER (PARTITION BY word ORDER BY pos), 0)) % 2 = 1 AS taken
+         SELECT *, coalesce(id = best >> 46, false) AND (n - coalesce(max(CASE WHEN id = best >> 46 THEN NULL ELSE n END) OVER (PARTITION BY word ORDER BY pos), 0)) % 2 = 1 AS taken
          FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS n FROM state WHERE best IS NOT NULL)
        )) WHERE NOT gone)
 """
-_ENCODE = """
-WITH RECURSIVE state(word, pos, tok, id, best) AS (
-  SELECT *, min(id) OVER (PARTITION BY word) FROM ({first})
-  UNION ALL
-  SELECT *, min(id) OVER (PARTITION BY word) FROM ({next})
-)
-SELECT word, tok FROM state WHERE best IS NULL ORDER BY word, pos
-"""
-ENCODE_SHORT = _ENCODE.format(first=_PAIRS.format(rows="bytes_"), next=_PAIRS.format(rows=_LEFTMOST))
-ENCODE_LONG = _ENCODE.format(first=_PAIRS.format(rows="bytes_"), next=_PAIRS.format(rows=_ALL_LEFT_TO_RIGHT))
+_ENCODE = f"WITH RECURSIVE state AS ({_STATE.format(rows='bytes_')} UNION ALL {_STATE}) SELECT word, tok FROM state WHERE best IS NULL ORDER BY word, pos"
+ENCODE_SHORT = _ENCODE.format(rows=_LEFTMOST)
+ENCODE_LONG = _ENCODE.format(rows=_ALL_LEFT_TO_RIGHT)
 DECODE = "SELECT t.doc, string_agg(v.piece, '' ORDER BY t.pos) AS text, count(*) AS n FROM tokens t JOIN vocabulary v ON v.id = t.tok GROUP BY t.doc ORDER BY t.doc"
 
 # In the database a byte is the character 256 above it, as not all bytes make a string there.
@@ -96,7 +87,7 @@ class Coder:
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '300MB'")
-        self._give("merges_", a=splits[:, 0], b=splits[:, 1], id=splits[:, 2])
+        self._give("merges_", a=splits[:, 0], b=splits[:, 1], id=splits[:, 2].astype(np.int64))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_")
         self._give("vocabulary_", id=np.fromiter(ranks.values(), np.int32), piece=["".join(chr(_SHIFT + x) for x in t) for t in ranks])
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_")
@@ -113,7 +104,7 @@ class Coder:
         sizes = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        self._give("bytes_", word=word, pos=(np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32), tok=self.byte[data])
+        self._give("bytes_", word=word, pos=np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes), tok=self.byte[data].astype(np.int64))
         found = self.db.execute(sql).fetchnumpy()
         return np.asarray(found["word"]), np.asarray(found["tok"])
 
