@@ -39,9 +39,10 @@ CACHED_WORDS = 800_000
 LONG = 64
 
 # Each row of state has its token's pair (id: what it becomes, next_pos: where its right half is), and ``best``, one number for the
-# word: its minimum rank, then the leftmost place of that, then the place of the right half. Null: the word is finished.
+# word: its minimum rank, then, for words of at most LONG bytes, the leftmost place of that and the place of the right half. Null:
+# the word is finished.
 _STATE = """
-  SELECT *, min(id * 70368744177664 + pos * 8388608 + next_pos) OVER (PARTITION BY word) AS best FROM (
+  SELECT *, min({best}) OVER (PARTITION BY word) AS best FROM (
     SELECT s.word, s.pos, s.tok, s.next_pos, m.id
     FROM (SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos FROM {rows} WINDOW w AS (PARTITION BY word ORDER BY pos)) s
     LEFT JOIN merges m ON m.a = s.tok AND m.b = s.next_tok)
@@ -58,9 +59,15 @@ _ALL_LEFT_TO_RIGHT = """
          FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS n FROM state WHERE best IS NOT NULL)
        )) WHERE NOT gone)
 """
-_ENCODE = f"WITH RECURSIVE state AS ({_STATE.format(rows='bytes_')} UNION ALL {_STATE}) SELECT word, tok FROM state WHERE best IS NULL ORDER BY word, pos"
-ENCODE_SHORT = _ENCODE.format(rows=_LEFTMOST)
-ENCODE_LONG = _ENCODE.format(rows=_ALL_LEFT_TO_RIGHT)
+
+
+def _encode(best: str, next_rows: str) -> str:
+    first, then = (_STATE.format(best=best, rows=rows) for rows in ("bytes_", next_rows))
+    return f"WITH RECURSIVE state AS ({first} UNION ALL {then}) SELECT word, tok FROM state WHERE best IS NULL ORDER BY word, pos"
+
+
+ENCODE_SHORT = _encode("id * 70368744177664 + pos * 8388608 + next_pos", _LEFTMOST)
+ENCODE_LONG = _encode("id * 70368744177664", _ALL_LEFT_TO_RIGHT)
 DECODE = "SELECT t.doc, string_agg(v.piece, '' ORDER BY t.pos) AS text, count(*) AS n FROM tokens t JOIN vocabulary v ON v.id = t.tok GROUP BY t.doc ORDER BY t.doc"
 
 # In the database a byte is the character 256 above it, as not all bytes make a string there.
