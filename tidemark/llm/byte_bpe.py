@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -38,36 +39,38 @@ WORDS_AT_ONCE = 20_000
 CACHED_WORDS = 800_000
 LONG = 64
 
-# Each row of state has its token's pair (id: what it becomes, next_pos: where its right half is), and ``best``, one number for the
-# word: its minimum rank, then, for words of at most LONG bytes, the leftmost place of that and the place of the right half. Null:
-# the word is finished.
-_STATE = """
-  SELECT *, min({best}) OVER (PARTITION BY word) AS best FROM (
-    SELECT s.word, s.pos, s.tok, s.next_pos, m.id
-    FROM (SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos FROM {rows} WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-    LEFT JOIN merges m ON m.a = s.tok AND m.b = s.next_tok)
+# A row of state is a token of a word: its place (the word's number shifted by 32 bits, plus the position), the next token's place, and whether the word
+# is finished. ``best`` is a word's minimum rank, then the leftmost place of that, then the places of the right half and of its end.
+ENCODE_SHORT = """
+WITH RECURSIVE state AS (
+  SELECT place, place + 1 AS till, tok, false AS finished FROM bytes_
+  UNION ALL
+  (WITH pair AS (
+     SELECT s.place >> 32 AS word, min(m.id * 2097152 + (s.place & 127) * 16384 + (n.place & 127) * 128 + (n.till & 127)) AS best
+     FROM state s JOIN state n ON n.place = s.till JOIN merges m ON m.pair = s.tok * 1048576 + n.tok
+     WHERE NOT s.finished GROUP BY 1)
+   SELECT s.place, CASE WHEN hit THEN s.place - (s.place & 127) + (best & 127) ELSE till END, CASE WHEN hit THEN best >> 21 ELSE tok END, best IS NULL
+   FROM (SELECT s.*, p.best, (s.place & 127) = (p.best >> 14) & 127 AS hit FROM state s LEFT JOIN pair p ON p.word = s.place >> 32 WHERE NOT s.finished) s
+   WHERE best IS NULL OR (place & 127) <> (best >> 7) & 127)
+)
+SELECT place >> 32 AS word, tok FROM state WHERE finished ORDER BY place
 """
-# The leftmost pair of minimum rank of each word becomes one token.
-_LEFTMOST = """
-    (SELECT word, pos, CASE WHEN pos = (best >> 23) & 8388607 THEN best >> 46 ELSE tok END AS tok FROM state WHERE best IS NOT NULL AND pos <> best & 8388607)
+# Here all pairs of minimum rank become tokens, in a run of overlapping ones every second; ``best`` is the rank alone. A row's pair is
+# with the next row of its word.
+_LONG_STATE = """
+  SELECT *, min(id) OVER (PARTITION BY word) AS best FROM (
+    SELECT s.word, s.place, s.tok, m.id
+    FROM (SELECT place >> 32 AS word, place, tok, lead(tok) OVER (PARTITION BY place >> 32 ORDER BY place) AS next_tok FROM {rows}) s
+    LEFT JOIN merges m ON m.pair = s.tok * 1048576 + s.next_tok)
 """
-# All pairs of minimum rank become tokens, in a run of overlapping ones every second.
-_ALL_LEFT_TO_RIGHT = """
-    (SELECT word, pos, CASE WHEN taken THEN best >> 46 ELSE tok END AS tok FROM (
-       SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM (
-         SELECT *, coalesce(id = best >> 46, false) AND (n - coalesce(max(CASE WHEN id = best >> 46 THEN NULL ELSE n END) OVER (PARTITION BY word ORDER BY pos), 0)) % 2 = 1 AS taken
-         FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY pos) AS n FROM state WHERE best IS NOT NULL)
+_LEFT_TO_RIGHT = """
+    (SELECT place, CASE WHEN taken THEN best ELSE tok END AS tok FROM (
+       SELECT *, lag(taken, 1, false) OVER (PARTITION BY word ORDER BY place) AS gone FROM (
+         SELECT *, coalesce(id = best, false) AND (n - coalesce(max(CASE WHEN id = best THEN NULL ELSE n END) OVER (PARTITION BY word ORDER BY place), 0)) % 2 = 1 AS taken
+         FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY place) AS n FROM state WHERE best IS NOT NULL)
        )) WHERE NOT gone)
 """
-
-
-def _encode(best: str, next_rows: str) -> str:
-    first, then = (_STATE.format(best=best, rows=rows) for rows in ("bytes_", next_rows))
-    return f"WITH RECURSIVE state AS ({first} UNION ALL {then}) SELECT word, tok FROM state WHERE best IS NULL ORDER BY word, pos"
-
-
-ENCODE_SHORT = _encode("id * 70368744177664 + pos * 8388608 + next_pos", _LEFTMOST)
-ENCODE_LONG = _encode("id * 70368744177664", _ALL_LEFT_TO_RIGHT)
+ENCODE_LONG = f"WITH RECURSIVE state AS ({_LONG_STATE.format(rows='bytes_')} UNION ALL {_LONG_STATE.format(rows=_LEFT_TO_RIGHT)}) SELECT word, tok FROM state WHERE best IS NULL ORDER BY place"
 DECODE = "SELECT t.doc, string_agg(v.piece, '' ORDER BY t.pos) AS text, count(*) AS n FROM tokens t JOIN vocabulary v ON v.id = t.tok GROUP BY t.doc ORDER BY t.doc"
 
 # In the database a byte is the character 256 above it, as not all bytes make a string there.
@@ -83,7 +86,7 @@ class Coder:
     """The tables of one vocabulary in a database of this process, and the pieces encoded so far."""
 
     def __init__(self, path: str, pattern: str):
-        ranks = read_ranks(path)
+        self.ranks = ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.joined = np.zeros((256, 256), dtype=bool)
@@ -94,7 +97,8 @@ class Coder:
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '300MB'")
-        self._give("merges_", a=splits[:, 0], b=splits[:, 1], id=splits[:, 2].astype(np.int64))
+        wide = splits.astype(np.int64)
+        self._give("merges_", pair=wide[:, 0] << 20 | wide[:, 1], id=wide[:, 2])
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_")
         self._give("vocabulary_", id=np.fromiter(ranks.values(), np.int32), piece=["".join(chr(_SHIFT + x) for x in t) for t in ranks])
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_")
@@ -110,21 +114,22 @@ class Coder:
     def _query(self, words: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        self._give("bytes_", word=word, pos=np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes), tok=self.byte[data].astype(np.int64))
+        first = (np.arange(len(words)) << 32) - (np.cumsum(sizes) - sizes)
+        self._give("bytes_", place=np.arange(len(data)) + np.repeat(first, sizes), tok=self.byte[data].astype(np.int64))
         found = self.db.execute(sql).fetchnumpy()
         return np.asarray(found["word"]), np.asarray(found["tok"])
 
     def _learn(self, new: list[str]) -> None:
         encoded = [w.encode() for w in new]
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        short = [i for i, w in enumerate(encoded) if len(w) <= LONG]
+        whole = {i: self.ranks[w] for i, w in enumerate(encoded) if w in self.ranks}
+        parts = [(np.fromiter(whole, np.int64), np.fromiter(whole.values(), np.int64))]
+        short = [i for i, w in enumerate(encoded) if len(w) <= LONG and i not in whole]
         for lo in range(0, len(short), WORDS_AT_ONCE):
             own = np.array(short[lo : lo + WORDS_AT_ONCE])
             word, tok = self._query([encoded[i] for i in own], ENCODE_SHORT)
             parts.append((own[word], tok))
         for i, w in enumerate(encoded):
-            if len(w) > LONG:
+            if len(w) > LONG and i not in whole:
                 data = np.frombuffer(w, dtype=np.uint8)
                 cuts = np.flatnonzero(~self.joined[data[:-1], data[1:]]) + 1
                 pieces = [w[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(w)], strict=True)]
@@ -143,9 +148,9 @@ class Coder:
         if len(self.known) > CACHED_WORDS:
             self._forget()
         pieces = [self.pattern.findall(t) for t in texts]
-        if new := list(dict.fromkeys(w for p in pieces for w in p if w not in self.known)):
+        if new := [w for w in dict.fromkeys(chain.from_iterable(pieces)) if w not in self.known]:
             self._learn(new)
-        at = np.fromiter((self.known[w] for p in pieces for w in p), np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(pieces)), np.int64)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         flat = self.ids[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
