@@ -92,3 +92,18 @@ def test_near_duplicates(spark):
     assert sum(found[100 + i] == i for i in range(20)) >= 18
     assert all(found[300 + i] == 300 + i for i in range(5)) and found[402] == 402
     assert {i for i in range(30) if found[i] == i} == set(range(30))
+
+
+def test_candidates_in_two_passes_lose_no_pair(spark):
+    draw = random.Random(9)
+    base = draw.getrandbits(64)
+    prints = [base ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 4))) for _ in range(120)] + [base] * 9 + [draw.getrandbits(64) for _ in range(20)]
+    signed = np.array(prints, dtype=np.uint64).view(np.int64).tolist()
+    rows = [(i, i % 2, p, i if i % 3 == 0 else i % 4) for i, p in enumerate(signed)]
+    close = {(a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and a[1] == b[1] and a[3] != b[3] and bin((a[2] ^ b[2]) & 0xFFFFFFFFFFFFFFFF).count("1") <= 3}
+    frame = spark.createDataFrame(rows, "id long, word int, fp long, component long")
+    first = {tuple(r) for r in S.candidate_pairs(frame.drop("component"), few=4).collect()}
+    for dense in (3, 10_000):
+        second = {tuple(r) for r in S.crossing_pairs(frame, few=4, dense=dense).collect()}
+        assert second <= close <= first | second
+    assert not close <= first

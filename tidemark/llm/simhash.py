@@ -219,22 +219,69 @@ def candidate_pairs(marked: DataFrame, few: int = 16) -> DataFrame:
     return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def crossing_pairs(marked: DataFrame, few: int = 16, dense: int = DENSE) -> DataFrame:
+    """(a, b), a > b: what ``candidate_pairs`` left out, for rows (id, word, fp, component) with the components of its links.
+
+    All ids of different components with fingerprints of at most three different bits that share a key with more than ``few``
+    fingerprints, or with equal ones. A key with one component is settled and goes. In the others every row outside the
+    key's largest component meets all rows, so a large group costs its size times the strays. Keys with more than ``dense``
+    squared comparisons are split as in ``linked_pairs``.
+    """
+    on = ["word", "start", "mask", "bits"]
+    known = marked.groupBy("word", "fp").agg(F.min("id").alias("first"))
+    rows = marked.join(known, ["word", "fp"]).select("word", "fp", "id", "component", (F.col("id") == F.col("first")).cast("long").alias("leads"))
+    keys = _keys(rows, _first_masks())
+    free = 64 - bin(_first_masks()[0][1]).count("1")
+    pairs = None
+    while True:
+        parts = keys.groupBy(*on, "component").agg(F.count("*").alias("n"), F.sum("leads").alias("fps"))
+        mixed = parts.groupBy(*on).agg(F.sum("n").alias("n"), F.sum("fps").alias("fps"), F.count("*").alias("parts"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+        open_ = mixed.where(F.col("parts") > 1)
+        if pairs is None:
+            open_ = open_.where((F.col("n") > few) | (F.col("n") > F.col("fps")))
+        open_ = checkpointed(open_.select(*on, "main", ((F.col("n") - F.col("most")) * F.col("n") > dense * dense).alias("crowded")))
+        # The masks that crowded keys have: a few hundred at most, whatever the data.
+        masks = [r["mask"] % (1 << 64) for r in open_.where("crowded").select("mask").distinct().collect()] if free > FREE_BITS else []
+        here = keys.join(open_.where("not crowded") if masks else open_, on)
+        left = here.where(F.col("component") != F.col("main")).select(*on, F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("component").alias("ca"))
+        right = here.select(*on, "main", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("component").alias("cb"))
+        once = (F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))
+        met = left.join(right, on).where((F.col("ca") != F.col("cb")) & once & _close(F.col("fa"), F.col("fb"), F.col("start")))
+        found = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+        if not masks:
+            return pairs.distinct()
+        finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in _split(m)]))])
+        split = keys.join(open_.where("crowded").select(*on), on, "left_semi").select("word", "fp", "id", "component", "leads", "start", F.explode(finer[F.col("mask")]).alias("mask"))
+        keys = checkpointed(split.select("*", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")))
+        free = max(64 - bin(c).count("1") for m in masks for c in _split(m))
+
+
+def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose texts in ``docs`` (id, text) have shingle sets with a Jaccard similarity of ``least``."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = checkpointed(shingle_sets(docs.join(asked, "id", "left_semi").dropDuplicates(["id"]), width))
+    compared = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return compared.where(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 6, width: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component_id) of documents grouped by equal texts and by links of near-equal texts.
 
     Candidates come from ``n_words`` independent SimHash fingerprints of a text's set of words: two texts are candidates if one
     of the fingerprints differs in at most three bits. A candidate is a link if the sets of ``width``-word shingles, compared
-    exactly, have a Jaccard similarity of ``least``, so no chance likeness of fingerprints groups two texts.
+    exactly, have a Jaccard similarity of ``least``, so no chance likeness of fingerprints groups two texts. Large keys are first
+    compared with their leaders; what that leaves in different components is then compared too, so no candidate is left out.
     """
     rows = checkpointed(fingerprints(docs.select(key, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), text), text, partial(vocabulary_fingerprint, n_words=n_words)))
     texts = checkpointed(rows.groupBy("h1", "h2").agg(F.min(key).alias("id"), F.first("fps").alias("fps")))
+    whole = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     pairs = checkpointed(candidate_pairs(texts.select("id", F.posexplode("fps").alias("word", "fp"))))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    asked_texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(asked, "id", "left_semi").dropDuplicates(["id"])
-    sets = checkpointed(shingle_sets(asked_texts, width))
-    compared = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = compared.where(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    components = connected_components(links)
+    links = checkpointed(similar(pairs, whole, width, least))
+    settled = connected_components(links)
+    marked = texts.join(settled, texts["id"] == settled["node"], "left").select("id", F.coalesce("component", "id").alias("component"), F.posexplode("fps").alias("word", "fp"))
+    rest = checkpointed(crossing_pairs(checkpointed(marked)).join(pairs, ["a", "b"], "left_anti"))
+    components = connected_components(links.unionByName(similar(rest, whole, width, least)))
     of_text = texts.join(components, texts["id"] == components["node"], "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     return rows.join(of_text, ["h1", "h2"]).select(key, "component_id")
