@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,6 +26,7 @@ def held_out(doc_id: Column) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir.
 
+    What was shuffled for it goes once it is written, as nothing asks for that again.
     Only where that setting is missing a folder is chosen: /tmp on a local master, else the warehouse, which executors share.
     """
     spark = df.sparkSession
@@ -33,7 +37,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
             local = context.master.startswith("local[") or context.master == "local"
             folder = "/tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         context.setCheckpointDir(folder)
-    return df.checkpoint()
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def bounded_sample(df: DataFrame, by: str, key: str, most: int, salt: int = 7) -> DataFrame:
