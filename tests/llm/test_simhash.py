@@ -107,3 +107,40 @@ def test_candidates_in_two_passes_lose_no_pair(spark):
         second = {tuple(r) for r in S.crossing_pairs(frame, few=4, dense=dense).collect()}
         assert second <= close <= first | second
     assert not close <= first
+
+
+def test_near_duplicates_with_block_edits(spark):
+    draw = random.Random(12)
+    vocabulary = ["".join(draw.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    some = lambda n: [draw.choice(vocabulary) for _ in range(n)]
+    edits = {
+        "replaced": lambda w: w[: len(w) - len(w) * 9 // 100] + some(len(w) * 9 // 100),
+        "middle": lambda w: w[: len(w) // 2] + some(len(w) * 8 // 100) + w[len(w) // 2 + len(w) * 8 // 100 :],
+        "appended": lambda w: w + some(len(w) // 5),
+        "cut": lambda w: w[: len(w) - len(w) // 6],
+    }
+    rows, wanted = [], {}
+    for n in (60, 200, 1000):
+        for kind, edit in edits.items():
+            for _ in range(15):
+                own = some(n)
+                for words in (own, edit(own)):
+                    rows.append((len(rows), " ".join(words)))
+                a, b = (set(map(tuple, (x[i : i + 5] for i in range(len(x) - 4)))) for x in (rows[-2][1].split(), rows[-1][1].split()))
+                if len(a & b) >= 0.8 * len(a | b):
+                    wanted.setdefault((kind, n), []).append(rows[-2][0])
+    found = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {kind for kind, _ in wanted} == set(edits) and sum(map(len, wanted.values())) > 140
+    recall = {k: sum(found[i + 1] == i for i in ids) / len(ids) for k, ids in wanted.items()}
+    assert min(recall.values()) >= 0.9 and sum(found[i + 1] == i for ids in wanted.values() for i in ids) >= 0.98 * sum(map(len, wanted.values()))
+
+
+def test_bands_in_two_passes_lose_no_pair(spark):
+    draw = random.Random(13)
+    rows = [(i, band, draw.randrange(12), i % 3) for i in range(60) for band in range(3)]
+    pairs = {(a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and a[1:3] == b[1:3]}
+    apart = {(a, b) for a, b in pairs if a % 3 != b % 3}
+    frame = spark.createDataFrame(rows, "id long, band int, h long, component long")
+    first = {tuple(r) for r in S.band_pairs(frame.drop("component")).collect()}
+    second = {tuple(r) for r in S.crossing_band_pairs(frame).collect()}
+    assert first <= pairs and second <= apart <= first | second and not apart <= first

@@ -37,6 +37,8 @@ DENSE = 256
 #: Splitting ends here: classes that share a key with so few bits left are at most 2 ** FREE_BITS.
 FREE_BITS = 12
 SHINGLES_AT_ONCE = 1 << 16
+#: Two shingle sets of Jaccard similarity J share a band with a chance of 1 - (1 - J ** BAND_ROWS) ** BANDS: 0.9993 at 0.8.
+BANDS, BAND_ROWS = 24, 6
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -183,19 +185,69 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the different word shingles of a text, in order."""
+    words = (text or "").encode().lower().split()
+    shingles = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+    return np.array(sorted(xxhash.xxh64_intdigest(x) for x in shingles), dtype=np.uint64)
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, text) to (id, s): hashes of the different word shingles of each text (of all its words if it has fewer)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_shingles(t.as_py(), width).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
+
+    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("s", T.ArrayType(T.LongType()))]))
+
+
+def band_hashes(docs: DataFrame, width: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """(id, text) to (id, bands): for each band a hash of the least values that ``rows`` orders give of the text's shingles."""
+    orders = np.random.default_rng(42).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
     def one(text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        shingles = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
-        return np.array(sorted(xxhash.xxh64_intdigest(x) for x in shingles), dtype=np.uint64).view(np.int64)
+        return _banded(_shingles(text, width), orders, bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([one(t.as_py()) for t in b.column("text")], pa.list_(pa.int64()))], ["id", "s"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([one(t.as_py()) for t in b.column("text")], pa.list_(pa.int64()))], ["id", "bands"])
 
-    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("s", T.ArrayType(T.LongType()))]))
+    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("bands", T.ArrayType(T.LongType()))]))
+
+
+def _banded(shingles: np.ndarray, orders: np.ndarray, bands: int) -> np.ndarray:
+    """The hash of each band, as signed longs."""
+    least = np.full(len(orders), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for lo in range(0, len(shingles), 4096):
+        part = shingles[lo : lo + 4096]
+        least = np.minimum(least, [(part * o).min() for o in orders])
+    out = [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in least.reshape(bands, -1)]
+    return np.array(out, dtype=np.uint64).view(np.int64)
+
+
+def band_pairs(banded: DataFrame) -> DataFrame:
+    """(a, b), a > b: every row of (id, band, h) with the first of those that share its band's hash."""
+    first = banded.groupBy("band", "h").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "h", "b")
+    return banded.join(first, ["band", "h"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+
+
+def crossing_band_pairs(banded: DataFrame) -> DataFrame:
+    """(a, b), a > b: what ``band_pairs`` left out, for rows (id, band, h, component) with the components of the links so far.
+
+    A hash whose rows are all in one component is settled. In the others every row outside the largest component meets all rows
+    of other components.
+    """
+    on = ["band", "h"]
+    parts = banded.groupBy(*on, "component").agg(F.count("*").alias("n"))
+    open_ = parts.groupBy(*on).agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1 and n > 2")
+    here = banded.join(open_.select(*on, "main"), on)
+    left = here.where(F.col("component") != F.col("main")).select(*on, F.col("id").alias("a"), F.col("component").alias("ca"))
+    right = here.select(*on, "main", F.col("id").alias("b"), F.col("component").alias("cb"))
+    once = (F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))
+    met = left.join(right, on).where((F.col("ca") != F.col("cb")) & once)
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def candidate_pairs(marked: DataFrame, few: int = 16) -> DataFrame:
@@ -269,19 +321,27 @@ def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Data
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 6, width: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component_id) of documents grouped by equal texts and by links of near-equal texts.
 
-    Candidates come from ``n_words`` independent SimHash fingerprints of a text's set of words: two texts are candidates if one
-    of the fingerprints differs in at most three bits. A candidate is a link if the sets of ``width``-word shingles, compared
-    exactly, have a Jaccard similarity of ``least``, so no chance likeness of fingerprints groups two texts. Large keys are first
-    compared with their leaders; what that leaves in different components is then compared too, so no candidate is left out.
+    Candidates come from two sources. ``n_words`` independent SimHash fingerprints of a text's set of words: two texts are
+    candidates if one of the fingerprints differs in at most three bits. And ``BANDS`` bands of ``BAND_ROWS`` least hashes of the
+    set of ``width``-word shingles: two texts are candidates if a band is equal, which depends on the Jaccard similarity alone
+    and so finds replaced, added and cut passages, where new words move SimHash by more than three bits. A candidate is a link
+    if the shingle sets, compared exactly, have a Jaccard similarity of ``least``, so no chance likeness groups two texts. Large
+    keys are first compared with their leaders; what that leaves in different components is then compared too, so no
+    candidate is left out.
     """
     rows = checkpointed(fingerprints(docs.select(key, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), text), text, partial(vocabulary_fingerprint, n_words=n_words)))
     texts = checkpointed(rows.groupBy("h1", "h2").agg(F.min(key).alias("id"), F.first("fps").alias("fps")))
     whole = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    pairs = checkpointed(candidate_pairs(texts.select("id", F.posexplode("fps").alias("word", "fp"))))
+    one_each = whole.join(texts.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    banded = checkpointed(band_hashes(one_each, width).select("id", F.posexplode("bands").alias("band", "h")))
+    pairs = checkpointed(candidate_pairs(texts.select("id", F.posexplode("fps").alias("word", "fp"))).unionByName(band_pairs(banded)).distinct())
     links = checkpointed(similar(pairs, whole, width, least))
-    settled = connected_components(links)
-    marked = texts.join(settled, texts["id"] == settled["node"], "left").select("id", F.coalesce("component", "id").alias("component"), F.posexplode("fps").alias("word", "fp"))
-    rest = checkpointed(crossing_pairs(checkpointed(marked)).join(pairs, ["a", "b"], "left_anti"))
+    settled = checkpointed(connected_components(links))
+    component = F.coalesce("component", "id").alias("component")
+    marked = texts.join(settled, texts["id"] == settled["node"], "left").select("id", component, F.posexplode("fps").alias("word", "fp"))
+    in_bands = banded.join(settled, banded["id"] == settled["node"], "left").select("id", "band", "h", component)
+    crossing = crossing_pairs(checkpointed(marked)).unionByName(crossing_band_pairs(in_bands)).distinct()
+    rest = checkpointed(crossing.join(pairs, ["a", "b"], "left_anti"))
     components = connected_components(links.unionByName(similar(rest, whole, width, least)))
     of_text = texts.join(components, texts["id"] == components["node"], "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
     return rows.join(of_text, ["h1", "h2"]).select(key, "component_id")
