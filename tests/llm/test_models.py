@@ -62,6 +62,19 @@ def test_language(spark, docs):
     assert L.predict(docs.limit(0), model).count() == 0
 
 
+def test_unlearned_language_of_the_same_script_is_rejected(spark, docs):
+    draw = random.Random(11)
+    learn = docs.where(~held_out(F.col("doc_id")))
+    for left_out in SYLLABLES:
+        model = L.fit(learn.where(F.col("lang") != left_out))
+        texts = [(lang, n, made(draw, lang, n)) for lang in SYLLABLES for n in (3, 30, 120, 400) for _ in range(25)]
+        texts += [("letters", 120, " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9))) for _ in range(120))) for _ in range(25)]
+        out = L.predict(spark.createDataFrame(texts, "lang string, n int, text string"), model).collect()
+        far = [r["rejected"] for r in out if r["lang"] in (left_out, "letters") and r["n"] >= 30]
+        known = [r["rejected"] for r in out if r["lang"] not in (left_out, "letters")]
+        assert np.mean(far) > 0.95 and np.mean(known) < 0.02
+
+
 def test_blocks_count_as_one_text():
     import pyarrow as pa
 

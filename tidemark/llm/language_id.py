@@ -3,9 +3,10 @@
 A text becomes a vector of hashed byte n-grams (two and three bytes of its lower-cased letters, other characters as one blank
 kind), weighted by 1 + log(count) times the inverse document frequency and scaled to length 1. Each language has several
 centroids, found by spherical k-means over a sample of its labelled texts; a text gets the language of the centroid with the
-largest cosine. It is rejected if it lies much farther from that centroid than the centroid's own texts do; as a short text has
-few n-grams and so a small cosine with any centroid, the least cosine asked for grows with the square root of the number of
-n-grams up to ``FULL_GRAMS``.
+largest cosine. It is rejected if it lies about as far from that centroid as texts of other languages do: the limit is ``BETWEEN``
+of the way from the cosine that all but a hundredth of the other languages' sample texts stay under to the one that all but a
+hundredth of the language's own reach. As a short or monotonous text has few n-grams and so a small cosine with any centroid, the
+least cosine asked for grows with the square root of the number of different n-grams up to ``FULL_GRAMS``.
 
 The model is fitted on a sample of at most about ``SAMPLE_PER_LANGUAGE`` labelled texts a language, and holds
 ``CENTROIDS`` vectors of ``DIMENSIONS`` numbers a language; its size doesn't depend on the input's. Scoring is one pass over
@@ -33,9 +34,11 @@ from tidemark.llm.common import bounded_sample, runs, utf8
 DIMENSIONS = 1 << 13
 CENTROIDS = 3
 SAMPLE_PER_LANGUAGE = 400
-#: A text is rejected below this share of the cosine that all but a hundredth of the language's own sample texts reach.
-REJECT_SHARE = 0.3
-FULL_GRAMS = 2000
+#: Where the limit lies between the other languages' texts (0) and the language's own (1).
+BETWEEN = 0.2
+#: With no other language to compare with: the limit as a share of what all but a hundredth of the own texts reach.
+REJECT_SHARE = 0.6
+FULL_GRAMS = 600
 BLOCK_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -92,8 +95,8 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def expected(counts: np.ndarray) -> np.ndarray:
-    """By what share a text's number of n-grams lowers the cosine to expect."""
-    return np.sqrt(np.minimum(counts.sum(1) / FULL_GRAMS, 1))
+    """By what share a text's number of different n-grams lowers the cosine to expect."""
+    return np.sqrt(np.minimum((counts > 0).sum(1) / FULL_GRAMS, 1))
 
 
 def spherical_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -109,6 +112,13 @@ def spherical_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def limit(own: np.ndarray, others: np.ndarray) -> float:
+    """The least cosine of a full-length text, from those of the language's own sample texts and of other languages' texts."""
+    near = float(np.quantile(own, 0.01))
+    far = float(np.quantile(others, 0.99)) if len(others) else near
+    return far + BETWEEN * (near - far) if far < near else REJECT_SHARE * near
+
+
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> Model:
     """Fit on a bounded sample of the labelled texts, chosen by a hash of ``key``."""
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(key), F.col(text), F.col(lang))
@@ -132,6 +142,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     v, of, share = weighted(counts, idf), np.array([r["lang"] for r in rows]), np.maximum(expected(counts), 1e-6)
     means = {x: v[of == x].mean(0) for x in sorted(set(of.tolist()))}
+    # Texts that lie nearer to another language's mean than to their own's may be mislabelled; they tell nothing of distances.
+    by_mean = v @ np.stack([m / max(np.linalg.norm(m), 1e-12) for m in means.values()]).T if means else np.zeros((0, 1))
+    typical = np.argmax(by_mean, 1) == np.array([list(means).index(x) for x in of.tolist()], dtype=np.int64)
     languages, centroids, least = [], [], []
     for x in means:
         own, own_share = v[of == x], share[of == x]
@@ -139,10 +152,13 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         # A cluster that lies nearer to another language's mean holds mislabelled texts.
         near = np.stack([c @ m / np.linalg.norm(m) for m in means.values()])
         good = np.flatnonzero(np.argmax(near, 0) == list(means).index(x))
-        for i in good if len(good) else [0]:
+        good = good if len(good) else np.zeros(1, dtype=np.int64)
+        other = typical & (of != x)
+        asked = limit((own @ c.T).max(1) / own_share, (v[other] @ c[good].T).max(1) / share[other])
+        for i in good:
             languages.append(x)
             centroids.append(c[i])
-            least.append(REJECT_SHARE * np.quantile((own @ c.T).max(1) / own_share, 0.01))
+            least.append(asked)
     if not languages:
         return Model([], np.zeros((0, DIMENSIONS)), idf, np.zeros(0))
     return Model(languages, np.stack(centroids).astype(np.float32), idf, np.array(least))
