@@ -96,6 +96,15 @@ def test_toxicity(spark, docs):
     assert X.predict(docs.limit(0), model).count() == 0
 
 
+def test_only_equal_texts_of_one_label_are_merged(spark):
+    draw = random.Random(14)
+    words = made(draw, "aa", 400).split()
+    texts = [" ".join(draw.sample(words, 400)) for _ in range(20)]  # one word set, so one least hash of each kind
+    rows = [(f"{i:02}", t, i % 2) for i, t in enumerate(texts)] + [("90", texts[3].upper() + "!", 1), ("91", texts[3], 0)]
+    kept = X.without_copies(spark.createDataFrame(rows, "key string, text string, label int")).collect()
+    assert sorted(r["key"] for r in kept) == [*(f"{i:02}" for i in range(20)), "91"]
+
+
 def test_toxicity_without_labels(spark, docs):
     alone = X.fit(docs.where("doc_id < 0"), docs.where("doc_id < 0"))
     out = X.predict(spark.createDataFrame([("you stupid idiot, pathetic loser",), ("kalo mi",)], "text string"), alone).collect()

@@ -17,8 +17,8 @@ lexicons alone decide; repeated rows are scored each; other columns are kept, bu
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -151,17 +151,15 @@ def terms_of(text: str | None) -> set[str]:
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
-    """Of sampled texts with equal least word hashes of two kinds, as copies have, the row with the least key."""
+    """Of sampled texts of one label with the same words in the same order the row with the least key."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes = [[zlib.crc32(w.encode()) for w in set(words_of(t.as_py()))] for t in b.column("text")]
-            first = pa.array([min(h, default=-1) for h in hashes], pa.int64())
-            second = pa.array([min((x * 2654435761 & 0xFFFFFFFF for x in h), default=-1) for h in hashes], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, first, second], [*b.schema.names, "s1", "s2"])
+            same = [hashlib.blake2b(" ".join(words_of(t.as_py())).encode(), digest_size=16).digest() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same, pa.binary())], [*b.schema.names, "same"])
 
-    marked = sample.select("key", "text", "label").mapInArrow(signed, "key string, text string, label int, s1 long, s2 long")
-    return marked.groupBy("s1", "s2").agg(F.min(F.struct("key", "text", "label")).alias("r")).select("r.*")
+    marked = sample.select("key", "text", "label").mapInArrow(signed, "key string, text string, label int, same binary")
+    return marked.groupBy("same", "label").agg(F.min(F.struct("key", "text")).alias("r")).select("r.key", "r.text", "label")
 
 
 def induced_lexicon(sample: DataFrame) -> list[str]:
