@@ -13,14 +13,13 @@ A key that many classes share (over ``DENSE``) is not joined; it is split: of it
 no difference, so the key with each part added finds every pair again. This goes on until no key is dense, or so few bits remain
 that the number of classes with the key is bounded by them. Nothing is capped or dropped.
 
-Defined results: fingerprint 0 for null and empty texts, linked like any other; repeated rows get the same result each; extra
-columns are ignored; an empty table gives no rows.
+Defined results: fingerprint 0 for null and empty texts, linked like any other; repeated rows get the same result each; rows with
+a null id are linked like others and get the least id there is; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -170,15 +169,13 @@ def linked_pairs(classes: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, component_id): component_id is the least key reachable by links, itself included."""
+    """(key, fp, component_id): component_id is the least key reachable by links, itself included (null if no row has a key)."""
     rows = checkpointed(fingerprints(docs.select(key, text), text, fingerprint).select(key, F.get("fps", F.lit(0)).alias("fp")))
     classes = rows.groupBy("fp").agg(F.min(key).alias("rep"))
-    pairs = linked_pairs(classes.select("fp"))
-    named = classes.select("fp", "rep")
-    edges = pairs.join(named.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    components = connected_components(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    of_class = named.join(components, named["rep"] == components["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(of_class, "fp").select(key, "fp", "component_id")
+    components = connected_components(linked_pairs(classes.select("fp")))
+    named = classes.join(components, classes["fp"] == components["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return rows.join(named.join(least, "component").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
 def as_hex(fp: Column) -> Column:
@@ -203,18 +200,20 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("s", T.ArrayType(T.LongType()))]))
 
 
-def band_hashes(docs: DataFrame, width: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """(id, text) to (id, bands): for each band a hash of the least values that ``rows`` orders give of the text's shingles."""
+def marks(texts: DataFrame, n_words: int, width: int, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """``texts`` without ``text``, with fps (fingerprints of the word set) and bands (for each band a hash of the least values that
+    ``rows`` orders give of the text's shingles)."""
     orders = np.random.default_rng(42).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def one(text: str | None) -> np.ndarray:
-        return _banded(_shingles(text, width), orders, bands)
+    names = [c for c in texts.columns if c != "text"]
+    longs = T.ArrayType(T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([one(t.as_py()) for t in b.column("text")], pa.list_(pa.int64()))], ["id", "bands"])
+            words = [np.array(vocabulary_fingerprint(t.as_py(), n_words), dtype=np.uint64).view(np.int64) for t in b.column("text")]
+            banded = [_banded(_shingles(t.as_py(), width), orders, bands) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(words, pa.list_(pa.int64())), pa.array(banded, pa.list_(pa.int64()))], [*names, "fps", "bands"])
 
-    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("bands", T.ArrayType(T.LongType()))]))
+    return texts.mapInArrow(run, T.StructType([*(texts.schema[c] for c in names), T.StructField("fps", longs), T.StructField("bands", longs)]))
 
 
 def _banded(shingles: np.ndarray, orders: np.ndarray, bands: int) -> np.ndarray:
@@ -233,23 +232,6 @@ def band_pairs(banded: DataFrame) -> DataFrame:
     return banded.join(first, ["band", "h"]).where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def crossing_band_pairs(banded: DataFrame) -> DataFrame:
-    """(a, b), a > b: what ``band_pairs`` left out, for rows (id, band, h, component) with the components of the links so far.
-
-    A hash whose rows are all in one component is settled. In the others every row outside the largest component meets all rows
-    of other components.
-    """
-    on = ["band", "h"]
-    parts = banded.groupBy(*on, "component").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy(*on).agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1 and n > 2")
-    here = banded.join(open_.select(*on, "main"), on)
-    left = here.where(F.col("component") != F.col("main")).select(*on, F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = here.select(*on, "main", F.col("id").alias("b"), F.col("component").alias("cb"))
-    once = (F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))
-    met = left.join(right, on).where((F.col("ca") != F.col("cb")) & once)
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
 def candidate_pairs(marked: DataFrame, few: int = 16) -> DataFrame:
     """(a, b), a > b: ids of rows (id, word, fp) that may be near-equal, without all pairs of a large group.
 
@@ -271,53 +253,92 @@ def candidate_pairs(marked: DataFrame, few: int = 16) -> DataFrame:
     return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def crossing_pairs(marked: DataFrame, few: int = 16, dense: int = DENSE) -> DataFrame:
-    """(a, b), a > b: what ``candidate_pairs`` left out, for rows (id, word, fp, component) with the components of its links.
+def undecided(marked: DataFrame, banded: DataFrame, few: int = 16) -> DataFrame:
+    """(id, component): the rows of keys and bands that the first comparisons neither settled nor compared pair by pair.
 
-    All ids of different components with fingerprints of at most three different bits that share a key with more than ``few``
-    fingerprints, or with equal ones. A key with one component is settled and goes. In the others every row outside the
-    key's largest component meets all rows, so a large group costs its size times the strays. Keys with more than ``dense``
-    squared comparisons are split as in ``linked_pairs``.
+    For rows (id, component, word, fp) and (id, component, band, h) with the components of the links so far. A key or band whose
+    rows are all in one component is settled; one of at most ``few`` different fingerprints has been compared all with all.
     """
     on = ["word", "start", "mask", "bits"]
     known = marked.groupBy("word", "fp").agg(F.min("id").alias("first"))
-    rows = marked.join(known, ["word", "fp"]).select("word", "fp", "id", "component", (F.col("id") == F.col("first")).cast("long").alias("leads"))
-    keys = _keys(rows, _first_masks())
-    free = 64 - bin(_first_masks()[0][1]).count("1")
-    pairs = None
-    while True:
-        parts = keys.groupBy(*on, "component").agg(F.count("*").alias("n"), F.sum("leads").alias("fps"))
-        mixed = parts.groupBy(*on).agg(F.sum("n").alias("n"), F.sum("fps").alias("fps"), F.count("*").alias("parts"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
-        open_ = mixed.where(F.col("parts") > 1)
-        if pairs is None:
-            open_ = open_.where((F.col("n") > few) | (F.col("n") > F.col("fps")))
-        open_ = checkpointed(open_.select(*on, "main", ((F.col("n") - F.col("most")) * F.col("n") > dense * dense).alias("crowded")))
-        # The masks that crowded keys have: a few hundred at most, whatever the data.
-        masks = [r["mask"] % (1 << 64) for r in open_.where("crowded").select("mask").distinct().collect()] if free > FREE_BITS else []
-        here = keys.join(open_.where("not crowded") if masks else open_, on)
-        left = here.where(F.col("component") != F.col("main")).select(*on, F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("component").alias("ca"))
-        right = here.select(*on, "main", F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("component").alias("cb"))
-        once = (F.col("cb") == F.col("main")) | (F.col("a") > F.col("b"))
-        met = left.join(right, on).where((F.col("ca") != F.col("cb")) & once & _close(F.col("fa"), F.col("fb"), F.col("start")))
-        found = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if not masks:
-            return pairs.distinct()
-        finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in _split(m)]))])
-        split = keys.join(open_.where("crowded").select(*on), on, "left_semi").select("word", "fp", "id", "component", "leads", "start", F.explode(finer[F.col("mask")]).alias("mask"))
-        keys = checkpointed(split.select("*", F.col("fp").bitwiseAND(F.col("mask")).alias("bits")))
-        free = max(64 - bin(c).count("1") for m in masks for c in _split(m))
-
-
-def similar(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose texts in ``docs`` (id, text) have shingle sets with a Jaccard similarity of ``least``."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = checkpointed(shingle_sets(docs.join(asked, "id", "left_semi").dropDuplicates(["id"]), width))
+    keys = _keys(marked.join(known, ["word", "fp"]).select("word", "fp", "id", "component", (F.col("id") == F.col("first")).cast("long").alias("leads")), _first_masks())
+    n, fps = F.count("*"), F.sum("leads")
+    open_keys = keys.groupBy(*on).agg(n.alias("n"), fps.alias("fps"), F.min("component").alias("c0"), F.max("component").alias("c1")).where((F.col("c0") != F.col("c1")) & ((F.col("n") > few) | (F.col("n") > F.col("fps"))))
+    open_bands = banded.groupBy("band", "h").agg(n.alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1 and n > 2")
+    return keys.join(open_keys.select(*on), on, "left_semi").select("id", "component").unionByName(banded.join(open_bands.select("band", "h"), ["band", "h"], "left_semi").select("id", "component")).distinct()
+
+
+def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """(a, b), a > b: an exact filter for rows (id, component, s): no pair of two components with a Jaccard similarity of ``least`` is lost.
+
+    All shingles have one order, rare ones first. With n shingles, a set must have one of its first n - least * n + 1 in common
+    with any similar set; of two similar sets the smaller one must have it even in its first n - 2 * least / (1 + least) * n + 1, and
+    what follows the first common shingle must be long enough in both. So a passage that many texts share, or the body of a
+    large group of near copies, makes no pairs by itself. The smaller set stands in one bucket of its size, the larger one asks
+    the buckets of the sizes that its place in the order leaves possible. A shingle whose rows are of one component is settled;
+    with the others, rows of its largest component don't meet each other.
+    """
+    n, room = F.col("n"), 1e-9
+    alike = least / (1 + least)
+    tokens = sets.select("id", "component", F.size("s").alias("n"), F.explode("s").alias("t"))
+    shared = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = tokens.join(shared, "t").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("r"))
+    # Shingles of one text only come first in the order and meet nothing: they count as places.
+    placed = ordered.select("id", "component", "n", (n - F.size("r")).alias("alone"), F.posexplode("r").alias("k", "x")).select("id", "component", "n", (F.col("alone") + F.col("k")).alias("before"), "x.t")
+    # ``before`` shingles precede this one; the larger set's partner has at most ``top`` shingles.
+    top = F.least(n, F.floor(((1 - alike) * n - F.col("before") + room) / alike))
+    bucket = lambda size: F.floor(F.log(F.greatest(size, F.lit(1))) * 50).cast("int")
+    probes = placed.withColumn("top", top).where(F.col("top") >= least * n - room)
+    probes = checkpointed(probes)
+    parts = probes.groupBy("t", "component").agg(F.count("*").alias("c"))
+    open_ = parts.groupBy("t").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
+    here = probes.join(open_.select("t", "main"), "t")
+    small = here.where(n - F.col("before") >= 2 * alike * n - room).select("t", bucket(n).alias("size"), "main", F.col("id").alias("a"), F.col("component").alias("ca"), n.alias("na"), F.col("before").alias("pa"))
+    large = here.select("t", F.explode(F.sequence(bucket(F.ceil(least * n - room)), bucket(F.col("top")))).alias("size"), F.col("id").alias("b"), F.col("component").alias("cb"), n.alias("nb"), F.col("before").alias("pb"), (F.col("component") == F.col("main")).alias("in_main"))
+    fits = (F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")) & (F.col("na") >= least * F.col("nb") - room) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= alike * (F.col("na") + F.col("nb")) - room)
+    on = ["t", "size"]
+    strays = small.where("ca <> main").join(large, on).where(fits)
+    of_main = small.where("ca = main").join(large.where("not in_main"), on).where(fits)
+    return strays.select("a", "b").unionByName(of_main.select("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose shingle sets (id, s) have a Jaccard similarity of ``least``."""
     compared = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return compared.where(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _hashes(text: str) -> tuple[Column, Column]:
+    """128 bits that tell texts apart; null is a text of its own."""
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")
+
+
+def _text_groups(docs: DataFrame, text: str, n_words: int, width: int, least: float) -> DataFrame:
+    """(h1, h2, g): texts by their hashes with the number of their group of near-duplicates."""
+    whole = docs.select(*_hashes(text), F.col(text).alias("text"))
+    # The checkpoint fixes the numbers: nothing behind it makes them again.
+    texts = checkpointed(whole.groupBy("h1", "h2").agg(F.first("text").alias("text")).select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "text"))
+    names = texts.select("id", "h1", "h2")
+    marked = checkpointed(marks(texts.select("id", "text"), n_words, width))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return checkpointed(shingle_sets(texts.select("id", "text").join(ids, "id", "left_semi"), width))
+
+    fps = marked.select("id", F.posexplode("fps").alias("word", "fp"))
+    bands = marked.select("id", F.posexplode("bands").alias("band", "h"))
+    pairs = checkpointed(candidate_pairs(fps).unionByName(band_pairs(bands)).distinct())
+    links = checkpointed(similar(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), least))
+    settled = checkpointed(connected_components(links))
+    component = F.coalesce("component", "id").alias("component")
+    with_component = lambda rows: rows.join(settled, rows["id"] == settled["node"], "left").select(*rows.columns, component)
+    left = checkpointed(undecided(checkpointed(with_component(fps)), with_component(bands)))
+    sets = checkpointed(sets_of(left.select("id")).join(left, "id"))
+    more = similar(checkpointed(prefix_pairs(sets, least)), sets, least)
+    components = connected_components(links.unionByName(more))
+    return names.join(components, F.col("id") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "id").alias("g"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 6, width: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component_id) of documents grouped by equal texts and by links of near-equal texts.
 
@@ -325,23 +346,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     candidates if one of the fingerprints differs in at most three bits. And ``BANDS`` bands of ``BAND_ROWS`` least hashes of the
     set of ``width``-word shingles: two texts are candidates if a band is equal, which depends on the Jaccard similarity alone
     and so finds replaced, added and cut passages, where new words move SimHash by more than three bits. A candidate is a link
-    if the shingle sets, compared exactly, have a Jaccard similarity of ``least``, so no chance likeness groups two texts. Large
-    keys are first compared with their leaders; what that leaves in different components is then compared too, so no
-    candidate is left out.
+    if the shingle sets, compared exactly, have a Jaccard similarity of ``least``, so no chance likeness groups two texts. In large
+    keys texts are first compared with leaders; the rows of keys that this leaves in different components then go through
+    an exact prefix filter (``prefix_pairs``), so no link among them is left out.
+
+    component_id is the least key of the group, null if no row of it has one; rows of one key with different texts are told
+    apart by their texts, so one key may have several components; null and empty texts, and all without a word, are one group.
     """
-    rows = checkpointed(fingerprints(docs.select(key, F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"), text), text, partial(vocabulary_fingerprint, n_words=n_words)))
-    texts = checkpointed(rows.groupBy("h1", "h2").agg(F.min(key).alias("id"), F.first("fps").alias("fps")))
-    whole = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    one_each = whole.join(texts.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    banded = checkpointed(band_hashes(one_each, width).select("id", F.posexplode("bands").alias("band", "h")))
-    pairs = checkpointed(candidate_pairs(texts.select("id", F.posexplode("fps").alias("word", "fp"))).unionByName(band_pairs(banded)).distinct())
-    links = checkpointed(similar(pairs, whole, width, least))
-    settled = checkpointed(connected_components(links))
-    component = F.coalesce("component", "id").alias("component")
-    marked = texts.join(settled, texts["id"] == settled["node"], "left").select("id", component, F.posexplode("fps").alias("word", "fp"))
-    in_bands = banded.join(settled, banded["id"] == settled["node"], "left").select("id", "band", "h", component)
-    crossing = crossing_pairs(checkpointed(marked)).unionByName(crossing_band_pairs(in_bands)).distinct()
-    rest = checkpointed(crossing.join(pairs, ["a", "b"], "left_anti"))
-    components = connected_components(links.unionByName(similar(rest, whole, width, least)))
-    of_text = texts.join(components, texts["id"] == components["node"], "left").select("h1", "h2", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(of_text, ["h1", "h2"]).select(key, "component_id")
+    rows = docs.select(key, *_hashes(text)).join(_text_groups(docs, text, n_words, width, least), ["h1", "h2"])
+    rows = checkpointed(rows.select(key, "g"))
+    return rows.join(rows.groupBy("g").agg(F.min(key).alias("component_id")), "g").select(key, "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n_words: int = 6, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near-duplicates the one with the least key.
+
+    A null key comes last, ties between different texts are broken by their hashes. Rows of one key and one text are one
+    document, and one of them stays; rows of one key with texts that aren't near-equal all stay.
+    """
+    names = docs.columns
+    groups = _text_groups(docs, text, n_words, width, least)
+    place = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), "h1", "h2")
+    first = docs.select(key, *_hashes(text)).join(groups, ["h1", "h2"]).groupBy("g").agg(F.min(place).alias("p"))
+    first = first.select(F.col("p.key").alias("_key"), F.col("p.h1").alias("_h1"), F.col("p.h2").alias("_h2"))
+    h1, h2 = _hashes(text)
+    kept = docs.join(first, F.col(key).eqNullSafe(F.col("_key")) & (h1 == F.col("_h1")) & (h2 == F.col("_h2")))
+    return kept.dropDuplicates(["_key", "_h1", "_h2"]).select(*names)
