@@ -37,17 +37,38 @@ def run(spark, rows, **kw):
     return sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in out), key=str)
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize("block_bytes", [7 * 32, E.BLOCK_BYTES])
+def test_against_brute_force(spark, block_bytes):
     draw = np.random.default_rng(4)
     rows = [(i, draw.normal(size=4).tolist()) for i in range(120)]  # four dimensions: long chains of links
     centre = draw.normal(size=4)
     rows += [(200 + i, (centre + draw.normal(size=4) * 0.02).tolist()) for i in range(60)]
     rows += [(300 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(5)] + [(310, [2.0, 4.0, 6.0, 8.0]), (311, [1e200, 2e200, 3e200, 4e200])]
     rows += [(400, None), (401, []), (402, [0.0] * 4), (403, [float("nan"), 1.0, 1.0, 1.0]), (404, [float("inf"), 1.0, 1.0, 1.0]), (405, [1.0, None, 1.0, 1.0]), (406, [1.0, 2.0]), (407, [2.0, 4.0]), (None, [1.0, 2.0, 3.0, 4.0])]
-    assert run(spark, [(*r, 1) for r in rows], block=block, most_pivots=9) == brute(rows)
+    assert run(spark, [(*r, 1) for r in rows], block_bytes=block_bytes) == brute(rows)
 
 
 def test_repeated_rows_and_empty(spark):
     assert run(spark, [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1)]) == [(1, 1, 1), (1, 1, 1), (2, 0, 2)]
     assert run(spark, []) == []
+
+
+def test_clusters_meet_in_few_regions(spark):
+    """500 vectors of 64 dimensions in 20 clusters: several cells, most pairs left out, the links those of brute force."""
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(20, 64))
+    rows = [(i, (centres[i % 20] + draw.normal(size=64) * 0.2).tolist(), 1) for i in range(500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = E.pruned(frame).first()
+    assert found["classes"] == 500 and found["share"] > 0.5 and found["moved"] < 500 * 2 * E.BLOCKS
+    assert run(spark, rows) == brute([r[:2] for r in rows])
+
+
+def test_rows_moved_grow_as_the_vectors(spark):
+    """Without clusters nothing is pruned, and five times the vectors move five times the rows."""
+    draw = np.random.default_rng(6)
+    moved = []
+    for n in (400, 2000):
+        frame = spark.createDataFrame([(i, x) for i, x in enumerate(draw.normal(size=(n, 64)).tolist())], "vec_id long, embedding array<double>")
+        moved.append(E.pruned(frame).first()["moved"])
+    assert moved[1] <= 6.5 * moved[0]

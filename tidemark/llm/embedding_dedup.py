@@ -1,19 +1,23 @@
 """Embedding near-duplicates by an exact metric range join.
 
-Cosine c between unit vectors is Euclidean distance sqrt(2 - 2c), a metric. Pivots taken from the vectors cut space into cells:
-a vector's home is the cell of its nearest pivot. By the triangle inequality a vector v can be within r of a member of cell j
-only if d(v, p_j) - d(v, p_home) <= 2r and d(v, p_j) <= R_j + r, where R_j is the largest distance of a member of j from its
-pivot; in Euclidean space the first is sharpened to v's distance from the plane halfway between the two pivots, which must not
-exceed r. v is sent to just those cells of a lower number, so each pair of vectors meets in one cell, and cells are joined
-independently. Vectors that are equal in every component are one class and travel once.
+Cosine c between unit vectors is Euclidean distance sqrt(2 - 2c), a metric. Pivots drawn from the vectors, about sqrt(n) of them,
+cut space into cells: a vector's home is the cell of its nearest pivot. By the triangle inequality a vector v can be within r of a
+member of cell j only if d(v, p_j) - d(v, p_home) <= 2r and d(v, p_j) <= R_j + r, where R_j is the largest distance of a member
+of j from its pivot; in Euclidean space the first is sharpened to v's distance from the plane halfway between the two pivots,
+which must not exceed r.
 
-A cell is cut by a hash into home blocks and blocks of visitors of ``BLOCK`` vectors; each pair of blocks is one group, compared
-by blocked matrix products in double precision. So a hot cell becomes many tasks of one size. No pair of vectors is ever
-emitted: a group gives each vector's number of links and a spanning forest of its links.
+Neighbouring cells are packed into regions of at most ``block`` vectors, so that a vector travels to a region once, however
+many of its cells it may reach: v is sent to just those regions of a lower number that hold such a cell, each pair of vectors
+meets in one region, and regions are joined independently. Vectors that are equal in every component are one class and travel once.
 
-What the driver holds is bounded: at most ``MOST_PIVOTS`` pivots, and for each of them two counts and a radius. In many dimensions
-and without clusters the bounds prune little (every vector is about as far from every pivot) and the join tends to compare all
-blocks with all, in blocks; the result is exact either way.
+A region's vectors and its visitors are cut by a hash into blocks; each pair of blocks is one group, compared by blocked matrix
+products in double precision. So a hot cell becomes many tasks of one size. No pair of vectors is ever emitted: a group gives
+each vector's number of links and a spanning forest of its links.
+
+A block holds an eighth of the vectors, and at most ``BLOCK_BYTES``: where the bounds prune nothing, a vector is copied to about
+as many groups as there are blocks, eight until n vectors outgrow eight blocks' bytes (524,288 of 64 dimensions), then n times their bytes over
+``BLOCK_BYTES``. The driver holds the pivots, and for each of them two counts and a radius: they grow as the root of n (51 MB of
+pivots at 10 billion vectors of 64 dimensions). ``pruned`` tells what share of all pairs the bounds leave out.
 
 Defined results: null and zero vectors, and those with null or non-finite components, link with nothing; nor does a vector
 link with one of another length; a null id has no links and a null component; repeated rows are vectors of their own and link
@@ -23,6 +27,7 @@ with each other (rows of one id with different vectors show the most links and t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +38,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import checkpointed
 from tidemark.llm.components import connected_components
 
-BLOCK = 8192
-MOST_PIVOTS = 256
-ROWS_AT_ONCE = 512
+#: Bytes of doubles in a block, and into how many blocks vectors are cut at least (of ``LEAST_BLOCK`` vectors or more).
+BLOCK_BYTES = 32 << 20
+BLOCKS, LEAST_BLOCK = 8, 64
+ROWS_AT_ONCE, COLUMNS_AT_ONCE, CELLS_AT_ONCE = 512, 8192, 1 << 21
 #: Distances are compared with so much room for rounding; links themselves are compared as they are.
 ROOM = 1e-9
 
@@ -46,9 +52,22 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def _codes(values: np.ndarray) -> pa.Array:
+    """Each row's doubles as bytes."""
+    rows, dims = values.shape
+    return pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(np.arange(rows + 1, dtype=np.int64) * dims * 8), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
 def _matrix(codes: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     """Unit vectors from the bytes of doubles."""
-    return unit(np.frombuffer(b"".join(codes.to_pylist()), dtype=np.float64).reshape(-1, dims))
+    chunks = codes.chunks if isinstance(codes, pa.ChunkedArray) else [codes]
+    parts = [np.zeros((0, dims))]
+    for c in chunks:
+        _, offsets, data = c.cast(pa.large_binary()).buffers()
+        at = np.frombuffer(offsets, dtype=np.int64)[c.offset : c.offset + len(c) + 1]
+        if len(c):
+            parts.append(np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view(np.float64).reshape(-1, dims))
+    return unit(np.concatenate(parts))
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -56,16 +75,17 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, codes, dims = [], [], []
-            for i, v in zip(b.column("id").to_pylist(), b.column("v"), strict=True):
-                if i is None or not v.is_valid or not len(v.values) or v.values.null_count:
+            lengths = pc.fill_null(pc.list_value_length(b.column("v")), 0)
+            known = pc.is_valid(b.column("id"))
+            for dims in pc.unique(lengths).to_pylist():
+                part = b.filter(pc.and_(known, pc.equal(lengths, dims)))
+                if not dims or not part.num_rows:
                     continue
-                x = np.asarray(v.values, dtype=np.float64)
-                if np.isfinite(x).all() and x.any():
-                    ids.append(i)
-                    codes.append((x + 0.0).tobytes())
-                    dims.append(len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.binary()), pa.array(dims, pa.int32())], ["id", "code", "dims"])
+                # A null component becomes NaN here; adding 0 makes one of the two zeros.
+                x = part.column("v").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dims) + 0.0
+                good = np.isfinite(x).all(1) & x.any(1)
+                n = int(good.sum())
+                yield pa.RecordBatch.from_arrays([part.column("id").filter(pa.array(good)), _codes(x[good]), pa.array(np.full(n, dims, np.int32))], ["id", "code", "dims"])
 
     return vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).mapInArrow(run, "id long, code binary, dims int")
 
@@ -75,7 +95,6 @@ class Cells:
 
     def __init__(self, pivots: np.ndarray, radius: float):
         self.pivots, self.radius = pivots, radius
-        self.apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
 
     def distances(self, v: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(2 - 2 * v @ self.pivots.T, 0))
@@ -83,12 +102,37 @@ class Cells:
     def homes(self, d: np.ndarray) -> np.ndarray:
         return np.argmin(d, 1)
 
-    def visited(self, d: np.ndarray, home: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """Boolean matrix: cells of a lower number that may hold a vector within the radius. ``reach``: each cell's R_j, -inf if empty."""
+    def reached(self, d: np.ndarray, home: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Boolean matrix: cells that may hold a vector within the radius. ``reach``: each cell's R_j, -inf if empty."""
         own = d[np.arange(len(d)), home][:, None]
-        plane = (d * d - own * own) / np.maximum(2 * self.apart[home], 1e-12)
-        near = (d - own <= 2 * self.radius + ROOM) & (plane <= self.radius + ROOM) & (d <= reach + self.radius + ROOM)
-        return near & (np.arange(d.shape[1]) < home[:, None])
+        plane = (d * d - own * own) / np.maximum(2 * self.distances(self.pivots[home]), 1e-12)
+        return (d - own <= 2 * self.radius + ROOM) & (plane <= self.radius + ROOM) & (d <= reach + self.radius + ROOM)
+
+    def at_once(self) -> int:
+        """How many vectors to look at together."""
+        return max(1, CELLS_AT_ONCE // len(self.pivots))
+
+
+@dataclass
+class Regions:
+    """Cells packed into regions; cells and regions are numbered through all vector lengths."""
+
+    of_cell: np.ndarray
+    members: np.ndarray  # vectors at home in each region
+    block: np.ndarray  # vectors in a block, for each region
+
+
+def packed(cells: Cells, members: np.ndarray, block: int) -> np.ndarray:
+    """A region number for each cell: cells near the same pivot follow each other, and a region is full at ``block`` vectors."""
+    d = cells.distances(cells.pivots[: BLOCKS * 4])
+    order = np.lexsort((d.min(0), np.argmin(d, 0)))
+    out, region, filled = np.zeros(len(members), dtype=np.int64), 0, 0
+    for j in order.tolist():
+        if filled and filled + members[j] > block:
+            region, filled = region + 1, 0
+        out[j] = region
+        filled += int(members[j])
+    return out
 
 
 class Forest:
@@ -132,27 +176,29 @@ def _join_linked(mask: np.ndarray, left: np.ndarray, right: np.ndarray, forest:
 
 
 def compare(group: pa.Table, least: float) -> pa.Table:
-    """One home block with one block of mates (of the same cell) and visitors: links of each vector, and a spanning forest."""
+    """One home block with one block of mates (of the same region) and visitors: links of each vector, and a spanning forest."""
     dims = group.column("dims")[0].as_py()
     role = np.asarray(group.column("role").combine_chunks())  # 0: home block, 1: mate, 2: visitor
     ids, copies = (np.asarray(group.column(c).combine_chunks()) for c in ("id", "copies"))
     v = _matrix(group.column("code"), dims)
-    home, other = np.flatnonzero(role == 0), np.flatnonzero(role > 0)
+    home, others = np.flatnonzero(role == 0), np.flatnonzero(role > 0)
     degree = np.zeros(len(ids), dtype=np.int64)
     forest = Forest(len(ids))
-    visitor = role[other] == 2
-    right = v[other].T.copy()
-    for lo in range(0, len(home), ROWS_AT_ONCE):
-        block = home[lo : lo + ROWS_AT_ONCE]
-        mask = v[block] @ right >= least
-        rows, columns = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
-        if not len(rows):
-            continue
-        sub = mask[np.ix_(rows, columns)].astype(np.float64)
-        degree[block[rows]] += np.rint(sub @ copies[other[columns]]).astype(np.int64)
-        degree[other[columns]] += np.where(visitor[columns], np.rint(copies[block[rows]] @ sub), 0).astype(np.int64)
-        _join_linked(mask, block, other, forest)
-    # A vector of the cell has one position as home and one as mate: both mean the same class, and are joined by their own link.
+    for first in range(0, len(others), COLUMNS_AT_ONCE):
+        other = others[first : first + COLUMNS_AT_ONCE]
+        visitor = role[other] == 2
+        right = v[other].T.copy()
+        for lo in range(0, len(home), ROWS_AT_ONCE):
+            block = home[lo : lo + ROWS_AT_ONCE]
+            mask = v[block] @ right >= least
+            rows, columns = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+            if not len(rows):
+                continue
+            sub = mask[np.ix_(rows, columns)].astype(np.float64)
+            degree[block[rows]] += np.rint(sub @ copies[other[columns]]).astype(np.int64)
+            degree[other[columns]] += np.where(visitor[columns], np.rint(copies[block[rows]] @ sub), 0).astype(np.int64)
+            _join_linked(mask, block, other, forest)
+    # A vector of the region has one position as home and one as mate: both mean the same class, and are joined by their own link.
     root = np.array([forest.root(i) for i in range(len(ids))], dtype=np.int64)
     tied = np.flatnonzero(ids != ids[root])
     some = np.flatnonzero(degree)
@@ -165,61 +211,88 @@ def compare(group: pa.Table, least: float) -> pa.Table:
     )
 
 
-def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
-    """(key, n_links, component_id, kept) of every vector: links are pairs with a cosine of ``least`` or more."""
+def blocks(classes: DataFrame, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(region, h, o, role, id, copies, dims, code): each class of (dims, code, id, copies) in every group that it is compared in."""
     radius = float(np.sqrt(2 - 2 * least))
-    rows = usable(vectors, key, vector)
-    classes = checkpointed(rows.groupBy("dims", "code").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     sizes = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
-    cells = {}
+    cells, block = {}, {}
     for dims, n in sizes.items():
-        chosen = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("id"), "id").limit(min(most_pivots, -(-n // block))).select("code").collect()
+        chosen = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("id"), "id").limit(int(np.ceil(np.sqrt(n)))).select("code").collect()
         cells[dims] = Cells(unit(np.stack([np.frombuffer(r["code"], dtype=np.float64) for r in chosen])), radius)
-    first = {dims: sum(len(cells[x].pivots) for x in sorted(cells) if x < dims) for dims in cells}  # cells are numbered through all lengths
+        block[dims] = max(1, min(max(LEAST_BLOCK, -(-n // BLOCKS)), block_bytes // (8 * dims)))
+    first = {dims: sum(len(cells[x].pivots) for x in sorted(cells) if x < dims) for dims in cells}
 
-    def by_dims(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    def by_dims(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
         for dims in pc.unique(b.column("dims")).to_pylist():
-            part = b.filter(pc.equal(b.column("dims"), dims))
-            yield dims, part, cells[dims].distances(_matrix(part.column("code"), dims))
+            part, step = b.filter(pc.equal(b.column("dims"), dims)), cells[dims].at_once()
+            for lo in range(0, part.num_rows, step):
+                some = part.slice(lo, step)
+                d = cells[dims].distances(_matrix(some.column("code"), dims))
+                yield dims, some, d, cells[dims].homes(d)
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dims, _, d in by_dims(b):
-                home = cells[dims].homes(d)
+            for dims, _, d, home in by_dims(b):
                 yield pa.RecordBatch.from_arrays([pa.array((home + first[dims]).astype(np.int32)), pa.array(d.min(1))], ["cell", "far"])
 
     n_cells = sum(len(c.pivots) for c in cells.values())
     reach, members = np.full(n_cells, -np.inf), np.zeros(n_cells, dtype=np.int64)
     for r in classes.mapInArrow(at_home, "cell int, far double").groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
         reach[r["cell"]], members[r["cell"]] = r["far"], r["n"]
+    of_cell, room = np.zeros(n_cells, dtype=np.int64), []
+    for dims in sorted(cells):
+        own = slice(first[dims], first[dims] + len(cells[dims].pivots))
+        of_cell[own] = packed(cells[dims], members[own], block[dims]) + len(room)
+        room += [block[dims]] * (int(of_cell[own].max()) + 1 - len(room))
+    regions = Regions(of_cell, np.bincount(of_cell, weights=members, minlength=len(room)).astype(np.int64), np.array(room, dtype=np.int64))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dims, part, d in by_dims(b):
-                home = cells[dims].homes(d)
-                visits = cells[dims].visited(d, home, reach[first[dims] : first[dims] + d.shape[1]])
-                lists = [(np.flatnonzero(x) + first[dims]).astype(np.int32) for x in visits]
+            for dims, part, d, home in by_dims(b):
+                own = slice(first[dims], first[dims] + d.shape[1])
+                region = regions.of_cell[own]
+                reached = cells[dims].reached(d, home, reach[own]) & (region < region[home][:, None])
+                lists = [np.unique(region[x]).astype(np.int32) for x in reached]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("dims", "code", "id", "copies")), pa.array((home + first[dims]).astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))], ["dims", "code", "id", "copies", "home", "visits"]
+                    [*(part.column(c) for c in ("dims", "code", "id", "copies")), pa.array(region[home].astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))], ["dims", "code", "id", "copies", "home", "visits"]
                 )
 
     placed = classes.mapInArrow(sent, "dims int, code binary, id long, copies long, home int, visits array<int>")
-    visitors = np.zeros(n_cells, dtype=np.int64)
-    for r in placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect():
-        visitors[r["cell"]] = r["n"]
-    home_blocks = F.array(*[F.lit(int(max(1, -(-n // block)))) for n in members]) if n_cells else F.array(F.lit(1))
-    other_blocks = F.array(*[F.lit(int(max(1, -(-n // block)))) for n in members + visitors]) if n_cells else F.array(F.lit(1))
+    visitors = np.zeros(len(room), dtype=np.int64)
+    for r in placed.select(F.explode("visits").alias("region")).groupBy("region").agg(F.count("*").alias("n")).collect():
+        visitors[r["region"]] = r["n"]
+    in_blocks = lambda n: F.array(*[F.lit(int(max(1, -(-a // b)))) for a, b in zip(n, regions.block, strict=True)]) if len(room) else F.array(F.lit(1))
     dealt = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
-    as_role = lambda cell, role: F.struct(cell.alias("cell"), F.lit(role).alias("role"))
+    as_role = lambda region, role: F.struct(region.alias("region"), F.lit(role).alias("role"))
     roles = F.concat(F.array(as_role(F.col("home"), 0), as_role(F.col("home"), 1)), F.transform("visits", lambda c: as_role(c, 2)))
-    one = placed.select("dims", "code", "id", "copies", F.explode(roles).alias("r")).select("*", "r.cell", "r.role", F.get(home_blocks, F.col("r.cell")).alias("hs"), F.get(other_blocks, F.col("r.cell")).alias("os"))
+    one = placed.select("dims", "code", "id", "copies", F.explode(roles).alias("r")).select("*", "r.region", "r.role", F.get(in_blocks(regions.members), F.col("r.region")).alias("hs"), F.get(in_blocks(regions.members + visitors), F.col("r.region")).alias("os"))
     whole = lambda n: F.sequence(F.lit(0), n - 1)
-    met = (
+    return (
         one.withColumn("h", F.explode(F.when(F.col("role") == 0, F.array(dealt % F.col("hs"))).otherwise(whole(F.col("hs")))))
         .withColumn("o", F.explode(F.when(F.col("role") == 0, whole(F.col("os"))).otherwise(F.array(dealt % F.col("os")))))
-        .select("cell", "h", "o", "role", "id", "copies", "dims", "code")
+        .select("region", "h", "o", "role", "id", "copies", "dims", "code")
     )
-    found = checkpointed(met.groupBy("cell", "h", "o").applyInArrow(lambda t: compare(t, least), "a long, b long, n long"))
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(dims, code, id, copies): equal vectors as one."""
+    return checkpointed(rows.groupBy("dims", "code").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+
+
+def pruned(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(classes, moved, compared, share): different vectors, rows sent to groups, pairs compared, and the share of all pairs left out."""
+    classes = classes_of(usable(vectors, key, vector))
+    sized = blocks(classes, least, block_bytes).groupBy("region", "h", "o").agg(F.count_if(F.col("role") == 0).alias("homes"), F.count_if(F.col("role") == 1).alias("mates"), F.count_if(F.col("role") == 2).alias("visitors"))
+    # Two of one region are compared both ways, a visitor once.
+    done = sized.agg(F.sum(F.col("homes") + F.col("mates") + F.col("visitors")).alias("moved"), F.sum(F.col("homes") * (F.col("mates") / 2 + F.col("visitors"))).alias("compared"))
+    return done.crossJoin(classes.agg(F.count("*").alias("classes"))).select("classes", "moved", F.col("compared").cast("long").alias("compared"), (1 - F.col("compared") / (F.col("classes") * F.col("classes") / 2)).alias("share"))
+
+
+def link(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(key, n_links, component_id, kept) of every vector: links are pairs with a cosine of ``least`` or more."""
+    rows = usable(vectors, key, vector)
+    classes = classes_of(rows)
+    found = checkpointed(blocks(classes, least, block_bytes).groupBy("region", "h", "o").applyInArrow(lambda t: compare(t, least), "a long, b long, n long"))
     degrees = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("b is not null").select("a", "b"))
     of_class = classes.join(degrees, "id").join(components, F.col("id") == F.col("node"), "left").select("dims", "code", (F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
