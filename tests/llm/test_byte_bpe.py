@@ -1,5 +1,9 @@
 """op6 against the tiktoken library, and back."""
 
+import base64
+import random
+import time
+
 import public_tokenizers
 import pytest
 import tiktoken
@@ -51,3 +55,27 @@ def test_both_queries_agree(library):
     for sql in (B.ENCODE_SHORT, B.ENCODE_LONG):
         word, tok = coder._query(words, sql)
         assert [tok[word == i].tolist() for i in range(len(words))] == [library._core_bpe.encode_single_piece(w) for w in words]
+
+
+def test_many_long_pieces_in_one_query(library):
+    """Words of 90 bytes and runs without a blank: equal to the library, and in seconds."""
+    draw = random.Random(3)
+    coder = B.Coder(PATH, PATTERN)
+    words = " ".join("".join(draw.choice("абвгдежзиклмнопрстуфхцчшщыэюя") for _ in range(45)) for _ in range(2000))
+    runs = "。".join("".join(chr(draw.randint(0x4E00, 0x9FA5)) for _ in range(draw.choice([25, 400]))) for _ in range(60))
+    began = time.perf_counter()
+    for text in (words, runs, "=" * 50_001, "aab" * 9000):
+        assert coder.encode([text]).to_pylist() == [library.encode_ordinary(text)]
+    assert time.perf_counter() - began < 20
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258}
+    for extra, good in (({}, True), ({b"abcd": 260, b"abcde": 259}, False), ({b"xyz": 259}, False)):
+        path = tmp_path / f"{len(extra)}{good}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in (ranks | extra).items()))
+        if good:
+            assert B.Coder(str(path), PATTERN).encode(["abc bc"]).to_pylist() == [[257, 32, 258]]
+        else:
+            with pytest.raises(ValueError, match="not the ranks"):
+                B.Coder(str(path), PATTERN)

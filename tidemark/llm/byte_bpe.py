@@ -6,11 +6,18 @@ minimum rank, until no pair is left; words that are finished leave the recursion
 and concatenates by an ordered aggregate.
 
 The merge table holds every way to split a token in two tokens, so a pair has the rank of its joined bytes, as in tiktoken.
-Pieces of over ``LONG`` bytes are first cut between bytes that are neighbours in no token (no token can span such a place), and
-for them the query contracts all places of the minimum-rank pair in one round, from the left and without overlap, which gives
-what single rounds give: a contraction never makes a pair of a lower rank.
+A vocabulary is only taken if each of its tokens, contracted by pairs of lower rank alone, ends as two tokens (``Coder.checked``,
+by the same recursive query). Then no contraction makes a pair of a lower rank than its own: say the pair z, w became possible by
+making z with rank r, and the token zw has rank q < r. All pairs of rank q or less had been contracted before, and by them alone the
+bytes of zw, between whose ends and the rest nothing was contracted, become zw.
 
-A task holds the pieces of ``CHUNK_BYTES`` of text and a bounded cache of pieces already encoded. Nothing is shuffled.
+So all places of a word's minimum-rank pair can be contracted one after another from the left before anything else is. Pieces of
+over ``LONG`` bytes do that in one round, by windows; for shorter ones, a round for each contraction takes less time. Both are the
+same rule and give the same tokens. Long pieces are first cut between bytes that are neighbours in no token, as no token can span such
+a place; all long pieces of a chunk are rows of one query.
+
+A task holds the pieces of ``CHUNK_BYTES`` of text and a bounded cache of pieces already encoded. Nothing is shuffled. What a
+database can't hold in ``MEMORY`` goes to the folder that Spark itself spills to on that machine (Spark names it to its workers).
 
 Defined results: a null text is empty and has no tokens; null ids decode to no bytes; an id outside the vocabulary is an error;
 repeated rows are encoded each; other columns are kept, but for those that are named as a result.
@@ -19,6 +26,7 @@ repeated rows are encoded each; other columns are kept, but for those that are n
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -38,23 +46,27 @@ CHUNK_TOKENS = 1 << 20
 WORDS_AT_ONCE = 20_000
 CACHED_WORDS = 800_000
 LONG = 64
+MEMORY = "300MB"
 
 # A row of state is a token of a word: its place (the word's number shifted by 32 bits, plus the position), the next token's place, and whether the word
 # is finished. ``best`` is a word's minimum rank, then the leftmost place of that, then the places of the right half and of its end.
-ENCODE_SHORT = """
+_SHORT = """
 WITH RECURSIVE state AS (
   SELECT place, place + 1 AS till, tok, false AS finished FROM bytes_
   UNION ALL
   (WITH pair AS (
      SELECT s.place >> 32 AS word, min(m.id * 2097152 + (s.place & 127) * 16384 + (n.place & 127) * 128 + (n.till & 127)) AS best
      FROM state s JOIN state n ON n.place = s.till JOIN merges m ON m.pair = s.tok * 1048576 + n.tok
-     WHERE NOT s.finished GROUP BY 1)
+     WHERE NOT s.finished {only} GROUP BY 1)
    SELECT s.place, CASE WHEN hit THEN s.place - (s.place & 127) + (best & 127) ELSE till END, CASE WHEN hit THEN best >> 21 ELSE tok END, best IS NULL
    FROM (SELECT s.*, p.best, (s.place & 127) = (p.best >> 14) & 127 AS hit FROM state s LEFT JOIN pair p ON p.word = s.place >> 32 WHERE NOT s.finished) s
    WHERE best IS NULL OR (place & 127) <> (best >> 7) & 127)
 )
 SELECT place >> 32 AS word, tok FROM state WHERE finished ORDER BY place
 """
+ENCODE_SHORT = _SHORT.format(only="")
+#: The word with a token's id as number is that token's bytes; only pairs of lower rank are contracted.
+ENCODE_BELOW = _SHORT.format(only="AND m.id < s.place >> 32")
 # Here all pairs of minimum rank become tokens, in a run of overlapping ones every second; ``best`` is the rank alone. A row's pair is
 # with the next row of its word.
 _LONG_STATE = """
@@ -96,13 +108,27 @@ class Coder:
         splits = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], dtype=np.int32).reshape(-1, 3)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '300MB'")
+        self.db.execute(f"SET memory_limit = '{MEMORY}'")
+        spill = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+        self.db.execute(f"SET temp_directory = '{spill}/duckdb-{os.getpid()}'" if spill else "SET temp_directory = ''")
         wide = splits.astype(np.int64)
         self._give("merges_", pair=wide[:, 0] << 20 | wide[:, 1], id=wide[:, 2])
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_")
         self._give("vocabulary_", id=np.fromiter(ranks.values(), np.int32), piece=["".join(chr(_SHIFT + x) for x in t) for t in ranks])
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_")
         self._forget()
+        self.checked()
+
+    def checked(self) -> None:
+        """Whether every token is what pairs of lower rank make of its bytes, but for a last contraction."""
+        tokens = [t for t in self.ranks if 1 < len(t) <= LONG]
+        word, _ = self._query(tokens, ENCODE_BELOW, [self.ranks[t] for t in tokens])
+        wrong = np.flatnonzero(np.bincount(word, minlength=1)[[self.ranks[t] for t in tokens]] != 2) if tokens else []
+        # Longer tokens by the windows, which take the rule for granted up to their rank: the whole bytes must become the token.
+        longer = [t for t in self.ranks if len(t) > LONG]
+        found = dict(zip(*self._query(longer, ENCODE_LONG), strict=True)) if longer else {}
+        if len(wrong) or any(found[i] != self.ranks[t] for i, t in enumerate(longer)):
+            raise ValueError("not the ranks of a byte-pair vocabulary: a token is not made by pairs of lower rank")
 
     def _give(self, name: str, **columns: object) -> None:
         self.db.register(name, pa.table(columns))
@@ -111,10 +137,11 @@ class Coder:
         self.known: dict[str, int] = {}
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _query(self, words: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
+    def _query(self, words: list[bytes], sql: str, numbers: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the word, token) of each token of the words, in order."""
         sizes = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
-        first = (np.arange(len(words)) << 32) - (np.cumsum(sizes) - sizes)
+        first = (np.array(numbers if numbers is not None else range(len(words)), dtype=np.int64) << 32) - (np.cumsum(sizes) - sizes)
         self._give("bytes_", place=np.arange(len(data)) + np.repeat(first, sizes), tok=self.byte[data].astype(np.int64))
         found = self.db.execute(sql).fetchnumpy()
         return np.asarray(found["word"]), np.asarray(found["tok"])
@@ -128,12 +155,16 @@ class Coder:
             own = np.array(short[lo : lo + WORDS_AT_ONCE])
             word, tok = self._query([encoded[i] for i in own], ENCODE_SHORT)
             parts.append((own[word], tok))
+        pieces, owners = [], []
         for i, w in enumerate(encoded):
             if len(w) > LONG and i not in whole:
                 data = np.frombuffer(w, dtype=np.uint8)
                 cuts = np.flatnonzero(~self.joined[data[:-1], data[1:]]) + 1
-                pieces = [w[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(w)], strict=True)]
-                parts.append((np.full(len(tok := self._query(pieces, ENCODE_LONG)[1]), i), tok))
+                pieces += [w[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(w)], strict=True)]
+                owners += [i] * (len(cuts) + 1)
+        if pieces:
+            word, tok = self._query(pieces, ENCODE_LONG)
+            parts.append((np.array(owners)[word], tok))
         word, tok = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(word, kind="stable")
         sizes = np.bincount(word, minlength=len(new))
