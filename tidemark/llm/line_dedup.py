@@ -1,6 +1,7 @@
 """Line dedup by overlapping windows of three lines.
 
-Every three consecutive lines of a document are hashed to 128 bits (each line trimmed of white space). A window found at more
+Every three consecutive lines of a document are hashed to 128 bits: each line, trimmed of ASCII white space, is hashed twice with
+different beginnings, and a window's two hashes are made from one kind each. A window found at more
 than one place keeps its first place, in order of (doc_id, position), and loses the later ones: the positions that later
 places cover are merged, and those lines are removed. A later place that overlaps the kept first place in the same document
 covers only what lies behind it. Windows of nothing but empty lines do not count.
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 3
+BLANKS = " \t\r\x0b\x0c"
 
 
 def line_windows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each window: doc (key and hash of the text), pos, h1, h2."""
-    lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x))
-    hashed = F.transform("lines", lambda x: F.xxhash64(x))
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)))
+    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b")))
     return (
         docs.where(F.col(text).contains("\n"))
         .select(F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("h")).alias("doc"), lines.alias("lines"))
@@ -38,8 +40,8 @@ def line_windows(docs: DataFrame, key: str, text: str) -> DataFrame:
                         F.sequence(F.lit(0), F.size("lines") - SPAN),
                         lambda i: F.struct(
                             i.alias("pos"),
-                            F.xxhash64(*[F.get("hashes", i + k) for k in range(SPAN)]).alias("h1"),
-                            F.xxhash64(F.lit("second"), *[F.get("hashes", i + k) for k in range(SPAN)]).alias("h2"),
+                            F.xxhash64(*[F.get("hashes", i + k)["a"] for k in range(SPAN)]).alias("h1"),
+                            F.xxhash64(*[F.get("hashes", i + k)["b"] for k in range(SPAN)]).alias("h2"),
                             F.greatest(*[F.length(F.get("lines", i + k)) for k in range(SPAN)]).alias("longest"),
                         ),
                     ),

@@ -64,8 +64,8 @@ ORACLES["op4_line_dedup"] = r"""
 WITH split_ AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents
 ), windows AS (
-  SELECT doc_id, pos, trim(lines[pos + 1], ' ') AS a, trim(lines[pos + 2], ' ') AS b, trim(lines[pos + 3], ' ') AS c
-  FROM (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS pos FROM split_ WHERE len(lines) >= 3)
+  SELECT doc_id, pos, trim(lines[pos + 1], blanks) AS a, trim(lines[pos + 2], blanks) AS b, trim(lines[pos + 3], blanks) AS c
+  FROM (SELECT ' ' || chr(9) || chr(13) || chr(11) || chr(12) AS blanks, doc_id, lines, unnest(range(len(lines) - 2)) AS pos FROM split_ WHERE len(lines) >= 3)
 ), places AS (
   SELECT doc_id, pos, first_value(doc_id) OVER w AS first_doc, first_value(pos) OVER w AS first_pos
   FROM windows WHERE a <> '' OR b <> '' OR c <> '' WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, pos)
