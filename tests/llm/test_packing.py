@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.packing import pack, place, words
+from tidemark.llm import packing
+from tidemark.llm.packing import cluster_of, pack, place, words
 
 
 def brute(pieces, capacity):
@@ -67,3 +68,38 @@ def test_empty_and_words(spark):
     assert pack(docs, "doc_id", F.col("n"), F.col("source"), F.lit(None).cast("string")).count() == 0
     counted = spark.createDataFrame([("a  b\nc",), ("",), (None,), ("é \t ü ",)], "t string").select(words(F.col("t")).alias("n"))
     assert [r["n"] for r in counted.collect()] == [3, 0, 0, 2]
+
+
+def test_groups_are_packed_as_brute_force_packs_them(spark):
+    draw = random.Random(4)
+    rows = [(i, draw.randint(0, 150), draw.choice(["hot", "x", None]), draw.choice([1, 2, None])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, n int, source string, c long")
+    out = pack(docs, "doc_id", F.col("n"), F.col("source"), F.col("c"), capacity=100, group_rows=64).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["bin_id"] >> 32, []).append(r)
+    assert len(groups) > 4
+    for held in groups.values():
+        held.sort(key=lambda r: (-r["length"], r["doc_id"], r["piece"]))
+        assert brute([(r["length"], *rows[r["doc_id"]][2:]) for r in held], 100) == [(r["bin_id"] & 0xFFFFFFFF, r["bin_offset"]) for r in held]
+
+
+def test_repeated_and_null_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STEP", 7)
+    rows = [(None, 30, "s", 1)] * 400 + [(5, 30, "s", 2)] * 400 + [(6, 4000, "t", None)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, n int, source string, c long"), "doc_id", F.col("n"), F.col("source"), F.col("c"), capacity=100, group_rows=50).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(["None"] * 400 + ["5"] * 400 + ["6"] * 40)
+    assert sorted(r["start"] for r in out if r["doc_id"] == 6) == list(range(0, 4000, 100))
+    sizes = {}
+    for r in out:
+        sizes[r["bin_id"] >> 32] = sizes.get(r["bin_id"] >> 32, 0) + 1
+    assert max(sizes.values()) < 110
+
+
+def test_null_texts_conflict_with_nothing(spark):
+    docs = spark.createDataFrame([(i, None, None) for i in range(20)] + [(30 + i, "a", None) for i in range(3)], "doc_id long, text string, source string")
+    out = pack(docs, "doc_id", F.lit(10), F.col("source"), cluster_of(F.col("text")), capacity=1000).collect()
+    bins = {}
+    for r in out:
+        bins.setdefault(r["bin_id"], []).append(r["doc_id"])
+    assert len(bins) == 3 and max(map(len, bins.values())) == 21

@@ -63,7 +63,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", packing.words(F.col("text")).alias("n_words"), "source", F.xxhash64("text").alias("copies"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", packing.words(F.col("text")).alias("n_words"), "source", packing.cluster_of(F.col("text")).alias("copies"))
     return packing.pack(docs, "doc_id", F.col("n_words"), F.col("source"), F.col("copies"), capacity=2048)
 
 
