@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = docs.select("doc_id", packing.words(F.col("text")).alias("n_words"), "source", F.xxhash64("text").alias("copies"))
+    sized = docs.select("doc_id", packing.words(F.col("text")).alias("n_words"), "source", packing.cluster_of(F.col("text")).alias("copies"))
     return packing.pack(sized, "doc_id", F.col("n_words"), F.col("source"), F.col("copies"))
 
 
