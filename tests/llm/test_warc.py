@@ -4,7 +4,12 @@ import gzip
 import hashlib
 from pathlib import Path
 
+import duckdb
+
+from tests.test_entry import plain
 from tidemark.llm import warc
+from tidemark.llm.oracles import ORACLES
+from tidemark.llm.queries import QUERIES
 
 KIND = "record_id string, target_uri string, date string, http_headers string, payload string"
 HTML = '<html lang="en"><head><title>A &amp;\n B</title><style>x</style></head><body><script>var t="</p>";</script><!-- gone --><h1>One</h1><p>Two <b>bold</b> &lt;3 &amp;lt;<br>Three<a href="/x">link</a></p></body></html>'
@@ -39,7 +44,7 @@ def test_odd_responses(spark):
 
 
 def test_file(spark, tmp_path):
-    records = warc.derive(spark.createDataFrame([("urn:uuid:1", "http://a/", "2024-05-05T00:00:00Z", "h", HTML)], KIND).coalesce(1))
+    records = warc.derive(spark.createDataFrame([("urn:uuid:1", "http://a/\r\nX: y", "2024-05-05T00:00:00Z", "HTTP/1.1 200 OK\r\nServer: s\r\n\r\n", HTML)], KIND).coalesce(1))
     warc.write_warc(records, str(tmp_path / "w"))
     data = b"".join(gzip.decompress(p.read_bytes()) for p in Path(tmp_path / "w").glob("*.gz"))
     seen = []
@@ -49,6 +54,25 @@ def test_file(spark, tmp_path):
         n = int(fields["Content-Length"])
         assert head.startswith(b"WARC/1.1") and rest[n : n + 4] == b"\r\n\r\n"
         assert fields["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(rest[:n]).hexdigest() and fields["WARC-Refers-To"] == "<urn:uuid:1>"
+        assert fields["WARC-Target-URI"] == "http://a/X: y" and "X" not in fields
+        if fields["WARC-Type"] == "metadata":
+            assert rest[:n].decode().split("\r\n")[-3:] == ["source-header: HTTP/1.1 200 OK", "source-header: Server: s", ""]
         seen.append(fields["WARC-Type"])
         data = rest[n + 4 :]
     assert sorted(seen) == ["conversion", "metadata"]
+
+
+def test_character_references_and_links(spark):
+    html = "<p>&#65;&#x42;&#X43; &#38;lt; &#38;amp; &amp;#65; &#0; &#xD800; &#9999999; &#x1F600; &unknown; &#39;</p><a href='one\n'>x</a><A class=c HREF = two>y</A><a href=\"three\">z</a>"
+    found = derived(spark, [("r", "u", "d", "h", html), ("s", "u", "d", "h", "a<script>b</script>c<!-- d" + "<script" * 100_000)])
+    assert found["r", "conversion"]["block"] == "ABC &lt; &amp; &#65; \ufffd \ufffd \ufffd \U0001f600 &unknown; '\nxyz"
+    assert [x for x in found["r", "metadata"]["block"].split("\r\n") if x.startswith("outlink")] == ["outlink: one", "outlink: two", "outlink: three"]
+    assert found["s", "conversion"]["block"] == "a\nc"
+
+
+def test_query_and_sql_agree_on_odd_pages(spark, tmp_path):
+    pages = [(1, "http://a/", "<html lang='x'><p>&#65;&#x42; &#38;lt; &#0;&#xd800;<a href='q&amp;'>&amp;#65;</a><!-- open"), (2, "http://b/", None), (3, "http://c/", ""), (4, "http://d/", "<a href=x\n>&lt;&#60;</a><script>never closed"), (5, "http://e/", "<html lang=\"e\nn\"><title>T &#233;</title>é")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert plain(QUERIES["op2_warc"](spark, str(tmp_path)).toPandas()) == plain(db.execute(ORACLES["op2_warc"]).fetchdf())

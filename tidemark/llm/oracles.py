@@ -22,20 +22,25 @@ FROM marked GROUP BY conv_id
 """
 
 # The same character references, in the same order, as the operator decodes.
-_DECODED = (
-    "replace(replace(replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''),"
-    " '&#39;', ''''), '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&')"
+_NUMBERED = r"(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
+_NAMED = (
+    "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''),"
+    " '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183))"
 )
+_CODE = f"CAST(CASE WHEN lower(regexp_extract(x, '{_NUMBERED}', 1)) LIKE 'x%' THEN '0x' || substr(regexp_extract(x, '{_NUMBERED}', 1), 2) ELSE regexp_extract(x, '{_NUMBERED}', 1) END AS INTEGER)"
+_CHARACTER = f"CASE WHEN {_CODE} = 38 THEN '&amp;' WHEN {_CODE} BETWEEN 1 AND 1114111 AND {_CODE} NOT BETWEEN 55296 AND 57343 THEN chr({_CODE}) ELSE chr(65533) END"
+_DECODED = f"replace(list_reduce(list_distinct(regexp_extract_all({_NAMED}, '{_NUMBERED}')), lambda t, x: replace(t, x, {_CHARACTER}), {_NAMED}), '&amp;', '&')"
 ORACLES["op2_warc"] = (
     r"""
 WITH base AS (
   SELECT page_id, url, coalesce(html, '') AS html, md5(concat_ws('|', 'response', CAST(page_id AS VARCHAR), url)) AS m FROM pages
 ), ids AS (
   SELECT *, 'urn:uuid:' || regexp_replace(m, '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\1-\2-\3-\4-\5') AS rid, 'sha256:' || sha256(html) AS sd,
-    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>)', chr(10), 'g'),
+    regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|head\b.*?</head\s*>)', chr(10), 'g'),
       '(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|form)\b[^>]*>', chr(10), 'g'), '</?[a-zA-Z][^>]*>|<[!?][^>]*>', '', 'g') AS t0,
-    regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title', 1) AS title0, regexp_extract(html, '(?i)<html\b[^>]*\blang="([^"]*)"', 1) AS lang,
-    list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref="([^"]*)"', 1), lambda x: 'outlink: ' || x || chr(13) || chr(10)) AS links
+    regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title', 1) AS title0, regexp_replace(regexp_extract(html, '(?i)<html\b[^>]*\blang="([^"]*)"', 1), '[\t\r\n]', '', 'g') AS lang,
+    list_transform(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1),
+      lambda x: 'outlink: ' || regexp_replace(regexp_replace(x, '^["'']|["'']$', '', 'g'), '[\t\r\n]', '', 'g') || chr(13) || chr(10)) AS links
   FROM base
 ), cleaned AS (
   SELECT * EXCLUDE (t0, title0),
@@ -48,7 +53,8 @@ WITH base AS (
 ), records AS (
   SELECT page_id, mid AS record_id, 'metadata' AS warc_type, cid AS concurrent_to, 'application/warc-fields' AS content_type, rid, url, html, sd, nl,
     'source-record-id: ' || rid || nl || 'source-payload-digest: ' || sd || nl || 'source-content-length: ' || strlen(html) || nl || 'conversion-record-id: ' || cid || nl
-      || 'conversion-block-digest: sha256:' || sha256(t) || nl || 'title: ' || title || nl || 'language: ' || lang || nl || coalesce(array_to_string(links, ''), '') AS block
+      || 'conversion-block-digest: sha256:' || sha256(t) || nl || 'title: ' || title || nl || 'language: ' || lang || nl || coalesce(array_to_string(links, ''), '')
+      || 'source-header: HTTP/1.1 200 OK' || nl || 'source-header: Content-Type: text/html; charset=utf-8' || nl || 'source-header: Content-Length: ' || strlen(html) || nl AS block
   FROM cleaned
   UNION ALL
   SELECT page_id, cid, 'conversion', mid, 'text/plain; charset=utf-8', rid, url, html, sd, nl, t FROM cleaned
@@ -57,7 +63,7 @@ SELECT page_id, record_id, warc_type, rid AS refers_to, concurrent_to, url AS ta
   'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || strlen(html) || nl || nl AS source_headers,
   sd AS source_payload_digest, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length, block
 FROM records
-""".replace("DECODED_TITLE", _DECODED.format("title0")).replace("DECODED_T", _DECODED.format("t0"))
+""".replace("DECODED_TITLE", _DECODED.replace("{0}", "title0")).replace("DECODED_T", _DECODED.replace("{0}", "t0"))
 )
 
 ORACLES["op4_line_dedup"] = r"""

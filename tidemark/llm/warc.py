@@ -1,12 +1,14 @@
 """WARC derivative builder: each response record gives a metadata and a plain-text conversion record.
 
-Both refer to the response by its record id (WARC-Refers-To), name each other, keep the source's URI, date, header block and
-digests, and carry digests of their own. Record ids are name-based (an MD5 of source id and kind, written as a UUID), so a
+Both refer to the response by its record id (WARC-Refers-To), name each other, keep the source's URI, date and digests, and carry
+digests of their own. The source's header block is a column of both and, line by line, part of the metadata record's block, so
+that it is in written files as well. Record ids are name-based (an MD5 of source id and kind, written as a UUID), so a
 rerun gives the same records and a lost executor changes nothing. All work is one projection over the responses: no shuffle.
 
 Defined results: a null payload counts as empty (its text is empty); a null record id is made from the URI and the payload's
-digest; a null URI or date leaves that header out; repeated responses give repeated records; other columns are ignored, except
-those named in ``keep``, which are carried along.
+digest; a null URI or date leaves that header out; repeated responses give repeated records; line breaks in a URI or an outlink are
+dropped, as browsers do, so that no value can end a header; a comment, script or style without an end runs to the end of the page;
+a character reference to no character is U+FFFD; other columns are ignored, except those named in ``keep``, which are carried along.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from pyspark.sql import functions as F
 
 CRLF = "\r\n"
 
-# The named character references that are decoded, "&amp;" last so that nothing is decoded twice.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&copy;": "\u00a9", "&middot;": "\u00b7", "&amp;": "&"}
+# The named character references that are decoded. Then come those by number, "&amp;" last so that nothing is decoded twice.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "\u00a9", "&middot;": "\u00b7"}
+NUMBERED = "(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
 # Elements without text of their own, and elements that begin a new line.
-UNSEEN = r"(?is)<(?:!--.*?-->|script\b.*?</script\s*>|style\b.*?</style\s*>|head\b.*?</head\s*>)"
+UNSEEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|head\b.*?</head\s*>)"
 BLOCK = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|form)\b[^>]*>"
 TAG = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
+LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def html_text(html: Column) -> Column:
@@ -34,12 +38,25 @@ def html_text(html: Column) -> Column:
     return F.trim(text, F.lit(" \n"))
 
 
+def _by_number(reference: Column) -> Column:
+    """The character of a numeric reference; an ampersand stays a reference, for the last step."""
+    digits = F.regexp_extract(reference, NUMBERED, 1)
+    code = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("int")
+    good = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(code == 38, "&amp;").when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+
 def decoded(text: Column) -> Column:
-    """Character references by name as the characters; where no ``&`` is, nothing is searched."""
+    """Character references as the characters; where no ``&`` is, nothing is searched."""
     out = text
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    out = F.aggregate(F.array_distinct(F.regexp_extract_all(out, F.lit(NUMBERED), F.lit(0))), out, lambda t, x: F.replace(t, x, _by_number(x)))
+    return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+
+
+def one_line(value: Column) -> Column:
+    return F.regexp_replace(value, "[\\t\\r\\n]", "")
 
 
 def record_id(*parts: Column) -> Column:
@@ -91,8 +108,8 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             "metadata_id": record_id(F.lit("metadata"), F.col("record_id")),
             "conversion_id": record_id(F.lit("conversion"), F.col("record_id")),
             "title": F.trim(F.regexp_replace(decoded(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1)), "[ \\t\\r\\n\\f]+", " ")),
-            "language": F.regexp_extract("html", r'(?i)<html\b[^>]*\blang="([^"]*)"', 1),
-            "links": F.regexp_extract_all("html", F.lit(r'(?i)<a\b[^>]*?\bhref="([^"]*)"'), F.lit(1)),
+            "language": one_line(F.regexp_extract("html", r'(?i)<html\b[^>]*\blang="([^"]*)"', 1)),
+            "links": F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: one_line(F.regexp_replace(x, "^[\"']|[\"']$", ""))),
         }
     )
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
@@ -105,6 +122,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         field("title", F.col("title")),
         field("language", F.col("language")),
         F.array_join(F.transform("links", lambda x: field("outlink", x)), ""),
+        F.array_join(F.transform(F.filter(F.split("headers", "\r?\n"), lambda x: x != ""), lambda x: field("source-header", F.replace(x, F.lit("\r"), F.lit("")))), ""),
     )
     made = lambda kind, own, other, mime, block: F.struct(
         own.alias("record_id"), F.lit(kind).alias("warc_type"), other.alias("concurrent_to"), F.lit(mime).alias("content_type"), block.alias("block")
@@ -150,8 +168,8 @@ def serialised(records: DataFrame) -> DataFrame:
             header("WARC-Record-ID", angle("record_id")),
             header("WARC-Refers-To", angle("refers_to")),
             header("WARC-Concurrent-To", angle("concurrent_to")),
-            header("WARC-Target-URI", F.col("target_uri")),
-            header("WARC-Date", F.col("warc_date")),
+            header("WARC-Target-URI", one_line(F.col("target_uri"))),
+            header("WARC-Date", one_line(F.col("warc_date"))),
             header("WARC-Block-Digest", F.col("block_digest")),
             header("WARC-Source-Payload-Digest", F.col("source_payload_digest")),
             header("Content-Type", F.col("content_type")),
