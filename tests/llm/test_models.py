@@ -1,5 +1,6 @@
 """op1 and op5: held-out accuracy on made-up languages and insults, and odd rows."""
 
+import math
 import random
 import zlib
 
@@ -75,13 +76,75 @@ def test_unlearned_language_of_the_same_script_is_rejected(spark, docs):
         assert np.mean(far) > 0.95 and np.mean(known) < 0.02
 
 
-def test_blocks_count_as_one_text():
+def test_blocks_count_as_one_text(monkeypatch):
     import pyarrow as pa
 
-    text = "kalomi rute éau " * 400_000
-    (_, _, counts), = L.vectors(pa.array([text]))
-    (_, _, few), = L.vectors(pa.array([text[:1600]]))
-    assert np.allclose(counts / counts.sum(), few / few.sum(), atol=1e-3)
+    texts = pa.array(["kalomi rute éau " * 4000, "", "ab", "éau que " * 900])
+    (_, _, whole), = L.vectors(texts)
+    monkeypatch.setattr(L, "BLOCK_BYTES", 333)  # a block has 1,332 bytes
+    for start, end, counts in L.vectors(texts):
+        assert np.array_equal(counts, whole[start:end])
+
+
+def plain_vector(text, idf):
+    """n-grams, counts and weights of one text from the formulas, by dictionaries."""
+    data = [b if b >= 128 or chr(b).isalpha() else 32 for b in text.lower().encode()]
+    counts = {}
+    for n in (2, 3):
+        for i in range(len(data) - n + 1):
+            gram = data[i : i + n]
+            if any(x != 32 for x in gram):
+                value = sum(x << 8 * (n - 1 - j) for j, x in enumerate(gram)) + n
+                bucket = value * 2654435761 % 2**32 >> 19
+                counts[bucket] = counts.get(bucket, 0) + 1
+    weights = {b: (1 + math.log(c)) * (idf[b] if idf is not None else 1.0) for b, c in counts.items()}
+    length = math.sqrt(sum(w * w for w in weights.values()))
+    return counts, {b: w / length for b, w in weights.items()}
+
+
+def test_language_against_brute_force(spark):
+    """One centroid a language: mean of the normalised TF-IDF vectors; predictions, scores and limits from the formulas."""
+    draw = random.Random(17)
+    rows = [(i, made(draw, ("aa", "bb", "cc")[i % 3], draw.choice([5, 20, 60])), ("aa", "bb", "cc")[i % 3]) for i in range(90)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), k=1)
+    seen = [plain_vector(t, None)[0] for _, t, _ in rows]
+    idf = {b: math.log((1 + len(rows)) / (1 + sum(b in c for c in seen))) + 1 for c in seen for b in c}
+    assert all(abs(model.idf[b] - w) < 1e-5 for b, w in idf.items())
+    vectors = [plain_vector(t, idf)[1] for _, t, _ in rows]
+    share = [math.sqrt(min(len(c) / L.FULL_GRAMS, 1)) for c in seen]
+    dot = lambda x, y: sum(w * y.get(b, 0.0) for b, w in x.items())
+    centroids = {}
+    for lang in ("aa", "bb", "cc"):
+        total = {}
+        for v, (_, _, own) in zip(vectors, rows, strict=True):
+            for b, w in v.items() if own == lang else ():
+                total[b] = total.get(b, 0.0) + w
+        length = math.sqrt(dot(total, total))
+        centroids[lang] = {b: w / length for b, w in total.items()}
+    assert model.languages == ["aa", "bb", "cc"]
+    for lang, row, least in zip(model.languages, model.centroids, model.least, strict=True):
+        assert all(abs(row[b] - w) < 1e-5 for b, w in centroids[lang].items())
+        reach = [dot(v, centroids[lang]) / s for v, s in zip(vectors, share, strict=True)]
+        near = np.quantile([r for r, (_, _, own) in zip(reach, rows, strict=True) if own == lang], 0.01)
+        far = np.quantile([r for r, (_, _, own) in zip(reach, rows, strict=True) if own != lang], 0.99)
+        assert abs(least - (far + L.BETWEEN * (near - far))) < 1e-4
+    for r in L.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect():
+        cosines = {x: dot(vectors[r["doc_id"]], c) for x, c in centroids.items()}
+        best = max(cosines, key=cosines.get)
+        assert r["lang_pred"] == best and abs(r["score"] - cosines[best]) < 1e-5
+        assert r["rejected"] == (r["score"] < model.least[model.languages.index(best)] * share[r["doc_id"]])
+
+
+def test_junk_labels_and_null_ids_do_not_grow_the_model(spark, docs, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 3)
+    junk = spark.range(300).selectExpr("id + 10000 AS doc_id", "concat('junk text ', id) AS text", "concat('j', id) AS lang", "0 AS toxic")
+    hot = spark.range(200).selectExpr("CAST(NULL AS long) AS doc_id", "'null ids' AS text", "'zz' AS lang", "0 AS toxic")
+    same = spark.range(2000).selectExpr("7L AS doc_id", "'kalomi rute te te lo' AS text", "'aa' AS lang", "0 AS toxic")
+    learn = docs.unionByName(junk).unionByName(hot).unionByName(same)
+    assert set(L.fit(learn).languages) == {"aa", "bb", "cc"}
+    assert L.counted_sample(same, "doc_id", "text", "lang", 400).count() <= 1
+    found = spark.createDataFrame([(None,), (3,)], "doc_id long").select(held_out(F.col("doc_id")).alias("h")).collect()
+    assert found[0]["h"] is True and found[1]["h"] is not None
 
 
 def test_toxicity(spark, docs):

@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    """True for the fifth of the documents that no model may learn from."""
-    return F.crc32(doc_id.cast("string")) % 5 == 0
+    """True for the fifth of the documents that no model may learn from, and for rows without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -48,15 +48,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
             spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
-def bounded_sample(df: DataFrame, by: str, key: str, most: int, salt: int = 7) -> DataFrame:
-    """About ``most`` rows for each value of ``by`` (never over 1.5 times as many plus 50), the same on every run.
+def bounded_sample(df: DataFrame, by: str, key: str, most: int, most_values: int = 200, salt: int = 7) -> DataFrame:
+    """About ``most`` rows for each of the ``most_values`` commonest values of ``by``, the same on every run.
 
-    Rows are chosen by a hash of ``key``. The counts come from one aggregate of one row per value of ``by``.
+    Rows are chosen by a hash of ``key`` and equal keys together: never over 1.5 times as many different keys plus 50.
+    The counts come from one aggregate of one row per value of ``by``.
     """
-    counts = {r[by]: r["n"] for r in df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() if k is not None for x in (k, min(1.0, most / n))]) if counts else None
-    if share is None:
+    common = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(most_values)
+    counts = {r[by]: r["n"] for r in common.collect()}
+    if not counts:
         return df.limit(0)
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))])
     unit = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0
     return df.where(unit < share[F.col(by)])
 
