@@ -1,5 +1,6 @@
 """op1 and op5: held-out accuracy on made-up languages and insults, and odd rows."""
 
+import itertools
 import math
 import random
 import zlib
@@ -178,11 +179,88 @@ def test_label_model_finds_the_good_voters():
     draw = np.random.default_rng(0)
     y = draw.random(4000) < 0.3
     right = lambda p: np.where(draw.random(4000) < p, y, ~y)
-    good = [np.where(right(0.9), 1, -1) for _ in range(3)]
+    good = [np.where(right(0.9), 1, -1) for _ in range(4)]
     poor = np.where(right(0.52), 1, -1)
-    v = np.stack([*good, poor, poor, poor, poor, poor], 1)  # five that repeat each other must not outvote three
-    p = X.label_model(v, 0.3, np.where((v[:, :3] == 1).mean(1) > 0.5, 0.7, 0.3))
-    assert np.mean((p > 0.5) == y) > 0.93
+    v = np.stack([*good, poor, poor, poor], 1)  # three that repeat each other must not outvote the good ones
+    model = X.label_model(v, X.by_majority(v))
+    assert np.mean((model.posterior(v) > 0.5) == y) > 0.95 and abs(model.prior - 0.3) < 0.03
+    for j in range(4):  # the accuracies that are estimated without any label
+        found = np.einsum("ac,a->c", model.tables[j][:, 2], np.bincount(v[:, model.parents[j]] + 1, minlength=3) / len(v)) if model.parents[j] >= 0 else model.tables[j][0, 2]
+        assert abs(found[1] - 0.9) < 0.06 and abs(found[0] - 0.1) < 0.06
+    repeated = {(min(j, k), max(j, k)) for j, k in enumerate(model.parents.tolist()) if j >= 4 and k >= 4}
+    assert len(repeated) == 2  # the correlated voters hang together in the tree
+
+
+def test_label_model_against_brute_force():
+    """Tables from weighted counts, the best of all trees, and the posterior by Bayes' rule over all votes."""
+    draw = np.random.default_rng(3)
+    v = draw.integers(-1, 2, size=(60, 4))
+    v[:, 3] = np.where(draw.random(60) < 0.8, v[:, 1], v[:, 3])
+    p = draw.random(60)
+    pairs = X._pair_counts(v, p)
+    assert pairs[1, 2, 3, 0, 1] == pytest.approx(sum(p[i] for i in range(60) if v[i, 1] == 1 and v[i, 3] == -1))
+
+    def information(j, k):
+        out = 0.0
+        for w in (1 - p, p):
+            for a in (-1, 0, 1):
+                for b in (-1, 0, 1):
+                    both, one, two = w[(v[:, j] == a) & (v[:, k] == b)].sum(), w[v[:, j] == a].sum(), w[v[:, k] == b].sum()
+                    out += both * math.log(both * w.sum() / (one * two)) if both else 0.0
+        return out
+
+    trees = [t for t in itertools.product(range(4), repeat=3) if all(_rooted(t, j) for j in (1, 2, 3))]
+    best = max(sum(information(j + 1, k) for j, k in enumerate(t)) for t in trees)
+    parents = X.dependency_tree(pairs)
+    assert parents[0] == -1 and sum(information(j, int(parents[j])) for j in (1, 2, 3)) == pytest.approx(best)
+    model = X.estimated(pairs, parents, smoothing=2.0)
+    for row in itertools.product((-1, 0, 1), repeat=4):
+        joint = []
+        for c, w in enumerate((1 - p, p)):
+            value = (w.sum() + 1) / (60 + 2)
+            for j, k in enumerate(parents.tolist()):
+                own = (w[v[:, j] == row[j]].sum() + 0.5) / (w.sum() + 1.5)
+                given = v[:, k] == row[k] if k >= 0 else np.zeros(60, bool)
+                value *= (w[given & (v[:, j] == row[j])].sum() + 2 * own) / (w[given].sum() + 2)
+            joint.append(value)
+        assert model.posterior(np.array([row]))[0] == pytest.approx(joint[1] / sum(joint))
+
+
+def _rooted(tree, j):
+    seen = set()
+    while j and j not in seen:
+        seen.add(j)
+        j = tree[j - 1]
+    return j == 0
+
+
+def test_likelihood_does_not_fall():
+    draw = np.random.default_rng(4)
+    y = draw.random(800) < 0.4
+    v = np.stack([np.where(draw.random(800) < 0.25, 0, np.where((draw.random(800) < 0.8) == y, 1, -1)) for _ in range(6)], 1)
+    p, before = X.by_majority(v), -np.inf
+    parents = X.dependency_tree(X._pair_counts(v, p))
+    for _ in range(25):
+        model = X.estimated(X._pair_counts(v, p), parents, smoothing=1e-6)
+        now = np.logaddexp(*model.log_likelihoods(v).T).sum()
+        assert now >= before - 1.0  # the half that is added to counts is no part of the likelihood
+        before, p = now, model.posterior(v)
+
+
+def test_every_telling_term_is_a_lexicon_word(spark):
+    """More terms than any former limit, and capitals anywhere in a text."""
+    rows = [(f"{i}", " ".join(f"bad{k:05}x" for k in range(9000)) if i % 2 else "fine words here", i % 2) for i in range(60)]
+    found = X.induced_lexicon(spark.createDataFrame(rows, "key string, text string, label int"))
+    assert sum(t.startswith("w:") for t in found) == 9000
+    assert X._mean_upper("a" * 5000 + "B" * 6000) > 0.5 and X._mean_upper("1 2") == 0
+
+
+def test_one_id_counts_once(spark, docs):
+    hot = spark.range(3000).selectExpr("7L AS doc_id", "concat('kalo mi ', id) AS text", "'aa' AS lang", "0 AS toxic")
+    labels = docs.select("doc_id", "toxic").unionByName(hot.select("doc_id", "toxic"))
+    model = toxicity_model(docs.unionByName(hot).select("doc_id", "text"), labels)
+    out = X.predict(docs.where(held_out(F.col("doc_id"))), model).collect()
+    assert np.mean([r["toxic"] == r["predicted"] for r in out]) > 0.97
 
 
 def test_word_hashes_do_not_depend_on_the_place():

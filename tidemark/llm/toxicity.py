@@ -1,18 +1,24 @@
 """Toxicity by weak supervision.
 
-Many voters, lexicons and patterns, each say toxic (1), clean (-1) or nothing (0) about a text. A generative label model
-estimates from their votes how each voter behaves on either class, by expectation maximisation; correlations that remain within
-a class lower the weight of voters that repeat each other. A row's label, where it has one, is the vote of one more voter. A linear
-classifier over hashed words and word beginnings is then trained on the posterior labels, and scores every whole text.
+Many voters, lexicons and patterns, each say toxic (1), clean (-1) or nothing (0) about a text. A generative label model explains
+their votes: each row has a hidden class; a voter's vote depends on the class and on the vote of one other voter, its parent in a
+tree. The tables P(vote | class, parent's vote) are the voters' accuracies and the correlations of pairs; the tree holds the pairs
+that are most correlated within the classes (largest sum of mutual information, as in Chow and Liu), so voters that repeat each
+other don't count twice. Tables, tree and class share are estimated together by expectation maximisation from the votes alone: labels
+are no votes and no start of it. A linear classifier over hashed words and word beginnings is then trained on the posterior
+labels, and scores every whole text.
 
-Lexicons come from two places: fixed lists, and words and word beginnings that are much more frequent in texts labelled toxic.
+Lexicons come from two places: fixed lists, and all words and word beginnings that are significantly more frequent in texts labelled
+toxic. That is the only use of labels.
 
 Everything is fitted on a bounded sample of the rows that may be learned from: about ``SAMPLE_PER_LABEL`` for each label value and
 ``SAMPLE_UNLABELLED`` without a label. The model holds ``BUCKETS`` weights, whatever the input's size. Scoring is one pass over
 whole texts without a shuffle.
 
 Defined results: null and empty texts get the score of a text without any known word; with no rows to learn from, the fixed
-lexicons alone decide; repeated rows are scored each; other columns are kept, but for ``score`` and ``predicted``.
+lexicons alone decide; sampled rows of one id count as one, by the text with the least hash; sampled rows of one label with the same
+words count once; an id with several labels has the largest; rows without an id are scored, but nothing is learned from them; repeated
+rows are scored each; an empty table gives no rows; other columns are kept, but for ``score`` and ``predicted``.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 #: Lengths, in bytes, of the word beginnings that are features beside the whole word (0).
 BEGINNINGS = (0, 4, 5, 6)
-LEXICON_VOTERS, LEXICON_SIZE = 24, 480
+LEXICON_VOTERS = 24
 BLOCK_BYTES = 1 << 21
 
 # Insults by language, as lexicon voters to begin with.
@@ -49,8 +55,8 @@ INSULTS = {
 
 
 def _mean_upper(text: str) -> float:
-    letters = [c for c in text if c.isalpha()]
-    return sum(c.isupper() for c in letters) / len(letters) if letters else 0.0
+    letters = sum(map(str.isalpha, text))
+    return sum(map(str.isupper, text)) / letters if letters else 0.0
 
 
 #: Pattern voters: each gives its vote on a text, from the text, its words, and how many different lexicon words it has.
@@ -61,7 +67,7 @@ PATTERNS: list[Callable[[str, list[str], int], int]] = [
     lambda text, words, hits: -1 if hits == 0 else 0,
     lambda text, words, hits: -1 if hits == 0 and len(words) >= 30 else 0,
     lambda text, words, hits: 1 if hits and text.count("!") > 3 else 0,
-    lambda text, words, hits: 1 if hits and _mean_upper(text[:4000]) > 0.5 else 0,
+    lambda text, words, hits: 1 if hits and _mean_upper(text) > 0.5 else 0,
     lambda text, words, hits: 1 if hits and re.search(r"\b(you|du|tu|vous|usted)\b", text, re.IGNORECASE) else 0,
 ]
 
@@ -163,7 +169,7 @@ def without_copies(sample: DataFrame) -> DataFrame:
 
 
 def induced_lexicon(sample: DataFrame) -> list[str]:
-    """Terms much more frequent in texts labelled 1, most frequent first; counted by Spark over the sample."""
+    """All terms that are ``telling`` and mostly in texts labelled 1, most frequent first; counted and chosen by Spark over the sample."""
 
     def emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,13 +181,15 @@ def induced_lexicon(sample: DataFrame) -> list[str]:
     share = labelled.agg(F.avg("label")).first()[0]
     if not share:
         return []
-    counted = labelled.select("text", "label").mapInArrow(emitted, "term string, label int").groupBy("term").agg(F.count("*").alias("size"), F.sum("label").alias("ones")).where("size >= 3")
-    counted = checkpointed(counted)
+    share = float(np.clip(share, 0.01, 0.99))
+    counted = checkpointed(labelled.select("text", "label").mapInArrow(emitted, "term string, label int").groupBy("term").agg(F.count("*").alias("size"), F.sum("label").alias("ones")).where("size >= 3"))
     looked_at = counted.count()
-    rows = counted.where("ones > 0.9 * size").orderBy(F.desc("ones"), "term").limit(20 * LEXICON_SIZE).collect()
-    size, ones = np.array([r["size"] for r in rows], dtype=float), np.array([r["ones"] for r in rows], dtype=float)
-    found = telling(size, ones, float(np.clip(share, 0.01, 0.99)), looked_at)
-    return [r["term"] for r, ok in zip(rows, found.tolist(), strict=True) if ok][:LEXICON_SIZE]
+    # The bound of ``telling``, for terms with a rate over 0.9.
+    rate = F.col("ones") / F.col("size")
+    up = rate * F.log(rate / share) + F.when(rate < 1, (1 - rate) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
+    chosen = counted.where((rate > 0.9) & (rate > share) & (F.col("size") * up > float(np.log(max(looked_at, 1)) + np.log(100))))
+    rows = chosen.select("term", "ones").collect()
+    return [r["term"] for r in sorted(rows, key=lambda r: (-r["ones"], r["term"]))]
 
 
 def votes(texts: list[str | None], lexicons: list[set[str]]) -> np.ndarray:
@@ -197,34 +205,87 @@ def votes(texts: list[str | None], lexicons: list[set[str]]) -> np.ndarray:
     return out
 
 
-def label_model(v: np.ndarray, prior: float, first: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior probability of class 1 of each row of votes.
-
-    ``first`` is the posterior to begin with. Each voter has a table P(vote | class); voters correlated within the classes get less
-    weight, one over one plus the sum of their positive correlations.
-    """
-    p = first.astype(float).copy()
-    if not len(p):
-        return p
-    for _ in range(rounds):
-        w = np.stack([1 - p, p], 1)
-        tables = np.stack([((v == k)[:, :, None] * w[:, None, :]).sum(0) for k in (-1, 0, 1)]) + 0.5
-        tables /= tables.sum(0)
-        # What is left of the votes once a class's mean is taken away, and how it is correlated.
-        means = (v.T @ w) / np.maximum(w.sum(0), 1e-9)
-        left = v - w @ means.T
-        scale = np.sqrt((left * left).sum(0))
-        correlation = (left.T @ left) / np.maximum(np.outer(scale, scale), 1e-9)
-        np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + np.maximum(correlation, 0).sum(1))
-        logs = np.log(tables)
-        lift = logs[v + 1, np.arange(v.shape[1])]
-        score = np.log(prior / (1 - prior)) + ((lift[:, :, 1] - lift[:, :, 0]) * weight).sum(1)
-        new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if np.abs(new - p).max() < 1e-4:
-            return new
+@dataclass
+class LabelModel:
+    """Class share, and for each voter its parent (-1: none) and P(vote | class, parent's vote), votes as -1, 0, 1."""
+
+    prior: float
+    parents: np.ndarray
+    tables: np.ndarray  # voter, parent's vote, vote, class
+
+    def log_likelihoods(self, v: np.ndarray) -> np.ndarray:
+        """log P(votes, class) of each row for both classes."""
+        logs = np.log(self.tables)
+        out = np.tile(np.log([1 - self.prior, self.prior]), (len(v), 1))
+        for j, parent in enumerate(self.parents.tolist()):
+            out += logs[j, v[:, parent] + 1 if parent >= 0 else np.zeros(len(v), np.int64), v[:, j] + 1]
+        return out
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        """P(class 1 | votes) of each row."""
+        both = self.log_likelihoods(v)
+        return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700)))
+
+
+def _pair_counts(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Expected number of rows with votes a of voter j and b of voter k, by class: (j, a, k, b, class)."""
+    n, m = v.shape
+    hot = (v[:, :, None] == np.array([-1, 0, 1])).reshape(n, 3 * m).astype(np.float64)
+    return np.stack([(hot * w[:, None]).T @ hot for w in (1 - p, p)], -1).reshape(m, 3, m, 3, 2)
+
+
+def dependency_tree(pairs: np.ndarray) -> np.ndarray:
+    """Each voter's parent in the tree with the largest mutual information within classes, from ``_pair_counts``; the first has none."""
+    m = len(pairs)
+    single = np.einsum("jajac->jac", pairs)
+    total = single.sum(1)[:1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        information = pairs * np.log(pairs * total / (single[:, :, None, None] * single[None, None]))
+    weight = np.nan_to_num(information).sum((1, 3, 4))
+    parents, best = np.full(m, -1), np.zeros(m, dtype=np.int64)
+    reach = weight[0].copy() if m else np.zeros(0)
+    left = np.arange(m) > 0
+    while left.any():
+        j = int(np.argmax(np.where(left, reach, -np.inf)))
+        parents[j], left[j] = best[j], False
+        closer = left & (weight[j] > reach)
+        reach[closer], best[closer] = weight[j][closer], j
+    return parents
+
+
+def estimated(pairs: np.ndarray, parents: np.ndarray, smoothing: float = 2.0) -> LabelModel:
+    """Tables from expected counts; a vote of the parent that is rarely seen leaves the voter's own share."""
+    single = np.einsum("jajac->jac", pairs) + 0.5
+    own = single / single.sum(1, keepdims=True)
+    tables = np.empty((len(parents), 3, 3, 2))
+    for j, parent in enumerate(parents.tolist()):
+        counts = pairs[parent, :, j] if parent >= 0 else np.zeros((3, 3, 2))
+        with_own = counts + smoothing * own[j][None]
+        tables[j] = with_own / with_own.sum(1, keepdims=True)
+    size = np.einsum("jajac->jac", pairs)[0].sum(0)
+    return LabelModel(float(np.clip((size[1] + 1) / (size.sum() + 2), 0.005, 0.6)), parents, tables)
+
+
+def label_model(v: np.ndarray, first: np.ndarray, rounds: int = 60, trees: int = 12) -> LabelModel:
+    """Fitted to votes by expectation maximisation; ``first`` is the posterior to begin with. The tree follows the first rounds."""
+    p, parents = first.astype(float), np.full(v.shape[1], -1)
+    model = None
+    for k in range(rounds):
+        pairs = _pair_counts(v, p)
+        if 0 < k <= trees:
+            parents = dependency_tree(pairs)
+        model = estimated(pairs, parents)
+        new = model.posterior(v)
+        if k > trees and np.abs(new - p).max() < 1e-4:
+            break
         p = new
-    return p
+    return model
+
+
+def by_majority(v: np.ndarray) -> np.ndarray:
+    """The posterior to begin with: sure where votes agree, the less the more they differ; unsure leans to clean."""
+    up, down = (v == 1).sum(1), (v == -1).sum(1)
+    return np.clip((up + 0.1) / (up + down + 1), 0.02, 0.98)
 
 
 def train(rows: np.ndarray, buckets: np.ndarray, p: np.ndarray, rounds: int = 600, rate: float = 0.5, decay: float = 1e-3) -> Model:
@@ -263,8 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     labelled = bounded_sample(marked.where("label >= 0"), "label", "_k", SAMPLE_PER_LABEL)
     rest = bounded_sample(marked.where("label < 0"), "label", "_k", SAMPLE_UNLABELLED)
     drawn_keys = F.broadcast(labelled.unionByName(rest).distinct())
-    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(drawn_keys, "_k").select(F.col("_k").cast("string").alias("key"), "text", "label")
-    sample = checkpointed(without_copies(texts))
+    texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("text")).join(drawn_keys, "_k").groupBy("_k", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = checkpointed(without_copies(texts.select(F.col("_k").cast("string").alias("key"), "text", "label")))
     learned = induced_lexicon(sample)
     # Terms are dealt to the induced lexicons in turn, so each has frequent and rare ones.
     lexicons = [{f"w:{w}" for w in x.split()} for x in INSULTS.values()] + [set(learned[i::LEXICON_VOTERS]) for i in range(min(LEXICON_VOTERS, len(learned)))]
@@ -281,14 +342,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # A few thousand rows of a few kilobytes: the sample's bound holds here too.
     drawn = sample.mapInArrow(seen, "key string, label int, votes binary, buckets binary").collect()
     drawn.sort(key=lambda r: r["key"])
-    labels = np.array([r["label"] for r in drawn], dtype=np.int64)
-    v = np.frombuffer(b"".join(r["votes"] for r in drawn), dtype=np.int8).reshape(len(drawn), len(lexicons) + len(PATTERNS))
-    known = (labels == 1).sum(), (labels == 0).sum()
-    annotator = np.where(labels == 1, 1, np.where(labels == 0, -1, 0)).astype(np.int8)
-    said = np.column_stack([v, annotator]).astype(np.int64)
-    prior = float(np.clip((known[0] + 1) / (sum(known) + 2), 0.02, 0.5))
-    first = np.where(labels == 1, 0.95, np.where(labels == 0, 0.05, np.where((v == 1).any(1), 0.6, 0.05)))
-    p = label_model(said, prior, first)
+    v = np.frombuffer(b"".join(r["votes"] for r in drawn), dtype=np.int8).reshape(len(drawn), len(lexicons) + len(PATTERNS)).astype(np.int64)
+    p = label_model(v, by_majority(v)).posterior(v) if len(drawn) else np.zeros(0)
     sizes = [len(r["buckets"]) // 4 for r in drawn]
     model = train(np.repeat(np.arange(len(drawn), dtype=np.int32), sizes), np.frombuffer(b"".join(r["buckets"] for r in drawn), dtype=np.int32), p)
     if not (p > 0.5).any():  # nothing learned: the fixed lexicons decide
