@@ -38,6 +38,7 @@ FREE_BITS = 12
 SHINGLES_AT_ONCE = 1 << 16
 #: Two shingle sets of Jaccard similarity J share a band with a chance of 1 - (1 - J ** BAND_ROWS) ** BANDS: 0.9993 at 0.8.
 BANDS, BAND_ROWS = 24, 6
+SALTS = 8
 
 
 def _mixed(h: np.ndarray, word: int) -> np.ndarray:
@@ -219,9 +220,8 @@ def marks(texts: DataFrame, n_words: int, width: int, bands: int = BANDS, rows:
 def _banded(shingles: np.ndarray, orders: np.ndarray, bands: int) -> np.ndarray:
     """The hash of each band, as signed longs."""
     least = np.full(len(orders), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for lo in range(0, len(shingles), 4096):
-        part = shingles[lo : lo + 4096]
-        least = np.minimum(least, [(part * o).min() for o in orders])
+    for lo in range(0, len(shingles), 512):
+        least = np.minimum(least, (orders[:, None] * shingles[lo : lo + 512]).min(1))
     out = [xxhash.xxh64_intdigest(x.tobytes(), 42) for x in least.reshape(bands, -1)]
     return np.array(out, dtype=np.uint64).view(np.int64)
 
@@ -292,11 +292,13 @@ def prefix_pairs(sets: DataFrame, least: float) -> DataFrame:
     probes = checkpointed(probes)
     parts = probes.groupBy("t", "component").agg(F.count("*").alias("c"))
     open_ = parts.groupBy("t").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("main")).where("parts > 1")
-    here = probes.join(open_.select("t", "main"), "t")
-    small = here.where(n - F.col("before") >= 2 * alike * n - room).select("t", bucket(n).alias("size"), "main", F.col("id").alias("a"), F.col("component").alias("ca"), n.alias("na"), F.col("before").alias("pa"))
-    large = here.select("t", F.explode(F.sequence(bucket(F.ceil(least * n - room)), bucket(F.col("top")))).alias("size"), F.col("id").alias("b"), F.col("component").alias("cb"), n.alias("nb"), F.col("before").alias("pb"), (F.col("component") == F.col("main")).alias("in_main"))
+    # A shingle that a large group shares is one key: its rows are dealt to SALTS parts, and what they are joined with goes to each.
+    salt, all_salts = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    here = probes.withColumn("salt", salt).join(open_.select("t", "main", all_salts.alias("salt")), ["t", "salt"])
+    small = here.where(n - F.col("before") >= 2 * alike * n - room).select("t", bucket(n).alias("size"), "main", F.col("id").alias("a"), F.col("component").alias("ca"), n.alias("na"), F.col("before").alias("pa"), all_salts.alias("salt"))
+    large = here.select("t", F.explode(F.sequence(bucket(F.ceil(least * n - room)), bucket(F.col("top")))).alias("size"), F.col("id").alias("b"), F.col("component").alias("cb"), n.alias("nb"), F.col("before").alias("pb"), (F.col("component") == F.col("main")).alias("in_main"), "salt")
     fits = (F.col("ca") != F.col("cb")) & (F.col("na") <= F.col("nb")) & (F.col("na") >= least * F.col("nb") - room) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= alike * (F.col("na") + F.col("nb")) - room)
-    on = ["t", "size"]
+    on = ["t", "size", "salt"]
     strays = small.where("ca <> main").join(large, on).where(fits)
     of_main = small.where("ca = main").join(large.where("not in_main"), on).where(fits)
     return strays.select("a", "b").unionByName(of_main.select("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
