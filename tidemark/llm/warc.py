@@ -28,12 +28,16 @@ TAG = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
 LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
-def html_text(html: Column) -> Column:
-    """Visible text: one line for each block, runs of blanks as one, no empty lines."""
+def bare(html: Column) -> Column:
+    """Text without elements, a line break for each block."""
     text = F.regexp_replace(html, UNSEEN, "\n")
     text = F.regexp_replace(text, BLOCK, "\n")
-    text = F.regexp_replace(text, TAG, "")
-    text = F.regexp_replace(decoded(text), "[ \\t\\r\\f]+", " ")
+    return F.regexp_replace(text, TAG, "")
+
+
+def tidy(text: Column) -> Column:
+    """Runs of blanks as one, no empty lines."""
+    text = F.regexp_replace(text, "[ \\t\\r\\f]+", " ")
     text = F.regexp_replace(text, " ?\\n[ \\n]*", "\n")
     return F.trim(text, F.lit(" \n"))
 
@@ -46,12 +50,18 @@ def _by_number(reference: Column) -> Column:
     return F.when(code == 38, "&amp;").when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
-def decoded(text: Column) -> Column:
-    """Character references as the characters; where no ``&`` is, nothing is searched."""
+def named(text: Column) -> Column:
+    """Character references by name as the characters, but for "&amp;"; where no ``&`` is, nothing is searched."""
     out = text
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.aggregate(F.array_distinct(F.regexp_extract_all(out, F.lit(NUMBERED), F.lit(0))), out, lambda t, x: F.replace(t, x, _by_number(x)))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+
+def numbered(text: Column) -> Column:
+    """Character references by number, then "&amp;"."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0)))
+    out = F.when(F.contains(text, F.lit("&#")), F.aggregate(found, text, lambda t, x: F.replace(t, x, _by_number(x)))).otherwise(text)
     return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
@@ -102,12 +112,15 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.coalesce(given, digest(text_of)).alias("source_digest"),
         "record_id",
     ).withColumn("record_id", F.coalesce("record_id", record_id(F.lit("response"), F.coalesce("target_uri", F.lit("")), F.col("source_digest"))))
+    # Step by step, so that no expression stands in another twice and is worked out again.
+    parts = {"_text": bare(F.col("html")), "_title": F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1)}
+    source = source.withColumns(parts).withColumns({c: named(F.col(c)) for c in parts}).withColumns({c: numbered(F.col(c)) for c in parts})
     source = source.withColumns(
         {
-            "text": html_text(F.col("html")),
+            "text": tidy(F.col("_text")),
             "metadata_id": record_id(F.lit("metadata"), F.col("record_id")),
             "conversion_id": record_id(F.lit("conversion"), F.col("record_id")),
-            "title": F.trim(F.regexp_replace(decoded(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1)), "[ \\t\\r\\n\\f]+", " ")),
+            "title": F.trim(F.regexp_replace("_title", "[ \\t\\r\\n\\f]+", " ")),
             "language": one_line(F.regexp_extract("html", r'(?i)<html\b[^>]*\blang="([^"]*)"', 1)),
             "links": F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: one_line(F.regexp_replace(x, "^[\"']|[\"']$", ""))),
         }
