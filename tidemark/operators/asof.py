@@ -54,10 +54,11 @@ def _union(left: DataFrame, right: DataFrame, key: str, tolerance_days: int | No
 
 
 def _range(left: DataFrame, right: DataFrame, key: str, tolerance_days: int | None, grid: object) -> DataFrame:
-    numbered = left.withColumn("_id", F.monotonically_increasing_id())
-    met = numbered.select("_id", F.col(key).alias("_k"), "_l").join(right, "_k").where(_fits(F.col("_l"), F.col("_t"), tolerance_days))
-    best = met.groupBy("_id").agg(F.max_by("_p", F.struct("_t", "_o")).alias("_p"))
-    return numbered.join(best, "_id", "left").drop("_id")
+    # The match depends on key and time alone, so these stand for the rows; no row number has to survive a task that runs again.
+    points = left.select(F.col(key).alias("_k"), "_l").where("_k is not null").distinct()
+    met = points.join(right, "_k").where(_fits(F.col("_l"), F.col("_t"), tolerance_days))
+    best = met.groupBy("_k", "_l").agg(F.max_by("_p", F.struct("_t", "_o")).alias("_p")).withColumnRenamed("_l", "_at")
+    return left.join(best, (F.col(key) == F.col("_k")) & (F.col("_l") == F.col("_at")), "left").drop("_k", "_at")
 
 
 def _grid(left: DataFrame, right: DataFrame, key: str, tolerance_days: int | None, grid: tuple[object, object, int] | None) -> DataFrame:
