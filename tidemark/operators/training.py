@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
@@ -27,7 +27,11 @@ def label_events(events: DataFrame, max_labels: int | None = 5000, point_in_time
     else:
         negatives = viewed.join(first, ["user_id", "item_id"], "left_anti")
     if max_labels is not None:
-        negatives = negatives.orderBy("timestamp", "event_id").limit(max(1, max_labels - bought.count()))
+        # At most ``max_labels`` rows are numbered; how many of them stay is asked within the query.
+        earliest = negatives.orderBy("timestamp", "event_id").limit(max(1, max_labels))
+        place = F.row_number().over(Window.orderBy("timestamp", "event_id"))
+        room = F.greatest(F.lit(1), F.lit(max_labels) - bought.agg(F.count("*")).scalar())
+        negatives = earliest.withColumn("_place", place).where(F.col("_place") <= room).drop("_place")
     both = bought.withColumn("label", F.lit(1)).unionByName(negatives.withColumn("label", F.lit(0)))
     kept = both.groupBy("user_id", "item_id", "label").agg(F.min(F.struct("timestamp", "event_id")).alias("first"))
     return kept.select("user_id", "item_id", F.col("first.timestamp").alias("timestamp"), "label")
