@@ -33,6 +33,21 @@ def test_offline_round_trip(spark, tmp_path):
     assert offline_store.from_json_lists(spark.createDataFrame([('["x","y"]',)], "t string"), ["t"]).first()["t"] == ["x", "y"]
 
 
+def test_damaged_files_are_left_out(spark, tmp_path):
+    rows = [(i, T0 + i * HOUR, i) for i in range(40)]
+    frame = spark.createDataFrame(rows, "user_id long, feature_timestamp timestamp, n long")
+    for k in (0, 1):
+        offline_store.write_snapshots(frame.where(f"n % 2 = {k}"), str(tmp_path), "user", k)
+    files = sorted(tmp_path.glob("entity=user/date=*/batch=0/*.parquet"))
+    assert len(files) == 3  # one for each date
+    files[0].write_bytes(b"no longer a file")
+    (files[0].parent / f".{files[0].name}.crc").unlink()
+    found = offline_store.read_snapshots(spark, str(tmp_path), "user", tolerant=True)
+    assert 20 <= found.count() < 40
+    with pytest.raises(Exception, match="."):
+        offline_store.read_snapshots(spark, str(tmp_path), "user").count()
+
+
 @pytest.fixture
 def online(spark):
     wide = spark.createDataFrame([(1, T0, 3, 2.5, ["a", "b"], "x\"y", float("inf"), None)], "user_id long, feature_timestamp timestamp, purchase_count_1h long, total_spend_24h double, category_affinity array<string>, note string, far double, gone long")

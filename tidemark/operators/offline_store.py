@@ -13,14 +13,15 @@ from tidemark.operators.features import key_of
 def write_snapshots(snapshots: DataFrame, path: str, entity: str, batch_id: str | int = 0) -> None:
     """Rows of a batch, by date. A batch written again replaces its own files and nothing else."""
     key_of(entity)
-    dated = snapshots.withColumn("date", F.to_date("feature_timestamp")).withColumn("batch", F.lit(str(batch_id)))
+    # Rebalanced by date: few files a date, and a date with many rows in several.
+    dated = snapshots.withColumn("date", F.to_date("feature_timestamp")).withColumn("batch", F.lit(str(batch_id))).hint("rebalance", "date")
     writer = dated.sortWithinPartitions("feature_timestamp").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("date", "batch").parquet(f"{path}/entity={entity}")
 
 
-def read_snapshots(spark: SparkSession, path: str, entity: str) -> DataFrame:
-    """All snapshots of an entity; columns that older files lack are null."""
-    return spark.read.option("mergeSchema", True).parquet(f"{path}/entity={entity}").drop("batch")
+def read_snapshots(spark: SparkSession, path: str, entity: str, tolerant: bool = False) -> DataFrame:
+    """All snapshots of an entity; columns that older files lack are null. ``tolerant``: files that can't be read are left out."""
+    return spark.read.options(mergeSchema=True, ignoreCorruptFiles=tolerant, ignoreMissingFiles=tolerant).parquet(f"{path}/entity={entity}").drop("batch")
 
 
 def history(snapshots: DataFrame, entity: str, entity_id: int, start: datetime | str, end: datetime | str) -> DataFrame:
