@@ -10,7 +10,7 @@ from tidemark.operators.offline_store import read_snapshots
 from tidemark.sources import events as source
 from tidemark.sources import generator
 from tidemark.streaming import pipeline
-from tidemark.streaming.metrics import Progress
+from tidemark.streaming.metrics import Histogram, Progress, observed
 
 T0 = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
@@ -48,7 +48,46 @@ def test_stream_equals_batch(spark, tmp_path):
     before = online.count()
     pipeline.process_batch(spark, made.limit(0), 0, paths)
     assert pipeline.read_online(spark, paths).count() == before
-    assert "stream_events_total" in listener.as_text()
+    assert "stream_events_total" in listener.as_text() and 'stream_batch_latency_ms_bucket{le="+Inf"}' in listener.as_text()
+
+
+def test_batches_read_their_history_only(spark, tmp_path):
+    """Three batches over three weeks: the third sees its last seven days, whatever lies before, and lists no other folder."""
+    paths = pipeline.Paths(str(tmp_path))
+    made = [generator.batch(spark, 60, T0 + timedelta(days=10 * k), 0.001, seed=k, n_users=5, n_items=20).persist() for k in range(3)]
+    for k, rows in enumerate(made):
+        pipeline.process_batch(spark, rows, k, paths)
+    ref = made[2].agg(F.max("ts")).first()[0] + timedelta(microseconds=1)
+    start = ref - timedelta(hours=pipeline.history_hours(pipeline.default_catalog()))
+    every = made[0].unionByName(made[1]).unionByName(made[2])
+    expected = features_as_of(every.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(ref))), "user", ref)
+    stored = read_snapshots(spark, paths.offline, "user").where(F.col("feature_timestamp") == F.lit(ref)).select(expected.columns)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, expected.collect()))
+    log = pipeline.read_log(spark, paths, start, ref)
+    assert log.count() == 60 and all("date=2024-06-2" in f for f in log.inputFiles())
+
+
+def test_online_store_is_an_upsert(spark, tmp_path):
+    paths, kind = pipeline.Paths(str(tmp_path)), "entity string, entity_id long, feature_name string, value_json string, written_at timestamp, expires_at timestamp"
+    expected = {}
+    for k in range(23):
+        rows = [("user", i, "f", str(k), T0 + timedelta(hours=k), T0 + timedelta(hours=k + 1)) for i in (k % 5, 100 + k)]
+        expected |= {r[1]: r[3] for r in rows}
+        for _ in range(1 + (k % 4 == 3)):  # a batch that comes again changes nothing
+            pipeline.upsert_online(spark, spark.createDataFrame(rows, kind), k, paths, every=3)
+    online = pipeline.read_online(spark, paths)
+    assert {r["entity_id"]: r["value_json"] for r in online.collect()} == expected
+    slots = [p.name for p in tmp_path.glob("online/*/slot=*")]
+    assert len(slots) == 2 + 6
+
+
+def test_lookups_are_observed(spark):
+    found, watch = observed(spark.createDataFrame([(1, "a", None), (2, None, None)], "id long, f string, g string"), ["f", "g"])
+    assert found.count() == 2 and watch.get == {"rows": 2, "values": 4, "misses": 3}
+    h = Histogram("ms", (1, 10))
+    for x in (0.5, 1, 5, 50):
+        h.add(x)
+    assert h.as_text().split("\n") == ['ms_bucket{le="1"} 2', 'ms_bucket{le="10"} 3', 'ms_bucket{le="+Inf"} 4', "ms_sum 56.5", "ms_count 4", ""]
 
 
 def test_generator_is_seeded(spark):

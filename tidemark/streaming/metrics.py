@@ -2,10 +2,39 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+# Upper ends of the latency buckets, in milliseconds.
+BATCH_MS = (0.5, 1, 2.5, 5, 10, 25, 50, 100, 250, 500, 1000)
+
+
+class Histogram:
+    """Counts by buckets, each with what is below its end."""
+
+    def __init__(self, name: str, ends: tuple[float, ...]):
+        self.name, self.ends, self.counts, self.total = name, ends, [0] * (len(ends) + 1), 0.0
+
+    def add(self, value: float) -> None:
+        self.counts[bisect_left(self.ends, value)] += 1
+        self.total += value
+
+    def as_text(self) -> str:
+        below = [sum(self.counts[: i + 1]) for i in range(len(self.counts))]
+        lines = [f'{self.name}_bucket{{le="{end}"}} {n}' for end, n in zip([*self.ends, "+Inf"], below, strict=True)]
+        return "\n".join([*lines, f"{self.name}_sum {self.total}", f"{self.name}_count {below[-1]}", ""])
+
+
+def observed(found: DataFrame, names: list[str], name: str = "lookups") -> tuple[DataFrame, Observation]:
+    """Looked-up rows, and what is counted of them as they are used: rows, values asked for, values that were missing."""
+    watch = Observation(name)
+    misses = [F.count_if(F.col(n).isNull()) for n in names]
+    return found.observe(watch, F.count("*").alias("rows"), (F.count("*") * len(names)).alias("values"), sum(misses[1:], misses[0]).alias("misses") if misses else F.lit(0).alias("misses")), watch
+
 
 class Progress(StreamingQueryListener):
     """Keeps the last batches' numbers, and totals."""
@@ -13,12 +42,14 @@ class Progress(StreamingQueryListener):
     def __init__(self, kept: int = 1000):
         self.batches: deque[dict] = deque(maxlen=kept)
         self.events, self.errors = 0, 0
+        self.latency = Histogram("stream_batch_latency_ms", BATCH_MS)
 
     def onQueryStarted(self, event: object) -> None: ...
 
     def onQueryProgress(self, event: object) -> None:
         p = event.progress
         self.events += p.numInputRows
+        self.latency.add(p.durationMs.get("triggerExecution", 0))
         self.batches.append({"batch_id": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "latency_ms": p.durationMs.get("triggerExecution", 0)})
 
     def onQueryIdle(self, event: object) -> None: ...
@@ -29,4 +60,4 @@ class Progress(StreamingQueryListener):
     def as_text(self) -> str:
         """In the text format that metric scrapers read."""
         slowest = max((b["latency_ms"] for b in self.batches), default=0)
-        return f"stream_events_total {self.events}\nstream_errors_total {self.errors}\nstream_batches_total {len(self.batches)}\nstream_batch_latency_ms_max {slowest}\n"
+        return f"stream_events_total {self.events}\nstream_errors_total {self.errors}\nstream_batches_total {len(self.batches)}\nstream_batch_latency_ms_max {slowest}\n" + self.latency.as_text()

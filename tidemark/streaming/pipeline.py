@@ -1,25 +1,35 @@
 """From a stream of messages to both stores.
 
-Messages are parsed, unreadable ones set aside, repeats of an event id dropped within the watermark. Each micro-batch appends its
-events to a log, and features of the entities it touches are computed from the log by the same expressions as in batch, for users
-and, by a shuffle of their own, for items. Both stores are written by batch id, so a replayed batch changes nothing.
+Messages are parsed, unreadable ones set aside, repeats of an event id dropped within the watermark. Each micro-batch adds its
+events to a log by date, and features of the entities it touches are computed from the days of the log that the history covers, by
+the same expressions as in batch, for users and, by a shuffle of their own, for items. So what a batch reads depends on the
+events of the history, not on the age of the log. Both stores are written by batch id, so a replayed batch changes nothing.
+
+The online store is a base with the latest value of every key and the last batches' rows on top. Bases and batches are written to
+slots in turn, each replacing what it held, so there are never more than two bases and ``2 * MERGE_EVERY`` batches to read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.catalog import Catalog, default_catalog
 from tidemark.operators import offline_store, online_store
-from tidemark.operators.features import features_as_of, key_of
+from tidemark.operators.features import features_as_of, key_of, measures_of
 from tidemark.sources.events import parse_events
 
 
+#: Batches between two merges of the online store.
+MERGE_EVERY = 20
+
+
 @dataclass(frozen=True)
 class Paths:
     root: str
@@ -36,44 +46,87 @@ def clean_stream(messages: DataFrame, late: str = "7 days") -> tuple[DataFrame,
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]), dead
 
 
-def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: Paths, catalog: Catalog | None = None, history: str | None = None, push: Callable[[DataFrame, int], None] | None = None) -> None:
+def history_hours(catalog: Catalog) -> int:
+    """The catalog's longest window."""
+    return max([m.hours for e in ("user", "item") for m in measures_of(catalog, e) if m.hours] or [24])
+
+
+def read_log(spark: SparkSession, paths: Paths, start: object, end: object) -> DataFrame:
+    """Events with start <= ts < end; only the folders of those days are listed and read."""
+    days = [(start + timedelta(days=k)).date() for k in range((end.date() - start.date()).days + 1)]
+    folders = "{" + ",".join(f"date={d}" for d in days) + "}"
+    log = spark.read.option("basePath", paths.log).parquet(f"{paths.log}/{folders}")
+    return log.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))).drop("date", "batch")
+
+
+def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: Paths, catalog: Catalog | None = None, history: int | None = None, push: Callable[[DataFrame, int], None] | None = None) -> None:
     """One micro-batch of events to the log and both stores.
 
-    The reference time is one microsecond after the batch's last event. ``history`` (an interval, as "7 days") bounds how much of
-    the log is read; without it, features over all time see all of it. ``push`` gets the online rows, for another key-value store.
+    The reference time is one microsecond after the batch's last event. ``history``: how many hours before it count, by default the
+    catalog's longest window; features over all time see those hours too. ``push`` gets the online rows, for another key-value store.
     """
     catalog = catalog or default_catalog()
-    batch.withColumn("batch", F.lit(str(batch_id))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(paths.log)
-    log = spark.read.parquet(paths.log)
-    own = log.where(F.col("batch") == str(batch_id)).drop("batch")
-    last = own.agg(F.timestamp_micros(F.unix_micros(F.max("ts")) + 1).alias("ref")).first()["ref"]
-    if last is None:
-        return
-    seen = log.where(F.col("ts") < F.lit(last)).drop("batch")
-    if history:
-        seen = seen.where(F.col("ts") >= F.lit(last) - F.expr(f"interval {history}"))
-    for entity in ("user", "item"):
-        key = key_of(entity)
-        touched = own.select(key).where(F.col(key).isNotNull()).distinct()
-        if entity == "item":
-            features = features_as_of(seen, entity, last, catalog).join(touched, key, "left_semi")  # popularity needs all items
-        else:
-            features = features_as_of(seen.join(touched, key, "left_semi"), entity, last, catalog)
-        features = features.persist()
-        offline_store.write_snapshots(features, paths.offline, entity, batch_id)
-        rows = online_store.to_online(features, entity, F.col("feature_timestamp"), catalog)
-        rows.withColumn("batch", F.lit(str(batch_id))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity", "batch").parquet(paths.online)
+    batch = batch.persist()
+    try:
+        last = batch.agg(F.max("ts").alias("last")).first()["last"]
+        if last is None:
+            return
+        dated = batch.withColumn("date", F.to_date("ts")).withColumn("batch", F.lit(str(batch_id))).hint("rebalance", "date")
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(paths.log)
+        ref = last + timedelta(microseconds=1)
+        seen = read_log(spark, paths, ref - timedelta(hours=history or history_hours(catalog)), ref)
+        made = []
+        for entity in ("user", "item"):
+            key = key_of(entity)
+            touched = batch.select(key).where(F.col(key).isNotNull()).distinct()
+            if entity == "item":
+                features = features_as_of(seen, entity, ref, catalog).join(touched, key, "left_semi")  # popularity needs all items
+            else:
+                features = features_as_of(seen.join(touched, key, "left_semi"), entity, ref, catalog)
+            made.append((entity, features.persist()))
+        rows = None
+        for entity, features in made:
+            offline_store.write_snapshots(features, paths.offline, entity, batch_id)
+            own = online_store.to_online(features, entity, F.col("feature_timestamp"), catalog)
+            rows = own if rows is None else rows.unionByName(own)
+        upsert_online(spark, rows, batch_id, paths)
         if push is not None:
             push(rows, batch_id)
-        features.unpersist()
+        for _, features in made:
+            features.unpersist()
+    finally:
+        batch.unpersist()
+
+
+def _read_any(spark: SparkSession, path: str) -> DataFrame | None:
+    """What is there by a path pattern, None if nothing is."""
+    try:
+        return spark.read.option("recursiveFileLookup", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def upsert_online(spark: SparkSession, rows: DataFrame, batch_id: int, paths: Paths, every: int | None = None) -> None:
+    """The rows of a batch take the place of older ones of their keys. Batches come in order of their ids; the last may come again.
+
+    Every ``every``-th batch the latest rows of all keys, from the other base and the batches since, become a base.
+    """
+    every = every or MERGE_EVERY
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{paths.online}/batch/slot={batch_id % (2 * every)}")
+    if batch_id % every == every - 1:
+        slot = batch_id // every % 2
+        base, recent = _read_any(spark, f"{paths.online}/base/slot={1 - slot}"), _read_any(spark, f"{paths.online}/batch/slot=*")
+        online_store.merged(base, recent).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{paths.online}/base/slot={slot}")
 
 
 def read_online(spark: SparkSession, paths: Paths) -> DataFrame:
-    """The latest value of each key over all batches."""
-    return online_store.merged(None, spark.read.parquet(paths.online).drop("batch").withColumn("entity", F.col("entity").cast("string")))
+    """The latest value of each key."""
+    return online_store.merged(_read_any(spark, f"{paths.online}/base/slot=*"), _read_any(spark, f"{paths.online}/batch/slot=*"))
 
 
-def start(messages: DataFrame, paths: Paths, late: str = "7 days", trigger: dict | None = None, catalog: Catalog | None = None, history: str | None = None) -> tuple[StreamingQuery, StreamingQuery]:
+def start(messages: DataFrame, paths: Paths, late: str = "7 days", trigger: dict | None = None, catalog: Catalog | None = None, history: int | None = None) -> tuple[StreamingQuery, StreamingQuery]:
     """The two running queries: features, and dead letters. ``trigger``: as {"processingTime": "500 milliseconds"}."""
     spark = messages.sparkSession
     events, dead = clean_stream(messages, late)
