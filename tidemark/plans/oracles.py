@@ -162,7 +162,24 @@ ORACLES: dict[str, str] = {
     "consistency_flags": f"WITH {STATS} SELECT feature_name, n_inconsistent FROM stats WHERE flagged",
     "event_type_counts": f"WITH {EV} SELECT event_type, count(*) AS n, count(item_id) AS n_items FROM ev GROUP BY event_type",
     "dedup_events": "SELECT event_id, user_id, ts FROM events",
-    "parse_events_json": "SELECT count(*) AS n FROM events",
+    "parse_events_json": """SELECT CASE WHEN event_id % 7 < 4 THEN 'dead' ELSE 'good' END AS kind,
+          CASE event_id % 7 WHEN 0 THEN 'not an event' WHEN 1 THEN 'unknown event_type' WHEN 2 THEN 'no user_id' WHEN 3 THEN 'no ts' ELSE '' END AS reason, count(*) AS n FROM events GROUP BY ALL""",
+    "label_events_capped": f"WITH {EV}, {_labels(2500)} SELECT * FROM labels_",
+    "stored_history_range": f"WITH {EV}, {GRID}, {PAST}, {USER_SNAPS} SELECT user_id, feature_timestamp, purchase_count_24h, item_view_count_24h FROM user_snaps WHERE user_id = 7 AND feature_timestamp >= TIMESTAMP '2024-01-10' AND feature_timestamp < TIMESTAMP '2024-01-17'",
+    "online_upserted": f"WITH {ONLINE} SELECT *, CAST(epoch(expires_at) - epoch(TIMESTAMP '{NOW}') AS BIGINT) AS ttl_seconds FROM online WHERE expires_at > TIMESTAMP '{NOW}'",
+    "generated_events": """SELECT event_type, (SELECT count(*) FROM events) AS total, CAST(weight AS DOUBLE) AS weight, true AS as_weighted, CAST(0 AS BIGINT) AS broken
+        FROM (VALUES ('page_view', 0.4), ('item_view', 0.3), ('add_to_cart', 0.15), ('purchase', 0.1), ('search', 0.04), ('rating', 0.01)) w(event_type, weight)""",
+    "catalog": """SELECT entity, name, dtype, CAST(hours * 3600 AS BIGINT) AS ttl_seconds, "window", description FROM (VALUES
+        ('user', 'purchase_count_1h', 'int', 1, '1h', 'Purchases in the last hour'), ('user', 'purchase_count_24h', 'int', 24, '24h', 'Purchases in the last day'),
+        ('user', 'item_view_count_1h', 'int', 1, '1h', 'Item views in the last hour'), ('user', 'item_view_count_24h', 'int', 24, '24h', 'Item views in the last day'),
+        ('user', 'cart_count_1h', 'int', 1, '1h', 'Additions to the cart in the last hour'), ('user', 'total_spend_24h', 'float', 24, '24h', 'Money spent in the last day'),
+        ('user', 'avg_session_duration', 'float', 24, NULL, 'Mean length of sessions, in minutes'), ('user', 'conversion_rate_7d', 'float', 168, '7d', 'Purchases for each item view in the last week'),
+        ('user', 'category_affinity', 'list', 24, '24h', 'The three categories viewed most in the last day'), ('user', 'days_since_last_purchase', 'float', 24, NULL, 'Days since the last purchase, infinite if none'),
+        ('item', 'view_count_1h', 'int', 1, '1h', 'Views in the last hour'), ('item', 'view_count_24h', 'int', 24, '24h', 'Views in the last day'),
+        ('item', 'purchase_count_24h', 'int', 24, '24h', 'Purchases in the last day'), ('item', 'cart_add_count_1h', 'int', 1, '1h', 'Additions to carts in the last hour'),
+        ('item', 'avg_rating', 'float', 24, NULL, 'Mean rating, 0 if none'), ('item', 'conversion_rate_24h', 'float', 24, '24h', 'Purchases for each view in the last day'),
+        ('item', 'revenue_24h', 'float', 24, '24h', 'Money taken in the last day'), ('item', 'popularity_rank_1h', 'float', 1, '1h', 'Views in the last hour as a share of the most viewed item''s')
+        ) c(entity, name, dtype, hours, "window", description)""",
     "parsed_events": f"WITH {EV} SELECT CAST(event_id AS BIGINT) AS event_id, user_id, event_type, item_id, ts, session_id, category, CAST(amount AS DOUBLE) AS total_amount FROM ev",
     "tumbling_window": f"WITH {EV} SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM ev GROUP BY ALL",
     "sliding_window": f"WITH {EV} SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL (6 * d) HOUR AS start, user_id, count(*) AS n FROM ev, range(4) r(d) GROUP BY ALL",

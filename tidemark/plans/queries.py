@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from tidemark.functions.features import HOUR_US, Measure, in_window, micros
 from tidemark.operators import asof, consistency, features, offline_store, online_store, snapshots, training
 from tidemark.sources import events as source
 from tidemark.sources import generator
+from tidemark.streaming import pipeline
 
 REF = "2024-01-20 00:00:00"
 START, END = "2024-01-02 00:00:00", "2024-01-30 00:00:00"
@@ -155,11 +157,11 @@ def leakage_report_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.leakage(_joined(spark, sf_dir, True).withColumn("feature_timestamp_used", late))
 
 
-def online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users' and items' features of REF, written then."""
-    seen = events(spark, sf_dir)
-    users = features.features_as_of(seen, "user", REF).select("user_id", "feature_timestamp", "purchase_count_1h", "purchase_count_24h", "item_view_count_24h")
-    items = features.features_as_of(seen, "item", REF).select("item_id", "feature_timestamp", "view_count_1h", "view_count_24h", "purchase_count_24h")
+def online(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None, ref: str = REF) -> DataFrame:
+    """Users' and items' features of a time, written then."""
+    seen = events(spark, sf_dir) if seen is None else seen
+    users = features.features_as_of(seen, "user", ref).select("user_id", "feature_timestamp", "purchase_count_1h", "purchase_count_24h", "item_view_count_24h")
+    items = features.features_as_of(seen, "item", ref).select("item_id", "feature_timestamp", "view_count_1h", "view_count_24h", "purchase_count_24h")
     at = F.col("feature_timestamp")
     return online_store.to_online(users, "user", at).unionByName(online_store.to_online(items, "item", at))
 
@@ -223,12 +225,19 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as messages, every seventh broken, parsed again."""
-    messages = source.to_messages(events(spark, sf_dir))
-    broken = messages.withColumn("value", F.when(F.crc32("value") % 7 == 0, F.substring("value", 1, 20)).otherwise(F.col("value")))
-    good, dead = source.parse_events(broken)
-    kept = good.groupBy(F.lit("good").alias("kind")).agg(F.count("*").alias("n"))
-    return kept.unionByName(dead.groupBy(F.lit("dead").alias("kind")).agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
+    """Events as messages, four of every seven broken in a way of their own, parsed again: counts by kind and reason."""
+    seen = events(spark, sf_dir)
+    messages = source.to_messages(seen).withColumn("n", F.pmod(F.get_json_object("value", "$.event_id").cast("long"), F.lit(7)))
+    broken = (
+        F.when(F.col("n") == 0, F.substring("value", 1, 20))
+        .when(F.col("n") == 1, F.regexp_replace("value", '"event_type":"[a-z_]*"', '"event_type":"dance"'))
+        .when(F.col("n") == 2, F.replace("value", F.lit('"user_id"'), F.lit('"nobody"')))
+        .when(F.col("n") == 3, F.regexp_replace("value", '"timestamp":"[^"]*"', '"timestamp":"soon"'))
+        .otherwise(F.col("value"))
+    )
+    good, dead = source.parse_events(messages.select(broken.alias("value")))
+    kinds = good.select(F.lit("good").alias("kind"), F.lit("").alias("reason")).unionByName(dead.select(F.lit("dead").alias("kind"), "reason"))
+    return kinds.groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
 
 def parsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,10 +274,52 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many synthetic events as the driver's table has, by type."""
-    n = read(spark, sf_dir, "events").count()
-    made = generator.historical(spark, n, END)
-    return made.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("metadata.rating"), 2).alias("mean_rating"), F.round(F.avg("metadata.price"), 2).alias("mean_price"))
+    """As many synthetic events as the driver's table has, by type: whether the share lies within six standard deviations of the
+    weight, and how many rows break a rule of the record."""
+    n = read(spark, sf_dir, "events").agg(F.count("*").alias("total"))
+    made = generator.historical(spark, n.first()["total"], END)
+    expected = F.create_map(*[F.lit(x) for pair in generator.WEIGHTS for x in pair])[F.col("event_type")]
+    m, has_item = F.col("metadata"), F.col("event_type").isin("item_view", "add_to_cart", "purchase", "rating")
+    broken = (
+        (F.col("item_id").isNotNull() != has_item) | (m["price"].isNotNull() != has_item) | (F.col("event_type").isin("rating") & ~m["rating"].between(1, 5)) | ((F.col("event_type") == "purchase") & (F.abs(m["total_amount"] - m["price"] * m["quantity"]) > 0.006))
+        | ~F.col("user_id").between(1, 10_000) | ~F.coalesce(F.col("item_id"), F.lit(1)).between(1, 5_000) | (F.col("ts") > F.lit(END).cast("timestamp")) | (F.col("ts") < F.lit(END).cast("timestamp") - F.expr("interval 48 hours"))
+    )
+    by_type = made.groupBy("event_type").agg(F.count("*").alias("made"), F.count_if(broken).alias("broken"), F.first(expected).alias("weight"))
+    total = F.sum("made").over(Window.partitionBy(F.lit(1)))  # six rows
+    counted = by_type.withColumn("total", total)
+    return counted.select("event_type", "total", "weight", (F.abs(F.col("made") / F.col("total") - F.col("weight")) <= 6 * F.sqrt(F.col("weight") * (1 - F.col("weight")) / F.col("total"))).alias("as_weighted"), "broken")
+
+
+def label_events_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cap that leaves few views at sf0.01, and one at larger sizes."""
+    return naive(training.label_events(events(spark, sf_dir), max_labels=2500))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: beside the checkpoints if the session has a place for them."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        master = spark.sparkContext.master
+        top = "/tmp" if master == "local" or master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_history_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entity_history_range`` from the offline store: written by date in two batches, one of them twice, and read by dates."""
+    path, grid = scratch(spark, "offline"), user_grid(spark, sf_dir).select("user_id", "feature_timestamp", "purchase_count_24h", "item_view_count_24h")
+    early = F.col("feature_timestamp") < F.lit("2024-01-14 00:00:00").cast("timestamp")
+    for rows, batch_id in ((grid.where(early), 1), (grid.where(~early), 2), (grid.where(~early), 2)):
+        offline_store.write_snapshots(rows, path, "user", batch_id)
+    stored = offline_store.read_snapshots(spark, path, "user")
+    return naive(offline_store.history(stored, "user", 7, "2024-01-10 00:00:00", "2024-01-17 00:00:00").drop("date"))
+
+
+def online_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``online_ttl_visible`` from the online store after five upserts of older values, with a merge every second batch."""
+    seen, paths = events(spark, sf_dir), pipeline.Paths(scratch(spark, "online"))
+    for batch_id, ref in enumerate(("2024-01-05 00:00:00", "2024-01-10 00:00:00", "2024-01-15 00:00:00", "2024-01-19 23:00:00", REF)):
+        pipeline.upsert_online(spark, online(spark, sf_dir, seen, ref), batch_id, paths, every=2)
+    return naive(online_store.visible(pipeline.read_online(spark, paths), NOW))
 
 
 QUERIES: dict[str, Query] = {
@@ -279,5 +330,6 @@ QUERIES: dict[str, Query] = {
         pit_join_user_range, pit_join_user_grid, training_set, asof_orders_lineitem, leakage_report, leakage_report_injected, online_ttl_visible, online_after_delete,
         feature_vector_lookup, batch_lookup, missing_features, consistency_stats, consistency_flags, event_type_counts, dedup_events, parse_events_json, parsed_events,
         tumbling_window, sliding_window, gap_sessions, windowed_measures, catalog, generated_events,
+        label_events_capped, stored_history_range, online_upserted,
     )
 }
