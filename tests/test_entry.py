@@ -1,5 +1,7 @@
 """Every registered query equals its SQL on the smallest tables, where these are there."""
 
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -31,6 +33,14 @@ def test_query_equals_sql(spark, name):
     assert plain(QUERIES[name](spark, str(DATA)).toPandas()) == plain(db.execute(ORACLES[name]).fetchdf())
 
 
+def test_entry_without_the_corpus_operators(tmp_path):
+    """A library that they need and that isn't there leaves all other queries."""
+    root = Path(__spark_entry__.__file__).parent
+    code = "import sys; sys.modules['tidemark.llm.queries'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), sum(k.startswith('op') and k[2].isdigit() for k in e.queries()))"
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout
+    assert out.split() == [str(len(QUERIES)), "0"]
+
+
 def test_entry_names():
     assert set(ORACLES) <= set(QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
