@@ -1,10 +1,11 @@
 """Embedding near-duplicates by an exact metric range join.
 
 Cosine c between unit vectors is Euclidean distance sqrt(2 - 2c), a metric. Pivots drawn from the vectors, about sqrt(n) of them,
-cut space into cells: a vector's home is the cell of its nearest pivot. By the triangle inequality a vector v can be within r of a
-member of cell j only if d(v, p_j) - d(v, p_home) <= 2r and d(v, p_j) <= R_j + r, where R_j is the largest distance of a member
-of j from its pivot; in Euclidean space the first is sharpened to v's distance from the plane halfway between the two pivots,
-which must not exceed r.
+cut space into cells: a vector's home is the cell of its nearest pivot p, of two that each pivot has: the ball of 2r around it, and
+what lies outside. By the triangle inequality a vector v can be within r of a member of cell j only if
+d(v, p_j) - d(v, p_home) <= 2r and d(v, p_j) lies between the least and the largest distance of members of j from p_j, or at most r
+outside; in Euclidean space the first is sharpened to v's distance from the plane halfway between the two pivots, which must
+not exceed r. So a dense cluster is a cell of small extent, whatever else is nearest to its pivot.
 
 Neighbouring cells are packed into regions of at most ``block`` vectors, so that a vector travels to a region once, however
 many of its cells it may reach: v is sent to just those regions of a lower number that hold such a cell, each pair of vectors
@@ -17,7 +18,8 @@ each vector's number of links and a spanning forest of its links.
 A block holds an eighth of the vectors, and at most ``BLOCK_BYTES``: where the bounds prune nothing, a vector is copied to about
 as many groups as there are blocks, eight until n vectors outgrow eight blocks' bytes (524,288 of 64 dimensions), then n times their bytes over
 ``BLOCK_BYTES``. The driver holds the pivots, and for each of them two counts and a radius: they grow as the root of n (51 MB of
-pivots at 10 billion vectors of 64 dimensions). ``pruned`` tells what share of all pairs the bounds leave out.
+pivots at 10 billion vectors of 64 dimensions). ``pruned`` tells what share of all pairs the bounds leave out: in 64 dimensions
+vectors without clusters are about as far from every pivot, and nearly none is.
 
 Defined results: null and zero vectors, and those with null or non-finite components, link with nothing; nor does a vector
 link with one of another length; a null id has no links and a null component; repeated rows are vectors of their own and link
@@ -63,7 +65,8 @@ def _matrix(codes: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     chunks = codes.chunks if isinstance(codes, pa.ChunkedArray) else [codes]
     parts = [np.zeros((0, dims))]
     for c in chunks:
-        _, offsets, data = c.cast(pa.large_binary()).buffers()
+        c = c.cast(pa.large_binary())
+        _, offsets, data = c.buffers()
         at = np.frombuffer(offsets, dtype=np.int64)[c.offset : c.offset + len(c) + 1]
         if len(c):
             parts.append(np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]].view(np.float64).reshape(-1, dims))
@@ -91,26 +94,33 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 class Cells:
-    """Pivots of one vector length, and which cells a vector belongs or is sent to."""
+    """Pivots of one vector length, and which cells a vector belongs or is sent to: 2 j is pivot j's ball, 2 j + 1 the rest."""
 
     def __init__(self, pivots: np.ndarray, radius: float):
         self.pivots, self.radius = pivots, radius
 
+    def __len__(self) -> int:
+        return 2 * len(self.pivots)
+
     def distances(self, v: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(2 - 2 * v @ self.pivots.T, 0))
 
     def homes(self, d: np.ndarray) -> np.ndarray:
-        return np.argmin(d, 1)
-
-    def reached(self, d: np.ndarray, home: np.ndarray, reach: np.ndarray) -> np.ndarray:
-        """Boolean matrix: cells that may hold a vector within the radius. ``reach``: each cell's R_j, -inf if empty."""
-        own = d[np.arange(len(d)), home][:, None]
-        plane = (d * d - own * own) / np.maximum(2 * self.distances(self.pivots[home]), 1e-12)
-        return (d - own <= 2 * self.radius + ROOM) & (plane <= self.radius + ROOM) & (d <= reach + self.radius + ROOM)
+        return 2 * np.argmin(d, 1) + (d.min(1) > 2 * self.radius)
+
+    def reached(self, d: np.ndarray, home: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Boolean matrix: cells that may hold a vector within the radius. ``least``, ``most``: how far each cell's members are from
+        its pivot (infinite and -infinite if there are none)."""
+        room = self.radius + ROOM
+        own = d[np.arange(len(d)), home // 2][:, None]
+        plane = (d * d - own * own) / np.maximum(2 * self.distances(self.pivots[home // 2]), 1e-12)
+        near = (d - own <= 2 * room) & (plane <= room)
+        at = np.repeat(d, 2, axis=1)
+        return np.repeat(near, 2, axis=1) & (at <= most + room) & (at >= least - room)
 
     def at_once(self) -> int:
         """How many vectors to look at together."""
-        return max(1, CELLS_AT_ONCE // len(self.pivots))
+        return max(1, CELLS_AT_ONCE // len(self))
 
 
 @dataclass
@@ -123,9 +133,10 @@ class Regions:
 
 
 def packed(cells: Cells, members: np.ndarray, block: int) -> np.ndarray:
-    """A region number for each cell: cells near the same pivot follow each other, and a region is full at ``block`` vectors."""
-    d = cells.distances(cells.pivots[: BLOCKS * 4])
-    order = np.lexsort((d.min(0), np.argmin(d, 0)))
+    """A region number for each cell: balls follow what lies outside them, cells near the same pivot follow each other, and a region is
+    full at ``block`` vectors."""
+    d = np.repeat(cells.distances(cells.pivots[: BLOCKS * 4]), 2, axis=1)
+    order = np.lexsort((d.min(0), np.argmin(d, 0), np.arange(len(cells)) % 2 == 0))
     out, region, filled = np.zeros(len(members), dtype=np.int64), 0, 0
     for j in order.tolist():
         if filled and filled + members[j] > block:
@@ -220,7 +231,7 @@ def blocks(classes: DataFrame, least: float, block_bytes: int = BLOCK_BYTES) ->
         chosen = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("id"), "id").limit(int(np.ceil(np.sqrt(n)))).select("code").collect()
         cells[dims] = Cells(unit(np.stack([np.frombuffer(r["code"], dtype=np.float64) for r in chosen])), radius)
         block[dims] = max(1, min(max(LEAST_BLOCK, -(-n // BLOCKS)), block_bytes // (8 * dims)))
-    first = {dims: sum(len(cells[x].pivots) for x in sorted(cells) if x < dims) for dims in cells}
+    first = {dims: sum(len(cells[x]) for x in sorted(cells) if x < dims) for dims in cells}
 
     def by_dims(b: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray]]:
         for dims in pc.unique(b.column("dims")).to_pylist():
@@ -235,13 +246,13 @@ def blocks(classes: DataFrame, least: float, block_bytes: int = BLOCK_BYTES) ->
             for dims, _, d, home in by_dims(b):
                 yield pa.RecordBatch.from_arrays([pa.array((home + first[dims]).astype(np.int32)), pa.array(d.min(1))], ["cell", "far"])
 
-    n_cells = sum(len(c.pivots) for c in cells.values())
-    reach, members = np.full(n_cells, -np.inf), np.zeros(n_cells, dtype=np.int64)
-    for r in classes.mapInArrow(at_home, "cell int, far double").groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
-        reach[r["cell"]], members[r["cell"]] = r["far"], r["n"]
+    n_cells = sum(map(len, cells.values()))
+    least_far, most_far, members = np.full(n_cells, np.inf), np.full(n_cells, -np.inf), np.zeros(n_cells, dtype=np.int64)
+    for r in classes.mapInArrow(at_home, "cell int, far double").groupBy("cell").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.count("*").alias("n")).collect():
+        least_far[r["cell"]], most_far[r["cell"]], members[r["cell"]] = r["near"], r["far"], r["n"]
     of_cell, room = np.zeros(n_cells, dtype=np.int64), []
     for dims in sorted(cells):
-        own = slice(first[dims], first[dims] + len(cells[dims].pivots))
+        own = slice(first[dims], first[dims] + len(cells[dims]))
         of_cell[own] = packed(cells[dims], members[own], block[dims]) + len(room)
         room += [block[dims]] * (int(of_cell[own].max()) + 1 - len(room))
     regions = Regions(of_cell, np.bincount(of_cell, weights=members, minlength=len(room)).astype(np.int64), np.array(room, dtype=np.int64))
@@ -249,9 +260,9 @@ def blocks(classes: DataFrame, least: float, block_bytes: int = BLOCK_BYTES) ->
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dims, part, d, home in by_dims(b):
-                own = slice(first[dims], first[dims] + d.shape[1])
+                own = slice(first[dims], first[dims] + len(cells[dims]))
                 region = regions.of_cell[own]
-                reached = cells[dims].reached(d, home, reach[own]) & (region < region[home][:, None])
+                reached = cells[dims].reached(d, home, least_far[own], most_far[own]) & (region < region[home][:, None])
                 lists = [np.unique(region[x]).astype(np.int32) for x in reached]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("dims", "code", "id", "copies")), pa.array(region[home].astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))], ["dims", "code", "id", "copies", "home", "visits"]
