@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_line_dedup import brute
@@ -74,4 +75,47 @@ def test_stages(spark, folder, tmp_path):
     assert {r["doc_id"] for r in fifth} == left
     again = sorted(map(str, (r.asDict() for r in corpus_pipeline.run(spark, folder).collect())))
     assert again == sorted(map(str, fifth))
-    assert corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame([(None, "a", "xx", "s", 1), (1, "a", "xx", "s", 1), (1, "a", "xx", "s", 1)], COLUMNS), folder).count() == 2
+    assert corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame([(None, "a", "xx", "s", 1), (1, "a", "xx", "s", 1), (1, "a", "xx", "s", 1)], COLUMNS), folder).count() == 1
+
+
+def test_empty_table_and_clashing_columns(spark, folder):
+    """Every stage on no rows; and the extra columns that stages name their results by keep their values."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, folder)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+    extra = {c: F.lit(f"own {c}") for c in ("score", "rejected", "predicted", "lang_pred", "n_lines", "n_removed", "fps", "piece")}
+    more = docs.withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, folder)
+        if name != "packing":
+            assert out.columns == more.columns
+            row = out.where("doc_id = 9").first().asDict()
+            assert all(row[c] == f"own {c}" for c in extra)
+            assert sorted(r["doc_id"] or -1 for r in out.collect()) == sorted(r["doc_id"] or -1 for r in stage(spark, docs, folder).collect())
+
+
+def test_near_copies_against_brute_force(spark, folder):
+    """Groups by equal sets or an exact Jaccard similarity of 0.8 over five-word shingles; the least id of each stays."""
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = []
+    for i in range(60):
+        text = [draw.choice(words) for _ in range(draw.choice([3, 40, 120]))]
+        rows.append(text)
+        for _ in range(draw.choice([0, 0, 1, 2])):
+            text = list(text)
+            for _ in range(draw.choice([0, 1, 3, 6])):
+                text[draw.randrange(len(text))] = draw.choice(words)
+            rows.append(text)
+    shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    frame = spark.createDataFrame([(i, " ".join(w), "xx", "s", 1) for i, w in enumerate(rows)], COLUMNS)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, folder).collect()}
+    assert kept == set(group) and len(kept) < len(rows)
