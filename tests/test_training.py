@@ -7,7 +7,7 @@ import pytest
 
 from tests.test_features import event
 from tidemark.operators.asof import asof_join
-from tidemark.operators.training import build_training_set, label_events, leakage, validate_no_leakage
+from tidemark.operators.training import build_training_set, export_csv, import_csv, label_events, leakage, validate_no_leakage
 from tidemark.schema import EVENT
 
 T0 = datetime(2024, 7, 1, 12, tzinfo=timezone.utc)
@@ -81,3 +81,18 @@ def test_leakage(spark):
     missing = validate_no_leakage(clean.drop("feature_timestamp_used"))
     assert not missing.passed and missing.violations == 5
     assert leakage(clean.withColumn("feature_timestamp_used", clean["label_timestamp"] - timedelta(days=1))).first()["violations"] == 0
+
+
+def test_items_are_among_the_violations_shown(spark):
+    kind = "user_id long, feature_timestamp_used timestamp, item_feature_timestamp_used timestamp, label_timestamp timestamp, label int"
+    rows = [(1, T0 - DAY, T0, T0, 1), (2, T0 + DAY, None, T0, 0), (3, T0 - DAY, T0 - DAY, T0, 1), (4, None, None, T0, 1)]
+    report = validate_no_leakage(spark.createDataFrame(rows, kind))
+    assert (report.violations, [d.split(" is")[0].split()[:3] for d in report.details]) == (2, [["user", "1:", "item"], ["user", "2:", "user"]])
+
+
+def test_csv_keeps_microseconds_lists_and_nulls(spark, tmp_path):
+    kind = "user_id long, at timestamp, share double, tags array<string>"
+    rows = [(1, T0 + timedelta(microseconds=7), 0.1, ["a,b", 'q"']), (2, T0, None, []), (None, None, float("inf"), None)]
+    data = spark.createDataFrame(rows, kind)
+    export_csv(data, str(tmp_path / "csv"))
+    assert sorted(map(str, import_csv(spark, str(tmp_path / "csv"), data.schema).collect())) == sorted(map(str, data.collect()))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.asof import asof_join
 
@@ -81,6 +82,14 @@ def leakage(dataset: DataFrame) -> DataFrame:
     return dataset.agg(F.count("*").alias("total_rows"), late("feature_timestamp_used").alias("violations"), late("item_feature_timestamp_used").alias("item_violations"))
 
 
+def violations(dataset: DataFrame, most: int = 10) -> DataFrame:
+    """The first ``most`` violations, in order of time, user and entity: (label_timestamp, user_id, entity, feature_timestamp_used)."""
+    used = {"user": "feature_timestamp_used", "item": "item_feature_timestamp_used"}
+    found = F.array(*[F.struct(F.lit(e).alias("entity"), F.col(c).alias("feature_timestamp_used")) for e, c in used.items() if c in dataset.columns])
+    each = dataset.select("label_timestamp", "user_id", F.inline(found)).where("feature_timestamp_used >= label_timestamp")
+    return each.orderBy("label_timestamp", "user_id", "entity", "feature_timestamp_used").limit(most)
+
+
 def validate_no_leakage(dataset: DataFrame) -> LeakageReport:
     missing = [c for c in ("feature_timestamp_used", "label_timestamp") if c not in dataset.columns]
     if missing:
@@ -88,11 +97,22 @@ def validate_no_leakage(dataset: DataFrame) -> LeakageReport:
         return LeakageReport(False, n, n, [f"column missing: {c}" for c in missing])
     row = leakage(dataset).first()
     bad = row["violations"] + row["item_violations"]
-    rows = dataset.where("feature_timestamp_used >= label_timestamp").orderBy("label_timestamp", "user_id").limit(10).collect() if row["violations"] else []
-    return LeakageReport(bad == 0, bad, row["total_rows"], [f"user {r['user_id']}: feature {r['feature_timestamp_used']} is not before label {r['label_timestamp']}" for r in rows])
+    rows = violations(dataset).collect() if bad else []
+    return LeakageReport(bad == 0, bad, row["total_rows"], [f"user {r['user_id']}: {r['entity']} feature {r['feature_timestamp_used']} is not before label {r['label_timestamp']}" for r in rows])
+
+
+#: With microseconds, which Spark's own default cuts off.
+CSV = {"header": True, "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def export_csv(dataset: DataFrame, path: str) -> None:
     """CSV with a header; arrays as JSON. One file for each partition."""
     flat = [F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in dataset.dtypes]
-    dataset.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    dataset.select(*flat).write.mode("overwrite").options(**CSV).csv(path)
+
+
+def import_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``export_csv`` wrote of a dataset with this schema; JSON as arrays, structs and maps again."""
+    nested = {f.name: f.dataType for f in schema if isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType)}
+    text = T.StructType([T.StructField(f.name, T.StringType() if f.name in nested else f.dataType) for f in schema])
+    return spark.read.options(**CSV).schema(text).csv(path).withColumns({c: F.from_json(c, t) for c, t in nested.items()})

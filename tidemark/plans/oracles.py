@@ -119,6 +119,24 @@ STATS = f"""{EV}, off AS (SELECT user_id, {_user(AT)} FROM ev WHERE ts < {AT} GR
     round(avg(diff), 4) AS mean_relative_diff, round(max(CAST(diff AS DOUBLE)), 4) AS max_relative_diff, count(*) FILTER (WHERE diff > 0.05) / count(*) > 0.05 AS flagged
   FROM pairs GROUP BY feature_name)"""
 
+# What each run of a stream sees: the days of the longest window before the last event of its part, for those with an event in it.
+STREAMED = f"""{EV}, cut AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS part FROM ev),
+parts AS (SELECT part, max(ts) + INTERVAL 1 MICROSECOND AS gt FROM cut GROUP BY part),
+seen AS (SELECT p.part, p.gt, e.* EXCLUDE (part) FROM parts p JOIN cut e ON e.ts >= p.gt - INTERVAL 168 HOUR AND e.ts < p.gt)"""
+_STREAMED_ITEMS = f"""items AS (SELECT item_id, gt, {_item('gt')} FROM seen SEMI JOIN (SELECT DISTINCT part AS part_, item_id AS item_id_ FROM cut) t ON seen.part = t.part_ AND seen.item_id = t.item_id_ GROUP BY item_id, gt),
+last_ AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY gt DESC) = 1)"""
+
+
+def _streamed_item(name: str, ttl: int) -> str:
+    return f"SELECT 'item' AS entity, item_id AS entity_id, '{name}' AS feature_name, CAST({name} AS VARCHAR) AS value_json, gt AS written_at, gt + INTERVAL {ttl} SECOND AS expires_at FROM last_"
+
+
+_LATEST = f"""WITH {NULLABLE} SELECT user_id, max(feature_timestamp) AS feature_timestamp, arg_max(purchase_count_24h, feature_timestamp) AS purchase_count_24h,
+  arg_max(conversion_rate_7d, feature_timestamp) FILTER (WHERE conversion_rate_7d IS NOT NULL) AS conversion_rate_7d,
+  arg_max(total_spend_24h, feature_timestamp) FILTER (WHERE total_spend_24h IS NOT NULL) AS total_spend_24h FROM nullable GROUP BY user_id"""
+_HISTORY = f"WITH {EV}, {GRID}, {PAST}, {USER_SNAPS} SELECT user_id, feature_timestamp, purchase_count_24h, item_view_count_24h FROM user_snaps WHERE user_id = 7 AND feature_timestamp >= TIMESTAMP '2024-01-10' AND feature_timestamp < TIMESTAMP '2024-01-17'"
+_AFFINITY = f"WITH {EV}, {GRID}, {PAST} SELECT user_id, gt AS feature_timestamp, rank, category FROM ({_TOP.format(key='user_id, gt', source='past', within=_within(24, 'gt'))}) WHERE rank <= 3"
+
 ORACLES: dict[str, str] = {
     "user_features_asof": f"WITH {EV} SELECT user_id, {AT} AS feature_timestamp, {_user(AT)} FROM ev WHERE ts < {AT} GROUP BY user_id",
     "user_session_duration": f"WITH {EV}, past AS (SELECT * FROM ev WHERE ts < {AT}) SELECT * FROM {_sessions('user_id', 'past')}",
@@ -127,7 +145,7 @@ ORACLES: dict[str, str] = {
     "item_popularity": f"""WITH {EV}, v AS (SELECT item_id, {_n('item_view', 1, "TIMESTAMP '2024-01-19 13:00:00'")} AS view_count_1h FROM ev WHERE item_id IS NOT NULL AND ts < TIMESTAMP '2024-01-19 13:00:00' GROUP BY item_id)
         SELECT item_id, view_count_1h, CASE WHEN max(view_count_1h) OVER () > 0 THEN round(CAST(view_count_1h AS DOUBLE) / max(view_count_1h) OVER (), 6) ELSE 0.0 END AS popularity_rank_1h FROM v""",
     "user_snapshots_6h": f"WITH {EV}, {GRID}, {PAST}, {USER_SNAPS} SELECT * FROM user_snaps",
-    "user_affinity_6h": f"WITH {EV}, {GRID}, {PAST} SELECT user_id, gt AS feature_timestamp, rank, category FROM ({_TOP.format(key='user_id, gt', source='past', within=_within(24, 'gt'))}) WHERE rank <= 3",
+    "user_affinity_6h": _AFFINITY,
     "item_snapshots_6h": f"WITH {EV}, {GRID}, {PAST}, {ITEM_SNAPS} SELECT * FROM item_snaps",
     "rolling_counts_per_event": f"""WITH {EV} SELECT CAST(event_id AS BIGINT) AS event_id, user_id,
           count(*) FILTER (WHERE event_type = 'item_view') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS views_1h,
@@ -135,9 +153,8 @@ ORACLES: dict[str, str] = {
           count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 168 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS purchases_7d FROM ev""",
     "entity_history_range": f"WITH {EV}, {GRID}, {PAST}, {USER_SNAPS} SELECT user_id, feature_timestamp, purchase_count_24h, item_view_count_24h FROM user_snaps WHERE user_id = 7 AND feature_timestamp >= TIMESTAMP '2024-01-10' AND feature_timestamp < TIMESTAMP '2024-01-17'",
     "latest_as_of": f"WITH {NULLABLE} SELECT * FROM nullable QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY feature_timestamp DESC) = 1",
-    "latest_as_of_nonnull": f"""WITH {NULLABLE} SELECT user_id, max(feature_timestamp) AS feature_timestamp, arg_max(purchase_count_24h, feature_timestamp) AS purchase_count_24h,
-          arg_max(conversion_rate_7d, feature_timestamp) FILTER (WHERE conversion_rate_7d IS NOT NULL) AS conversion_rate_7d,
-          arg_max(total_spend_24h, feature_timestamp) FILTER (WHERE total_spend_24h IS NOT NULL) AS total_spend_24h FROM nullable GROUP BY user_id""",
+    "latest_as_of_nonnull": _LATEST,
+    "stored_latest_as_of": _LATEST,
     "label_events": f"WITH {EV}, {_labels(5000)} SELECT * FROM labels_",
     "label_events_point_in_time": f"WITH {EV}, {_labels(None, True)} SELECT * FROM labels_",
     "label_balance": f"WITH {EV}, {_labels(None)} SELECT label, count(*) AS n FROM labels_ GROUP BY label",
@@ -165,7 +182,24 @@ ORACLES: dict[str, str] = {
     "parse_events_json": """SELECT CASE WHEN event_id % 7 < 4 THEN 'dead' ELSE 'good' END AS kind,
           CASE event_id % 7 WHEN 0 THEN 'not an event' WHEN 1 THEN 'unknown event_type' WHEN 2 THEN 'no user_id' WHEN 3 THEN 'no ts' ELSE '' END AS reason, count(*) AS n FROM events GROUP BY ALL""",
     "label_events_capped": f"WITH {EV}, {_labels(2500)} SELECT * FROM labels_",
-    "stored_history_range": f"WITH {EV}, {GRID}, {PAST}, {USER_SNAPS} SELECT user_id, feature_timestamp, purchase_count_24h, item_view_count_24h FROM user_snaps WHERE user_id = 7 AND feature_timestamp >= TIMESTAMP '2024-01-10' AND feature_timestamp < TIMESTAMP '2024-01-17'",
+    "stored_history_range": _HISTORY,
+    "tolerant_history": _HISTORY,
+    "stored_evolving_columns": f"""WITH {EV}, {GRID}, {PAST}, {USER_SNAPS}, s AS (SELECT *, feature_timestamp >= TIMESTAMP '2024-01-14 12:00:00' AS later FROM user_snaps)
+        SELECT CAST(CAST(feature_timestamp AS DATE) AS VARCHAR) AS date, count(*) AS n, CAST(sum(purchase_count_24h) AS BIGINT) AS purchases, count(*) FILTER (WHERE later) AS n_views,
+          CAST(sum(item_view_count_24h) FILTER (WHERE later) AS BIGINT) AS views, min(feature_timestamp) AS first, max(feature_timestamp) AS last FROM s GROUP BY ALL""",
+    "exported_training_set": f"WITH {TO_FULL_JOIN} SELECT * FROM full_join",
+    "exported_affinity": _AFFINITY,
+    "leakage_details": f"""WITH {TO_FULL_JOIN} SELECT label_timestamp, user_id, 'user' AS entity, label_timestamp + INTERVAL 1 SECOND AS feature_timestamp_used
+        FROM full_join WHERE user_id % 10 = 0 ORDER BY label_timestamp, user_id LIMIT 10""",
+    "observed_lookups": f"""WITH {VECTORS} SELECT count(*) AS rows, 3 * count(*) AS values,
+          3 * count(*) - count(user_purchase_count_1h) - count(user_purchase_count_24h) - count(item_view_count_24h) AS misses FROM vectors""",
+    "generated_batch": f"""SELECT count(*) AS n, CAST(0 AS BIGINT) AS off_beat, count(*) AS n_times, count(*) AS n_ids, TIMESTAMP '{START}' AS first,
+          TIMESTAMP '{START}' + to_microseconds(125000 * (count(*) - 1)) AS last FROM events""",
+    "streamed_user_features": f"""WITH {STREAMED} SELECT user_id, gt AS feature_timestamp, {_user('gt')} FROM seen SEMI JOIN (SELECT DISTINCT part AS part_, user_id AS user_id_ FROM cut) t ON seen.part = t.part_ AND seen.user_id = t.user_id_
+        GROUP BY user_id, gt""",
+    "streamed_online_items": f"WITH {STREAMED}, {_STREAMED_ITEMS} " + " UNION ALL ".join(_streamed_item(n, ttl) for n, ttl in (("view_count_24h", 86400), ("purchase_count_24h", 86400), ("cart_add_count_1h", 3600))),
+    "streamed_dead_letters": """SELECT CASE event_id % 7 WHEN 0 THEN 'not an event' WHEN 1 THEN 'unknown event_type' WHEN 2 THEN 'no user_id' ELSE 'no ts' END AS reason, count(*) AS n
+        FROM events WHERE event_id % 7 < 4 GROUP BY ALL""",
     "online_upserted": f"WITH {ONLINE} SELECT *, CAST(epoch(expires_at) - epoch(TIMESTAMP '{NOW}') AS BIGINT) AS ttl_seconds FROM online WHERE expires_at > TIMESTAMP '{NOW}'",
     "generated_events": """SELECT event_type, (SELECT count(*) FROM events) AS total, CAST(weight AS DOUBLE) AS weight, true AS as_weighted, CAST(0 AS BIGINT) AS broken
         FROM (VALUES ('page_view', 0.4), ('item_view', 0.3), ('add_to_cart', 0.15), ('purchase', 0.1), ('search', 0.04), ('rating', 0.01)) w(event_type, weight)""",

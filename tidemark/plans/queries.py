@@ -13,7 +13,7 @@ from tidemark.functions.features import HOUR_US, Measure, in_window, micros
 from tidemark.operators import asof, consistency, features, offline_store, online_store, snapshots, training
 from tidemark.sources import events as source
 from tidemark.sources import generator
-from tidemark.streaming import pipeline
+from tidemark.streaming import metrics, pipeline
 
 REF = "2024-01-20 00:00:00"
 START, END = "2024-01-02 00:00:00", "2024-01-30 00:00:00"
@@ -224,9 +224,8 @@ def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naive(source.deduplicated(seen.unionByName(again)).select(F.col("event_id").cast("long").alias("event_id"), "user_id", "ts"))
 
 
-def parse_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as messages, four of every seven broken in a way of their own, parsed again: counts by kind and reason."""
-    seen = events(spark, sf_dir)
+def broken_messages(seen: DataFrame) -> DataFrame:
+    """Events as messages, four of every seven broken in a way of their own."""
     messages = source.to_messages(seen).withColumn("n", F.pmod(F.get_json_object("value", "$.event_id").cast("long"), F.lit(7)))
     broken = (
         F.when(F.col("n") == 0, F.substring("value", 1, 20))
@@ -235,7 +234,12 @@ def parse_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("n") == 3, F.regexp_replace("value", '"timestamp":"[^"]*"', '"timestamp":"soon"'))
         .otherwise(F.col("value"))
     )
-    good, dead = source.parse_events(messages.select(broken.alias("value")))
+    return messages.select(broken.alias("value"))
+
+
+def parse_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages, some of them broken, parsed again: counts by kind and reason."""
+    good, dead = source.parse_events(broken_messages(events(spark, sf_dir)))
     kinds = good.select(F.lit("good").alias("kind"), F.lit("").alias("reason")).unionByName(dead.select(F.lit("dead").alias("kind"), "reason"))
     return kinds.groupBy("kind", "reason").agg(F.count("*").alias("n"))
 
@@ -322,6 +326,106 @@ def online_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naive(online_store.visible(pipeline.read_online(spark, paths), NOW))
 
 
+def tolerant_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entity_history_range`` from an offline store with a file in it that is no Parquet."""
+    path, grid = scratch(spark, "offline"), user_grid(spark, sf_dir).select("user_id", "feature_timestamp", "purchase_count_24h", "item_view_count_24h")
+    offline_store.write_snapshots(grid, path, "user", 1)
+    spark.createDataFrame([("damaged",)], "value string").write.text(f"{path}/entity=user/date=2024-01-12/batch=2")
+    stored = offline_store.read_snapshots(spark, path, "user", tolerant=True)
+    return naive(offline_store.history(stored, "user", 7, "2024-01-10 00:00:00", "2024-01-17 00:00:00").drop("date"))
+
+
+def stored_latest_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``latest_as_of_nonnull`` from the offline store."""
+    path = scratch(spark, "offline")
+    offline_store.write_snapshots(nullable_snapshots(spark, sf_dir), path, "user", 1)
+    return naive(offline_store.latest_as_of(offline_store.read_snapshots(spark, path, "user"), "user", REF, by_column=True))
+
+
+def stored_evolving_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of two batches, the later with a column that the earlier lacks, by date: rows, known values, first and last row."""
+    path, grid = scratch(spark, "offline"), user_grid(spark, sf_dir)
+    early = F.col("feature_timestamp") < F.lit("2024-01-14 12:00:00").cast("timestamp")
+    offline_store.write_snapshots(grid.where(early).select("user_id", "feature_timestamp", "purchase_count_24h"), path, "user", 1)
+    offline_store.write_snapshots(grid.where(~early).select("user_id", "feature_timestamp", "purchase_count_24h", "item_view_count_24h"), path, "user", 2)
+    by_date = offline_store.read_snapshots(spark, path, "user").groupBy(F.col("date").cast("string").alias("date"))
+    return naive(by_date.agg(F.count("*").alias("n"), F.sum("purchase_count_24h").alias("purchases"), F.count("item_view_count_24h").alias("n_views"), F.sum("item_view_count_24h").alias("views"), F.min("feature_timestamp").alias("first"), F.max("feature_timestamp").alias("last")))
+
+
+def exported_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``training_set`` by way of CSV."""
+    path, data = scratch(spark, "csv"), _joined(spark, sf_dir, True)
+    training.export_csv(data, path)
+    return naive(training.import_csv(spark, path, data.schema))
+
+
+def exported_affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``user_affinity_6h`` by way of CSV, where lists are text."""
+    path, data = scratch(spark, "csv"), user_grid(spark, sf_dir).select("user_id", "feature_timestamp", "category_affinity")
+    training.export_csv(data, path)
+    rows = training.import_csv(spark, path, data.schema).select("user_id", "feature_timestamp", F.posexplode("category_affinity").alias("pos", "category"))
+    return naive(rows.select("user_id", "feature_timestamp", (F.col("pos") + 1).cast("long").alias("rank"), "category"))
+
+
+def leakage_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten violations that a report shows, where every label of a user whose id is divisible by 10 has a feature a second too new."""
+    late = F.when(F.col("user_id") % 10 == 0, F.col("label_timestamp") + F.expr("interval 1 second")).otherwise(F.col("feature_timestamp_used"))
+    return naive(training.violations(_joined(spark, sf_dir, True).withColumn("feature_timestamp_used", late)))
+
+
+def observed_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is counted of ``feature_vector_lookup`` while it is used."""
+    names = ["user_purchase_count_1h", "user_purchase_count_24h", "item_view_count_24h"]
+    found, watch = metrics.observed(feature_vector_lookup(spark, sf_dir), names)
+    found.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([watch.get], "rows long, values long, misses long")
+
+
+def generated_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many synthetic events as the driver's table has, eight a second: number of events, users and items in range, times, ids."""
+    n = read(spark, sf_dir, "events").count()
+    made = generator.batch(spark, n, START, 8, n_users=50, n_items=20)
+    us = F.unix_micros("ts") - F.unix_micros(F.lit(START).cast("timestamp"))
+    return naive(made.agg(F.count("*").alias("n"), F.count_if(us % 125_000 != 0).alias("off_beat"), F.countDistinct("ts").alias("n_times"), F.countDistinct("event_id").alias("n_ids"), F.min("ts").alias("first"), F.max("ts").alias("last")))
+
+
+#: Where the messages of the streamed queries are cut: a run of the stream for each part, from where the last one stopped.
+PARTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> pipeline.Paths:
+    """Both stores after three runs over messages that come in three parts, every third message twice."""
+    paths, seen = pipeline.Paths(scratch(spark, "stream")), events(spark, sf_dir)
+    seen = seen.withColumn("part", sum(((F.col("ts") >= F.lit(at).cast("timestamp")).cast("int") for at in PARTS), F.lit(0)))
+    for part in range(len(PARTS) + 1):
+        once = seen.where(F.col("part") == part).drop("part")
+        source.to_messages(once.unionByName(once.where("cast(event_id as long) % 3 = 0"))).select("value").write.mode("append").text(paths.messages)
+        for query in pipeline.start(source.json_stream(spark, paths.messages, 1_000_000), paths):
+            query.awaitTermination()
+    return paths
+
+
+def streamed_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' snapshots that the stream left in the offline store."""
+    stored = offline_store.read_snapshots(spark, streamed(spark, sf_dir).offline, "user")
+    return naive(stored.drop("category_affinity", "avg_session_duration", "date"))
+
+
+def streamed_online_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items' latest values that the stream left in the online store."""
+    live = pipeline.read_online(spark, streamed(spark, sf_dir))
+    return naive(live.where("entity = 'item'").where(F.col("feature_name").isin("view_count_24h", "purchase_count_24h", "cart_add_count_1h")))
+
+
+def streamed_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that the stream set aside, by reason."""
+    paths = pipeline.Paths(scratch(spark, "dead"))
+    broken_messages(events(spark, sf_dir)).write.text(paths.messages)
+    _, dead = pipeline.clean_stream(source.json_stream(spark, paths.messages, 1_000_000))
+    pipeline.start_dead_letters(dead, paths).awaitTermination()
+    return spark.read.schema("raw string, reason string").json(paths.dead).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -330,6 +434,7 @@ QUERIES: dict[str, Query] = {
         pit_join_user_range, pit_join_user_grid, training_set, asof_orders_lineitem, leakage_report, leakage_report_injected, online_ttl_visible, online_after_delete,
         feature_vector_lookup, batch_lookup, missing_features, consistency_stats, consistency_flags, event_type_counts, dedup_events, parse_events_json, parsed_events,
         tumbling_window, sliding_window, gap_sessions, windowed_measures, catalog, generated_events,
-        label_events_capped, stored_history_range, online_upserted,
+        label_events_capped, stored_history_range, online_upserted, tolerant_history, stored_latest_as_of, stored_evolving_columns, exported_training_set, exported_affinity,
+        leakage_details, observed_lookups, generated_batch, streamed_user_features, streamed_online_items, streamed_dead_letters,
     )
 }

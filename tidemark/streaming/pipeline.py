@@ -126,14 +126,17 @@ def read_online(spark: SparkSession, paths: Paths) -> DataFrame:
     return online_store.merged(_read_any(spark, f"{paths.online}/base/slot=*"), _read_any(spark, f"{paths.online}/batch/slot=*"))
 
 
+def start_dead_letters(dead: DataFrame, paths: Paths, trigger: dict | None = None) -> StreamingQuery:
+    """Dead letters to JSON files."""
+    return dead.writeStream.format("json").option("path", paths.dead).option("checkpointLocation", f"{paths.checkpoints}/dead").trigger(**trigger or {"availableNow": True}).start()
+
+
 def start(messages: DataFrame, paths: Paths, late: str = "7 days", trigger: dict | None = None, catalog: Catalog | None = None, history: int | None = None) -> tuple[StreamingQuery, StreamingQuery]:
     """The two running queries: features, and dead letters. ``trigger``: as {"processingTime": "500 milliseconds"}."""
     spark = messages.sparkSession
     events, dead = clean_stream(messages, late)
-    trigger = trigger or {"availableNow": True}
-    main = events.writeStream.foreachBatch(lambda b, i: process_batch(spark, b, i, paths, catalog, history)).option("checkpointLocation", f"{paths.checkpoints}/features").trigger(**trigger).start()
-    side = dead.writeStream.format("json").option("path", paths.dead).option("checkpointLocation", f"{paths.checkpoints}/dead").trigger(**trigger).start()
-    return main, side
+    main = events.writeStream.foreachBatch(lambda b, i: process_batch(spark, b, i, paths, catalog, history)).option("checkpointLocation", f"{paths.checkpoints}/features").trigger(**trigger or {"availableNow": True}).start()
+    return main, start_dead_letters(dead, paths, trigger)
 
 
 def sliding_counts(events: DataFrame, width: str = "24 hours", slide: str = "1 hour", late: str = "7 days") -> DataFrame:
