@@ -123,7 +123,7 @@ STATS = f"""{EV}, off AS (SELECT user_id, {_user(AT)} FROM ev WHERE ts < {AT} GR
 STREAMED = f"""{EV}, cut AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END AS part FROM ev),
 parts AS (SELECT part, max(ts) + INTERVAL 1 MICROSECOND AS gt FROM cut GROUP BY part),
 seen AS (SELECT p.part, p.gt, e.* EXCLUDE (part) FROM parts p JOIN cut e ON e.ts >= p.gt - INTERVAL 168 HOUR AND e.ts < p.gt)"""
-_STREAMED_ITEMS = f"""items AS (SELECT item_id, gt, {_item('gt')} FROM seen SEMI JOIN (SELECT DISTINCT part AS part_, item_id AS item_id_ FROM cut) t ON seen.part = t.part_ AND seen.item_id = t.item_id_ GROUP BY item_id, gt),
+_STREAMED_ITEMS = f"""items AS (SELECT item_id, gt, {_item('gt')} FROM (SELECT DISTINCT part, item_id, gt FROM cut JOIN parts USING (part) WHERE item_id IS NOT NULL) LEFT JOIN seen USING (part, item_id, gt) GROUP BY item_id, gt),
 last_ AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY gt DESC) = 1)"""
 
 
@@ -195,8 +195,7 @@ ORACLES: dict[str, str] = {
           3 * count(*) - count(user_purchase_count_1h) - count(user_purchase_count_24h) - count(item_view_count_24h) AS misses FROM vectors""",
     "generated_batch": f"""SELECT count(*) AS n, CAST(0 AS BIGINT) AS off_beat, count(*) AS n_times, count(*) AS n_ids, TIMESTAMP '{START}' AS first,
           TIMESTAMP '{START}' + to_microseconds(125000 * (count(*) - 1)) AS last FROM events""",
-    "streamed_user_features": f"""WITH {STREAMED} SELECT user_id, gt AS feature_timestamp, {_user('gt')} FROM seen SEMI JOIN (SELECT DISTINCT part AS part_, user_id AS user_id_ FROM cut) t ON seen.part = t.part_ AND seen.user_id = t.user_id_
-        GROUP BY user_id, gt""",
+    "streamed_user_features": f"""WITH {STREAMED} SELECT user_id, gt AS feature_timestamp, {_user('gt')} FROM (SELECT DISTINCT part, user_id, gt FROM cut JOIN parts USING (part)) LEFT JOIN seen USING (part, user_id, gt) GROUP BY user_id, gt""",
     "streamed_online_items": f"WITH {STREAMED}, {_STREAMED_ITEMS} " + " UNION ALL ".join(_streamed_item(n, ttl) for n, ttl in (("view_count_24h", 86400), ("purchase_count_24h", 86400), ("cart_add_count_1h", 3600))),
     "streamed_dead_letters": """SELECT CASE event_id % 7 WHEN 0 THEN 'not an event' WHEN 1 THEN 'unknown event_type' WHEN 2 THEN 'no user_id' ELSE 'no ts' END AS reason, count(*) AS n
         FROM events WHERE event_id % 7 < 4 GROUP BY ALL""",

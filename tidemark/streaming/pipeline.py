@@ -1,7 +1,7 @@
 """From a stream of messages to both stores.
 
 Messages are parsed, unreadable ones set aside, repeats of an event id dropped within the watermark. Each micro-batch adds its
-events to a log by date, and features of the entities it touches are computed from the days of the log that the history covers, by
+events to a log by date, and features of the entities it touches are computed from their events in the days of the log that the history covers, by
 the same expressions as in batch, for users and, by a shuffle of their own, for items. So what a batch reads depends on the
 events of the history, not on the age of the log. Both stores are written by batch id, so a replayed batch changes nothing.
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +22,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.catalog import Catalog, default_catalog
 from tidemark.operators import offline_store, online_store
-from tidemark.operators.features import features_as_of, key_of, measures_of
+from tidemark.operators.features import POPULARITY, features_as_of, key_of, measures_of
+from tidemark.schema import EVENT
 from tidemark.sources.events import parse_events
 
 
@@ -59,6 +60,22 @@ def read_log(spark: SparkSession, paths: Paths, start: object, end: object) -> D
     return log.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))).drop("date", "batch")
 
 
+def history_of(touched: DataFrame, seen: DataFrame, entity: str, ref: datetime, catalog: Catalog) -> DataFrame:
+    """The events of touched entities, and what popularity compares them with: the last hour's views of others.
+
+    A touched entity whose events are all older than the history has an event of no type instead, so that it gets its features too.
+    """
+    key = key_of(entity)
+    at = F.coalesce("ts", F.lit(ref - timedelta(microseconds=1)))
+    own = touched.join(seen, key, "left").withColumn("ts", at).select(EVENT.names)
+    if (entity, POPULARITY) in catalog:
+        for m in catalog.get(entity, POPULARITY).measures:
+            viewed = seen.where(F.col("event_type") == m.event_type)
+            viewed = viewed.where(F.col("ts") >= F.lit(ref - timedelta(hours=m.hours))) if m.hours else viewed
+            own = own.unionByName(viewed.join(touched, key, "left_anti").select(EVENT.names))
+    return own
+
+
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: Paths, catalog: Catalog | None = None, history: int | None = None, push: Callable[[DataFrame, int], None] | None = None) -> None:
     """One micro-batch of events to the log and both stores.
 
@@ -78,11 +95,10 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: P
         made = []
         for entity in ("user", "item"):
             key = key_of(entity)
-            touched = batch.select(key).where(F.col(key).isNotNull()).distinct()
-            if entity == "item":
-                features = features_as_of(seen, entity, ref, catalog).join(touched, key, "left_semi")  # popularity needs all items
-            else:
-                features = features_as_of(seen.join(touched, key, "left_semi"), entity, ref, catalog)
+            touched = batch.select(key).where(F.col(key).isNotNull()).distinct().persist()
+            features = features_as_of(history_of(touched, seen, entity, ref, catalog), entity, ref, catalog)
+            if (entity, POPULARITY) in catalog:
+                features = features.join(touched, key, "left_semi")
             made.append((entity, features.persist()))
         rows = None
         for entity, features in made:
