@@ -72,13 +72,14 @@ def test_touched_entities_without_recent_events_have_features(spark, tmp_path):
     """A batch over twelve days: its user and item of the first day have features of nothing; another item's views count for popularity."""
     at = lambda days: T0 + timedelta(days=days)
     rows = [("a", 1, "purchase", 7, at(0), "s", None), ("b", 2, "item_view", 8, at(12), "t", None), ("c", 2, "item_view", 8, at(12), "t", None)]
-    paths = pipeline.Paths(str(tmp_path))
+    paths, held = pipeline.Paths(str(tmp_path)), set(spark.sparkContext._jsc.getPersistentRDDs())
     pipeline.process_batch(spark, spark.createDataFrame(rows, EVENT), 0, paths)
     pipeline.process_batch(spark, spark.createDataFrame([("d", 1, "item_view", 9, at(12) + timedelta(minutes=1), "u", None)], EVENT), 1, paths)
     users = {(r["user_id"], r["feature_timestamp"].minute): r for r in read_snapshots(spark, paths.offline, "user").collect()}
     assert set(users) == {(1, 0), (2, 0), (1, 1)}
     assert (users[1, 0]["purchase_count_24h"], users[1, 0]["days_since_last_purchase"], users[1, 0]["category_affinity"]) == (0, float("inf"), [])
     items = {r["item_id"]: r for r in read_snapshots(spark, paths.offline, "item").collect()}
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= held
     assert {i: (r["view_count_1h"], r["popularity_rank_1h"]) for i, r in items.items()} == {7: (0, 0.0), 8: (2, 1.0), 9: (1, 0.5)}
 
 

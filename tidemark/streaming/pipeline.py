@@ -1,8 +1,8 @@
 """From a stream of messages to both stores.
 
 Messages are parsed, unreadable ones set aside, repeats of an event id dropped within the watermark. Each micro-batch adds its
-events to a log by date, and features of the entities it touches are computed from their events in the days of the log that the history covers, by
-the same expressions as in batch, for users and, by a shuffle of their own, for items. So what a batch reads depends on the
+events to a log by date, and features of the entities it touches are computed from their events in the days of the log that the
+history covers, by the same expressions as in batch, for users and, by a shuffle of their own, for items. So what a batch reads depends on the
 events of the history, not on the age of the log. Both stores are written by batch id, so a replayed batch changes nothing.
 
 The online store is a base with the latest value of every key and the last batches' rows on top. Bases and batches are written to
@@ -83,7 +83,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: P
     catalog's longest window; features over all time see those hours too. ``push`` gets the online rows, for another key-value store.
     """
     catalog = catalog or default_catalog()
-    batch = batch.persist()
+    held = [batch.persist()]
     try:
         last = batch.agg(F.max("ts").alias("last")).first()["last"]
         if last is None:
@@ -96,10 +96,12 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: P
         for entity in ("user", "item"):
             key = key_of(entity)
             touched = batch.select(key).where(F.col(key).isNotNull()).distinct().persist()
+            held.append(touched)
             features = features_as_of(history_of(touched, seen, entity, ref, catalog), entity, ref, catalog)
             if (entity, POPULARITY) in catalog:
                 features = features.join(touched, key, "left_semi")
-            made.append((entity, features.persist()))
+            held.append(features.persist())
+            made.append((entity, features))
         rows = None
         for entity, features in made:
             offline_store.write_snapshots(features, paths.offline, entity, batch_id)
@@ -108,10 +110,9 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: P
         upsert_online(spark, rows, batch_id, paths)
         if push is not None:
             push(rows, batch_id)
-        for _, features in made:
-            features.unpersist()
     finally:
-        batch.unpersist()
+        for frame in held:
+            frame.unpersist()
 
 
 def _read_any(spark: SparkSession, path: str) -> DataFrame | None:
