@@ -394,14 +394,22 @@ PARTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> pipeline.Paths:
-    """Both stores after three runs over messages that come in three parts, every third message twice."""
+    """Both stores after three runs over messages that come in three parts, every third message twice.
+
+    The stream's state, and what it shuffles, has a partition for each core while it runs.
+    """
     paths, seen = pipeline.Paths(scratch(spark, "stream")), events(spark, sf_dir)
     seen = seen.withColumn("part", sum(((F.col("ts") >= F.lit(at).cast("timestamp")).cast("int") for at in PARTS), F.lit(0)))
-    for part in range(len(PARTS) + 1):
-        once = seen.where(F.col("part") == part).drop("part")
-        source.to_messages(once.unionByName(once.where("cast(event_id as long) % 3 = 0"))).select("value").write.mode("append").text(paths.messages)
-        for query in pipeline.start(source.json_stream(spark, paths.messages, 1_000_000), paths):
-            query.awaitTermination()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        for part in range(len(PARTS) + 1):
+            once = seen.where(F.col("part") == part).drop("part")
+            source.to_messages(once.unionByName(once.where("cast(event_id as long) % 3 = 0"))).select("value").write.mode("append").text(paths.messages)
+            for query in pipeline.start(source.json_stream(spark, paths.messages, 1_000_000), paths):
+                query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return paths
 
 
