@@ -84,3 +84,22 @@ SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string([lines[i +
   CAST(CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed
 FROM split_ LEFT JOIN gone USING (doc_id)
 """
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+), placed AS (
+  SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS k1, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS k2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), cut AS (
+  SELECT doc_id, t, n, form, array_to_string(units[:least(k1, k2)], '') AS p, array_to_string(units[least(k1, k2) + 1:greatest(k1, k2)], '') AS m, array_to_string(units[greatest(k1, k2) + 1:], '') AS s
+  FROM placed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cut
+"""
