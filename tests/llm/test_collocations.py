@@ -1,0 +1,101 @@
+"""op12 against plain counting."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tidemark.llm import collocations as C
+from tidemark.llm.common import utf8
+
+
+def pieces(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return [w for p in re.split("[.,;:!?\x0a-\x0d]", low) if (w := re.findall(r"[^\x20\x09]+", p))]
+
+
+def grams(texts, most):
+    out = Counter()
+    for t in texts:
+        for w in pieces(t):
+            for m in range(1, most + 1):
+                for i in range(len(w) - m + 1):
+                    out[tuple(w[i : i + m])] += 1
+    return out
+
+
+def plainly(rows, least, most, top, swallowed=100):
+    out = []
+    for lang in {r[0] or "und" for r in rows}:
+        every = grams([t for x, t in rows if (x or "und") == lang], most)
+        n = sum(c for g, c in every.items() if len(g) == 1)
+        f = {g: c for g, c in every.items() if c >= least}
+        found = []
+        for g, a in f.items():
+            if len(g) > 1:
+                around = max((c for h, c in f.items() if len(h) > len(g) and any(h[i : i + len(g)] == g for i in range(len(h) - len(g) + 1))), default=None)
+                if around is None or 100 * around < swallowed * a:
+                    score, k = min((1000 * a * n // (f[g[:k]] * f[g[k:]]), k) for k in range(1, len(g)))
+                    found.append((-score, -a, " ".join(g).encode(), f[g[:k]], f[g[k:]]))
+        out += [(lang, i, p.decode(), -a, left, right, n, -s) for i, (s, a, p, left, right) in enumerate(sorted(found)[:top], 1)]
+    return sorted(out)
+
+
+def made(n, seed=1):
+    draw = random.Random(seed)
+    words = ["the", "The", "old", "sea", "red", "Éa", "éa", "x" * 30, "go", "\x00", "ß"]
+    stock = ["the old red sea", "go go go go go go", "in the old red sea today"]
+    return [" ".join(draw.choice([*words, draw.choice(stock)]) + draw.choice(["", "", "", ",", ".", "\n", "\t", "?!"]) for _ in range(draw.randint(0, 30))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("parts", "most", "swallowed", "top"), [(7, 5, 100, 2000), (1, 2, 100, 5), (3, 4, 50, 30)])
+def test_against_plain_counting(spark, parts, most, swallowed, top):
+    draw = random.Random(4)
+    rows = [(draw.choice(["en", "en", "de", None, "und"]), t) for t in [*made(150), "", None, " .,", "a\r\nb", "\U0001f600 x \U0001f600 x"]]
+    rows += rows[:9]
+    docs = spark.createDataFrame([(*r, "clash", 1) for r in rows], "lang string, text string, phrase string, n int").repartition(parts)
+    found = C.mine(docs, least=4, most_words=most, swallowed=swallowed, top=top)
+    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, found.collect())) == plainly(rows, 4, most, top, swallowed)
+
+
+def test_nothing_to_find(spark):
+    kind = "lang string, text string"
+    assert C.mine(spark.createDataFrame([], kind)).count() == 0
+    assert C.mine(spark.createDataFrame([("en", None), ("en", "")], kind)).count() == 0
+    assert C.mine(spark.createDataFrame([("en", "one two three")], kind)).count() == 0
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 7, 1 << 18])
+def test_shard(monkeypatch, rows_at_once):
+    """Pairs, and longer phrases along chosen pairs, from one shard that went through its stored form."""
+    monkeypatch.setattr(C, "ROWS_AT_ONCE", rows_at_once)
+    texts = made(60, 3)
+    shard = C.Shard.from_bytes(pa.py_buffer(C.Shard.of_texts(*utf8(pa.array(texts))).to_bytes()))
+    expected = grams(texts, 5)
+    words = shard.words.to_pylist()
+    n = shard.bitmaps.counts(len(words))
+    assert {(w,): c for w, c in zip(words, n.tolist(), strict=True)} == {g: c for g, c in expected.items() if len(g) == 1}
+    a, b, n = shard.pairs
+    assert {(words[x], words[y]): c for x, y, c in zip(a, b, n, strict=True)} == {g: c for g, c in expected.items() if len(g) == 2}
+    keep = n >= 5
+    chosen = {(words[x], words[y]) for x, y in zip(a[keep], b[keep], strict=True)}
+    found = Counter()
+    for phrases, counts in shard.longer(a[keep], b[keep], 5):
+        found.update({tuple(p.split(" ")): c for p, c in zip(phrases.to_pylist(), counts.tolist(), strict=True)})
+    assert found == {g: c for g, c in expected.items() if len(g) > 2 and all(p in chosen for p in zip(g, g[1:], strict=False))}
+
+
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(C, "SHARD_BYTES", 50)
+    text = "one two three. " * 100 + "a b " * 100 + ", end of it"
+    data, at = utf8(pa.array([text]))
+    spans = np.unique(np.concatenate([at, C._cuts(data, 0, len(data))]))
+    assert len(spans) > 20
+    words, word, position = C.positions(data, spans)
+    one = C.Shard.of_texts(data, at)
+    assert np.array_equal(position, C.positions(data, at)[2]) and len(words) == len(one.words)
+    assert sum(c for c in one.pairs[2]) == 200 + 199 + 2

@@ -103,3 +103,29 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
 FROM cut
 """
+
+ORACLES["op12_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), cut AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), spans AS (
+  SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM cut, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m
+), found AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM spans GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM cut GROUP BY lang
+), halves AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM found WHERE m > 1
+), scores AS (
+  SELECT h.lang, h.phrase, h.a, h.k, l.f AS l, r.f AS r, t.n, CAST((CAST(1000 AS HUGEINT) * h.a * t.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM halves h JOIN found l ON l.lang = h.lang AND l.phrase = array_to_string(h.w[1:h.k], ' ') JOIN found r ON r.lang = h.lang AND r.phrase = array_to_string(h.w[h.k + 1:], ' ') JOIN totals t ON t.lang = h.lang
+), worst AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS around
+  FROM (SELECT lang, w, f, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, string_split(phrase, ' ') AS w, f, unnest(range(2, m)) AS m FROM found WHERE m > 2)) GROUP BY ALL
+)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, n, score
+FROM worst w LEFT JOIN inner_ i ON i.lang = w.lang AND i.phrase = w.phrase WHERE coalesce(100 * i.around < 100 * a, true) QUALIFY rank <= 2000
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, chat_format, embedding_dedup, fim, fingerprint, language_id, line_dedup, packing, simhash, token_count, toxicity, warc
+from tidemark.llm import byte_bpe, chat_format, collocations, embedding_dedup, fim, fingerprint, language_id, line_dedup, packing, simhash, token_count, toxicity, warc
 from tidemark.llm.common import held_out, table
 
 
@@ -90,6 +90,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), least=100, most_words=5, swallowed=100, top=2000)
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -108,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_chat_format": op10_chat_format,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_collocations": op12_collocations,
     "op13_token_counts": op13_token_counts,
 }
