@@ -52,7 +52,9 @@ def made(n, seed=1):
 
 
 @pytest.mark.parametrize(("parts", "most", "swallowed", "top"), [(7, 5, 100, 2000), (1, 2, 100, 5), (3, 4, 50, 30)])
-def test_against_plain_counting(spark, parts, most, swallowed, top):
+def test_against_plain_counting(spark, monkeypatch, parts, most, swallowed, top):
+    if parts == 3:  # a filter that is too small lets nearly all pass, and changes nothing
+        monkeypatch.setattr(C, "MOST_BITS", 1 << 6)
     draw = random.Random(4)
     rows = [(draw.choice(["en", "en", "de", None, "und"]), t) for t in [*made(150), "", None, " .,", "a\r\nb", "\U0001f600 x \U0001f600 x"]]
     rows += rows[:9]

@@ -5,10 +5,10 @@ position free, so that nothing reaches over it. Bitmaps are kept as blocks of ei
 compressed. A phrase's bitmap (where it ends), shifted by one and ANDed with a word's bitmap, is the bitmap of the longer phrase, and
 its popcount the number of occurrences. All words that can follow are ANDed at once, as rows of the same block.
 
-Counts are summed over the shards in three rounds: words; pairs; and, depth-first from the pairs that are frequent over all shards and
-along such pairs only, phrases of three words and more. A phrase is no more frequent than any part of it, so no frequent one is missed.
-A shard gets back those of its own pairs that are frequent, by joins on (language, phrase) and on the shard; nothing is broadcast that
-grows, and no group is larger than a shard.
+Counts are summed over the shards in three rounds: words; pairs of frequent words; and, depth-first from the pairs that are frequent
+over all shards and along such pairs only, phrases of three words and more. A phrase is no more frequent than any part of it, so no
+frequent one is missed. What is frequent is told to the shards by a Bloom filter of at most ``MOST_BITS``, whatever the input: a phrase
+that it lets pass by mistake is counted for nothing and goes when counts are summed. The shards themselves are never shuffled.
 
 Scores are exact: products in decimals, an integral division at the end.
 
@@ -19,21 +19,24 @@ by count and phrase; an empty table gives no phrases; other columns are not read
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpointed, runs, utf8
 
-#: Bytes of text of a shard, about a million positions; a shard is larger only where a single piece is.
-SHARD_BYTES = 6 << 20
+#: Bytes of text of a shard, about half a million positions; a shard is larger only where a single piece is.
+SHARD_BYTES = 3 << 20
 #: Rows of bitmaps that are extended at once.
-ROWS_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 1 << 16
+#: Bits of a filter for each phrase in it, and at most.
+BITS_EACH, MOST_BITS = 16, 1 << 26
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -218,27 +221,23 @@ def _cuts(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, shard, data): texts are held by language until there are ``SHARD_BYTES`` of all."""
+    """(lang, text) to (lang, data): texts are held by language until there are ``SHARD_BYTES`` of all."""
     held: dict[str, list[pa.Array]] = {}
-    size = made = 0
+    size = 0
 
     def flushed() -> Iterator[pa.RecordBatch]:
-        nonlocal made
         for lang, parts in held.items():
             data, at = utf8(pa.concat_arrays(parts))
             spans = np.unique(np.concatenate([at, *(_cuts(data, lo, hi) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True) if hi - lo > SHARD_BYTES)]))
             for lo, hi in runs(spans, SHARD_BYTES, 1 << 30):
                 shard = Shard.of_texts(data[spans[lo] : spans[hi]], spans[lo : hi + 1] - spans[lo])
                 if len(shard.words):
-                    number = TaskContext.get().partitionId() << 32 | made
-                    made += 1
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "shard": [number], "data": pa.array([shard.to_bytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "data": pa.array([shard.to_bytes()], pa.binary())})
 
     for b in batches:
         coded = b.column("lang").dictionary_encode()
         for i, lang in enumerate(coded.dictionary.to_pylist()):
-            texts = b.column("text").filter(pc.equal(coded.indices, i)).cast(pa.large_string())
-            held.setdefault(lang, []).append(texts)
+            held.setdefault(lang, []).append(b.column("text").filter(pc.equal(coded.indices, i)).cast(pa.large_string()))
         size += b.column("text").nbytes
         if size >= SHARD_BYTES:
             yield from flushed()
@@ -246,49 +245,103 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flushed()
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Shard, dict]]:
+class Filter:
+    """A Bloom filter with two places for each key; ``bits`` in words of 64."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> np.ndarray:
+        return np.concatenate([keys, keys >> np.uint64(32)]) & np.uint64(size - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places(keys, len(self.bits) * 64)
+        set_ = self.bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+        return (set_[: len(keys)] & set_[len(keys) :]).astype(bool)
+
+    @classmethod
+    def of(cls, found: DataFrame) -> Filter:
+        """Of all (lang, phrase): each task sets bits, and the words of bits are ORed by Spark."""
+        size = 1 << 6
+        while size < MOST_BITS and size < BITS_EACH * found.count():
+            size *= 2
+
+        def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = [int(_key(lang, *(_hash([w]) for w in phrase.split(" ")))[0]) for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist(), strict=True)]
+                at = np.unique(cls.places(np.array(keys, np.uint64), size))
+                first = np.flatnonzero(np.concatenate([[True], at[1:] >> np.uint64(6) != at[:-1] >> np.uint64(6)])) if len(at) else at.astype(np.int64)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+                yield pa.RecordBatch.from_pydict({"slot": (at[first] >> np.uint64(6)).astype(np.int64), "bits": bits.view(np.int64)})
+
+        rows = found.mapInArrow(set_bits, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+        bits = np.zeros(size // 64, np.uint64)
+        bits[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+        return cls(bits)
+
+
+def _hash(words: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+
+
+def _key(lang: str, *words: np.ndarray) -> np.ndarray:
+    """A number for phrases of one language, from the numbers of their words."""
+    out = np.full(len(words[0]), xxhash.xxh64_intdigest(lang, len(words)), np.uint64)
+    for w in words:
+        out = (out ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9) ^ out >> np.uint64(32)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Shard]]:
     for b in batches:
         for i in range(b.num_rows):
-            rest = {k: b.column(k)[i] for k in b.schema.names if k not in ("lang", "shard", "data")}
-            yield b.column("lang")[i].as_py(), b.column("shard")[i].as_py(), Shard.from_bytes(b.column("data")[i].as_buffer()), rest
+            yield b.column("lang")[i].as_py(), Shard.from_bytes(b.column("data")[i].as_buffer())
+
+
+def _counted(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(n)), "phrase": phrases.cast(pa.string()), "n": n})
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, _, shard, _ in _rows(batches):
-        n = shard.bitmaps.counts(len(shard.words))
-        yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(n)), "phrase": shard.words.cast(pa.string()), "n": n})
+    for lang, shard in _rows(batches):
+        yield _counted(lang, shard.words, shard.bitmaps.counts(len(shard.words)))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for lang, number, shard, _ in _rows(batches):
+def _pairs(batches: Iterator[pa.RecordBatch], words: Broadcast) -> Iterator[pa.RecordBatch]:
+    for lang, shard in _rows(batches):
         a, b, n = shard.pairs
-        for lo in range(0, len(a), ROWS_AT_ONCE):
-            s = slice(lo, lo + ROWS_AT_ONCE)
-            yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(a[s])), "phrase": shard.phrase(a[s], b[s]).cast(pa.string()), "n": n[s], "shard": pa.array(np.full(len(a[s]), number)), "a": a[s], "b": b[s]})
+        good = words.value.has(_key(lang, _hash(shard.words.to_pylist())))
+        keep = np.flatnonzero(good[a] & good[b])
+        for lo in range(0, len(keep), ROWS_AT_ONCE):
+            k = keep[lo : lo + ROWS_AT_ONCE]
+            yield _counted(lang, shard.phrase(a[k], b[k]), n[k])
 
 
-def _longer(batches: Iterator[pa.RecordBatch], most_words: int) -> Iterator[pa.RecordBatch]:
-    for lang, _, shard, rest in _rows(batches):
-        ab = np.asarray(rest["pairs"].values).astype(np.int64)
-        for phrase, n in shard.longer(ab >> 32, ab & (1 << 32) - 1, most_words):
-            yield pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(n)), "phrase": phrase.cast(pa.string()), "n": n})
+def _longer(batches: Iterator[pa.RecordBatch], pairs: Broadcast, most_words: int) -> Iterator[pa.RecordBatch]:
+    for lang, shard in _rows(batches):
+        a, b, _ = shard.pairs
+        word = _hash(shard.words.to_pylist())
+        keep = pairs.value.has(_key(lang, word[a], word[b]))
+        for phrases, n in shard.longer(a[keep], b[keep], most_words):
+            yield _counted(lang, phrases, n)
 
 
 def frequent(docs: DataFrame, least: int, most_words: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, n) of every phrase that occurs ``least`` times or more in its language, (lang, n) of all words)."""
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shards = checkpointed(texts.mapInArrow(_shards, "lang string, shard long, data binary"))
-    counted = lambda rows: rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    words = shards.mapInArrow(_words, "lang string, phrase string, n long")
-    pairs = shards.mapInArrow(_pairs, "lang string, phrase string, n long, shard long, a long, b long")
-    found = checkpointed(counted(words).unionByName(counted(pairs.select("lang", "phrase", "n"))))
+    shards = checkpointed(texts.mapInArrow(_shards, "lang string, data binary"))
+    send, kind = docs.sparkSession.sparkContext.broadcast, "lang string, phrase string, n long"
+    summed = lambda rows: checkpointed(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    words = shards.mapInArrow(_words, kind)
+    totals = checkpointed(words.groupBy("lang").agg(F.sum("n").alias("n")))
+    found = [summed(words)]
+    if most_words > 1:
+        found.append(summed(shards.mapInArrow(partial(_pairs, words=send(Filter.of(found[0]))), kind)))
     if most_words > 2:
-        own = pairs.join(found.where(F.col("phrase").contains(" ")).select("lang", "phrase"), ["lang", "phrase"], "left_semi")
-        # At most as many as the shard has positions.
-        own = own.groupBy("shard").agg(F.collect_list(F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("pairs"))
-        longer = shards.join(own, "shard").mapInArrow(partial(_longer, most_words=most_words), "lang string, phrase string, n long")
-        found = checkpointed(found.unionByName(counted(longer)))
-    return found, words.groupBy("lang").agg(F.sum("n").alias("n"))
+        found.append(summed(shards.mapInArrow(partial(_longer, pairs=send(Filter.of(found[1])), most_words=most_words), kind)))
+    return reduce(DataFrame.unionByName, found), totals
 
 
 def part(words: Column, start: Column, n: Column) -> Column:
