@@ -2,9 +2,12 @@
 
 import gzip
 import hashlib
+import random
+import time
 from pathlib import Path
 
 import duckdb
+import pytest
 
 from tests.test_entry import plain
 from tidemark.llm import warc
@@ -76,3 +79,29 @@ def test_query_and_sql_agree_on_odd_pages(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert plain(QUERIES["op2_warc"](spark, str(tmp_path)).toPandas()) == plain(db.execute(ORACLES["op2_warc"]).fetchdf())
+
+
+HOSTILE = {
+    "a": "<a ", "title": "<title>", "title open": "<title ", "head": "<head>", "html": "<html ", "p": "<p ", "comment": "<!-- ", "question": "<?", "link": "<a href", "link quote": "<a href='", "end": "</head ", "references": "",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(HOSTILE))
+def test_time_is_linear(spark, kind):
+    """A megabyte of openings without ends, also behind and before one that has an end."""
+    unit = HOSTILE[kind]
+    page = unit * (1_000_000 // len(unit)) if unit else "".join(f"&#{i};" for i in range(200, 120_000))
+    rows = [("r", "u", "d", "h", page), ("s", "u", "d", "h", "<html lang='x'><head>a</head><title>b</title><p>" + page), ("t", "u", "d", "h", page + "</head><title>b</title><a href=x>c</a>d")]
+    began = time.perf_counter()
+    found = derived(spark, rows)
+    assert len(found) == 6 and time.perf_counter() - began < 30
+
+
+def test_sql_agrees_on_openings_without_ends(spark, tmp_path):
+    bits = ["<a ", "<a href=x ", "<title ", "<title>", "t</title", "<head>", "</head >", "<HEAD", "<html ", 'lang="e>n" ', 'lang="d"', ">", "<!--", "-->", "<script>", "</script >", "<p ", "x ", "</p", "<?", "&#65;", "\ufffe", "\uffff", "<style", "'", '"']
+    draw = random.Random(6)
+    pages = [(i, f"http://{i}/", "".join(draw.choice(bits) for _ in range(draw.randint(1, 25)))) for i in range(1500)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert plain(QUERIES["op2_warc"](spark, str(tmp_path)).toPandas()) == plain(db.execute(ORACLES["op2_warc"]).fetchdf())

@@ -22,17 +22,58 @@ CRLF = "\r\n"
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "\u00a9", "&middot;": "\u00b7"}
 NUMBERED = "(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
 # Elements without text of their own, and elements that begin a new line.
-UNSEEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|head\b.*?</head\s*>)"
+UNSEEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|MARKhead\b.*?</head\s*>)"
 BLOCK = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|form)\b[^>]*>"
 TAG = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
-LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+# An <a> or <html> without what is looked for is passed over up to its end, so that nothing in it is looked at again.
+LINK = r"""(?i)<a\b(?:[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|[^>]*+)"""
+LANGUAGE = r'(?i)\A<html\b[^>]*\blang="([^"]*)"'
+MAYBE_LANGUAGE = r'(?i)<html\b(?:[^>]*\blang="[^"]*"|[^>]*+)'
+#: Characters that no text should have, to mark openings with.
+MARKS = ("\ufffe", "\uffff")
 
 
 def bare(html: Column) -> Column:
-    """Text without elements, a line break for each block."""
-    text = F.regexp_replace(html, UNSEEN, "\n")
-    text = F.regexp_replace(text, BLOCK, "\n")
-    return F.regexp_replace(text, TAG, "")
+    """Text without elements, a line break for each block.
+
+    Time is linear in the page, whatever stands in it: a search for an end only begins where there is one.
+    """
+    return _in_closed(_in_closed(_without_unseen(html), BLOCK, "\n"), TAG, "")
+
+
+def _without_unseen(html: Column) -> Column:
+    """Comments, scripts, styles and heads go. Only a <head> before the last </head> has an end; those are marked, the others are no openings."""
+    closed = F.regexp_extract(html, r"(?is)\A.*</head\s*>", 0)
+    rest = F.substring(html, F.length(closed) + 1, F.length(html))
+    out = F.regexp_replace(html, UNSEEN.replace("MARK", ""), "\n")
+    for mark in MARKS:
+        marked = F.concat(F.regexp_replace(closed, r"(?i)<(?=head\b)", f"<{mark}"), rest)
+        out = F.when(~F.contains(html, F.lit(mark)), F.regexp_replace(marked, UNSEEN.replace("MARK", mark), "\n")).otherwise(out)
+    return out
+
+
+def _in_closed(text: Column, pattern: str, by: str) -> Column:
+    """``pattern``, whose matches end with ``>``, replaced in what comes before the last one."""
+    rest = F.substring_index(text, ">", -1)
+    closed = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
+    return F.concat(F.regexp_replace(closed, pattern, by), rest)
+
+
+def title_of(html: Column) -> Column:
+    """What stands between the first <title ..> and </title, if both are there in this order."""
+    closed = F.regexp_extract(html, r"(?is)\A.*</title", 0)
+    opened = F.substring(closed, F.lit(1), F.length(closed) - F.length(F.substring_index(closed, ">", -1)))
+    return F.when(opened.rlike(r"(?i)<title\b"), F.regexp_extract(closed, r"(?is)<title\b[^>]*>(.*?)</title", 1)).otherwise("")
+
+
+def language_of(html: Column) -> Column:
+    """The first <html ..> with a language gives it."""
+    found = F.filter(F.regexp_extract_all(html, F.lit(MAYBE_LANGUAGE), F.lit(0)), lambda x: x.rlike(LANGUAGE))
+    return F.coalesce(F.regexp_extract(F.try_element_at(found, F.lit(1)), LANGUAGE, 1), F.lit(""))
+
+
+def links_of(html: Column) -> Column:
+    return F.filter(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: x != "")
 
 
 def tidy(text: Column) -> Column:
@@ -60,8 +101,10 @@ def named(text: Column) -> Column:
 
 def numbered(text: Column) -> Column:
     """Character references by number, then "&amp;"."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0)))
-    out = F.when(F.contains(text, F.lit("&#")), F.aggregate(found, text, lambda t, x: F.replace(t, x, _by_number(x)))).otherwise(text)
+    # What stands between the references, and each reference's character behind it.
+    between, found = F.split(text, NUMBERED, -1), F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0))
+    joined = F.array_join(F.zip_with(between, found, lambda t, x: F.concat(t, F.when(x.isNotNull(), _by_number(x)).otherwise(""))), "")
+    out = F.when(F.contains(text, F.lit("&#")), joined).otherwise(text)
     return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
@@ -113,7 +156,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "record_id",
     ).withColumn("record_id", F.coalesce("record_id", record_id(F.lit("response"), F.coalesce("target_uri", F.lit("")), F.col("source_digest"))))
     # Step by step, so that no expression stands in another twice and is worked out again.
-    parts = {"_text": bare(F.col("html")), "_title": F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title", 1)}
+    parts = {"_text": bare(F.col("html")), "_title": title_of(F.col("html"))}
     source = source.withColumns(parts).withColumns({c: named(F.col(c)) for c in parts}).withColumns({c: numbered(F.col(c)) for c in parts})
     source = source.withColumns(
         {
@@ -121,8 +164,8 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             "metadata_id": record_id(F.lit("metadata"), F.col("record_id")),
             "conversion_id": record_id(F.lit("conversion"), F.col("record_id")),
             "title": F.trim(F.regexp_replace("_title", "[ \\t\\r\\n\\f]+", " ")),
-            "language": one_line(F.regexp_extract("html", r'(?i)<html\b[^>]*\blang="([^"]*)"', 1)),
-            "links": F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda x: one_line(F.regexp_replace(x, "^[\"']|[\"']$", ""))),
+            "language": one_line(language_of(F.col("html"))),
+            "links": F.transform(links_of(F.col("html")), lambda x: one_line(F.regexp_replace(x, "^[\"']|[\"']$", ""))),
         }
     )
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
