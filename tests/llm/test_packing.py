@@ -103,3 +103,19 @@ def test_null_texts_conflict_with_nothing(spark):
     for r in out:
         bins.setdefault(r["bin_id"], []).append(r["doc_id"])
     assert len(bins) == 3 and max(map(len, bins.values())) == 21
+
+
+def test_large_ids_beside_null_ids(spark):
+    """Ids over 2^53 that differ in their last bits, text ids, and sources that are null or empty, all in one group."""
+    big = [(1 << 60) + 1, (1 << 60) + 3, (1 << 53) + 1, -(1 << 62) - 1, None, 0]
+    rows = [(i, n, s, c) for i in big for n, s, c in ((10, "s", (1 << 61) + 1), (10, None, None), (10, "", (1 << 61) + 3), (250, "t", None))]
+    docs = spark.createDataFrame(rows, "doc_id long, n int, source string, c long")
+    out = [tuple(r) for r in pack(docs, "doc_id", F.col("n"), F.col("source"), F.col("c"), capacity=100).collect()]
+    found = {}
+    for r in out:
+        found[r[0]] = found.get(r[0], 0) + r[3]
+    assert found == dict.fromkeys(big, 280)
+    again = pack(docs.repartition(7), "doc_id", F.col("n"), F.col("source"), F.col("c"), capacity=100).collect()
+    assert sorted(map(str, again)) == sorted(map(str, pack(docs.coalesce(1), "doc_id", F.col("n"), F.col("source"), F.col("c"), capacity=100).collect()))
+    named = spark.createDataFrame([(None, 5), ("b", 5), ("a", 5)], "name string, n int")
+    assert {r["name"] for r in pack(named, "name", F.col("n"), F.lit(None).cast("string"), F.lit(None).cast("string")).collect()} == {None, "a", "b"}

@@ -9,8 +9,8 @@ bin opens. So no bin ever holds two pieces of one source or of one duplicate clu
 
 Defined results: a document longer than the capacity is cut into full pieces and a rest, each in a bin of its own; null or zero
 length makes one piece of length 0; null sources and null clusters conflict with nothing (``cluster_of`` gives null for a null
-text); repeated rows are packed as rows of their own; ties are broken by id, piece, source and cluster; a null id is a value like
-others; an empty table gives no rows; extra columns are ignored.
+text); repeated rows are packed as rows of their own; ties are broken by id, piece, source and cluster, nulls behind all values; a
+null id is a value like others, and ids come back as they were whatever stands beside them; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,16 +69,18 @@ def pack(docs: DataFrame, key: str, length: Column, source: Column, cluster: Col
     groups = max(1, -(-(counted["rows"] + (counted["sum"] or 0) // capacity) // group_rows))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64(key, "piece", "copy", "start", "length", "source", "cluster"), F.lit(groups)).cast("int"))
 
-    def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        text = frame[["source", "cluster"]].astype("string").fillna("")
-        frame = frame.assign(s=text["source"], c=text["cluster"]).sort_values(["length", key, "piece", "s", "c"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
-        none = lambda column: [None if x is None or x != x else x for x in column.tolist()]
-        placed = place(zip(frame["length"].tolist(), none(frame["source"]), none(frame["cluster"]), strict=True), capacity)
-        group = int(frame["group"].iloc[0])
-        return frame.assign(bin_id=[(group << 32) + b for b, _ in placed], bin_offset=[o for _, o in placed])[[key, "piece", "start", "length", "bin_id", "bin_offset"]]
+    def packed(held: pa.Table) -> pa.Table:
+        # Arrow's own columns throughout: an id or a cluster is never made a float by a null beside it. Nulls come last.
+        by = held.append_column("_s", held.column("source").cast(pa.string())).append_column("_c", held.column("cluster").cast(pa.string()))
+        order = [("length", "descending"), (key, "ascending"), ("piece", "ascending"), ("_s", "ascending"), ("_c", "ascending")]
+        held = held.take(pc.sort_indices(by, sort_keys=order, null_placement="at_end"))
+        placed = place(zip(held.column("length").to_pylist(), held.column("source").to_pylist(), held.column("cluster").to_pylist(), strict=True), capacity)
+        group = held.column("group")[0].as_py()
+        bins = {"bin_id": pa.array([(group << 32) + b for b, _ in placed], pa.int64()), "bin_offset": pa.array([o for _, o in placed], pa.int64())}
+        return pa.table({**{c: held.column(c) for c in (key, "piece", "start", "length")}, **bins})
 
     kind = dict(docs.dtypes)[key]
-    return dealt.groupBy("group").applyInPandas(packed, f"`{key}` {kind}, piece int, start long, length long, bin_id long, bin_offset long")
+    return dealt.groupBy("group").applyInArrow(packed, f"`{key}` {kind}, piece int, start long, length long, bin_id long, bin_offset long")
 
 
 def cluster_of(text: Column) -> Column:
