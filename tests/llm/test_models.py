@@ -3,9 +3,11 @@
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +275,25 @@ def test_word_hashes_do_not_depend_on_the_place():
                 found.setdefault((tuple(texts), r), set()).add(b)
     assert found[("one two",), 0] <= found[("x one two",), 0]
     assert found[("zz", "two", "one"), 1] | found[("zz", "two", "one"), 2] == found[("one two",), 0]
+
+
+@pytest.mark.parametrize("text", ["kalo" * 1500, "中文字" * 700 + " tail " + "漢" * 900, "ab " * 500 + "x" * 3000 + "!" + "y" * 5, "z" * 1024, "z" * 1025 + " "])
+def test_features_do_not_depend_on_blocks(monkeypatch, text):
+    """Words longer than a block have the features that they have in one block."""
+    of = lambda: [tuple(x.tolist() for x in f[2:]) for f in X.features(pa.array(["before", text, "after"]))]
+    whole = set()
+    for rows, buckets in of():
+        whole |= set(zip(rows, buckets, strict=True))
+    for size in (1, 4, 16, 64, 256):
+        monkeypatch.setattr(X, "BLOCK_BYTES", size)
+        found = set()
+        for start, _, row, bucket in X.features(pa.array(["before", text, "after"])):
+            found |= {(start + r, b) for r, b in zip(row.tolist(), bucket.tolist(), strict=True)}
+        assert found == whole
+
+
+def test_a_long_word_takes_linear_time(monkeypatch):
+    monkeypatch.setattr(X, "BLOCK_BYTES", 1 << 14)
+    began = time.perf_counter()
+    assert sum(len(f[3]) for f in X.features(pa.array(["漢" * 2_000_000]))) == 4
+    assert time.perf_counter() - began < 10

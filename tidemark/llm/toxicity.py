@@ -108,13 +108,33 @@ def _hashed(data: np.ndarray, lo: int, hi: int, rows: np.ndarray) -> tuple[np.nd
         own = slice(None) if kind == 0 else ends - starts > kind
         s = starts[own]
         e = ends if kind == 0 else s + kind
-        h = (prefix[e] - prefix[s]) * back[s] + np.uint64(kind)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        out.append(_bucket((prefix[e] - prefix[s]) * back[s] + np.uint64(kind)))
         out_rows.append(rows[s])
     return np.concatenate(out_rows), np.concatenate(out)
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _long_word(data: np.ndarray, lo: int, end: int, block: int) -> tuple[int, np.ndarray]:
+    """(end, buckets) of a word that begins at ``lo`` and fills the next block: its hash is carried from block to block."""
+    h, at = np.zeros(1, np.uint64), lo
+    while at < end:
+        part = data[at : min(at + block, end)]
+        out = np.flatnonzero(~_CHAR[part])
+        part = part[: out[0]] if len(out) else part
+        h += np.sum((part.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(part)), dtype=np.uint64) * np.uint64(pow(_BASE, at - lo, 1 << 64))
+        at += len(part)
+        if len(out):
+            break
+    # Its beginnings are those of its first bytes, that is all but the whole word of them.
+    first = data[lo : min(lo + max(BEGINNINGS) + 1, at)]
+    _, begun = _hashed(first, 0, len(first), np.zeros(len(first), np.int64))
+    return at, np.concatenate([_bucket(h), begun[1:]])
+
+
 def features(texts: pa.Array, weights: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, row, bucket): the different features of each text, over runs of texts; with ``weights``, only weighted ones."""
     data, at = utf8(pc.utf8_lower(pc.fill_null(texts, "")))
@@ -123,10 +143,15 @@ def features(texts: pa.Array, weights: np.ndarray | None = None) -> Iterator[tup
         lo = int(at[start])
         while lo < at[end]:
             hi = min(lo + 4 * BLOCK_BYTES, int(at[end]))
-            while hi < at[end] and hi > lo + 1 and _CHAR[data[hi - 1]]:  # a block ends where a word does
-                hi -= 1
-            rows = np.repeat(np.arange(end - start), np.diff(np.clip(at[start : end + 1], lo, hi)))
-            row, bucket = _hashed(data, lo, hi, rows)
+            between = np.flatnonzero(~_CHAR[data[lo:hi]]) if hi < at[end] else None
+            if between is not None and len(between) == 0:
+                hi, bucket = _long_word(data, lo, int(at[end]), hi - lo)
+                row = np.zeros(len(bucket), np.int64)  # a text that is cut is a run of its own
+            else:
+                if between is not None:  # a block ends where a word does
+                    hi = lo + int(between[-1]) + 1
+                rows = np.repeat(np.arange(end - start), np.diff(np.clip(at[start : end + 1], lo, hi)))
+                row, bucket = _hashed(data, lo, hi, rows)
             if weights is not None:
                 some = weights[bucket] != 0
                 row, bucket = row[some], bucket[some]
