@@ -3,10 +3,12 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.features import features_as_of
 from tidemark.operators.offline_store import read_snapshots
+from tidemark.operators.online_table import OnlineTable
 from tidemark.schema import EVENT
 from tidemark.sources import events as source
 from tidemark.sources import generator
@@ -83,18 +85,60 @@ def test_touched_entities_without_recent_events_have_features(spark, tmp_path):
     assert {i: (r["view_count_1h"], r["popularity_rank_1h"]) for i, r in items.items()} == {7: (0, 0.0), 8: (2, 1.0), 9: (1, 0.5)}
 
 
-def test_online_store_is_an_upsert(spark, tmp_path):
-    paths, kind = pipeline.Paths(str(tmp_path)), "entity string, entity_id long, feature_name string, value_json string, written_at timestamp, expires_at timestamp"
-    expected = {}
-    for k in range(23):
-        rows = [("user", i, "f", str(k), T0 + timedelta(hours=k), T0 + timedelta(hours=k + 1)) for i in (k % 5, 100 + k)]
+ONLINE = "entity string, entity_id long, feature_name string, value_json string, written_at timestamp, expires_at timestamp"
+
+
+def test_online_store_keeps_every_key(spark, tmp_path):
+    """Sixty batches, every second one empty, some of them twice, against a dictionary."""
+    table, expected, merges = OnlineTable(spark, str(tmp_path), buckets=4, merge_every=3), {}, 0
+    assert table.read().count() == 0
+    for k in range(60):
+        ids = [] if k % 2 else [k % 5, 100 + k]
+        rows = [("user", i, "f", str(k), T0 + timedelta(hours=k), T0 + timedelta(hours=k + 1)) for i in ids]
         expected |= {r[1]: r[3] for r in rows}
-        for _ in range(1 + (k % 4 == 3)):  # a batch that comes again changes nothing
-            pipeline.upsert_online(spark, spark.createDataFrame(rows, kind), k, paths, every=3)
-    online = pipeline.read_online(spark, paths)
-    assert {r["entity_id"]: r["value_json"] for r in online.collect()} == expected
-    slots = [p.name for p in tmp_path.glob("online/*/slot=*")]
-    assert len(slots) == 2 + 6
+        for _ in range(1 + (k % 4 == 2)):
+            table.upsert(spark.createDataFrame(rows, ONLINE), k)
+        merges += (tmp_path / f"data/base={k}").exists()
+        if k % 20 == 10:
+            assert {r["entity_id"]: r["value_json"] for r in table.read().collect()} == expected
+    assert {r["entity_id"]: r["value_json"] for r in table.read().collect()} == expected and merges > 3
+    assert {r["value_json"] for r in table.read(upto=20).collect()} == set() and len(list((tmp_path / "manifest").glob("*.json"))) == 4
+    assert max(len(x) for x in table.manifest(58).values()) <= 4
+    found = table.of_keys(spark.createDataFrame([("user", 4, "f"), ("user", 158, "f"), ("user", 9, "f")], "entity string, entity_id long, feature_name string"))
+    assert {r["entity_id"]: r["value_json"] for r in found.collect()} == {4: expected[4], 158: expected[158]}
+
+
+def test_a_merge_rewrites_touched_buckets_only(spark, tmp_path):
+    table = OnlineTable(spark, str(tmp_path), buckets=32, merge_every=1)
+    many = spark.range(20_000).select(F.lit("user").alias("entity"), F.col("id").alias("entity_id"), F.lit("f").alias("feature_name"), F.lit("0").alias("value_json"), F.lit(T0).alias("written_at"), F.lit(T0).alias("expires_at"))
+    table.upsert(many, 0)
+    for k, ids in ((1, [5]), (2, [5, 6, 7])):
+        table.upsert(spark.createDataFrame([("user", i, "f", str(k), T0 + timedelta(hours=k), T0) for i in ids], ONLINE), k)
+    whole, one = (sum(p.stat().st_size for p in (tmp_path / d).rglob("*.parquet")) for d in ("data/batch=0", "data/base=1"))
+    assert one < whole / 16
+    assert len(list((tmp_path / "data/base=2").glob("bucket=*"))) <= 3
+    assert table.read().count() == 20_000 and {r["value_json"] for r in table.read().where("entity_id in (5, 6, 7)").collect()} == {"2"}
+
+
+def test_a_batch_is_in_both_stores_or_in_none(spark, tmp_path, monkeypatch):
+    paths = pipeline.Paths(str(tmp_path))
+    made = [generator.batch(spark, 40, T0 + timedelta(hours=k), 1, seed=k, n_users=5, n_items=8).persist() for k in range(2)]
+    assert pipeline.read_online(spark, paths).count() == 0
+    pipeline.process_batch(spark, made[0], 0, paths)
+    seen = lambda: (pipeline.read_offline(spark, paths, "user").count(), pipeline.read_offline(spark, paths, "item").count(), sorted(map(str, pipeline.read_online(spark, paths).collect())))
+    before = seen()
+    for broken in ("upsert", "commit"):
+        with monkeypatch.context() as m:
+            target = OnlineTable if broken == "upsert" else pipeline
+            m.setattr(target, broken, lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+            with pytest.raises(RuntimeError):
+                pipeline.process_batch(spark, made[1], 1, paths)
+        assert seen() == before
+    pipeline.process_batch(spark, made[1], 1, paths)
+    after = seen()
+    assert after[0] > before[0] and after != before
+    pipeline.process_batch(spark, made[1], 1, paths)
+    assert seen() == after
 
 
 def test_lookups_are_observed(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import default_catalog
 from tidemark.functions.features import HOUR_US, Measure, in_window, micros
 from tidemark.operators import asof, consistency, features, offline_store, online_store, snapshots, training
+from tidemark.operators.online_table import OnlineTable
 from tidemark.sources import events as source
 from tidemark.sources import generator
 from tidemark.streaming import metrics, pipeline
@@ -319,11 +320,13 @@ def stored_history_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def online_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``online_ttl_visible`` from the online store after five upserts of older values, with a merge every second batch."""
-    seen, paths = events(spark, sf_dir), pipeline.Paths(scratch(spark, "online"))
-    for batch_id, ref in enumerate(("2024-01-05 00:00:00", "2024-01-10 00:00:00", "2024-01-15 00:00:00", "2024-01-19 23:00:00", REF)):
-        pipeline.upsert_online(spark, online(spark, sf_dir, seen, ref), batch_id, paths, every=2)
-    return naive(online_store.visible(pipeline.read_online(spark, paths), NOW))
+    """``online_ttl_visible`` from the online store after five upserts of older values and an empty one behind each, buckets merged at every second."""
+    seen, table = events(spark, sf_dir), OnlineTable(spark, scratch(spark, "online"), buckets=8, merge_every=1)
+    for k, ref in enumerate(("2024-01-05 00:00:00", "2024-01-10 00:00:00", "2024-01-15 00:00:00", "2024-01-19 23:00:00", REF)):
+        rows = online(spark, sf_dir, seen, ref)
+        table.upsert(rows, 2 * k)
+        table.upsert(rows.limit(0), 2 * k + 1)
+    return naive(online_store.visible(table.read(), NOW))
 
 
 def tolerant_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,7 +418,7 @@ def streamed(spark: SparkSession, sf_dir: str) -> pipeline.Paths:
 
 def streamed_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' snapshots that the stream left in the offline store."""
-    stored = offline_store.read_snapshots(spark, streamed(spark, sf_dir).offline, "user")
+    stored = pipeline.read_offline(spark, streamed(spark, sf_dir), "user")
     return naive(stored.drop("category_affinity", "avg_session_duration", "date"))
 
 

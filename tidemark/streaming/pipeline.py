@@ -3,10 +3,10 @@
 Messages are parsed, unreadable ones set aside, repeats of an event id dropped within the watermark. Each micro-batch adds its
 events to a log by date, and features of the entities it touches are computed from their events in the days of the log that the
 history covers, by the same expressions as in batch, for users and, by a shuffle of their own, for items. So what a batch reads depends on the
-events of the history, not on the age of the log. Both stores are written by batch id, so a replayed batch changes nothing.
+events of the history, not on the age of the log (``streaming.keyed`` holds state by key instead, and reads no log).
 
-The online store is a base with the latest value of every key and the last batches' rows on top. Bases and batches are written to
-slots in turn, each replacing what it held, so there are never more than two bases and ``2 * MERGE_EVERY`` batches to read.
+Both stores are written by batch id, so a replayed batch changes nothing, and a batch is seen in neither before it is in both: its
+commit record is written last, and readers ask for it. An empty batch writes nothing and loses nothing.
 """
 
 from __future__ import annotations
@@ -15,22 +15,17 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.catalog import Catalog, default_catalog
-from tidemark.operators import offline_store, online_store
+from tidemark.operators import files, offline_store, online_store
 from tidemark.operators.features import POPULARITY, features_as_of, key_of, measures_of
+from tidemark.operators.online_table import OnlineTable
 from tidemark.schema import EVENT
 from tidemark.sources.events import parse_events
 
-
-#: Batches between two merges of the online store.
-MERGE_EVERY = 20
-
-
 @dataclass(frozen=True)
 class Paths:
     root: str
@@ -102,45 +97,51 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: P
                 features = features.join(touched, key, "left_semi")
             held.append(features.persist())
             made.append((entity, features))
-        rows = None
-        for entity, features in made:
-            offline_store.write_snapshots(features, paths.offline, entity, batch_id)
-            own = online_store.to_online(features, entity, F.col("feature_timestamp"), catalog)
-            rows = own if rows is None else rows.unionByName(own)
-        upsert_online(spark, rows, batch_id, paths)
-        if push is not None:
-            push(rows, batch_id)
+        write_both(spark, made, batch_id, paths, catalog, push)
     finally:
         for frame in held:
             frame.unpersist()
 
 
-def _read_any(spark: SparkSession, path: str) -> DataFrame | None:
-    """What is there by a path pattern, None if nothing is."""
-    try:
-        return spark.read.option("recursiveFileLookup", True).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def online_table(spark: SparkSession, paths: Paths) -> OnlineTable:
+    return OnlineTable(spark, paths.online)
 
 
-def upsert_online(spark: SparkSession, rows: DataFrame, batch_id: int, paths: Paths, every: int | None = None) -> None:
-    """The rows of a batch take the place of older ones of their keys. Batches come in order of their ids; the last may come again.
+def committed(spark: SparkSession, paths: Paths) -> int:
+    """The id of the last batch that is in both stores, -1 if none is. Batches are written one after another, so all before it are too."""
+    return max([int(n) for n in files.names(spark, paths.commits) if n.isdigit()], default=-1)
 
-    Every ``every``-th batch the latest rows of all keys, from the other base and the batches since, become a base.
-    """
-    every = every or MERGE_EVERY
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{paths.online}/batch/slot={batch_id % (2 * every)}")
-    if batch_id % every == every - 1:
-        slot = batch_id // every % 2
-        base, recent = _read_any(spark, f"{paths.online}/base/slot={1 - slot}"), _read_any(spark, f"{paths.online}/batch/slot=*")
-        online_store.merged(base, recent).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{paths.online}/base/slot={slot}")
+
+def commit(spark: SparkSession, paths: Paths, batch_id: int) -> None:
+    """From now on readers see the batch."""
+    files.write(spark, f"{paths.commits}/{batch_id}", "")
+    for n in files.names(spark, paths.commits):
+        if n.isdigit() and int(n) < batch_id - 1:
+            files.remove(spark, f"{paths.commits}/{n}")
+
+
+def write_both(spark: SparkSession, made: list[tuple[str, DataFrame]], batch_id: int, paths: Paths, catalog: Catalog, push: Callable[[DataFrame, int], None] | None = None) -> None:
+    """(entity, features) to the offline and the online store, all or nothing: neither is seen before the batch is committed."""
+    rows = None
+    for entity, features in made:
+        offline_store.write_snapshots(features, paths.offline, entity, batch_id)
+        own = online_store.to_online(features, entity, F.col("feature_timestamp"), catalog)
+        rows = own if rows is None else rows.unionByName(own)
+    # A batch may hold several times of a key; the last counts.
+    online_table(spark, paths).upsert(online_store.merged(None, rows), batch_id)
+    commit(spark, paths, batch_id)
+    if push is not None:
+        push(rows, batch_id)
 
 
 def read_online(spark: SparkSession, paths: Paths) -> DataFrame:
-    """The latest value of each key."""
-    return online_store.merged(_read_any(spark, f"{paths.online}/base/slot=*"), _read_any(spark, f"{paths.online}/batch/slot=*"))
+    """The latest value of each key of committed batches."""
+    return online_table(spark, paths).read(committed(spark, paths))
+
+
+def read_offline(spark: SparkSession, paths: Paths, entity: str) -> DataFrame:
+    """The snapshots of committed batches."""
+    return offline_store.read_snapshots(spark, paths.offline, entity, upto=committed(spark, paths))
 
 
 def start_dead_letters(dead: DataFrame, paths: Paths, trigger: dict | None = None) -> StreamingQuery:
