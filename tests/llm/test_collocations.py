@@ -55,6 +55,8 @@ def made(n, seed=1):
 def test_against_plain_counting(spark, monkeypatch, parts, most, swallowed, top):
     if parts == 3:  # a filter that is too small lets nearly all pass, and changes nothing
         monkeypatch.setattr(C, "MOST_BITS", 1 << 6)
+    if parts == 7:  # small ranges
+        monkeypatch.setattr(C, "RANGE_PAIRS", 10)
     draw = random.Random(4)
     rows = [(draw.choice(["en", "en", "de", None, "und"]), t) for t in [*made(150), "", None, " .,", "a\r\nb", "\U0001f600 x \U0001f600 x"]]
     rows += rows[:9]
@@ -101,3 +103,19 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
     one = C.Shard.of_texts(data, at)
     assert np.array_equal(position, C.positions(data, at)[2]) and len(words) == len(one.words)
     assert sum(c for c in one.pairs[2]) == 200 + 199 + 2
+
+
+def test_pairs_are_added_up_by_number():
+    """Packed in several goes, and added up by range: the numbers that reach the least."""
+    draw = np.random.default_rng(1)
+    rows = [(draw.integers(0, 1 << 20, 5000).astype(np.uint64), draw.integers(1, 4, 5000)) for _ in range(6)]
+    width, total = 70_000, Counter()
+    for key, n in rows:
+        for k, x in zip(key.tolist(), n.tolist(), strict=True):
+            total[k] += x
+    batches = [b for i in (0, 2, 4) for b in C._packed(rows[i : i + 2], width)]
+    found = set()
+    for r in {b["range"][0].as_py() for b in batches}:
+        own = pa.Table.from_batches([b for b in batches if b["range"][0].as_py() == r])
+        found |= set(C._often(own, width, 5)["key"].to_numpy().view(np.uint64).tolist())
+    assert found == set(C._spread(np.array([k for k, x in total.items() if x >= 5], np.uint64)).tolist())

@@ -8,7 +8,9 @@ its popcount the number of occurrences. All words that can follow are ANDed at o
 Counts are summed over the shards in three rounds: words; pairs of frequent words; and, depth-first from the pairs that are frequent
 over all shards and along such pairs only, phrases of three words and more. A phrase is no more frequent than any part of it, so no
 frequent one is missed. What is frequent is told to the shards by a Bloom filter of at most ``MOST_BITS``, whatever the input: a phrase
-that it lets pass by mistake is counted for nothing and goes when counts are summed. The shards themselves are never shuffled.
+that it lets pass by mistake is counted for nothing and goes when counts are summed. Most pairs are rare; so pairs are first summed under
+short numbers, sorted, as compressed steps, which are a few bytes each, and only those whose number is frequent are summed as phrases.
+The shards themselves are never shuffled.
 
 Scores are exact: products in decimals, an integral division at the end.
 
@@ -35,6 +37,8 @@ from tidemark.llm.common import checkpointed, runs, utf8
 SHARD_BYTES = 3 << 20
 #: Rows of bitmaps that are extended at once.
 ROWS_AT_ONCE = 1 << 16
+#: Pairs that are added up at once in a task, and at most about in a range of their numbers.
+PAIRS_AT_ONCE, RANGE_PAIRS = 1 << 21, 1 << 20
 #: Bits of a filter for each phrase in it, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 26
 
@@ -261,26 +265,31 @@ class Filter:
         return (set_[: len(keys)] & set_[len(keys) :]).astype(bool)
 
     @classmethod
-    def of(cls, found: DataFrame) -> Filter:
-        """Of all (lang, phrase): each task sets bits, and the words of bits are ORed by Spark."""
+    def of(cls, keys: DataFrame) -> Filter:
+        """Of all numbers in column ``key``: each task sets bits, and the words of bits are ORed by Spark."""
         size = 1 << 6
-        while size < MOST_BITS and size < BITS_EACH * found.count():
+        while size < MOST_BITS and size < BITS_EACH * keys.count():
             size *= 2
 
         def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keys = [int(_key(lang, *(_hash([w]) for w in phrase.split(" ")))[0]) for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist(), strict=True)]
-                at = np.unique(cls.places(np.array(keys, np.uint64), size))
+                at = np.unique(cls.places(b.column("key").to_numpy(zero_copy_only=False).view(np.uint64), size))
                 first = np.flatnonzero(np.concatenate([[True], at[1:] >> np.uint64(6) != at[:-1] >> np.uint64(6)])) if len(at) else at.astype(np.int64)
                 bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
                 yield pa.RecordBatch.from_pydict({"slot": (at[first] >> np.uint64(6)).astype(np.int64), "bits": bits.view(np.int64)})
 
-        rows = found.mapInArrow(set_bits, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+        rows = keys.mapInArrow(set_bits, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
         bits = np.zeros(size // 64, np.uint64)
         bits[rows["slot"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
         return cls(bits)
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = [int(_key(lang, *(_hash([w]) for w in phrase.split(" ")))[0]) for lang, phrase in zip(b.column("lang").to_pylist(), b.column("phrase").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_pydict({"key": _spread(np.array(keys, np.uint64)).view(np.int64)})
+
+
 def _hash(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
 
@@ -309,11 +318,70 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _counted(lang, shard.words, shard.bitmaps.counts(len(shard.words)))
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], words: Broadcast) -> Iterator[pa.RecordBatch]:
+def _cut(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - bits)
+
+
+def _spread(keys: np.ndarray) -> np.ndarray:
+    """For a filter, which takes its places from the lower bits of both halves."""
+    keys = keys * np.uint64(0x9E3779B97F4A7C15)
+    return keys ^ keys >> np.uint64(29)
+
+
+def _packed(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[pa.RecordBatch]:
+    """(range, data): the numbers of pairs and their counts, added up, in steps from one number to the next and compressed."""
+    key, n = _added(rows)
+    range_ = key // np.uint64(width)
+    ends = np.append(np.flatnonzero(range_[1:] != range_[:-1]) + 1, len(key)) if len(key) else []
+    lo = 0
+    for hi in ends:
+        t = pa.table({"step": np.diff(key[lo:hi], prepend=range_[lo] * np.uint64(width)), "n": n[lo:hi]})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(t)
+        yield pa.RecordBatch.from_pydict({"range": pa.array([int(range_[lo])], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        lo = hi
+
+
+def _added(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+    return key[first], np.add.reduceat(n[order], first) if len(key) else n
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], words: Broadcast, bits: int, width: int) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for lang, shard in _rows(batches):
         a, b, n = shard.pairs
-        good = words.value.has(_key(lang, _hash(shard.words.to_pylist())))
+        word = _hash(shard.words.to_pylist())
+        good = words.value.has(_spread(_key(lang, word)))
         keep = np.flatnonzero(good[a] & good[b])
+        held.append((_cut(_key(lang, word[a[keep]], word[b[keep]]), bits), n[keep]))
+        size += len(keep)
+        if size >= PAIRS_AT_ONCE:
+            yield from _packed(held, width)
+            held, size = [], 0
+    if held:
+        yield from _packed(held, width)
+
+
+def _often(rows: pa.Table, width: int, least: int) -> pa.Table:
+    """The numbers of one range whose counts add up to ``least``."""
+    held = []
+    for range_, data in zip(rows["range"].to_pylist(), rows["data"].to_pylist(), strict=True):
+        t = pa.ipc.open_stream(data).read_all()
+        held.append((np.cumsum(t["step"].to_numpy(), dtype=np.uint64) + np.uint64(range_ * width), t["n"].to_numpy()))
+    key, n = _added(held)
+    return pa.table({"key": _spread(key[n >= least]).view(np.int64)})
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], pairs: Broadcast, bits: int) -> Iterator[pa.RecordBatch]:
+    for lang, shard in _rows(batches):
+        a, b, n = shard.pairs
+        word = _hash(shard.words.to_pylist())
+        keep = np.flatnonzero(pairs.value.has(_spread(_cut(_key(lang, word[a], word[b]), bits))))
         for lo in range(0, len(keep), ROWS_AT_ONCE):
             k = keep[lo : lo + ROWS_AT_ONCE]
             yield _counted(lang, shard.phrase(a[k], b[k]), n[k])
@@ -323,7 +391,7 @@ def _longer(batches: Iterator[pa.RecordBatch], pairs: Broadcast, most_words: int
     for lang, shard in _rows(batches):
         a, b, _ = shard.pairs
         word = _hash(shard.words.to_pylist())
-        keep = pairs.value.has(_key(lang, word[a], word[b]))
+        keep = pairs.value.has(_spread(_key(lang, word[a], word[b])))
         for phrases, n in shard.longer(a[keep], b[keep], most_words):
             yield _counted(lang, phrases, n)
 
@@ -338,9 +406,19 @@ def frequent(docs: DataFrame, least: int, most_words: int, text: str = "text", l
     totals = checkpointed(words.groupBy("lang").agg(F.sum("n").alias("n")))
     found = [summed(words)]
     if most_words > 1:
-        found.append(summed(shards.mapInArrow(partial(_pairs, words=send(Filter.of(found[0]))), kind)))
+        # Pairs are first added up under numbers of a few bits more than there are pairs at most; numbers that pairs share only count too much.
+        most = totals.agg(F.sum("n")).first()[0] or 0
+        bits = min(max(20, (16 * most).bit_length()), 60)
+        width = max(1, (1 << bits) // (16 + most // RANGE_PAIRS))
+        numbers = shards.mapInArrow(partial(_numbered, words=send(Filter.of(found[0].mapInArrow(_keys, "key long"))), bits=bits, width=width), "range long, data binary")
+
+        def reached(rows: pa.Table) -> pa.Table:
+            return _often(rows, width, least)
+
+        often = checkpointed(numbers.groupBy("range").applyInArrow(reached, "key long"))
+        found.append(summed(shards.mapInArrow(partial(_pairs, pairs=send(Filter.of(often)), bits=bits), kind)))
     if most_words > 2:
-        found.append(summed(shards.mapInArrow(partial(_longer, pairs=send(Filter.of(found[1])), most_words=most_words), kind)))
+        found.append(summed(shards.mapInArrow(partial(_longer, pairs=send(Filter.of(found[1].mapInArrow(_keys, "key long"))), most_words=most_words), kind)))
     return reduce(DataFrame.unionByName, found), totals
 
 
