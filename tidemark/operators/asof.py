@@ -2,7 +2,8 @@
 
 ``union``: both sides in one sorted window, linear in their rows. With a tolerance, keys are also cut into blocks of that length,
 a right row goes to its own and the next block, and no partition holds more than two blocks of one key: a hot key is spread
-over time. ``range``: an equi and range join with max_by, good for few right rows a key. ``grid``: for right rows on a complete
+over time. Without one, a block of a day looks at itself first, and then takes what the blocks before it ended with: a key's blocks, a
+row for each, are scanned a second time, not its rows. ``range``: an equi and range join with max_by, good for few right rows a key. ``grid``: for right rows on a complete
 regular grid, the one time that can match is computed and joined by equality.
 """
 
@@ -38,18 +39,24 @@ def _fits(left_us: Column, right_us: Column, tolerance_days: int | None) -> Colu
 
 
 def _union(left: DataFrame, right: DataFrame, key: str, tolerance_days: int | None, grid: object) -> DataFrame:
-    width = None if tolerance_days is None else max(1, tolerance_days) * DAY_US
-    block = lambda us: F.lit(0).cast("long") if width is None else F.floor(us / width)
+    width = DAY_US if tolerance_days is None else max(1, tolerance_days) * DAY_US
+    block = lambda us: F.floor(us / width)
     # Left rows without a key match nothing; they are spread by their time instead of meeting in one partition.
     own = F.when(F.col(key).isNull(), F.xxhash64("_l")).otherwise(block(F.col("_l")))
     a = left.select(F.col(key).alias("_k"), F.col("_l").alias("_t"), own.alias("_b"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"))
-    blocks = F.array(block(F.col("_t"))) if width is None else F.array(block(F.col("_t")), block(F.col("_t")) + 1)
+    blocks = F.array(block(F.col("_t"))) if tolerance_days is None else F.array(block(F.col("_t")), block(F.col("_t")) + 1)
     b = right.select("_k", "_t", F.explode(blocks).alias("_b"), F.lit(1).alias("_side"), "_o", "_p")
     # At one time left comes first, so an equal right row is never seen: strictly earlier.
     both = a.unionByName(b, allowMissingColumns=True)
     before = Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, -1)
     found = F.last(F.when(F.col("_side") == 1, F.struct("_t", "_p")), ignorenulls=True).over(before)
     seen = both.withColumn("_f", found).where("_side = 0")
+    if tolerance_days is None:
+        # Blocks of either side, with their last right row; then what was last before each block.
+        ends = both.where("_k is not null").groupBy("_k", "_b").agg(F.max_by(F.struct("_t", "_p"), F.when(F.col("_side") == 1, F.struct("_t", "_o"))).alias("_end"))
+        earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(F.col("_k").alias("_ck"), F.col("_b").alias("_cb"), F.last("_end", ignorenulls=True).over(earlier).alias("_c"))
+        seen = seen.join(carried, (F.col("_k") == F.col("_ck")) & (F.col("_b") == F.col("_cb")), "left").withColumn("_f", F.coalesce("_f", "_c"))
     return seen.select("_row.*", F.when(_fits(F.col("_t"), F.col("_f._t"), tolerance_days), F.col("_f._p")).alias("_p"))
 
 
