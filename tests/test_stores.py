@@ -48,6 +48,37 @@ def test_damaged_files_are_left_out(spark, tmp_path):
         offline_store.read_snapshots(spark, str(tmp_path), "user").count()
 
 
+def decoded(df):
+    """Rows that the scan of a plan puts out when it runs."""
+    run = df._jdf.queryExecution()
+    df._jdf.collectToPython()
+    found, stack = 0, [run.executedPlan()]
+    while stack:
+        node = stack.pop()
+        name, children = node.nodeName(), node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+        if name == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+        elif "QueryStage" in name:
+            stack.append(node.plan())
+        elif "Scan parquet" in name:
+            found += node.metrics().apply("numOutputRows").value()
+    return found
+
+
+def test_one_entity_is_read_by_its_blocks(spark, tmp_path):
+    """What is decoded for one entity doesn't grow with the entities: ten times as many, as many rows."""
+    seen = {}
+    for n in (4_000, 40_000):
+        ids = spark.range(n).select(F.col("id").alias("user_id"), F.explode(F.array(*[F.lit(T0 + k * HOUR) for k in range(3)])).alias("feature_timestamp"), F.rand(1).alias("v"))
+        blocks = {"parquet.block.size": "16384", "parquet.page.size": "4096", "parquet.block.size.row.check.min": "10", "parquet.page.size.row.check.min": "10"}
+        offline_store.write_snapshots(ids, str(tmp_path / str(n)), "user", 1, **blocks)
+        found = offline_store.history(offline_store.read_snapshots(spark, str(tmp_path / str(n)), "user"), "user", 1234, T0 - HOUR, T0 + 9 * HOUR)
+        assert found.count() == 3
+        seen[n] = decoded(found)
+    assert 3 <= seen[40_000] <= 2 * seen[4_000] and seen[40_000] < 40_000 / 10
+
+
 @pytest.fixture
 def online(spark):
     wide = spark.createDataFrame([(1, T0, 3, 2.5, ["a", "b"], "x\"y", float("inf"), None)], "user_id long, feature_timestamp timestamp, purchase_count_1h long, total_spend_24h double, category_affinity array<string>, note string, far double, gone long")

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from tidemark.operators.features import key_of
 
 
-def write_snapshots(snapshots: DataFrame, path: str, entity: str, batch_id: str | int = 0) -> None:
-    """Rows of a batch, by date. A batch written again replaces its own files and nothing else."""
-    key_of(entity)
-    # Rebalanced by date: few files a date, and a date with many rows in several.
-    dated = snapshots.withColumn("date", F.to_date("feature_timestamp")).withColumn("batch", F.lit(str(batch_id))).hint("rebalance", "date")
-    writer = dated.sortWithinPartitions("feature_timestamp").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def write_snapshots(snapshots: DataFrame, path: str, entity: str, batch_id: str | int = 0, **options: str) -> None:
+    """Rows of a batch, by date. A batch written again replaces its own files and nothing else.
+
+    A file's rows are in the order of their entities, and its blocks have Bloom filters of them, so that a reader of one entity
+    decodes the blocks it is in and no others. ``options`` are the writer's.
+    """
+    key = key_of(entity)
+    # Rebalanced by date: few files a date, and a date with many rows in several, each with some of the entities.
+    dated = snapshots.withColumn("date", F.to_date("feature_timestamp")).withColumn("batch", F.lit(str(batch_id)))
+    dealt = dated.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(64))).hint("rebalance", "date", "_slot").sortWithinPartitions("date", "batch", key, "feature_timestamp")
+    writer = dealt.drop("_slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(f"parquet.bloom.filter.enabled#{key}", "true").options(**options)
     writer.partitionBy("date", "batch").parquet(f"{path}/entity={entity}")
 
 
@@ -54,7 +59,7 @@ def latest_as_of(snapshots: DataFrame, entity: str, as_of: datetime | str, by_co
 def compact(spark: SparkSession, path: str, entity: str, into: str) -> None:
     """The same rows in one set of files for each date, to a new place."""
     rows = read_snapshots(spark, path, entity).withColumn("batch", F.lit("compact"))
-    rows.repartition("date").sortWithinPartitions("feature_timestamp").write.mode("overwrite").partitionBy("date", "batch").parquet(f"{into}/entity={entity}")
+    rows.repartition("date").sortWithinPartitions("date", "batch", key_of(entity), "feature_timestamp").write.mode("overwrite").partitionBy("date", "batch").parquet(f"{into}/entity={entity}")
 
 
 def from_json_lists(snapshots: DataFrame, columns: list[str]) -> DataFrame:
