@@ -13,7 +13,7 @@ from tidemark.schema import EVENT
 from tidemark.sources import events as source
 from tidemark.sources import generator
 from tidemark.streaming import pipeline
-from tidemark.streaming.metrics import Histogram, Progress, observed
+from tidemark.streaming.metrics import Histogram, Progress, Served, measured, observed
 
 T0 = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
@@ -141,6 +141,36 @@ def test_a_batch_is_in_both_stores_or_in_none(spark, tmp_path, monkeypatch):
     assert seen() == after
 
 
+def test_a_row_that_cannot_be_used_is_set_aside(spark, tmp_path):
+    paths, meta = pipeline.Paths(str(tmp_path)), (1.0, "c", 1, float("nan"), None, None, None, None)
+    rows = [("a", 1, "purchase", 7, T0, "s", meta), ("b", 2, "item_view", 8, T0, "t", None), ("c", 3, "purchase", 8, T0, "t", (1.0, "c", 1, 4.0, None, None, None, None))]
+    pipeline.process_batch(spark, spark.createDataFrame(rows, EVENT), 0, paths)
+    assert {r["user_id"]: r["total_spend_24h"] for r in pipeline.read_offline(spark, paths, "user").collect()} == {2: 0.0, 3: 4.0}
+    assert {(r["entity"], r["entity_id"], r["reason"]) for r in pipeline.read_rejected(spark, paths).collect()} == {("user", 1, "total_spend_24h is not finite"), ("item", 7, "revenue_24h is not finite")}
+    assert {r["entity_id"] for r in pipeline.read_online(spark, paths).where("entity = 'user'").collect()} == {2, 3}
+
+
+def test_sketches_and_misses_are_added_over_batches(spark):
+    heard = Served()
+    for k in range(3):
+        rows = [(i, None if i % 4 == k else "x", None, float(i * 3 + k)) for i in range(200)]
+        found = measured(spark.createDataFrame(rows, "id long, f string, g string, ms double"), ["f", "g"], "ms", name=f"n{k}")
+        found.write.format("noop").mode("overwrite").save()
+        values = found.agg(F.count("*").alias("rows"), F.count_if(F.col("f").isNull()).alias("miss_f"), F.count_if(F.col("g").isNull()).alias("miss_g"), F.kll_sketch_agg_double("ms").alias("took")).first().asDict()
+        heard.add(values)
+    assert (heard.rows, dict(heard.misses)) == (600, {"f": 150, "g": 600})
+    assert all(abs(q / 600 - p) < 0.02 for q, p in zip(heard.quantiles(spark, [0.1, 0.5, 0.9]), (0.1, 0.5, 0.9), strict=True))
+    assert 'served_miss_total{feature="g"} 600' in heard.as_text()
+
+
+def test_live_batches_are_the_generators(spark, tmp_path):
+    for _ in range(3):
+        made = generator.live(spark, 50, T0, 10, n_users=5, n_items=20)
+        made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.schema(EVENT).parquet(str(tmp_path / "out"))
+    assert sorted(map(str, stored.collect())) == sorted(map(str, generator.batch(spark, 150, T0, 10, n_users=5, n_items=20).collect()))
+
+
 def test_lookups_are_observed(spark):
     found, watch = observed(spark.createDataFrame([(1, "a", None), (2, None, None)], "id long, f string, g string"), ["f", "g"])
     assert found.count() == 2 and watch.get == {"rows": 2, "values": 4, "misses": 3}

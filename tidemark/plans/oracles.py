@@ -221,3 +221,31 @@ ORACLES: dict[str, str] = {
         SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM numbered GROUP BY user_id, session""",
     "windowed_measures": f"WITH {EV} SELECT user_id, {_n('item_view', 1, AT)} AS views_1, {_n('item_view', 24, AT)} AS views_24, {_n('item_view', 168, AT)} AS views_168, {_n('item_view', None, AT)} AS views_all FROM ev GROUP BY user_id",
 }
+
+
+def _hours(key: str, steps: tuple[int, ...]) -> str:
+    """The hours up to the watermark, an hour before the last event, at which an event of a key begins or ceases to count."""
+    return f"""points AS (SELECT DISTINCT {key}, date_trunc('hour', ts) + INTERVAL 1 HOUR * (1 + step) AS gt FROM ev, (SELECT unnest([{', '.join(map(str, steps))}]) AS step)
+      WHERE {key} IS NOT NULL AND date_trunc('hour', ts) + INTERVAL 1 HOUR * (1 + step) <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ev)),
+    known AS (SELECT p.gt, e.* FROM points p JOIN ev e ON e.{key} = p.{key} AND e.ts < p.gt)"""
+
+
+ORACLES["streamed_hourly_users"] = f"WITH {EV}, {_hours('user_id', (0, 1, 24, 168))} SELECT user_id, gt AS feature_timestamp, {_user('gt')} FROM known GROUP BY user_id, gt"
+ORACLES["streamed_hourly_items"] = f"""WITH {EV}, {_hours('item_id', (0, 1, 24))}, made AS (SELECT item_id, gt, {_item('gt')} FROM known GROUP BY item_id, gt)
+    SELECT * EXCLUDE (gt), gt AS feature_timestamp, CASE WHEN max(view_count_1h) OVER (PARTITION BY gt) > 0 THEN round(CAST(view_count_1h AS DOUBLE) / max(view_count_1h) OVER (PARTITION BY gt), 6) ELSE 0.0 END AS popularity_rank_1h FROM made"""
+ORACLES["asof_orders_any_age"] = """WITH o AS (SELECT o_orderkey, c_mktsegment AS segment, o_orderdate AS "at" FROM orders JOIN customer ON o_custkey = c_custkey),
+    daily AS (SELECT segment, "at" AS ordered, count(*) AS n FROM o WHERE o_orderkey % 7 = 0 GROUP BY ALL)
+    SELECT o.o_orderkey, o.segment, o."at", d.ordered, d.n FROM o ASOF LEFT JOIN daily d ON o.segment = d.segment AND o."at" > d.ordered"""
+ORACLES["streamed_rejected"] = f"""WITH made AS ({ORACLES['streamed_user_features']})
+    SELECT user_id, feature_timestamp, CASE WHEN NOT bad THEN purchase_count_24h END AS purchase_count_24h, CASE WHEN NOT bad THEN total_spend_24h END AS total_spend_24h,
+      CASE WHEN bad THEN 'total_spend_24h is not finite' END AS reason FROM (SELECT *, user_id % 7 = 3 AND purchase_count_24h > 0 AS bad FROM made)"""
+ORACLES["streamed_lookups"] = f"""WITH {ONLINE}, live AS (SELECT * FROM online WHERE expires_at > TIMESTAMP '{NOW}'),
+    asked AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id FROM events),
+    named(feature, entity, feature_name) AS (VALUES ('user_purchase_count_1h', 'user', 'purchase_count_1h'), ('user_purchase_count_24h', 'user', 'purchase_count_24h'), ('item_view_count_24h', 'item', 'view_count_24h'))
+    SELECT feature, count(*) AS rows, count(*) FILTER (WHERE l.value_json IS NULL) AS misses, true AS quartiles_good
+    FROM named n CROSS JOIN asked a LEFT JOIN live l ON l.entity = n.entity AND l.feature_name = n.feature_name AND l.entity_id = CASE n.entity WHEN 'user' THEN a.user_id ELSE a.item_id END GROUP BY feature"""
+ORACLES["generated_live"] = f"SELECT n, off_beat, n_ids, first, last, CAST(0 AS BIGINT) AS missing FROM ({ORACLES['generated_batch']})"
+ORACLES["generated_profiles"] = """SELECT moment, true AS good, (SELECT count(*) FROM events) AS n FROM (VALUES ('popularity_mean'), ('popularity_variance'), ('affinity_mean'), ('affinity_variance'),
+    ('affinity_sum'), ('chosen_popularity'), ('chosen_affinity')) m(moment)"""
+ORACLES["catalog"] = f"""WITH {EV} SELECT c.*, CASE entity WHEN 'user' THEN (SELECT count(DISTINCT user_id) FROM ev WHERE ts < {AT}) ELSE (SELECT count(DISTINCT item_id) FROM ev WHERE ts < {AT}) END AS n_entities
+    FROM ({ORACLES['catalog']}) c"""

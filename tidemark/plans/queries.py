@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import default_catalog
 from tidemark.functions.features import HOUR_US, Measure, in_window, micros
-from tidemark.operators import asof, consistency, features, offline_store, online_store, snapshots, training
+from tidemark.operators import asof, consistency, features, offline_store, online_store, rolling, snapshots, training
 from tidemark.operators.online_table import OnlineTable
 from tidemark.sources import events as source
 from tidemark.sources import generator
-from tidemark.streaming import metrics, pipeline
+from tidemark.streaming import keyed, metrics, pipeline
 
 REF = "2024-01-20 00:00:00"
 START, END = "2024-01-02 00:00:00", "2024-01-30 00:00:00"
@@ -80,9 +80,9 @@ def item_snapshots_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling_counts_per_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each event the user's earlier events in windows before it, itself and events at its time left out."""
     seen = events(spark, sf_dir).withColumn("us", micros(F.col("ts")))
-    before = lambda hours: Window.partitionBy("user_id").orderBy("us").rangeBetween(-hours * HOUR_US, -1)
-    count = lambda kind, hours: F.count(F.when(F.col("event_type") == kind, 1)).over(before(hours))
-    return seen.select(F.col("event_id").cast("long").alias("event_id"), "user_id", count("item_view", 1).alias("views_1h"), count("item_view", 24).alias("views_24h"), count("purchase", 168).alias("purchases_7d"))
+    kind = lambda name: F.col("event_type") == name
+    counted = rolling.rolling_counts(seen, "event_id", "user_id", "us", {"views_1h": (kind("item_view"), 1), "views_24h": (kind("item_view"), 24), "purchases_7d": (kind("purchase"), 168)})
+    return counted.withColumn("event_id", F.col("event_id").cast("long"))
 
 
 def entity_history_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +148,14 @@ def asof_orders_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naive(asof.asof_join(orders, shipped, "l_suppkey", "at", "shipped", ["quantity"]))
 
 
+def asof_orders_any_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``asof_orders_lineitem`` for whole customer segments, however long ago: few keys, long histories, no tolerance."""
+    customers = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    orders = read(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "segment", F.col("o_orderdate").alias("at"), "o_totalprice")
+    daily = orders.where("o_orderkey % 7 = 0").groupBy("segment", F.col("at").alias("ordered")).agg(F.count("*").alias("n"))
+    return naive(asof.asof_join(orders.select("o_orderkey", "segment", "at"), daily, "segment", "at", "ordered", ["n"], tolerance_days=None))
+
+
 def leakage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.leakage(_joined(spark, sf_dir, True))
 
@@ -275,7 +283,10 @@ def windowed_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return default_catalog().frame(spark)
+    """Every feature, and how many entities have it as of REF."""
+    seen = events(spark, sf_dir).where(F.col("ts") < F.lit(REF).cast("timestamp"))
+    counted = seen.agg(F.countDistinct("user_id").alias("user"), F.countDistinct("item_id").alias("item")).unpivot([], ["user", "item"], "entity", "n_entities")
+    return default_catalog().frame(spark).join(counted, "entity")
 
 
 def generated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,12 +407,12 @@ def generated_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 
 
-def streamed(spark: SparkSession, sf_dir: str) -> pipeline.Paths:
+def streamed(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> pipeline.Paths:
     """Both stores after three runs over messages that come in three parts, every third message twice.
 
     The stream's state, and what it shuffles, has a partition for each core while it runs.
     """
-    paths, seen = pipeline.Paths(scratch(spark, "stream")), events(spark, sf_dir)
+    paths, seen = pipeline.Paths(scratch(spark, "stream")), events(spark, sf_dir) if seen is None else seen
     seen = seen.withColumn("part", sum(((F.col("ts") >= F.lit(at).cast("timestamp")).cast("int") for at in PARTS), F.lit(0)))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))
@@ -437,15 +448,107 @@ def streamed_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("raw string, reason string").json(paths.dead).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def streamed_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' snapshots where the purchases of every seventh user have an endless amount: what was set aside, and what all others have."""
+    amount = F.when((F.col("user_id") % 7 == 3) & (F.col("event_type") == "purchase"), F.lit(float("inf"))).otherwise(F.col("metadata.total_amount"))
+    paths = streamed(spark, sf_dir, events(spark, sf_dir).withColumn("metadata", F.col("metadata").withField("total_amount", amount)))
+    kept = pipeline.read_offline(spark, paths, "user").select("user_id", "feature_timestamp", "purchase_count_24h", "total_spend_24h", F.lit(None).cast("string").alias("reason"))
+    aside = pipeline.read_rejected(spark, paths).where("entity = 'user'").select(F.col("entity_id").alias("user_id"), "feature_timestamp", "reason")
+    return naive(kept.unionByName(aside, allowMissingColumns=True))
+
+
+def streamed_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups of a stream in two runs: misses of each feature, added over the batches, and whether the merged sketch's quartiles of the
+    events' values have the ranks that they should have within two percent."""
+    path, names = scratch(spark, "asked"), ["user_purchase_count_1h", "user_purchase_count_24h", "item_view_count_24h"]
+    asked = read(spark, sf_dir, "events").select("user_id", F.get_json_object("props", "$.k").cast("long").alias("item_id"), "value", (F.col("event_id") % 2).alias("part"))
+    live, heard = online_store.visible(online(spark, sf_dir), NOW).select(*online_store.KEY, "value_json"), metrics.Served()
+    spark.streams.addListener(heard)
+    try:
+        for part in (0, 1):
+            asked.where(F.col("part") == part).write.mode("append").parquet(f"{path}/in")
+            source_ = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+            found = metrics.measured(online_store.vector(live, source_, ["purchase_count_1h", "purchase_count_24h"], ["view_count_24h"]), names, "value")
+            found.writeStream.format("noop").option("checkpointLocation", f"{path}/checkpoints").trigger(availableNow=True).start().awaitTermination()
+        spark._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(heard)
+    levels = (0.25, 0.5, 0.75)
+    found = heard.quantiles(spark, list(levels))
+    ranks = read(spark, sf_dir, "events").agg(*[F.avg((F.col("value") <= q).cast("double")).alias(f"r{i}") for i, q in enumerate(found)]).first()
+    good = all(abs(r - q) <= 0.02 for r, q in zip(ranks, levels, strict=True))
+    return spark.createDataFrame([(n, heard.rows, heard.misses[n], good) for n in names], "feature string, rows long, misses long, quartiles_good boolean")
+
+
+def generated_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``generated_batch`` from the live source: five micro-batches, each in a run of its own."""
+    n, path = read(spark, sf_dir, "events").count(), scratch(spark, "live")
+    each = max(1, -(-n // 5))
+    for _ in range(5):
+        made = generator.live(spark, each, START, 8, n_users=50, n_items=20)
+        made.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoints").trigger(availableNow=True).start().awaitTermination()
+    us = F.unix_micros("ts") - F.unix_micros(F.lit(START).cast("timestamp"))
+    seen = spark.read.parquet(f"{path}/out").where(us < n * 125_000)
+    same = generator.batch(spark, n, START, 8, n_users=50, n_items=20)
+    whole = lambda df: df.select(F.xxhash64("event_id", "user_id", "event_type", "item_id", "ts", "session_id", "metadata.price", "metadata.category").alias("h"))
+    missing = whole(same).join(whole(seen), "h", "left_anti").count()
+    return naive(seen.agg(F.count("*").alias("n"), F.count_if(us % 125_000 != 0).alias("off_beat"), F.countDistinct("event_id").alias("n_ids"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.lit(missing).cast("long").alias("missing")))
+
+
+def generated_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether items' popularity and users' affinities, of as many as the driver's table has events, and the choices that follow them, have the
+    moments of their distributions within six standard deviations."""
+    n = read(spark, sf_dir, "events").count()
+    near = lambda column, mean, deviation, more=0.0: (F.abs(column - F.lit(mean)) <= 6 * F.lit(deviation) / F.sqrt(F.count("*")) + F.lit(more))
+    items = spark.range(1, n + 1).select(generator.popularity(F.col("id"), 42).alias("p"))
+    users = spark.range(1, n + 1).select(generator.affinity(F.col("id"), 42).alias("a"))
+    one = items.agg(near(F.avg("p"), 2 / 7, 0.16).alias("popularity_mean"), near(F.var_pop("p"), 10 / 392, 0.04).alias("popularity_variance"))
+    first = F.col("a")[0]
+    two = users.agg(near(F.avg(first), 0.1, 0.13).alias("affinity_mean"), near(F.var_pop(first), 0.015, 0.05).alias("affinity_variance"), (F.max(F.abs(F.aggregate("a", F.lit(0.0), lambda x, y: x + y) - 1)) < 1e-9).alias("affinity_sum"))
+    made = generator.historical(spark, n, END).where(F.col("event_type").isin("item_view", "add_to_cart", "purchase", "rating"))
+    number = ((F.col("item_id") - 1) % len(generator.CATEGORIES)).cast("int")
+    chosen = made.select(generator.popularity(F.col("item_id"), 42).alias("p"), F.element_at(generator.affinity(F.col("user_id"), 42), number + 1).alias("own"))
+    # Chosen in proportion: the mean is that of the square over the mean, 3/8; a chosen category's share has the mean of ten squares, 1/4.
+    three = chosen.agg(near(F.avg("p"), 3 / 8, 0.18, 0.02).alias("chosen_popularity"), near(F.avg("own"), 0.25, 0.3, 0.02).alias("chosen_affinity"))
+    found = [x.unpivot([], x.columns, "moment", "good") for x in (one, two, three)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumn("n", F.lit(n).cast("long"))
+
+
+def streamed_hourly(spark: SparkSession, sf_dir: str, entity: str) -> DataFrame:
+    """What the stream with state by key leaves in the offline store, stopped and started again halfway."""
+    paths, seen = pipeline.Paths(scratch(spark, "keyed")), events(spark, sf_dir)
+    late = F.col("ts") >= F.lit(PARTS[0]).cast("timestamp")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", keyed.PROVIDER)}
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before["spark.sql.shuffle.partitions"]), spark.sparkContext.defaultParallelism)))
+    try:
+        for part in (seen.where(~late), seen.where(late)):
+            source.to_messages(part).select("value").write.mode("append").text(paths.messages)
+            keyed.start(source.json_stream(spark, paths.messages, 1_000_000), paths, entity).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return naive(pipeline.read_offline(spark, pipeline.Paths(f"{paths.root}/{entity}"), entity).drop("date"))
+
+
+def streamed_hourly_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' features at each hour at which an event of theirs begins or ceases to count, up to the watermark."""
+    return streamed_hourly(spark, sf_dir, "user")
+
+
+def streamed_hourly_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streamed_hourly(spark, sf_dir, "item")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         user_features_asof, user_session_duration, user_category_affinity, item_features_asof, item_popularity, user_snapshots_6h, user_affinity_6h, item_snapshots_6h,
         rolling_counts_per_event, entity_history_range, latest_as_of, latest_as_of_nonnull, label_events, label_events_point_in_time, label_balance, pit_join_user,
-        pit_join_user_range, pit_join_user_grid, training_set, asof_orders_lineitem, leakage_report, leakage_report_injected, online_ttl_visible, online_after_delete,
+        pit_join_user_range, pit_join_user_grid, training_set, asof_orders_lineitem, asof_orders_any_age, leakage_report, leakage_report_injected, online_ttl_visible, online_after_delete,
         feature_vector_lookup, batch_lookup, missing_features, consistency_stats, consistency_flags, event_type_counts, dedup_events, parse_events_json, parsed_events,
         tumbling_window, sliding_window, gap_sessions, windowed_measures, catalog, generated_events,
         label_events_capped, stored_history_range, online_upserted, tolerant_history, stored_latest_as_of, stored_evolving_columns, exported_training_set, exported_affinity,
-        leakage_details, observed_lookups, generated_batch, streamed_user_features, streamed_online_items, streamed_dead_letters,
+        leakage_details, observed_lookups, generated_batch, streamed_user_features, streamed_online_items, streamed_dead_letters, streamed_hourly_users, streamed_hourly_items,
+        streamed_rejected, streamed_lookups, generated_live, generated_profiles,
     )
 }

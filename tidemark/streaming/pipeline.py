@@ -3,7 +3,8 @@
 Messages are parsed, unreadable ones set aside, repeats of an event id dropped within the watermark. Each micro-batch adds its
 events to a log by date, and features of the entities it touches are computed from their events in the days of the log that the
 history covers, by the same expressions as in batch, for users and, by a shuffle of their own, for items. So what a batch reads depends on the
-events of the history, not on the age of the log (``streaming.keyed`` holds state by key instead, and reads no log).
+events of the history, not on the age of the log (``streaming.keyed`` holds state by key instead, and reads no log). Days that are twice
+as old as the history go from the log.
 
 Both stores are written by batch id, so a replayed batch changes nothing, and a batch is seen in neither before it is in both: its
 commit record is written last, and readers ask for it. An empty batch writes nothing and loses nothing.
@@ -15,7 +16,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,6 +27,10 @@ from tidemark.operators.online_table import OnlineTable
 from tidemark.schema import EVENT
 from tidemark.sources.events import parse_events
 
+#: The feature that may be infinite.
+ENDLESS = "days_since_last_purchase"
+
+
 @dataclass(frozen=True)
 class Paths:
     root: str
@@ -55,6 +60,13 @@ def read_log(spark: SparkSession, paths: Paths, start: object, end: object) -> D
     return log.where((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))).drop("date", "batch")
 
 
+def prune_log(spark: SparkSession, paths: Paths, before: datetime) -> None:
+    """Whole days of the log before a time go."""
+    for name in files.names(spark, paths.log):
+        if name.startswith("date=") and name.removeprefix("date=") < str(before.date()):
+            files.remove(spark, f"{paths.log}/{name}")
+
+
 def history_of(touched: DataFrame, seen: DataFrame, entity: str, ref: datetime, catalog: Catalog) -> DataFrame:
     """The events of touched entities, and what popularity compares them with: the last hour's views of others.
 
@@ -98,6 +110,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: P
             held.append(features.persist())
             made.append((entity, features))
         write_both(spark, made, batch_id, paths, catalog, push)
+        # Twice the history: a batch whose last event is a late one still finds its own.
+        prune_log(spark, paths, ref - timedelta(hours=2 * (history or history_hours(catalog))))
     finally:
         for frame in held:
             frame.unpersist()
@@ -120,10 +134,29 @@ def commit(spark: SparkSession, paths: Paths, batch_id: int) -> None:
             files.remove(spark, f"{paths.commits}/{n}")
 
 
+def unsound(features: DataFrame, entity: str, catalog: Catalog) -> Column:
+    """Why a row's features can't be used, null if they can: a number is missing, not a number, or infinite where it mustn't be."""
+    why = F.lit(None).cast("string")
+    for name in reversed([n for n in catalog.names(entity) if n in features.columns]):
+        value = F.col(name)
+        if catalog.get(entity, name).dtype == "float":
+            endless = F.isnan(value) if name == ENDLESS else F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+            why = F.when(endless, f"{name} is not finite").otherwise(why)
+        why = F.when(value.isNull(), f"{name} is missing").otherwise(why)
+    return why
+
+
 def write_both(spark: SparkSession, made: list[tuple[str, DataFrame]], batch_id: int, paths: Paths, catalog: Catalog, push: Callable[[DataFrame, int], None] | None = None) -> None:
-    """(entity, features) to the offline and the online store, all or nothing: neither is seen before the batch is committed."""
+    """(entity, features) to the offline and the online store, all or nothing: neither is seen before the batch is committed.
+
+    Rows whose features can't be used are set aside with their key and the reason; the others are written.
+    """
     rows = None
     for entity, features in made:
+        marked = features.withColumn("_why", unsound(features, entity, catalog))
+        aside = marked.where("_why is not null").select(F.col(key_of(entity)).alias("entity_id"), "feature_timestamp", F.col("_why").alias("reason"), F.lit(entity).alias("entity"), F.lit(str(batch_id)).alias("batch"))
+        aside.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity", "batch").parquet(paths.rejected)
+        features = marked.where("_why is null").drop("_why")
         offline_store.write_snapshots(features, paths.offline, entity, batch_id)
         own = online_store.to_online(features, entity, F.col("feature_timestamp"), catalog)
         rows = own if rows is None else rows.unionByName(own)
@@ -144,6 +177,12 @@ def read_offline(spark: SparkSession, paths: Paths, entity: str) -> DataFrame:
     return offline_store.read_snapshots(spark, paths.offline, entity, upto=committed(spark, paths))
 
 
+def read_rejected(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(entity, entity_id, feature_timestamp, reason) of committed batches."""
+    stored = spark.read.schema("entity_id long, feature_timestamp timestamp, reason string, entity string, batch long").parquet(paths.rejected)
+    return stored.where(F.col("batch") <= committed(spark, paths)).select("entity", "entity_id", "feature_timestamp", "reason")
+
+
 def start_dead_letters(dead: DataFrame, paths: Paths, trigger: dict | None = None) -> StreamingQuery:
     """Dead letters to JSON files."""
     return dead.writeStream.format("json").option("path", paths.dead).option("checkpointLocation", f"{paths.checkpoints}/dead").trigger(**trigger or {"availableNow": True}).start()
