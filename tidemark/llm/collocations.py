@@ -38,7 +38,7 @@ SHARD_BYTES = 3 << 20
 #: Rows of bitmaps that are extended at once.
 ROWS_AT_ONCE = 1 << 16
 #: Pairs that are added up at once in a task, and at most about in a range of their numbers.
-PAIRS_AT_ONCE, RANGE_PAIRS = 1 << 21, 1 << 20
+PAIRS_AT_ONCE, RANGE_PAIRS = 1 << 19, 1 << 21
 #: Bits of a filter for each phrase in it, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 26
 
@@ -239,13 +239,16 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_pydict({"lang": [lang], "data": pa.array([shard.to_bytes()], pa.binary())})
 
     for b in batches:
-        coded = b.column("lang").dictionary_encode()
-        for i, lang in enumerate(coded.dictionary.to_pylist()):
-            held.setdefault(lang, []).append(b.column("text").filter(pc.equal(coded.indices, i)).cast(pa.large_string()))
-        size += b.column("text").nbytes
-        if size >= SHARD_BYTES:
-            yield from flushed()
-            held, size = {}, 0
+        _, at = utf8(b.column("text"))
+        for lo, hi in runs(at, SHARD_BYTES, 1 << 30):
+            part = b.slice(lo, hi - lo)
+            coded = part.column("lang").dictionary_encode()
+            for i, lang in enumerate(coded.dictionary.to_pylist()):
+                held.setdefault(lang, []).append(part.column("text").filter(pc.equal(coded.indices, i)).cast(pa.large_string()))
+            size += int(at[hi] - at[lo])
+            if size >= SHARD_BYTES:
+                yield from flushed()
+                held, size = {}, 0
     yield from flushed()
 
 
