@@ -2,8 +2,7 @@
 
 from datetime import datetime, timedelta, timezone
 
-import pytest
-from pyspark.sql import functions as F
+import pandas as pd
 
 from tidemark.catalog import default_catalog
 from tidemark.operators.snapshots import materialise
@@ -14,13 +13,6 @@ from tidemark.streaming import keyed, pipeline
 T0 = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
 
-@pytest.fixture
-def rocks(spark):
-    before = spark.conf.get(keyed.PROVIDER, None)
-    yield spark
-    spark.conf.unset(keyed.PROVIDER) if before is None else spark.conf.set(keyed.PROVIDER, before)
-
-
 def run(spark, rows, paths, entity):
     """Rows as messages, through a run of the stream from where the last stopped: its batches' numbers of rows."""
     source.to_messages(spark.createDataFrame(rows, EVENT)).select("value").write.mode("append").text(paths.messages)
@@ -34,8 +26,8 @@ def event(i, user, kind, item, hours, rating=None):
     return (f"e{i}", user, kind, item, T0 + timedelta(hours=hours), "s", meta)
 
 
-def test_restarts_expiry_and_own_rows_only(rocks, tmp_path):
-    spark, paths = rocks, pipeline.Paths(str(tmp_path))
+def test_restarts_expiry_and_own_rows_only(spark, tmp_path):
+    paths = pipeline.Paths(str(tmp_path))
     first = [event(i, i % 3, ("item_view", "purchase", "add_to_cart")[i % 3], i % 4, i * 0.7) for i in range(60)]
     # User 0 has no event after these; user 9's move the watermark on by twelve days.
     second = [event(100 + i, 9, "item_view", 3, 60 + 24 * i) for i in range(12)]
@@ -64,8 +56,8 @@ def test_restarts_expiry_and_own_rows_only(rocks, tmp_path):
     assert online[0, "item_view_count_24h"] == "0" and online[9, "item_view_count_24h"] == "0"
 
 
-def test_items_and_their_popularity(rocks, tmp_path):
-    spark, paths = rocks, pipeline.Paths(str(tmp_path))
+def test_items_and_their_popularity(spark, tmp_path):
+    paths = pipeline.Paths(str(tmp_path))
     rows = [event(i, i, "item_view", i % 3, i % 5 * 0.2) for i in range(20)] + [event(50, 1, "rating", 7, 0.5, 4.0), event(51, 1, "page_view", None, 0.6), event(52, 1, "item_view", 1, 30)]
     run(spark, rows, paths, "item")
     stored = pipeline.read_offline(spark, pipeline.Paths(f"{paths.root}/item"), "item").drop("date")
@@ -107,8 +99,6 @@ def test_old_hours_are_folded(spark):
 
         getCurrentWatermarkInMs = getExpiryTimeInMs
 
-    import pandas as pd
-
     measures = [m for s in keyed.additive(default_catalog(), "item").of("item") for m in s.measures]
     p, handle = keyed.Hourly("item_id", list(dict.fromkeys(measures))), Handle()
     p.init(handle)

@@ -27,10 +27,10 @@ def write_snapshots(snapshots: DataFrame, path: str, entity: str, batch_id: str
 def read_snapshots(spark: SparkSession, path: str, entity: str, tolerant: bool = False, upto: int | None = None) -> DataFrame:
     """All snapshots of an entity; columns that older files lack are null. ``tolerant``: files that can't be read are left out.
 
-    ``upto``: batches of larger ids are left out, by their folders.
+    ``upto``: batches of larger ids are left out, by their folders; those without a number stay.
     """
     stored = spark.read.options(mergeSchema=True, ignoreCorruptFiles=tolerant, ignoreMissingFiles=tolerant).parquet(f"{path}/entity={entity}")
-    return (stored if upto is None else stored.where(F.col("batch").cast("long") <= upto)).drop("batch")
+    return (stored if upto is None else stored.where(F.coalesce(F.col("batch").try_cast("long"), F.lit(-1)) <= upto)).drop("batch")
 
 
 def history(snapshots: DataFrame, entity: str, entity_id: int, start: datetime | str, end: datetime | str) -> DataFrame:

@@ -3,7 +3,7 @@
 A batch's rows go, by a hash of their key, to files of their own, and a manifest says for every bucket which files hold it from then on. A
 bucket that has ``merge_every`` batches on top of its base gets a new base, and no other bucket is rewritten: what a merge costs grows
 with the keys of the buckets that were touched. Nothing that a kept manifest names is ever overwritten or deleted, so a reader never
-meets a half-written state, and an empty batch changes nothing. A batch that comes again starts from the manifest before it.
+meets a half-written state, and an empty batch changes nothing. A batch that has its manifest is in: if it comes again, nothing happens.
 
 Batches come in the order of their ids, not all of which need to come. ``upto`` hides all later batches.
 """
@@ -51,10 +51,12 @@ class OnlineTable:
 
     def upsert(self, rows: DataFrame, batch_id: int) -> None:
         """The rows of a batch take the place of older ones of their keys."""
-        before = self.manifests(batch_id - 1)
-        held = self.manifest(before[-1]) if before else {}
+        known = self.manifests(batch_id)
+        if known[-1:] == [batch_id]:
+            return
+        held = self.manifest(known[-1]) if known else {}
         touched = self._write(rows, f"data/batch={batch_id}")
-        if not touched and self.manifests(batch_id)[-1:] != [batch_id]:
+        if not touched:
             return
         held |= {b: [*held.get(b, []), f"data/batch={batch_id}"] for b in touched}
         full = [b for b in touched if len(held[b]) > self.merge_every]

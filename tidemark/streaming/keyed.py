@@ -143,7 +143,6 @@ def features_of(measured: DataFrame, entity: str, catalog: Catalog | None = None
 def start(messages: DataFrame, paths: Paths, entity: str, late: str = "1 hour", trigger: dict | None = None, catalog: Catalog | None = None) -> StreamingQuery:
     """The running query for one entity: its features at every hour that they may change at, to both stores below a folder of its own."""
     spark = messages.sparkSession
-    spark.conf.set(PROVIDER, ROCKSDB)
     events, _ = clean_stream(messages, late)
     own = Paths(f"{paths.root}/{entity}")
 
@@ -155,4 +154,10 @@ def start(messages: DataFrame, paths: Paths, entity: str, late: str = "1 hour",
         finally:
             held.unpersist()
 
-    return hourly_measures(events, entity, catalog).writeStream.outputMode("append").foreachBatch(written).option("checkpointLocation", own.checkpoints).trigger(**trigger or {"availableNow": True}).start()
+    writer = hourly_measures(events, entity, catalog).writeStream.outputMode("append").foreachBatch(written).option("checkpointLocation", own.checkpoints)
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)  # a query keeps the settings that it was started with
+    try:
+        return writer.trigger(**trigger or {"availableNow": True}).start()
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)

@@ -7,7 +7,8 @@ events of the history, not on the age of the log (``streaming.keyed`` holds stat
 as old as the history go from the log.
 
 Both stores are written by batch id, so a replayed batch changes nothing, and a batch is seen in neither before it is in both: its
-commit record is written last, and readers ask for it. An empty batch writes nothing and loses nothing.
+commit record is written last, and readers ask for it. An empty batch writes nothing and loses nothing. Batch ids are those of the
+checkpoint in the same folder: a stream that begins anew, with a new checkpoint, needs a new folder.
 """
 
 from __future__ import annotations
@@ -149,20 +150,24 @@ def unsound(features: DataFrame, entity: str, catalog: Catalog) -> Column:
 def write_both(spark: SparkSession, made: list[tuple[str, DataFrame]], batch_id: int, paths: Paths, catalog: Catalog, push: Callable[[DataFrame, int], None] | None = None) -> None:
     """(entity, features) to the offline and the online store, all or nothing: neither is seen before the batch is committed.
 
-    Rows whose features can't be used are set aside with their key and the reason; the others are written.
+    Rows whose features can't be used are set aside with their key and the reason; the others are written. A batch that is committed
+    is not written again, but pushed again, as it may not have been.
     """
-    rows = None
+    rows, new = None, batch_id > committed(spark, paths)
     for entity, features in made:
         marked = features.withColumn("_why", unsound(features, entity, catalog))
         aside = marked.where("_why is not null").select(F.col(key_of(entity)).alias("entity_id"), "feature_timestamp", F.col("_why").alias("reason"), F.lit(entity).alias("entity"), F.lit(str(batch_id)).alias("batch"))
-        aside.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity", "batch").parquet(paths.rejected)
+        if new:
+            aside.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity", "batch").parquet(paths.rejected)
         features = marked.where("_why is null").drop("_why")
-        offline_store.write_snapshots(features, paths.offline, entity, batch_id)
+        if new:
+            offline_store.write_snapshots(features, paths.offline, entity, batch_id)
         own = online_store.to_online(features, entity, F.col("feature_timestamp"), catalog)
         rows = own if rows is None else rows.unionByName(own)
-    # A batch may hold several times of a key; the last counts.
-    online_table(spark, paths).upsert(online_store.merged(None, rows), batch_id)
-    commit(spark, paths, batch_id)
+    if new:
+        # A batch may hold several times of a key; the last counts.
+        online_table(spark, paths).upsert(online_store.merged(None, rows), batch_id)
+        commit(spark, paths, batch_id)
     if push is not None:
         push(rows, batch_id)
 
