@@ -6,11 +6,11 @@ compressed. A phrase's bitmap (where it ends), shifted by one and ANDed with a w
 its popcount the number of occurrences. All words that can follow are ANDed at once, as rows of the same block.
 
 Counts are summed over the shards in three rounds: words; pairs of frequent words; and, depth-first from the pairs that are frequent
-over all shards and along such pairs only, phrases of three words and more. A phrase is no more frequent than any part of it, so no
-frequent one is missed. What is frequent is told to the shards by a Bloom filter of at most ``MOST_BITS``, whatever the input: a phrase
-that it lets pass by mistake is counted for nothing and goes when counts are summed. Most pairs are rare; so pairs are first summed under
-short numbers, sorted, as compressed steps, which are a few bytes each, and only those whose number is frequent are summed as phrases.
-The shards themselves are never shuffled.
+over all shards and along such pairs and frequent triples only, phrases of three words and more. A phrase is no more frequent than any
+part of it, so no frequent one is missed. What is frequent is told to the shards by a Bloom filter of at most ``MOST_BITS``, whatever the
+input: a phrase that it lets pass by mistake is counted for nothing and goes when counts are summed. Most pairs are rare, and so are most
+triples along frequent pairs; so both are first summed under short numbers, sorted, as compressed steps, which are a few bytes each, and
+only those whose number is frequent are summed as phrases. The shards themselves are never shuffled.
 
 Scores are exact: products in decimals, an integral division at the end.
 
@@ -20,7 +20,7 @@ by count and phrase; an empty table gives no phrases; other columns are not read
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -37,7 +37,7 @@ from tidemark.llm.common import checkpointed, runs, utf8
 SHARD_BYTES = 3 << 20
 #: Rows of bitmaps that are extended at once.
 ROWS_AT_ONCE = 1 << 16
-#: Pairs that are added up at once in a task, and at most about in a range of their numbers.
+#: Pairs or triples that are added up at once in a task, and at most about in a range of their numbers.
 PAIRS_AT_ONCE, RANGE_PAIRS = 1 << 19, 1 << 21
 #: Bits of a filter for each phrase in it, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 26
@@ -88,6 +88,11 @@ class Bitmaps:
     def counts(self, n: int) -> np.ndarray:
         return np.bincount(self.owner, weights=np.bitwise_count(self.bits), minlength=n).astype(np.int64)
 
+    def of(self, keep: np.ndarray) -> Bitmaps:
+        """Those of the owners with a True, numbered anew."""
+        rows = keep[self.owner]
+        return Bitmaps((np.cumsum(keep) - 1)[self.owner[rows]], self.block[rows], self.bits[rows])
+
     def shifted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of the bitmaps moved on by one position; what leaves a block is a row of the next."""
         on, over = self.bits << 1, self.bits >> 7
@@ -174,8 +179,16 @@ class Shard:
         columns = [self.words.take(pa.array(w)) for w in words]
         return columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, pa.scalar(" ", pa.large_string()))
 
-    def longer(self, a: np.ndarray, b: np.ndarray, most_words: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        """(phrases, counts) of three words and more all whose pairs are among (a, b): depth-first, some phrases at a time."""
+    def longer(self, a: np.ndarray, b: np.ndarray, most_words: int, known: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """(phrases, counts) of ``paths``."""
+        for words, n in self.paths(a, b, most_words, known):
+            yield self.phrase(*words.T), n
+
+    def paths(self, a: np.ndarray, b: np.ndarray, most_words: int, known: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(words of each phrase, counts) of three words and more all whose pairs are among (a, b): depth-first, some phrases at a time.
+
+        ``known`` tells which triples may go on; a phrase with another one is left out.
+        """
         one = np.zeros(len(self.words), np.int64)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
@@ -197,17 +210,22 @@ class Shard:
             return
         pairs = Bitmaps.merged(*(np.concatenate(x) for x in zip(*rows, strict=True)))
         # A phrase's followers are the pairs that begin with its last word.
-        yield from self._descend(pairs, np.stack([a, b], axis=1), b, by_block(pairs, a), b, most_words)
+        index = by_block(pairs, a)
 
-    def _descend(self, phrases: Bitmaps, path: np.ndarray, last: np.ndarray, index: tuple[np.ndarray, np.ndarray, np.ndarray], second: np.ndarray, most_words: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-        for part in phrases.parts():
-            parent, pair, made = extended(part, last, index)
-            if len(parent) == 0:
-                continue
-            longer = np.concatenate([path[parent], second[pair][:, None]], axis=1)
-            yield self.phrase(*longer.T), made.counts(len(parent))
-            if longer.shape[1] < most_words:
-                yield from self._descend(made, longer, longer[:, -1], index, second, most_words)
+        def descend(phrases: Bitmaps, path: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for part in phrases.parts():
+                parent, pair, made = extended(part, path[:, -1], index)
+                longer = np.concatenate([path[parent], b[pair][:, None]], axis=1)
+                if known is not None:
+                    keep = known(longer[:, -3:])
+                    longer, made = longer[keep], made.of(keep)
+                if len(longer) == 0:
+                    continue
+                yield longer, made.counts(len(longer))
+                if longer.shape[1] < most_words:
+                    yield from descend(made, longer)
+
+        yield from descend(pairs, np.stack([a, b], axis=1))
 
 
 def _cuts(data: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -332,7 +350,7 @@ def _spread(keys: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[pa.RecordBatch]:
-    """(range, data): the numbers of pairs and their counts, added up, in steps from one number to the next and compressed."""
+    """(range, data): numbers and their counts, added up, in steps from one number to the next and compressed."""
     key, n = _added(rows)
     range_ = key // np.uint64(width)
     ends = np.append(np.flatnonzero(range_[1:] != range_[:-1]) + 1, len(key)) if len(key) else []
@@ -354,22 +372,42 @@ def _added(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return key[first], np.add.reduceat(n[order], first) if len(key) else n
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], words: Broadcast, bits: int, width: int) -> Iterator[pa.RecordBatch]:
+def _numbered(batches: Iterator[pa.RecordBatch], counts: Callable[[str, Shard], Iterator[tuple[np.ndarray, np.ndarray]]], width: int) -> Iterator[pa.RecordBatch]:
+    """The (numbers, counts) that ``counts`` makes of each shard, packed some at a time."""
     held, size = [], 0
     for lang, shard in _rows(batches):
-        a, b, n = shard.pairs
-        word = _hash(shard.words.to_pylist())
-        good = words.value.has(_spread(_key(lang, word)))
-        keep = np.flatnonzero(good[a] & good[b])
-        held.append((_cut(_key(lang, word[a[keep]], word[b[keep]]), bits), n[keep]))
-        size += len(keep)
-        if size >= PAIRS_AT_ONCE:
-            yield from _packed(held, width)
-            held, size = [], 0
+        for key, n in counts(lang, shard):
+            held.append((key, n))
+            size += len(key)
+            if size >= PAIRS_AT_ONCE:
+                yield from _packed(held, width)
+                held, size = [], 0
     if held:
         yield from _packed(held, width)
 
 
+def _of_pairs(lang: str, shard: Shard, words: Broadcast, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    a, b, n = shard.pairs
+    word = _hash(shard.words.to_pylist())
+    good = words.value.has(_spread(_key(lang, word)))
+    keep = np.flatnonzero(good[a] & good[b])
+    yield _cut(_key(lang, word[a[keep]], word[b[keep]]), bits), n[keep]
+
+
+def _of_triples(lang: str, shard: Shard, pairs: Broadcast, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    a, b, word = _frequent_pairs(lang, shard, pairs)
+    for triples, n in shard.paths(a, b, 3):
+        yield _cut(_key(lang, *word[triples.T]), bits), n
+
+
+def _frequent_pairs(lang: str, shard: Shard, pairs: Broadcast) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first words, second words) of a shard's frequent pairs, and the number of each of its words."""
+    a, b, _ = shard.pairs
+    word = _hash(shard.words.to_pylist())
+    keep = pairs.value.has(_spread(_key(lang, word[a], word[b])))
+    return a[keep], b[keep], word
+
+
 def _often(rows: pa.Table, width: int, least: int) -> pa.Table:
     """The numbers of one range whose counts add up to ``least``."""
     held = []
@@ -390,12 +428,14 @@ def _pairs(batches: Iterator[pa.RecordBatch], pairs: Broadcast, bits: int) -> It
             yield _counted(lang, shard.phrase(a[k], b[k]), n[k])
 
 
-def _longer(batches: Iterator[pa.RecordBatch], pairs: Broadcast, most_words: int) -> Iterator[pa.RecordBatch]:
+def _longer(batches: Iterator[pa.RecordBatch], pairs: Broadcast, triples: Broadcast, bits: int, most_words: int) -> Iterator[pa.RecordBatch]:
     for lang, shard in _rows(batches):
-        a, b, _ = shard.pairs
-        word = _hash(shard.words.to_pylist())
-        keep = pairs.value.has(_spread(_key(lang, word[a], word[b])))
-        for phrases, n in shard.longer(a[keep], b[keep], most_words):
+        a, b, word = _frequent_pairs(lang, shard, pairs)
+
+        def known(three: np.ndarray, lang: str = lang, word: np.ndarray = word) -> np.ndarray:
+            return triples.value.has(_spread(_cut(_key(lang, *word[three.T]), bits)))
+
+        for phrases, n in shard.longer(a, b, most_words, known):
             yield _counted(lang, phrases, n)
 
 
@@ -408,20 +448,25 @@ def frequent(docs: DataFrame, least: int, most_words: int, text: str = "text", l
     words = shards.mapInArrow(_words, kind)
     totals = checkpointed(words.groupBy("lang").agg(F.sum("n").alias("n")))
     found = [summed(words)]
-    if most_words > 1:
-        # Pairs are first added up under numbers of a few bits more than there are pairs at most; numbers that pairs share only count too much.
-        most = totals.agg(F.sum("n")).first()[0] or 0
-        bits = min(max(20, (16 * most).bit_length()), 60)
-        width = max(1, (1 << bits) // (16 + most // RANGE_PAIRS))
-        numbers = shards.mapInArrow(partial(_numbered, words=send(Filter.of(found[0].mapInArrow(_keys, "key long"))), bits=bits, width=width), "range long, data binary")
+    # Pairs and triples are first added up under numbers of a few bits more than there are of them at most; numbers that several share only count too much.
+    most = totals.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(20, (16 * most).bit_length()), 60)
+    width = max(1, (1 << bits) // (16 + most // RANGE_PAIRS))
 
-        def reached(rows: pa.Table) -> pa.Table:
-            return _often(rows, width, least)
+    def reached(rows: pa.Table) -> pa.Table:
+        return _often(rows, width, least)
 
-        often = checkpointed(numbers.groupBy("range").applyInArrow(reached, "key long"))
-        found.append(summed(shards.mapInArrow(partial(_pairs, pairs=send(Filter.of(often)), bits=bits), kind)))
+    def often(counts: Callable[[str, Shard], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Broadcast:
+        numbers = shards.mapInArrow(partial(_numbered, counts=counts, width=width), "range long, data binary")
+        return send(Filter.of(checkpointed(numbers.groupBy("range").applyInArrow(reached, "key long"))))
+
+    if most_words > 1:
+        words_often = send(Filter.of(found[0].mapInArrow(_keys, "key long")))
+        found.append(summed(shards.mapInArrow(partial(_pairs, pairs=often(partial(_of_pairs, words=words_often, bits=bits)), bits=bits), kind)))
     if most_words > 2:
-        found.append(summed(shards.mapInArrow(partial(_longer, pairs=send(Filter.of(found[1].mapInArrow(_keys, "key long"))), most_words=most_words), kind)))
+        pairs = send(Filter.of(found[1].mapInArrow(_keys, "key long")))
+        triples = often(partial(_of_triples, pairs=pairs, bits=bits))
+        found.append(summed(shards.mapInArrow(partial(_longer, pairs=pairs, triples=triples, bits=bits, most_words=most_words), kind)))
     return reduce(DataFrame.unionByName, found), totals
 
 
