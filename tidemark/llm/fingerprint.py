@@ -45,8 +45,9 @@ PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (1_000_003, 911_382_323)
 SPAN, ONE_IN, KEPT = 12, 8, 64
 CHUNK_BYTES = 2 << 20
-#: Documents in a bin of ids, and bytes in a range of bins at most and at least (between them a ``RANGES``th of all).
-ROWS_IN_BIN, MOST_BYTES, LEAST_BYTES, RANGES = 2048, 64 << 20, 1 << 20, 96
+#: Documents in a bin of ids, and bytes in a range of bins at most and at least (between them a ``RANGES``th of all); but
+#: ranges grow beyond ``MOST_BYTES`` rather than be more than ``MOST_RANGES``, as each is sorted by Spark, and read as a stream.
+ROWS_IN_BIN, MOST_BYTES, LEAST_BYTES, RANGES, MOST_RANGES = 2048, 64 << 20, 1 << 20, 96, 40_000
 _STEP = 1 << 16
 
 
@@ -316,7 +317,7 @@ def ordered_with_successor(docs: DataFrame, key: str, text: str) -> DataFrame:
     if not stats.num_rows:
         return rows.select("doc", "id", "h", "text", F.lit(0).alias("range"), F.lit(False).alias("sent"))
     number, size = (np.asarray(stats.column(c).combine_chunks()).astype(np.int64) for c in ("bin", "bytes"))
-    full = max(LEAST_BYTES, min(MOST_BYTES, int(size.sum()) // RANGES))
+    full = max(LEAST_BYTES, min(MOST_BYTES, int(size.sum()) // RANGES), int(size.sum()) // MOST_RANGES)
     # A range ends with the bin that fills it.
     of_bin, ranges, filled = np.zeros(len(bounds) + 1, dtype=np.int32), 0, 0
     firsts = [0]
@@ -334,7 +335,7 @@ def ordered_with_successor(docs: DataFrame, key: str, text: str) -> DataFrame:
     heads = stats.column("head").combine_chunks().take(pa.array(firsts))
     head_rows = pa.table({"head_id": heads.field("id"), "head_h": heads.field("h"), "before": pa.array([(r - 1) % ranges for r in range(ranges)], pa.int32()), "n": pa.array(range(ranges), pa.int32())})
     ranged = binned.withColumn("range", range_of("bin")).drop("bin")
-    # Four numbers for each range of up to 64 MB of text, so that the texts needn't be shuffled for the join.
+    # Four numbers for each of at most about ``MOST_RANGES`` ranges, so that the texts needn't be shuffled for the join.
     heads = F.broadcast(docs.sparkSession.createDataFrame(head_rows))
     sent = ranged.join(heads, (F.col("range") == F.col("n")) & (F.col("id") == F.col("head_id")) & (F.col("h") == F.col("head_h"))).dropDuplicates(["n"])
     both = ranged.withColumn("sent", F.lit(False)).unionByName(sent.select("doc", "id", "h", "text", F.col("before").alias("range"), F.lit(True).alias("sent")))
