@@ -39,6 +39,8 @@ SHARD_BYTES = 3 << 20
 ROWS_AT_ONCE = 1 << 16
 #: Pairs or triples that are added up at once in a task, and at most about in a range of their numbers.
 PAIRS_AT_ONCE, RANGE_PAIRS = 1 << 19, 1 << 21
+#: Parts that a language's phrases are dealt to before they are ranked.
+PARTS = 64
 #: Bits of a filter for each phrase in it, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 26
 
@@ -470,6 +472,10 @@ def frequent(docs: DataFrame, least: int, most_words: int, text: str = "text", l
     return reduce(DataFrame.unionByName, found), totals
 
 
+def dealt(phrase: str = "phrase") -> Column:
+    return F.pmod(F.xxhash64(phrase), F.lit(PARTS)).cast("int")
+
+
 def part(words: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, start, n), " ")
 
@@ -481,7 +487,9 @@ def scored(found: DataFrame, totals: DataFrame) -> DataFrame:
     cuts = cuts.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.col("w"), F.lit(1), F.col("k")).alias("head"), part(F.col("w"), F.col("k") + 1, F.size("w")).alias("tail"))
     cuts = cuts.join(found.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l")), ["lang", "head"])
-    cuts = cuts.join(found.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r")), ["lang", "tail"]).join(totals, "lang")
+    cuts = cuts.join(found.select("lang", F.col("phrase").alias("tail"), F.col("n").alias("r")), ["lang", "tail"])
+    # Most phrases may be of one language; its number is sent to each of its parts.
+    cuts = cuts.withColumn("dealt", dealt()).join(totals.withColumn("dealt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["lang", "dealt"])
     score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * exact("a") * exact("n"), exact("l") * exact("r"))
     worst = cuts.select("lang", "phrase", "a", "k", "l", "r", "n", score.cast("long").alias("score"))
     worst = worst.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("c"))
@@ -499,5 +507,8 @@ def mine(docs: DataFrame, least: int = 100, most_words: int = 5, swallowed: int
     inner = F.flatten(F.transform(lengths, lambda m: F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: part(F.col("w"), i, m))))
     around = long_.select("lang", F.explode(inner).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("around"))
     kept = scored(found, totals).join(around, ["lang", "phrase"], "left").where(~F.coalesce(100 * F.col("around") >= swallowed * F.col("a"), F.lit(False)))
-    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long"))
+    # The first of each part of a language, then the first of those: no task sorts more than ``PARTS`` times ``top`` of a language at last.
+    place = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    first = kept.withColumn("dealt", dealt()).withColumn("place", place("lang", "dealt")).where(F.col("place") <= top)
+    ranked = first.withColumn("rank", place("lang").cast("long"))
     return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
