@@ -352,17 +352,16 @@ def _spread(keys: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Iterator[pa.RecordBatch]:
-    """(range, data): numbers and their counts, added up, in steps from one number to the next and compressed."""
+    """(range, rows, data): numbers and their counts, added up, in steps from one number to the next and compressed: first the lowest bytes of
+    all, then the next. A row takes little more than its numbers do, however many ranges there are."""
     key, n = _added(rows)
     range_ = key // np.uint64(width)
     ends = np.append(np.flatnonzero(range_[1:] != range_[:-1]) + 1, len(key)) if len(key) else []
     lo = 0
     for hi in ends:
-        t = pa.table({"step": np.diff(key[lo:hi], prepend=range_[lo] * np.uint64(width)), "n": n[lo:hi]})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(t)
-        yield pa.RecordBatch.from_pydict({"range": pa.array([int(range_[lo])], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        both = np.concatenate([np.diff(key[lo:hi], prepend=range_[lo] * np.uint64(width)), n[lo:hi].astype(np.uint64)])
+        data = pa.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+        yield pa.RecordBatch.from_pydict({"range": pa.array([int(range_[lo])], pa.int64()), "rows": pa.array([int(hi - lo)], pa.int64()), "data": pa.array([data], pa.binary())})
         lo = hi
 
 
@@ -413,9 +412,9 @@ def _frequent_pairs(lang: str, shard: Shard, pairs: Broadcast) -> tuple[np.ndarr
 def _often(rows: pa.Table, width: int, least: int) -> pa.Table:
     """The numbers of one range whose counts add up to ``least``."""
     held = []
-    for range_, data in zip(rows["range"].to_pylist(), rows["data"].to_pylist(), strict=True):
-        t = pa.ipc.open_stream(data).read_all()
-        held.append((np.cumsum(t["step"].to_numpy(), dtype=np.uint64) + np.uint64(range_ * width), t["n"].to_numpy()))
+    for range_, size, data in zip(*(rows[c].to_pylist() for c in ("range", "rows", "data")), strict=True):
+        both = np.frombuffer(pa.decompress(data, 16 * size, "zstd"), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+        held.append((np.cumsum(both[:size], dtype=np.uint64) + np.uint64(range_ * width), both[size:].astype(np.int64)))
     key, n = _added(held)
     return pa.table({"key": _spread(key[n >= least]).view(np.int64)})
 
@@ -459,7 +458,7 @@ def frequent(docs: DataFrame, least: int, most_words: int, text: str = "text", l
         return _often(rows, width, least)
 
     def often(counts: Callable[[str, Shard], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Broadcast:
-        numbers = shards.mapInArrow(partial(_numbered, counts=counts, width=width), "range long, data binary")
+        numbers = shards.mapInArrow(partial(_numbered, counts=counts, width=width), "range long, rows long, data binary")
         return send(Filter.of(checkpointed(numbers.groupBy("range").applyInArrow(reached, "key long"))))
 
     if most_words > 1:
