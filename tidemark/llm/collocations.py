@@ -41,6 +41,8 @@ ROWS_AT_ONCE = 1 << 16
 PAIRS_AT_ONCE, RANGE_PAIRS = 1 << 19, 1 << 21
 #: Parts that a language's phrases are dealt to before they are ranked.
 PARTS = 64
+#: Phrases whose counts a task adds up before they leave it.
+PHRASES_HELD = 1 << 18
 #: Bits of a filter for each phrase in it, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 26
 
@@ -336,6 +338,26 @@ def _counted(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"lang": pa.repeat(lang, len(n)), "phrase": phrases.cast(pa.string()), "n": n})
 
 
+def _summed(counted: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same counts, those of one phrase in several shards added up as far as ``PHRASES_HELD`` rows allow."""
+    held, size = [], 0
+
+    def added() -> pa.Table:
+        out = pa.Table.from_batches(held).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")])
+        return out.select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"])
+
+    for b in counted:
+        held.append(b)
+        size += b.num_rows
+        if size >= PHRASES_HELD:
+            t = added()
+            held, size = (t.to_batches(), t.num_rows) if t.num_rows <= PHRASES_HELD // 2 else ([], 0)
+            if not size:
+                yield from t.to_batches(ROWS_AT_ONCE)
+    if size:
+        yield from added().to_batches(ROWS_AT_ONCE)
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, shard in _rows(batches):
         yield _counted(lang, shard.words, shard.bitmaps.counts(len(shard.words)))
@@ -446,7 +468,8 @@ def frequent(docs: DataFrame, least: int, most_words: int, text: str = "text", l
     shards = checkpointed(texts.mapInArrow(_shards, "lang string, data binary"))
     send, kind = docs.sparkSession.sparkContext.broadcast, "lang string, phrase string, n long"
     summed = lambda rows: checkpointed(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    words = shards.mapInArrow(_words, kind)
+    counted = lambda count: shards.mapInArrow(lambda batches: _summed(count(batches)), kind)
+    words = counted(_words)
     totals = checkpointed(words.groupBy("lang").agg(F.sum("n").alias("n")))
     found = [summed(words)]
     # Pairs and triples are first added up under numbers of a few bits more than there are of them at most; numbers that several share only count too much.
@@ -463,11 +486,11 @@ def frequent(docs: DataFrame, least: int, most_words: int, text: str = "text", l
 
     if most_words > 1:
         words_often = send(Filter.of(found[0].mapInArrow(_keys, "key long")))
-        found.append(summed(shards.mapInArrow(partial(_pairs, pairs=often(partial(_of_pairs, words=words_often, bits=bits)), bits=bits), kind)))
+        found.append(summed(counted(partial(_pairs, pairs=often(partial(_of_pairs, words=words_often, bits=bits)), bits=bits))))
     if most_words > 2:
         pairs = send(Filter.of(found[1].mapInArrow(_keys, "key long")))
         triples = often(partial(_of_triples, pairs=pairs, bits=bits))
-        found.append(summed(shards.mapInArrow(partial(_longer, pairs=pairs, triples=triples, bits=bits, most_words=most_words), kind)))
+        found.append(summed(counted(partial(_longer, pairs=pairs, triples=triples, bits=bits, most_words=most_words))))
     return reduce(DataFrame.unionByName, found), totals
 
 
