@@ -119,3 +119,49 @@ def test_pairs_are_added_up_by_number():
         own = pa.Table.from_batches([b for b in batches if b["range"][0].as_py() == r])
         found |= set(C._often(own, width, 5)["key"].to_numpy().view(np.uint64).tolist())
     assert found == set(C._spread(np.array([k for k, x in total.items() if x >= 5], np.uint64)).tolist())
+
+
+@pytest.mark.parametrize("held", [2, 6, 1000])
+def test_counts_of_shards_are_added_up(monkeypatch, held):
+    """Whatever a task may hold, the sums stay; nothing comes twice where all of it fits."""
+    monkeypatch.setattr(C, "PHRASES_HELD", held)
+    draw = random.Random(7)
+    batches = []
+    for _ in range(20):
+        phrases = draw.sample(["a b", "b c", "ä b", "a", "", "b c d"], 3)
+        batches.append(pa.RecordBatch.from_pydict({"lang": pa.array([draw.choice(["en", "de"])] * 3), "phrase": pa.array(phrases), "n": pa.array([draw.randint(1, 9) for _ in phrases], pa.int64())}))
+    tally = lambda rows: sum((Counter({(r["lang"], r["phrase"]): r["n"]}) for b in rows for r in b.to_pylist()), Counter())
+    out = list(C._summed(iter(batches)))
+    assert all(b.schema == batches[0].schema for b in out)
+    assert tally(out) == tally(batches)
+    assert held < 1000 or sum(b.num_rows for b in out) == len(tally(batches))
+    assert list(C._summed(iter([]))) == []
+
+
+def test_packed_numbers(monkeypatch):
+    """Numbers and counts come out of their packed form as they went in, by range, summed."""
+    draw = np.random.default_rng(3)
+    parts = [(draw.integers(0, 1 << 12, 500).astype(np.uint64), draw.integers(1, 1 << 40, 500)) for _ in range(3)]
+    parts.append((np.array([(1 << 60) - 1, 0], np.uint64), np.array([1, 1])))
+    want = Counter()
+    for key, n in parts:
+        for k, c in zip(key.tolist(), n.tolist(), strict=True):
+            want[k] += c
+    for width in (1 << 9, 1 << 60):
+        table = pa.Table.from_batches([b for p in parts for b in C._packed([p], width)])
+        found = set()
+        for r in set(table["range"].to_pylist()):
+            own = table.filter(pa.compute.equal(table["range"], r))
+            found |= set(C._often(own, width, 1 << 41)["key"].to_pylist())
+        often = np.array([k for k, c in want.items() if c >= 1 << 41], np.uint64)
+        assert found == set(C._spread(often).view(np.int64).tolist())
+
+
+def test_packs_in_groups(spark, monkeypatch):
+    """As where a range has many packs: they are added up in groups first."""
+    monkeypatch.setattr(C, "PACKS_AT_ONCE", 1)
+    monkeypatch.setattr(C, "PAIRS_AT_ONCE", 200)
+    monkeypatch.setattr(C, "RANGE_PAIRS", 500)
+    rows = [(["en", "de"][i % 3 == 0], t) for i, t in enumerate(made(120, 9))]
+    found = C.mine(spark.createDataFrame(rows, "lang string, text string").repartition(5), least=4, most_words=4, top=100)
+    assert sorted(map(tuple, found.collect())) == plainly(rows, 4, 4, 100)

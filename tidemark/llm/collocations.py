@@ -39,10 +39,12 @@ SHARD_BYTES = 3 << 20
 ROWS_AT_ONCE = 1 << 16
 #: Pairs or triples that are added up at once in a task, and at most about in a range of their numbers.
 PAIRS_AT_ONCE, RANGE_PAIRS = 1 << 19, 1 << 21
+#: Packs of numbers that are added up at once, about.
+PACKS_AT_ONCE = 1 << 12
 #: Parts that a language's phrases are dealt to before they are ranked.
 PARTS = 64
 #: Phrases whose counts a task adds up before they leave it.
-PHRASES_HELD = 1 << 18
+PHRASES_HELD = 1 << 17
 #: Bits of a filter for each phrase in it, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 26
 
@@ -431,13 +433,18 @@ def _frequent_pairs(lang: str, shard: Shard, pairs: Broadcast) -> tuple[np.ndarr
     return a[keep], b[keep], word
 
 
-def _often(rows: pa.Table, width: int, least: int) -> pa.Table:
-    """The numbers of one range whose counts add up to ``least``."""
+def _unpacked(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts) of packs, added up."""
     held = []
     for range_, size, data in zip(*(rows[c].to_pylist() for c in ("range", "rows", "data")), strict=True):
         both = np.frombuffer(pa.decompress(data, 16 * size, "zstd"), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
         held.append((np.cumsum(both[:size], dtype=np.uint64) + np.uint64(range_ * width), both[size:].astype(np.int64)))
-    key, n = _added(held)
+    return _added(held)
+
+
+def _often(rows: pa.Table, width: int, least: int) -> pa.Table:
+    """The numbers of one range whose counts add up to ``least``."""
+    key, n = _unpacked(rows, width)
     return pa.table({"key": _spread(key[n >= least]).view(np.int64)})
 
 
@@ -476,12 +483,19 @@ def frequent(docs: DataFrame, least: int, most_words: int, text: str = "text", l
     most = totals.agg(F.sum("n")).first()[0] or 0
     bits = min(max(20, (16 * most).bit_length()), 60)
     width = max(1, (1 << bits) // (16 + most // RANGE_PAIRS))
+    some = -(-most // (PAIRS_AT_ONCE * PACKS_AT_ONCE))
+
+    def one_pack(rows: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(_packed([_unpacked(rows, width)], width))
 
     def reached(rows: pa.Table) -> pa.Table:
         return _often(rows, width, least)
 
     def often(counts: Callable[[str, Shard], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Broadcast:
-        numbers = shards.mapInArrow(partial(_numbered, counts=counts, width=width), "range long, rows long, data binary")
+        packs = "range long, rows long, data binary"
+        numbers = shards.mapInArrow(partial(_numbered, counts=counts, width=width), packs)
+        if some > 1:  # A frequent number is in nearly every pack of its range; so packs are added up in several groups before those meet.
+            numbers = numbers.groupBy("range", F.pmod(F.xxhash64("data"), F.lit(some)).alias("some")).applyInArrow(one_pack, packs)
         return send(Filter.of(checkpointed(numbers.groupBy("range").applyInArrow(reached, "key long"))))
 
     if most_words > 1:
