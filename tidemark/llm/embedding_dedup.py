@@ -257,26 +257,39 @@ def blocks(classes: DataFrame, least: float, block_bytes: int = BLOCK_BYTES) ->
         room += [block[dims]] * (int(of_cell[own].max()) + 1 - len(room))
     regions = Regions(of_cell, np.bincount(of_cell, weights=members, minlength=len(room)).astype(np.int64), np.array(room, dtype=np.int64))
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
+        """(classes, home region of each, regions that each visits)."""
         for b in batches:
             for dims, part, d, home in by_dims(b):
                 own = slice(first[dims], first[dims] + len(cells[dims]))
                 region = regions.of_cell[own]
-                reached = cells[dims].reached(d, home, least_far[own], most_far[own]) & (region < region[home][:, None])
-                lists = [np.unique(region[x]).astype(np.int32) for x in reached]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("dims", "code", "id", "copies")), pa.array(region[home].astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))], ["dims", "code", "id", "copies", "home", "visits"]
-                )
+                met = cells[dims].reached(d, home, least_far[own], most_far[own]) & (region < region[home][:, None])
+                yield part, region[home], [np.unique(region[x]) for x in met]
+
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(room), dtype=np.int64)
+        for _, _, visits in reached(batches):
+            n += np.bincount(np.concatenate(visits), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"region": some.astype(np.int32), "n": n[some]})
 
-    placed = classes.mapInArrow(sent, "dims int, code binary, id long, copies long, home int, visits array<int>")
     visitors = np.zeros(len(room), dtype=np.int64)
-    for r in placed.select(F.explode("visits").alias("region")).groupBy("region").agg(F.count("*").alias("n")).collect():
+    for r in classes.mapInArrow(visited, "region int, n long").groupBy("region").agg(F.sum("n").alias("n")).collect():
         visitors[r["region"]] = r["n"]
-    in_blocks = lambda n: F.array(*[F.lit(int(max(1, -(-a // b)))) for a, b in zip(n, regions.block, strict=True)]) if len(room) else F.array(F.lit(1))
+    # In how many blocks a region's own classes and all that are in it are dealt; tasks have the numbers as arrays.
+    own_blocks, all_blocks = (np.maximum(1, -(-n // np.maximum(regions.block, 1))).astype(np.int32) for n in (regions.members, regions.members + visitors))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, home, visits in reached(batches):
+            region = np.concatenate([np.concatenate([[h, h], x]) for h, x in zip(home, visits, strict=True)]).astype(np.int32)
+            role = np.concatenate([[0, 1] + [2] * len(x) for x in visits]).astype(np.int32)
+            ends = np.cumsum([0, *(2 + len(x) for x in visits)]).astype(np.int32)
+            roles = pa.StructArray.from_arrays([pa.array(x) for x in (region, role, own_blocks[region], all_blocks[region])], ["region", "role", "hs", "os"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("dims", "code", "id", "copies")), pa.ListArray.from_arrays(pa.array(ends), roles)], ["dims", "code", "id", "copies", "roles"])
+
     dealt = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
-    as_role = lambda region, role: F.struct(region.alias("region"), F.lit(role).alias("role"))
-    roles = F.concat(F.array(as_role(F.col("home"), 0), as_role(F.col("home"), 1)), F.transform("visits", lambda c: as_role(c, 2)))
-    one = placed.select("dims", "code", "id", "copies", F.explode(roles).alias("r")).select("*", "r.region", "r.role", F.get(in_blocks(regions.members), F.col("r.region")).alias("hs"), F.get(in_blocks(regions.members + visitors), F.col("r.region")).alias("os"))
+    placed = classes.mapInArrow(sent, "dims int, code binary, id long, copies long, roles array<struct<region: int, role: int, hs: int, os: int>>")
+    one = placed.select("dims", "code", "id", "copies", F.explode("roles").alias("r")).select("dims", "code", "id", "copies", "r.*")
     whole = lambda n: F.sequence(F.lit(0), n - 1)
     return (
         one.withColumn("h", F.explode(F.when(F.col("role") == 0, F.array(dealt % F.col("hs"))).otherwise(whole(F.col("hs")))))
