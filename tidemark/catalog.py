@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.features import DAY_US, Measure, ratio
+from tidemark.functions.features import DAY_US, Measure, ratio, rounded
 
 #: From the measures' columns and the reference time in microseconds to the feature's column.
 Finish = Callable[[Callable[[Measure], Column], Column], Column]
@@ -95,7 +95,7 @@ def default_catalog() -> Catalog:
             FeatureSpec("avg_session_duration", "user", "float", 86400, None, "Mean length of sessions, in minutes", (_LENGTH, _SESSIONS), lambda of, ref: ratio(of(_LENGTH) / F.lit(60e6), of(_SESSIONS), 4)),
             _conversion("conversion_rate_7d", "user", 168, "7d", "Purchases for each item view in the last week"),
             FeatureSpec("category_affinity", "user", "list", 86400, "24h", "The three categories viewed most in the last day", (_CATEGORIES,), lambda of, ref: F.coalesce(of(_CATEGORIES), F.array().cast("array<string>"))),
-            FeatureSpec("days_since_last_purchase", "user", "float", 86400, None, "Days since the last purchase, infinite if none", (_LAST,), lambda of, ref: F.coalesce(F.round((ref - of(_LAST)) / F.lit(float(DAY_US)), 4), F.lit(float("inf")))),
+            FeatureSpec("days_since_last_purchase", "user", "float", 86400, None, "Days since the last purchase, infinite if none", (_LAST,), lambda of, ref: F.coalesce(rounded((ref - of(_LAST)) / F.lit(float(DAY_US)), 4), F.lit(float("inf")))),
             _count("view_count_1h", "item", "item_view", 1, "Views in the last hour"),
             _count("view_count_24h", "item", "item_view", 24, "Views in the last day"),
             _count("purchase_count_24h", "item", "purchase", 24, "Purchases in the last day"),

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.features import relative_difference
+from tidemark.functions.features import relative_difference, rounded
 
 RELATIVE_THRESHOLD = RATE_THRESHOLD = 0.05
 
@@ -39,9 +39,9 @@ def compare(online: DataFrame, offline: DataFrame, key: str, features: list[str]
     return pairs.groupBy("feature_name").agg(
         F.count("*").alias("n_compared"),
         F.count_if(F.col("diff") > RELATIVE_THRESHOLD).alias("n_inconsistent"),
-        F.round(rate, 4).alias("inconsistency_rate"),
-        F.round(F.avg("diff"), 4).alias("mean_relative_diff"),
-        F.round(F.max("diff"), 4).alias("max_relative_diff"),
+        rounded(rate, 4).alias("inconsistency_rate"),
+        rounded(F.avg("diff"), 4).alias("mean_relative_diff"),
+        rounded(F.max("diff"), 4).alias("max_relative_diff"),
         (rate > RATE_THRESHOLD).alias("flagged"),
     )
 

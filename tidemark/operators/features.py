@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog, default_catalog
-from tidemark.functions.features import Measure, in_window, micros
+from tidemark.functions.features import Measure, in_window, micros, rounded
 
 TOP_CATEGORIES = 3
 POPULARITY = "popularity_rank_1h"
@@ -35,7 +35,7 @@ def finished(measured: DataFrame, catalog: Catalog, entity: str, ref_us: Column,
         # As many rows as the grid has points.
         most = measured.groupBy(snapshot).agg(F.max(value[POPULARITY]).alias("_most"))
         measured = measured.join(F.broadcast(most), snapshot)
-        value[POPULARITY] = F.when(F.col("_most") > 0, F.round(value[POPULARITY] / F.col("_most"), 6)).otherwise(F.lit(0.0))
+        value[POPULARITY] = F.when(F.col("_most") > 0, rounded(value[POPULARITY] / F.col("_most"), 6)).otherwise(F.lit(0.0))
     return measured.select(*keep, *[value[s.name].alias(s.name) for s in specs])
 
 
