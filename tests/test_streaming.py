@@ -197,3 +197,26 @@ def test_generator_is_seeded(spark):
 def test_live_stream_has_a_plan(spark):
     assert generator.stream(spark).isStreaming
     assert pipeline.sliding_counts(generator.stream(spark)).isStreaming
+
+
+def test_a_stream_is_run_once_for_a_batch(spark, tmp_path, monkeypatch):
+    """Features are made from the log: a plan that holds the batch itself would run its parsing and its state again in each branch."""
+    (tmp_path / "in").mkdir()
+    made = generator.historical(spark, 60, T0, span_hours=3, n_users=5, n_items=8)
+    (tmp_path / "in/a.txt").write_text("\n".join(r["value"] for r in source.to_messages(made).collect()))
+    plans = []
+    monkeypatch.setattr(pipeline, "features_as_of", lambda events, *rest: plans.append(events._jdf.queryExecution().executedPlan().toString()) or features_as_of(events, *rest))
+    paths = pipeline.Paths(str(tmp_path / "out"))
+    for q in pipeline.start(source.json_stream(spark, str(tmp_path / "in")), paths):
+        q.awaitTermination()
+    assert len(plans) == 2 and not any("ExistingRDD" in p for p in plans)
+    # Few keys are sent to the events.
+    assert not any("SortMergeJoin" in p for p in plans)
+
+
+def test_a_message_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.txt").write_text('{"user_id": 1}\n\nnull\n[]\n')
+    events, dead = source.parse_events(source.read_json(spark, str(tmp_path)))
+    for frame in (events, dead):
+        assert frame._jdf.queryExecution().executedPlan().toString().replace("DataFilters", "").count("from_json(") == 1
+    assert events.count() == 0 and sorted((r["raw"], r["reason"]) for r in dead.collect()) == [("", "not an event"), ("[]", "not an event"), ("null", "not an event"), ('{"user_id": 1}', "no event_id")]

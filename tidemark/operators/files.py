@@ -44,6 +44,15 @@ def write(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"{path} was not written")
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """A file or folder to a place where nothing is, below a folder that need not be there yet."""
+    fs, where = _at(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(new.getParent())
+    if fs.exists(new) or not fs.rename(where, new):
+        raise OSError(f"{path} was not moved to {to}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, where = _at(spark, path)
     fs.delete(where, True)

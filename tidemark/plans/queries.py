@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import default_catalog
 from tidemark.functions.features import HOUR_US, Measure, in_window, micros
-from tidemark.operators import asof, consistency, features, offline_store, online_store, rolling, snapshots, training
+from tidemark.operators import asof, consistency, features, files, offline_store, online_store, rolling, snapshots, training
 from tidemark.operators.online_table import OnlineTable
 from tidemark.sources import events as source
 from tidemark.sources import generator
@@ -410,16 +410,21 @@ PARTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 def streamed(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> pipeline.Paths:
     """Both stores after three runs over messages that come in three parts, every third message twice.
 
+    The messages of all parts are written by one pass over the events; each part's folder then comes to where the stream reads.
     The stream's state, and what it shuffles, has a partition for each core while it runs.
     """
     paths, seen = pipeline.Paths(scratch(spark, "stream")), events(spark, sf_dir) if seen is None else seen
     seen = seen.withColumn("part", sum(((F.col("ts") >= F.lit(at).cast("timestamp")).cast("int") for at in PARTS), F.lit(0)))
+    times = F.when(F.col("event_id").cast("long") % 3 == 0, 2).otherwise(1)
+    written = source.to_messages(seen, "part", times.alias("times")).select("value", "part", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("value", "part")
+    written.write.partitionBy("part").text(paths.ahead)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(min(int(before), spark.sparkContext.defaultParallelism)))
     try:
         for part in range(len(PARTS) + 1):
-            once = seen.where(F.col("part") == part).drop("part")
-            source.to_messages(once.unionByName(once.where("cast(event_id as long) % 3 = 0"))).select("value").write.mode("append").text(paths.messages)
+            # A part without events has no folder.
+            if f"part={part}" in files.names(spark, paths.ahead):
+                files.move(spark, f"{paths.ahead}/part={part}", f"{paths.messages}/part={part}")
             for query in pipeline.start(source.json_stream(spark, paths.messages, 1_000_000), paths):
                 query.awaitTermination()
     finally:

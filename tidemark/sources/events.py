@@ -16,7 +16,8 @@ def parse_events(messages: DataFrame, value: str = "value") -> tuple[DataFrame,
     dead-letter rows hold its text and the reason.
     """
     text = F.decode(F.col(value), "UTF-8") if dict(messages.dtypes)[value] == "binary" else F.col(value)
-    parsed = messages.select(text.alias("raw")).withColumn("e", F.from_json("raw", WIRE, {"mode": "PERMISSIVE"}))
+    # As a generator's row: a filter on its fields stays above it, while one on a column's would parse the text anew for each field it asks for.
+    parsed = messages.select(text.alias("raw")).select("raw", F.explode(F.array(F.from_json("raw", WIRE, {"mode": "PERMISSIVE"}))).alias("e"))
     flat = parsed.select("raw", *[(F.try_to_timestamp(F.col("e.timestamp")) if f.name == "ts" else F.col(f"e.{f.name}")).alias(f.name) for f in EVENT])
     reason = F.when(F.col("user_id").isNull() & F.col("event_id").isNull(), "not an event")
     for name in REQUIRED:
@@ -25,11 +26,11 @@ def parse_events(messages: DataFrame, value: str = "value") -> tuple[DataFrame,
     return flat.where("reason is null").select(*EVENT.names), flat.where("reason is not null").select("raw", "reason")
 
 
-def to_messages(events: DataFrame) -> DataFrame:
-    """(key, value): JSON messages keyed by user, so that one user's events keep their order."""
+def to_messages(events: DataFrame, *more: str | Column) -> DataFrame:
+    """(key, value, more..): JSON messages keyed by user, so that one user's events keep their order."""
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     body = F.struct(*[iso.alias("timestamp") if c == "ts" else F.col(c) for c in EVENT.names])
-    return events.select(F.col("user_id").cast("string").alias("key"), F.to_json(body).alias("value"))
+    return events.select(F.col("user_id").cast("string").alias("key"), F.to_json(body).alias("value"), *more)
 
 
 def kafka_stream(spark: SparkSession, settings: Settings, starting: str = "earliest") -> DataFrame:

@@ -13,6 +13,7 @@ checkpoint in the same folder: a stream that begins anew, with a new checkpoint,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -71,17 +72,20 @@ def prune_log(spark: SparkSession, paths: Paths, before: datetime) -> None:
 def history_of(touched: DataFrame, seen: DataFrame, entity: str, ref: datetime, catalog: Catalog) -> DataFrame:
     """The events of touched entities, and what popularity compares them with: the last hour's views of others.
 
-    A touched entity whose events are all older than the history has an event of no type instead, so that it gets its features too.
+    A touched entity has an event of no type, in a session of its own, besides: one whose events are all older than the history gets its
+    features too. Touched keys are sent to the events where they are few, so that what is shuffled is sums, not events.
     """
-    key = key_of(entity)
-    at = F.coalesce("ts", F.lit(ref - timedelta(microseconds=1)))
-    own = touched.join(seen, key, "left").withColumn("ts", at).select(EVENT.names)
+    key, fields = key_of(entity), {f.name: F.lit(None).cast(f.dataType) for f in EVENT}
+    wanted = F.col("_own")
     if (entity, POPULARITY) in catalog:
         for m in catalog.get(entity, POPULARITY).measures:
-            viewed = seen.where(F.col("event_type") == m.event_type)
-            viewed = viewed.where(F.col("ts") >= F.lit(ref - timedelta(hours=m.hours))) if m.hours else viewed
-            own = own.unionByName(viewed.join(touched, key, "left_anti").select(EVENT.names))
-    return own
+            viewed = F.col("event_type") == m.event_type
+            wanted = F.coalesce(wanted, viewed & (F.col("ts") >= F.lit(ref - timedelta(hours=m.hours))) if m.hours else viewed)
+        own = seen.join(touched.withColumn("_own", F.lit(True)), key, "left").where(wanted)
+    else:
+        own = seen.join(touched, key, "left_semi")
+    at = {key: F.col(key), "ts": F.lit(ref - timedelta(microseconds=1)).cast("timestamp"), "session_id": F.lit(f"none {uuid.uuid4()}")}
+    return own.select(EVENT.names).unionByName(touched.select(*[value.alias(name) for name, value in (fields | at).items()]))
 
 
 def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: Paths, catalog: Catalog | None = None, history: int | None = None, push: Callable[[DataFrame, int], None] | None = None) -> None:
@@ -98,13 +102,18 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: P
             return
         dated = batch.withColumn("date", F.to_date("ts")).withColumn("batch", F.lit(str(batch_id))).hint("rebalance", "date")
         dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(paths.log)
+        # From here on the batch is read from the log. Spark doesn't find a persisted frame over a stream's batch on both sides of a join, and
+        # would run the stream's state again there.
+        held.pop().unpersist()
+        added = spark.read.schema(EVENT).option("basePath", paths.log).parquet(f"{paths.log}/date=*/batch={batch_id}")
         ref = last + timedelta(microseconds=1)
         seen = read_log(spark, paths, ref - timedelta(hours=history or history_hours(catalog)), ref)
         made = []
         for entity in ("user", "item"):
             key = key_of(entity)
-            touched = batch.select(key).where(F.col(key).isNotNull()).distinct().persist()
+            touched = added.select(key).where(F.col(key).isNotNull()).distinct().persist()
             held.append(touched)
+            touched.count()  # how many there are tells the joins whether to send them to the events
             features = features_as_of(history_of(touched, seen, entity, ref, catalog), entity, ref, catalog)
             if (entity, POPULARITY) in catalog:
                 features = features.join(touched, key, "left_semi")
@@ -153,7 +162,7 @@ def write_both(spark: SparkSession, made: list[tuple[str, DataFrame]], batch_id:
     Rows whose features can't be used are set aside with their key and the reason; the others are written. A batch that is committed
     is not written again, but pushed again, as it may not have been.
     """
-    rows, new = None, batch_id > committed(spark, paths)
+    rows, newest, new = None, None, batch_id > committed(spark, paths)
     for entity, features in made:
         marked = features.withColumn("_why", unsound(features, entity, catalog))
         aside = marked.where("_why is not null").select(F.col(key_of(entity)).alias("entity_id"), "feature_timestamp", F.col("_why").alias("reason"), F.lit(entity).alias("entity"), F.lit(str(batch_id)).alias("batch"))
@@ -164,9 +173,13 @@ def write_both(spark: SparkSession, made: list[tuple[str, DataFrame]], batch_id:
             offline_store.write_snapshots(features, paths.offline, entity, batch_id)
         own = online_store.to_online(features, entity, F.col("feature_timestamp"), catalog)
         rows = own if rows is None else rows.unionByName(own)
+        # A batch may hold several times of a key; the last counts. It is found among whole rows, before they become one for each feature.
+        rest = [c for c in features.columns if c != key_of(entity)]
+        last = features.groupBy(key_of(entity)).agg(F.max_by(F.struct(*rest), "feature_timestamp").alias("r")).select(key_of(entity), "r.*")
+        last = online_store.to_online(last, entity, F.col("feature_timestamp"), catalog)
+        newest = last if newest is None else newest.unionByName(last)
     if new:
-        # A batch may hold several times of a key; the last counts.
-        online_table(spark, paths).upsert(online_store.merged(None, rows), batch_id)
+        online_table(spark, paths).upsert(newest, batch_id)
         commit(spark, paths, batch_id)
     if push is not None:
         push(rows, batch_id)
