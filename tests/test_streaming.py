@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.features import features_as_of
 from tidemark.operators.offline_store import read_snapshots
 from tidemark.operators.online_table import OnlineTable
+from tidemark.plans import queries
 from tidemark.schema import EVENT
 from tidemark.sources import events as source
 from tidemark.sources import generator
@@ -220,3 +221,28 @@ def test_a_message_is_parsed_once(spark, tmp_path):
     for frame in (events, dead):
         assert frame._jdf.queryExecution().executedPlan().toString().replace("DataFilters", "").count("from_json(") == 1
     assert events.count() == 0 and sorted((r["raw"], r["reason"]) for r in dead.collect()) == [("", "not an event"), ("[]", "not an event"), ("null", "not an event"), ('{"user_id": 1}', "no event_id")]
+
+
+def test_a_batch_is_not_held(spark, tmp_path, monkeypatch):
+    """One run writes a batch to the log and tells its last event: the batch isn't kept in memory beside the stream's state."""
+    made, held = generator.batch(spark, 40, T0, 1, n_users=5, n_items=8), []
+    persist = type(made).persist
+    monkeypatch.setattr(type(made), "persist", lambda df, *how: held.append(df) or persist(df, *how))
+    paths = pipeline.Paths(str(tmp_path))
+    pipeline.process_batch(spark, made, 0, paths)
+    assert held and all(df is not made for df in held)
+    assert {r["feature_timestamp"] for r in pipeline.read_offline(spark, paths, "user").collect()} == {made.agg(F.max("ts")).first()[0] + timedelta(microseconds=1)}
+
+
+def test_messages_are_not_sorted_by_part(spark, monkeypatch):
+    """A task writes its messages as they come, to one file for each part, rather than sort all of them first."""
+    monkeypatch.setattr(pipeline, "start", lambda *a: ())
+    made, writers = generator.batch(spark, 60, datetime(2024, 1, 10, 23, 59, 50, tzinfo=timezone.utc), 2, n_users=5, n_items=8), spark.conf.get(queries.WRITERS)
+    paths = queries.streamed(spark, "", made.withColumn("event_id", F.unix_seconds("ts").cast("string")))
+    spark._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    written = [p for p in (done.apply(i).physicalPlanDescription() for i in range(done.size())) if paths.ahead in p]
+    assert written and not any("Sort" in p for p in written)
+    stored = spark.read.text(paths.messages).groupBy("part").count().collect()
+    assert {r["part"] for r in stored} == {0, 1} and sum(r["count"] for r in stored) == 60 + made.where(F.unix_seconds("ts") % 3 == 0).count()
+    assert spark.conf.get(queries.WRITERS) == writers

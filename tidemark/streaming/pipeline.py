@@ -18,7 +18,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -95,16 +95,16 @@ def process_batch(spark: SparkSession, batch: DataFrame, batch_id: int, paths: P
     catalog's longest window; features over all time see those hours too. ``push`` gets the online rows, for another key-value store.
     """
     catalog = catalog or default_catalog()
-    held = [batch.persist()]
+    held: list[DataFrame] = []
     try:
-        last = batch.agg(F.max("ts").alias("last")).first()["last"]
+        # The batch is run once, by the write, which tells its last event as well; from here on it is read from the log. Spark doesn't find a
+        # persisted frame over a stream's batch on both sides of a join, and would run the stream's state again there.
+        watch = Observation()
+        dated = batch.observe(watch, F.max("ts").alias("last")).withColumn("date", F.to_date("ts")).withColumn("batch", F.lit(str(batch_id))).hint("rebalance", "date")
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(paths.log)
+        last = watch.get.get("last")
         if last is None:
             return
-        dated = batch.withColumn("date", F.to_date("ts")).withColumn("batch", F.lit(str(batch_id))).hint("rebalance", "date")
-        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(paths.log)
-        # From here on the batch is read from the log. Spark doesn't find a persisted frame over a stream's batch on both sides of a join, and
-        # would run the stream's state again there.
-        held.pop().unpersist()
         added = spark.read.schema(EVENT).option("basePath", paths.log).parquet(f"{paths.log}/date=*/batch={batch_id}")
         ref = last + timedelta(microseconds=1)
         seen = read_log(spark, paths, ref - timedelta(hours=history or history_hours(catalog)), ref)
