@@ -3,11 +3,13 @@
 import gzip
 import hashlib
 import random
+import re
 import time
 from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_entry import plain
 from tidemark.llm import warc
@@ -105,3 +107,34 @@ def test_sql_agrees_on_openings_without_ends(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert plain(QUERIES["op2_warc"](spark, str(tmp_path)).toPandas()) == plain(db.execute(ORACLES["op2_warc"]).fetchdf())
+
+
+def test_title_and_language_cost_no_pass_over_the_page(spark):
+    """They are looked for up to where they are, in less than one search through all of it takes."""
+    page = F.concat(F.lit('<html lang="d"><head><title>T</title></head><p>'), F.repeat(F.lit("Ein Wort, "), 300_000))
+    pages = spark.range(8).select(page.alias("html")).persist()
+    assert pages.count() == 8
+
+    def seconds(column):
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            assert len(pages.select(column.alias("x")).collect()) == 8
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    try:
+        found = F.concat(warc.title_of(F.col("html")), warc.language_of(F.col("html")))
+        assert pages.select(found).first()[0] == "Td" and seconds(found) < seconds(F.col("html").rlike("Q.z"))
+    finally:
+        pages.unpersist()
+
+
+def test_blanks_and_names(spark):
+    texts = ["", " ", "a", " a ", "a\tb", "a \t\f b", "a  b", "a \n b", "\n\n a \r\n\r\n b \n", "a\n\nb", "a\r", "\fa\n", "&lt;&amp;lt;&nbsp;&nbsp;&gt;&quot;&apos;&copy;&middot;&l&lt;t;"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for text, row in zip(texts, frame.select(warc.tidy(F.col("t")).alias("tidy"), warc.named(F.col("t")).alias("named")).collect(), strict=True):
+        assert row["tidy"] == re.sub(" ?\n[ \n]*", "\n", re.sub("[ \t\r\f]+", " ", text)).strip(" \n")
+        for name, char in warc.ENTITIES.items():
+            text = text.replace(name, char)
+        assert row["named"] == text

@@ -13,6 +13,9 @@ a character reference to no character is U+FFFD; other columns are ignored, exce
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,53 +26,62 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "
 NUMBERED = "(?i)&#(x[0-9a-f]{1,6}|[0-9]{1,7});"
 # Elements without text of their own, and elements that begin a new line.
 UNSEEN = r"(?is)<(?:!--.*?(?:-->|\z)|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|MARKhead\b.*?</head\s*>)"
-BLOCK = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|form)\b[^>]*>"
-TAG = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
+BLOCK = r"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|article|section|header|footer|nav|aside|main|blockquote|pre|form)\b[^>]*+>"
+TAG = r"<(?:/?[a-zA-Z]|[!?])[^>]*+>"
+# The first <title ..> is the only one that counts: what it lacks, those behind it lack too, so that all the rest is passed over.
+TITLE = r"(?is)<title\b(?:[^>]*+>(.*?)</title|.*)"
+# Runs of blanks that aren't one space already, and what each of them holds.
+BLANKS = r"[ \t\r\f](?:[ \t\r\f]+|(?<=[\t\r\f]))"
+BLANK = ("  ", "\t", "\r", "\f")
 # An <a> or <html> without what is looked for is passed over up to its end, so that nothing in it is looked at again.
 LINK = r"""(?i)<a\b(?:[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|[^>]*+)"""
 LANGUAGE = r'(?i)\A<html\b[^>]*\blang="([^"]*)"'
-MAYBE_LANGUAGE = r'(?i)<html\b(?:[^>]*\blang="[^"]*"|[^>]*+)'
+MAYBE_LANGUAGE = r'(?i)<html\b(?:[^>]*\blang="([^"]*)"|[^>]*+)'
 #: Characters that no text should have, to mark openings with.
 MARKS = ("\ufffe", "\uffff")
+#: Up to so many <head> a page is searched as it is: each of them without an end is a search to the end of the page.
+FEW_HEADS = 4
 
 
-def bare(html: Column) -> Column:
-    """Text without elements, a line break for each block.
-
-    Time is linear in the page, whatever stands in it: a search for an end only begins where there is one.
-    """
-    return _in_closed(_in_closed(_without_unseen(html), BLOCK, "\n"), TAG, "")
-
-
-def _without_unseen(html: Column) -> Column:
-    """Comments, scripts, styles and heads go. Only a <head> before the last </head> has an end; those are marked, the others are no openings."""
+def without_unseen(html: Column) -> Column:
+    """Comments, scripts, styles and heads go. Only a <head> before the last </head> has an end; where there are many, those are marked, the others are no openings."""
     closed = F.regexp_extract(html, r"(?is)\A.*</head\s*>", 0)
     rest = F.substring(html, F.length(closed) + 1, F.length(html))
-    out = F.regexp_replace(html, UNSEEN.replace("MARK", ""), "\n")
+    plain = out = F.regexp_replace(html, UNSEEN.replace("MARK", ""), "\n")
     for mark in MARKS:
         marked = F.concat(F.regexp_replace(closed, r"(?i)<(?=head\b)", f"<{mark}"), rest)
         out = F.when(~F.contains(html, F.lit(mark)), F.regexp_replace(marked, UNSEEN.replace("MARK", mark), "\n")).otherwise(out)
-    return out
+    return F.when(F.regexp_count(html, F.lit(r"(?i)<head\b")) <= FEW_HEADS, plain).otherwise(out)
+
+
+def without_blocks(text: Column) -> Column:
+    """A line break for each block's beginning and end."""
+    return _in_closed(text, BLOCK, "\n")
+
+
+def without_tags(text: Column) -> Column:
+    """Text without elements, once blocks are lines. Time is linear in the page, here as above: a search for an end only begins where there is one."""
+    return _in_closed(text, TAG, "")
 
 
 def _in_closed(text: Column, pattern: str, by: str) -> Column:
     """``pattern``, whose matches end with ``>``, replaced in what comes before the last one."""
     rest = F.substring_index(text, ">", -1)
     closed = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
-    return F.concat(F.regexp_replace(closed, pattern, by), rest)
+    return F.when(F.contains(rest, F.lit("<")), F.concat(F.regexp_replace(closed, pattern, by), rest)).otherwise(F.regexp_replace(text, pattern, by))
 
 
 def title_of(html: Column) -> Column:
     """What stands between the first <title ..> and </title, if both are there in this order."""
-    closed = F.regexp_extract(html, r"(?is)\A.*</title", 0)
-    opened = F.substring(closed, F.lit(1), F.length(closed) - F.length(F.substring_index(closed, ">", -1)))
-    return F.when(opened.rlike(r"(?i)<title\b"), F.regexp_extract(closed, r"(?is)<title\b[^>]*>(.*?)</title", 1)).otherwise("")
+    return F.regexp_extract(html, TITLE, 1)
 
 
 def language_of(html: Column) -> Column:
     """The first <html ..> with a language gives it."""
     found = F.filter(F.regexp_extract_all(html, F.lit(MAYBE_LANGUAGE), F.lit(0)), lambda x: x.rlike(LANGUAGE))
-    return F.coalesce(F.regexp_extract(F.try_element_at(found, F.lit(1)), LANGUAGE, 1), F.lit(""))
+    first = F.regexp_extract(html, MAYBE_LANGUAGE, 1)
+    # Mostly the first <html ..> of all has one, and no other is looked for.
+    return F.when(first != "", first).otherwise(F.coalesce(F.regexp_extract(F.try_element_at(found, F.lit(1)), LANGUAGE, 1), F.lit("")))
 
 
 def links_of(html: Column) -> Column:
@@ -78,9 +90,9 @@ def links_of(html: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Runs of blanks as one, no empty lines."""
-    text = F.regexp_replace(text, "[ \\t\\r\\f]+", " ")
-    text = F.regexp_replace(text, " ?\\n[ \\n]*", "\n")
-    return F.trim(text, F.lit(" \n"))
+    some = reduce(or_, [F.contains(text, F.lit(x)) for x in BLANK])
+    text = F.when(some, F.regexp_replace(text, BLANKS, " ")).otherwise(text)
+    return F.trim(F.regexp_replace(F.replace(text, F.lit(" \n"), F.lit("\n")), r"\n[ \n]+", "\n"), F.lit(" \n"))
 
 
 def _by_number(reference: Column) -> Column:
@@ -92,10 +104,13 @@ def _by_number(reference: Column) -> Column:
 
 
 def named(text: Column) -> Column:
-    """Character references by name as the characters, but for "&amp;"; where no ``&`` is, nothing is searched."""
+    """Character references by name as the characters, but for "&amp;"; where no ``&`` is, nothing is searched.
+
+    A name that isn't in the text is replaced as the empty string, which changes nothing: to look for it first costs much less.
+    """
     out = text
     for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
+        out = F.replace(out, F.when(F.contains(text, F.lit(name)), F.lit(name)).otherwise(""), F.lit(char))
     return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
@@ -156,8 +171,9 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "record_id",
     ).withColumn("record_id", F.coalesce("record_id", record_id(F.lit("response"), F.coalesce("target_uri", F.lit("")), F.col("source_digest"))))
     # Step by step, so that no expression stands in another twice and is worked out again.
-    parts = {"_text": bare(F.col("html")), "_title": title_of(F.col("html"))}
-    source = source.withColumns(parts).withColumns({c: named(F.col(c)) for c in parts}).withColumns({c: numbered(F.col(c)) for c in parts})
+    parts = {"_text": without_unseen(F.col("html")), "_title": title_of(F.col("html"))}
+    source = source.withColumns(parts).withColumn("_text", without_blocks(F.col("_text"))).withColumn("_text", without_tags(F.col("_text")))
+    source = source.withColumns({c: named(F.col(c)) for c in parts}).withColumns({c: numbered(F.col(c)) for c in parts})
     source = source.withColumns(
         {
             "text": tidy(F.col("_text")),
