@@ -246,3 +246,11 @@ def test_messages_are_not_sorted_by_part(spark, monkeypatch):
     stored = spark.read.text(paths.messages).groupBy("part").count().collect()
     assert {r["part"] for r in stored} == {0, 1} and sum(r["count"] for r in stored) == 60 + made.where(F.unix_seconds("ts") % 3 == 0).count()
     assert spark.conf.get(queries.WRITERS) == writers
+
+
+def test_an_item_is_looked_up_once(spark):
+    """The table's JSON text is read once for an event, however many of its columns are made of it, and filters on them don't read it again."""
+    table = spark.createDataFrame([(1, datetime(2024, 1, 1), 2, "view", 1.5, '{"k": 13}'), (2, datetime(2024, 1, 1), 2, "error", 1.5, "{}"), (3, datetime(2024, 1, 1), 2, "signup", None, '{"k": 4}')], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    made = source.events_from_table(table)
+    assert [(r["item_id"], r["metadata"]["category"], r["metadata"]["rating"]) for r in made.orderBy("event_id").collect()] == [(13, "cat3", None), (None, None, None), (None, None, None)]
+    assert source.to_messages(made)._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 1

@@ -63,7 +63,8 @@ def events_from_table(table: DataFrame) -> DataFrame:
     Items, categories, ratings and sessions aren't in the table and are derived from its columns; a signup has no item.
     """
     table.sparkSession.conf.set("spark.sql.session.timeZone", "UTC")
-    k = F.get_json_object("props", "$.k").cast("long")
+    # A column of its own below the others: those that are made of it would look into the text anew, each for itself.
+    table, k = table.withColumn("_k", F.get_json_object("props", "$.k").cast("long")), F.col("_k")
     signup, purchase, error = (F.col("event_type") == x for x in ("signup", "purchase", "error"))
     kind = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])[F.col("event_type")]
     nothing = lambda t: F.lit(None).cast(t)
