@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_line_dedup import brute
+from tidemark.llm import components, simhash
 from tidemark.llm.components import connected_components
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -31,6 +32,27 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_settled_components_take_one_round(spark, monkeypatch):
+    """Nodes linked to their component's least are a result already; a round costs the driver plans, threads and compiled code."""
+    rounds, plain = [], components._star
+    monkeypatch.setattr(components, "_star", lambda edges, large: (rounds.append(large), plain(edges, large))[1])
+    settled = [(i, i - i % 10) for i in range(100) if i % 10]
+    rows = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(settled, "a long, b long")).collect()}
+    assert rows == {i: i - i % 10 for i in range(100)} and rounds == [True, False]
+    rounds.clear()
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0 and rounds == [True, False]
+
+
+def test_no_join_of_small_tables_is_broadcast(spark):
+    """A broadcast's table is built in the driver and stays there until its garbage is collected."""
+    edges = components.checkpointed(spark.createDataFrame([(i + 1, i) for i in range(50)], "a long, b long"))
+    marked = components.checkpointed(spark.createDataFrame([(i, 0, i % 7 << 20) for i in range(50)], "id long, word int, fp long"))
+    for made in (components._star(edges, large=True), components._star(edges, large=False), simhash.candidate_pairs(marked)):
+        assert len(made.collect()) > 0
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     draw = random.Random(2)

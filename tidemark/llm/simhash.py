@@ -237,18 +237,19 @@ def candidate_pairs(marked: DataFrame, few: int = 16) -> DataFrame:
 
     Rows with an equal fingerprint are compared with the first of them. Different fingerprints that share a key are compared
     all with all where they are few, and else with four leaders of the key (the least and the greatest, by value and by a
-    hash); as a text has eight keys in each word, it meets other leaders in each of them.
+    hash); as a text has eight keys in each word, it meets other leaders in each of them. Joins are merged whatever their size, as
+    in ``connected_components``: no table is built in the driver.
     """
     tied = marked.groupBy("word", "fp").agg(F.min("id").alias("id"))
-    within = marked.join(tied.withColumnRenamed("id", "first"), ["word", "fp"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
+    within = marked.join(tied.withColumnRenamed("id", "first").hint("merge"), ["word", "fp"]).select(F.col("id").alias("a"), F.col("first").alias("b"))
     keys = _keys(tied, _first_masks())
     on = ["word", "start", "mask", "bits"]
     one = F.struct("fp", "id")
     hashed = F.xxhash64("fp")
     shared = keys.groupBy(*on).agg(F.count("*").alias("n"), F.min(one).alias("l1"), F.max(one).alias("l2"), F.min_by(one, hashed).alias("l3"), F.max_by(one, hashed).alias("l4")).where("n > 1")
-    led = keys.join(shared, on).select("start", "n", "fp", "id", *on[:1], "mask", "bits", F.explode(F.array("l1", "l2", "l3", "l4")).alias("l")).where(_close(F.col("fp"), F.col("l.fp"), F.col("start")))
-    small = keys.join(shared.where(F.col("n").between(3, few)).select(*on), on, "left_semi")
-    met = small.select(*on, F.col("fp").alias("fa"), F.col("id").alias("a")).join(small.select(*on, F.col("fp").alias("fb"), F.col("id").alias("b")), on).where((F.col("a") > F.col("b")) & _close(F.col("fa"), F.col("fb"), F.col("start")))
+    led = keys.join(shared.hint("merge"), on).select("start", "n", "fp", "id", *on[:1], "mask", "bits", F.explode(F.array("l1", "l2", "l3", "l4")).alias("l")).where(_close(F.col("fp"), F.col("l.fp"), F.col("start")))
+    small = keys.join(shared.where(F.col("n").between(3, few)).select(*on).hint("merge"), on, "left_semi")
+    met = small.select(*on, F.col("fp").alias("fa"), F.col("id").alias("a")).join(small.select(*on, F.col("fp").alias("fb"), F.col("id").alias("b")).hint("merge"), on).where((F.col("a") > F.col("b")) & _close(F.col("fa"), F.col("fb"), F.col("start")))
     found = within.unionByName(led.select(F.col("id").alias("a"), F.col("l.id").alias("b"))).unionByName(met.select("a", "b"))
     return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -337,7 +338,8 @@ def _text_groups(docs: DataFrame, text: str, n_words: int, width: int, least: fl
     left = checkpointed(undecided(checkpointed(with_component(fps)), with_component(bands)))
     sets = checkpointed(sets_of(left.select("id")).join(left, "id"))
     more = similar(checkpointed(prefix_pairs(sets, least)), sets, least)
-    components = connected_components(links.unionByName(more))
+    # The settled components stand for the links that made them.
+    components = connected_components(settled.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     return names.join(components, F.col("id") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "id").alias("g"))
 
 
